@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, content_sort, language_id, mixing, token_counts, url_reputation
+from tidewater.llm import byte_bpe, content_sort, language_id, mixing, ngram_join, token_counts, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +44,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mix_sources, op4_exact_dedup, op6_url_filter, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mix_sources, op4_exact_dedup, op6_url_filter, op8_ngram_join, op9_byte_bpe)}
 
 ORACLE_SQL = {
     "op3_mix_sources": r"""
