@@ -4,12 +4,46 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, content_sort, language_id, mixing
+from tidewater.llm import byte_bpe, content_sort, language_id, mixing, ngram_join
 from tidewater.llm.queries import held_out
 from tidewater.llm.shared import written
 
-STAGES: list = []
+LEAST_SCORE = 0.3
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without letters, and those that fit no learned language at all, go."""
+    model = language_id.fit_languages(docs, ~held_out())
+    judged = language_id.identify_languages(docs, model)
+    return judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact dedup: of equal texts the largest doc_id stays."""
+    return content_sort.drop_copies(docs, keep="largest")
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: the smallest doc_id of each linked group stays."""
+    return ngram_join.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to target weights: documents repeat by epoch, and end at each source's budget."""
+    return mixing.mixed_rows(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: token counts and digests of ids and decoded bytes beside the identity of each document."""
+    coded = byte_bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [("language_id", identify), ("exact_dedup", dedup_exact), ("ngram_join", dedup_near), ("mix_sources", mix_sources), ("byte_bpe", encode)]
+
+#: The first stage is a trained network: SQL can't express the pipeline.
 ORACLE_SQL = None
 
 

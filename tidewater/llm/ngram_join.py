@@ -2,97 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewater.llm.components import components
+from tidewater.llm.set_join import first_tries, gram_sets, may_link, rare_prefixes, verified
 from tidewater.llm.shared import outputs_over, text_or_empty, written
-from tidewater.llm.shingles import WordHashes, shingle_set, words_of
-
-_SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
-
-
-@lru_cache(maxsize=1)
-def _words() -> WordHashes:
-    return WordHashes()
-
-
-def gram_sets(width: int, percent: int, whole: bool):
-    """A UDF: text -> its set's size, two independent 64-bit signatures, and its n-grams in hash order.
-
-    Unless ``whole``, only the n-grams of the set's region are listed: the lowest 1.5 * (n - need + 1)
-    hashes, where ``need`` is the smallest overlap that a link of this set can have.
-    """
-
-    @F.pandas_udf(_SET)
-    def sets(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            grams = shingle_set(_words()(words_of(text)), width)
-            n = len(grams)
-            slack = n - -(-percent * n // 100) + 1
-            kept = grams if whole else grams[: -(-3 * slack // 2)]
-            rows.append((n, int(grams.sum().astype(np.int64)) if n else 0, int(np.bitwise_xor.reduce(grams * np.uint64(0x9E3779B97F4A7C15) ^ (grams >> np.uint64(29))).astype(np.int64)) if n else 0, kept.view(np.int64)))
-        return pd.DataFrame(rows, columns=["n", "s1", "s2", "grams"])
-
-    return sets
-
-
-def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Incidence rows (g, id, n) sorted by n-gram -> (id, n, c): in how many columns of this block a document meets another.
-
-    A block's first and last column may go on in a neighbouring block and count as shared.
-    """
-    held_g, held_id, held_n = [np.zeros(0, np.int64)] * 3  # the last column met, which may go on
-    first = None
-
-    def counted(ids, n):
-        order = np.argsort(ids, kind="stable")
-        ids, n = ids[order], n[order]
-        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
-        c = np.diff(np.append(starts, len(ids)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(n[starts]), pa.array(c)], names=["id", "n", "c"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        g, ids, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        g, ids, n = np.append(held_g, g), np.append(held_id, ids), np.append(held_n, n)
-        first = g[0] if first is None else first
-        start = int(np.searchsorted(g, g[-1]))
-        held_g, held_id, held_n = g[start:], ids[start:], n[start:]
-        if len(held_g) > 1:  # already known to be shared: two rows carry the column on
-            yield counted(held_id[:-1], held_n[:-1])
-            held_g, held_id, held_n = np.repeat(held_g[-1:], 2), np.array([held_id[-1], -(2**63)]), np.array([held_n[-1], 0])
-        g, ids, n = g[:start], ids[:start], n[:start]
-        if len(g):
-            same = g[1:] == g[:-1]
-            shared = np.append(same, False) | np.append(False, same) | (g == first)
-            shared &= n > 0
-            yield counted(ids[shared], n[shared])
-    if len(held_id):
-        yield counted(held_id[held_n > 0], held_n[held_n > 0])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets overlap enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    overlap = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * overlap >= percent * (F.col("na") + F.col("nb") - overlap)).select("a", "b")
-
-
-def _may_link(percent: int) -> Column:
-    """Sizes and places of a common column (the first that two sets share) from which an overlap can still be large enough."""
-    best = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * best >= percent * (F.col("na") + F.col("nb")))
 
 
 def set_links(base: DataFrame, sets_of, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -102,49 +17,24 @@ def set_links(base: DataFrame, sets_of, percent: int) -> tuple[DataFrame, DataFr
     to their whole sets (id, n, grams). Returns representatives (n, s1, s2, rep), verified links (a, b)
     that connect all sets that links connect, and the components of these links (node, component).
 
-    1. Rows of equal sets become one: the smallest id stands for them.
-    2. Block product over regions: incidence rows (n-gram, document) are range-sorted by n-gram, so that
-       a block is a range of columns and a hot column runs over several blocks. Per document the number
-       of columns shared with any other is accumulated over blocks. Of two linked sets the one whose
-       region ends first shares at least region - (n - need) of its columns, 0.1 n or more, and the other
-       has a size within the similarity; documents with fewer than 0.08 n shared columns (at 80 percent;
-       in general half of slack times similarity) are in no link and leave.
-    3. For the rest the whole incidence is read. Columns are ordered by document count, then by hash; a
-       set's first n - need + 1 columns must meet those of each set that it links with.
-    4. Each document is checked against the smallest id in its columns that it meets most often. Then
-       only columns whose documents are not yet in one component are multiplied out, and only between
-       components, for pairs that sizes and places allow. All pairs are verified on whole sets.
+    Rows of equal sets become one: the smallest id stands for them. The document-by-n-gram incidence is
+    multiplied out in blocks of columns (:func:`rare_prefixes`), adding up overlaps by document and
+    discarding documents, then columns, then pairs below the bounds that sizes give. Each document is
+    checked against the smallest id that it meets most often; then only columns whose documents are not
+    yet in one component are multiplied out, only between components, and only for pairs that sizes and
+    places allow. All pairs are verified on whole sets, so no link is wrong and no component is missed.
     """
-    spark = base.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     reps = written(base.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min_by("grams", "id").alias("grams")), "set-reps")
-    cells = reps.select(F.explode("grams").alias("g"), F.col("rep").alias("id"), "n")
-    met = cells.repartitionByRange(parts, "g", "id").sortWithinPartitions("g").mapInArrow(_shared_columns, "id long, n long, c long")
-    least = (100 - percent) * percent / 20_000  # half the slack of the smallest partner
-    left = written(met.groupBy("id", "n").agg(F.sum("c").alias("c")).where(F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("n") * least))).select("id", "n"), "set-candidates")
-    sets = written(sets_of(left), "sets")
-    grams = sets.select(F.explode("grams").alias("g"), "id", "n")
-    counts = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    slack = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
-    ordered = grams.join(counts, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("common"))
-    alone = F.col("n") - F.size("common")  # columns of one document come first and meet nothing
-    first = written(
-        ordered.withColumn("alone", alone).where(slack > F.col("alone"))
-        .select("id", "n", "alone", F.posexplode(F.slice("common", F.lit(1), (slack - F.col("alone")).cast("int"))).alias("at", "cell"))
-        .select(F.col("cell.g").alias("g"), "id", "n", (F.col("alone") + F.col("at")).alias("p")),
-        "set-prefixes",
-    )
-    leaders = first.groupBy("g").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1")
-    tries = first.join(leaders, "g").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("c"))
-    star = written(_verified(tries.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b"), sets, percent), "set-stars")
+    sets, first = rare_prefixes(reps.select(F.explode("grams").alias("g"), F.col("rep").alias("id"), "n"), sets_of, percent)
+    star = written(verified(first_tries(first), sets, percent), "set-stars")
     joined = components(star)
     placed = first.join(joined, F.col("id") == F.col("node"), "left").select("g", "id", "n", "p", F.coalesce("component", "id").alias("of"))
     open_columns = placed.groupBy("g").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("g")
     rest = written(placed.join(open_columns, "g", "left_semi"), "set-open")
     one = rest.select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("of").alias("fa"))
     two = rest.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("of").alias("fb"))
-    pairs = one.join(two, "g").where((F.col("a") < F.col("b")) & (F.col("fa") != F.col("fb")) & _may_link(percent)).select("a", "b").distinct()
-    links = written(star.unionByName(_verified(pairs, sets, percent)), "set-links")
+    pairs = one.join(two, "g").where((F.col("a") < F.col("b")) & (F.col("fa") != F.col("fb")) & may_link(percent)).select("a", "b").distinct()
+    links = written(star.unionByName(verified(pairs, sets, percent)), "set-links")
     return reps.drop("grams"), links, components(links)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, content_sort, language_id, mixing, ngram_join, token_counts, url_reputation
+from tidewater.llm import byte_bpe, content_sort, language_id, line_dedup, mixing, ngram_join, token_counts, url_reputation, vector_links
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest")
 
 
+def op5_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.vector_groups(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     outcomes = url_reputation.article_outcomes(pages, _table(spark, sf_dir, "labels"))
@@ -53,7 +57,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mix_sources, op4_exact_dedup, op6_url_filter, op8_ngram_join, op9_byte_bpe)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.without_later_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mix_sources, op4_exact_dedup, op5_vector_links, op6_url_filter, op8_ngram_join, op9_byte_bpe, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op3_mix_sources": r"""
