@@ -1,4 +1,10 @@
-"""Registered queries of the analytics operators and their oracle SQL."""
+"""All registered queries of the analytics operators and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from tidewater.plans import period_queries, price_queries, text_queries, trade_queries
+
+_PARTS = (trade_queries, price_queries, period_queries, text_queries)
+
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
