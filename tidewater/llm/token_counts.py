@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.ragged import Numbering, PairTable
+from tidewater.llm.ragged import Numbering, PairTable, slices
 from tidewater.llm.shared import outputs_over, text_or_empty
 
 SPACE = "▁"
@@ -131,7 +131,7 @@ def spaced_chunks(text: str) -> list[str]:
 class ChunkCounts:
     """Token counts of the distinct chunks met so far; begun anew beyond ``most`` of them, which bounds its memory."""
 
-    def __init__(self, vocabulary: PieceVocabulary, most: int = 600_000):
+    def __init__(self, vocabulary: PieceVocabulary, most: int = 250_000):
         self.vocabulary, self.most = vocabulary, most
         self.numbers, self.tokens = Numbering(), np.zeros(0, np.int64)
 
@@ -162,7 +162,7 @@ def count_tokens(df: DataFrame, model_path: str, text_col: str = "text", limit:
 
     @F.pandas_udf(T.LongType())
     def tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series(_counts(model_path).count_batch(texts.tolist()))
+        return pd.Series(np.concatenate([_counts(model_path).count_batch(part) for part in slices(texts.tolist())]))
 
     packed = df.select(F.struct("*").alias("row"), text_or_empty(text_col).alias("whole"))
     counted = packed.select("row", F.octet_length("whole").cast("long").alias("n_bytes"), tokens("whole").alias("n_tokens"))
