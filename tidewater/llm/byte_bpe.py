@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.ragged import Numbering, PairTable, row_starts
+from tidewater.llm.ragged import Numbering, PairTable, row_starts, slices
 from tidewater.llm.shared import outputs_over, text_or_empty
 
 
@@ -171,7 +171,7 @@ class ByteEncoder:
     ``"\\s+(?!\\S)"`` branches such a space always starts a match, so chunks are matched alone.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 600_000):
+    def __init__(self, path: str, pattern: str, most: int = 250_000):
         self.vocabulary, self.most = ByteVocabulary(path), most
         self.pattern, self.twin = _plain_pattern(pattern)
         self._begin()
@@ -269,7 +269,7 @@ def round_trip_digests(df: DataFrame, ranks_path: str, pattern: str, text_col: s
 
     @F.pandas_udf(result)
     def digests(texts: pd.Series) -> pd.DataFrame:
-        return _encoder(ranks_path, pattern).digests(texts.tolist())
+        return pd.concat([_encoder(ranks_path, pattern).digests(part) for part in slices(texts.tolist())], ignore_index=True)
 
     packed = df.select(F.struct("*").alias("row"), digests(text_or_empty(text_col)).alias("coded"))
     return outputs_over("row", packed.select("row", "coded.*"), ["n_tokens", "ids_sha256", "decoded_sha256"])

@@ -13,6 +13,17 @@ class Numbering(dict):
         return number
 
 
+def slices(texts: list[str], most: int = 1_500_000):
+    """Runs of texts of about ``most`` characters together, which bounds what is held at once; a longer text is a run alone."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > most:
+            yield texts[begin:i]
+            begin, size = i, 0
+        size += len(text)
+    yield texts[begin:]
+
+
 def row_starts(lengths: np.ndarray) -> np.ndarray:
     """Where each of the rows laid end to end starts, and at last their total."""
     return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
