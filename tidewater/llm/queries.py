@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, content_sort, language_id, line_dedup, mixing, ngram_join, token_counts, url_reputation, vector_links
+from tidewater.llm import byte_bpe, content_sort, language_id, line_dedup, mixing, ngram_join, substring_dedup, token_counts, url_reputation, vector_links
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.without_repeats(docs, keep_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,7 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mix_sources, op4_exact_dedup, op5_vector_links, op6_url_filter, op8_ngram_join, op9_byte_bpe, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mix_sources, op4_exact_dedup, op5_vector_links, op6_url_filter, op7_substring_dedup, op8_ngram_join, op9_byte_bpe, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op3_mix_sources": r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets the driver drop shuffle files that no table needs any more, before the next large shuffle."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bounds the bytes of an Arrow batch between Spark and Python in this session, so that a worker's memory does not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def text_or_empty(name: str) -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
