@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.set_join import first_tries, gram_sets, may_link, rare_prefixes, verified
-from tidewater.llm.shared import outputs_over, text_or_empty, written
+from tidewater.llm.shared import bounded_batches, freed, outputs_over, text_or_empty, written
 
 
 def _lines(docs: DataFrame, bits: int):
@@ -28,6 +28,7 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts are empty; null ids match nothing. Rows that repeat an id share their line numbers. Ids
     and line numbers together must fit 63 bits, else a ValueError says so. An empty table gives no rows.
     """
+    bounded_batches(df.sparkSession)
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
     size = docs.agg(F.max(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("lines"), F.max(F.abs("doc")).alias("doc")).first()
     bits = int(size["lines"] or 0).bit_length() + 1
@@ -45,6 +46,7 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return wanted.select("id", gram_sets(width, percent, whole=True)("text").alias("s")).select("id", "s.n", "s.grams").dropDuplicates(["id", "n"])
 
     sets, first = rare_prefixes(cells, sets_of, percent)
+    freed(df.sparkSession)
     star = written(verified(first_tries(first), sets, percent), "line-stars")
     later = first.join(star.select(F.col("b").alias("id")), "id", "left_anti").select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     early = first.select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
 from tidewater.llm.set_join import first_tries, gram_sets, may_link, rare_prefixes, verified
-from tidewater.llm.shared import outputs_over, text_or_empty, written
+from tidewater.llm.shared import bounded_batches, freed, outputs_over, text_or_empty, written
 
 
 def set_links(base: DataFrame, sets_of, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -25,7 +25,9 @@ def set_links(base: DataFrame, sets_of, percent: int) -> tuple[DataFrame, DataFr
     places allow. All pairs are verified on whole sets, so no link is wrong and no component is missed.
     """
     reps = written(base.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min_by("grams", "id").alias("grams")), "set-reps")
+    freed(base.sparkSession)
     sets, first = rare_prefixes(reps.select(F.explode("grams").alias("g"), F.col("rep").alias("id"), "n"), sets_of, percent)
+    freed(base.sparkSession)
     star = written(verified(first_tries(first), sets, percent), "set-stars")
     joined = components(star)
     placed = first.join(joined, F.col("id") == F.col("node"), "left").select("g", "id", "n", "p", F.coalesce("component", "id").alias("of"))
@@ -45,6 +47,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Texts are read whole. Rows that repeat an id count as one document with several texts. A null id
     links with nothing and has a null component. See :func:`set_links` for the method.
     """
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     base = written(docs.select("id", gram_sets(width, percent, whole=False)("text").alias("s")).select("id", "s.*"), "set-regions")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.shared import written
+from tidewater.llm.shared import freed, written
 from tidewater.llm.shingles import WordHashes, shingle_set, words_of
 
 _SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
@@ -109,7 +109,9 @@ def rare_prefixes(cells: DataFrame, sets_of, percent: int) -> tuple[DataFrame, D
     met = cells.repartitionByRange(parts, "g", "id").sortWithinPartitions("g").mapInArrow(_shared_columns, "id long, n long, c long")
     least = (100 - percent) * percent / 20_000  # half the slack of the smallest partner
     may = written(met.groupBy("id", "n").agg(F.sum("c").alias("c")).where(F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("n") * least))).select("id", "n"), "set-candidates")
+    freed(cells.sparkSession)
     sets = written(sets_of(may), "sets")
+    freed(cells.sparkSession)
     grams = sets.select(F.explode("grams").alias("g"), "id", "n")
     counts = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     slack = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1

@@ -14,19 +14,26 @@ def parquet_stream(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.readStream.schema(schema).parquet(path)
 
 
+def _timed(events: DataFrame, time: str) -> DataFrame:
+    """Streams keep watermarks on timestamps with a zone only; the session's zone is UTC."""
+    if events.isStreaming and isinstance(events.schema[time].dataType, T.TimestampNTZType):
+        return events.withColumn(time, F.col(time).cast("timestamp"))
+    return events
+
+
 def tumbling(events: DataFrame, time: str, width: str, keys: list[str], value: str, late: str = "1 day") -> DataFrame:
     """Counts and sums by window of fixed width; rows later than ``late`` behind the newest are dropped in a stream."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
+    return _timed(events, time).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
 def gap_sessions(events: DataFrame, time: str, gap: str, key: str, late: str = "1 day") -> DataFrame:
     """Sessions by key, closed by a gap."""
-    return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return _timed(events, time).withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def once(events: DataFrame, time: str, keys: list[str], late: str = "1 day") -> DataFrame:
     """Rows whose keys did not come before within the watermark."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+    return _timed(events, time).withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
 def merge_into(path: str, keys: list[str], day: str, schema: T.StructType):
