@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,28 +17,27 @@ from tidewater.llm.shingles import WordHashes, shingle_set, words_of
 _SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
 
 
-@lru_cache(maxsize=1)
-def _words() -> WordHashes:
-    return WordHashes()
-
-
 def gram_sets(width: int, percent: int, whole: bool):
     """A UDF: text -> its set's size, two independent 64-bit signatures, and its n-grams in hash order.
 
     Unless ``whole``, only the n-grams of the set's region are listed: the lowest 1.5 * slack hashes,
     where slack is n - need + 1 and ``need`` the smallest overlap that a link of this set can have.
+    The words met are kept for one task only, so that an idle worker holds none.
     """
 
+    def one(text: str, words: WordHashes) -> tuple:
+        grams = shingle_set(words(words_of(text)), width)
+        n = len(grams)
+        slack = n - -(-percent * n // 100) + 1
+        kept = grams if whole else grams[: -(-3 * slack // 2)].copy()
+        return n, int(grams.sum().astype(np.int64)) if n else 0, int(np.bitwise_xor.reduce(grams * np.uint64(0x9E3779B97F4A7C15) ^ (grams >> np.uint64(29))).astype(np.int64)) if n else 0, kept.view(np.int64)
+
     @F.pandas_udf(_SET)
-    def sets(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            grams = shingle_set(_words()(words_of(text)), width)
-            n = len(grams)
-            slack = n - -(-percent * n // 100) + 1
-            kept = grams if whole else grams[: -(-3 * slack // 2)]
-            rows.append((n, int(grams.sum().astype(np.int64)) if n else 0, int(np.bitwise_xor.reduce(grams * np.uint64(0x9E3779B97F4A7C15) ^ (grams >> np.uint64(29))).astype(np.int64)) if n else 0, kept.view(np.int64)))
-        return pd.DataFrame(rows, columns=["n", "s1", "s2", "grams"])
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
+        for texts in batches:
+            yield pd.DataFrame([one(text, words) for text in texts], columns=["n", "s1", "s2", "grams"])
+            pa.default_memory_pool().release_unused()
 
     return sets
 

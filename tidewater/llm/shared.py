@@ -39,7 +39,7 @@ def freed(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
     """Bounds the bytes of an Arrow batch between Spark and Python in this session, so that a worker's memory does not follow the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 

@@ -21,7 +21,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of the words of texts; the words met are kept, begun anew beyond ``most`` of them."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 60_000):
         self.most, self.numbers, self.hashes = most, Numbering(), np.zeros(0, np.uint64)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
