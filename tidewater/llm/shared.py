@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Used only where the session names no shared folder, as on one machine in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints/tidewater"
 
+#: Spark removes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else a local one."""
@@ -22,11 +25,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
     This cuts the lineage: a lost executor costs the tasks of one stage and never the whole plan, and
-    several consumers of the table do not recompute it. The folder goes when the application ends.
+    several consumers of the table do not recompute it. The folder goes when the application ends. Shuffle
+    files of the write go as soon as the table stands.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
