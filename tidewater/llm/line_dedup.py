@@ -10,9 +10,9 @@ from tidewater.llm.shared import bounded_batches, freed, outputs_over, text_or_e
 
 
 def _lines(docs: DataFrame, bits: int):
-    """(id, doc, line, text) by line, where id keeps the order of documents and lines."""
+    """(id, text) by line, where id keeps the order of documents and lines."""
     split = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    return split.select((F.shiftleft("doc", bits) + F.col("line")).alias("id"), "doc", "line", "text")
+    return split.select((F.shiftleft("doc", bits) + F.col("line")).alias("id"), "text")
 
 
 def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -35,15 +35,14 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if int(size["doc"] or 0).bit_length() + bits > 62:
         raise ValueError("ids and line numbers do not fit into 63 bits")
     lines = _lines(docs, bits)
-    base = written(lines.select("id", "doc", "line", gram_sets(width, percent, whole=False)("text").alias("s")).select("id", "doc", "line", "s.n", "s.s1", "s.s2").where("n > 0"), "line-sets")
+    base = written(gram_sets(lines, width, percent, whole=False).where("n > 0").select("id", "n", "s1", "s2"), "line-sets")
     reps = base.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    regions = lines.select("id", gram_sets(width, percent, whole=False)("text").alias("s")).select("id", "s.*").where("n > 0")
+    regions = gram_sets(lines, width, percent, whole=False).where("n > 0")
     cells = regions.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min_by("grams", "id").alias("grams")).select(F.explode("grams").alias("g"), "id", "n")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        near = docs.join(ids.select(F.shiftright("id", bits).alias("doc")).distinct(), "doc", "left_semi")
-        wanted = _lines(near, bits).join(ids.select("id"), "id", "left_semi")
-        return wanted.select("id", gram_sets(width, percent, whole=True)("text").alias("s")).select("id", "s.n", "s.grams").dropDuplicates(["id", "n"])
+        wanted = _lines(docs, bits).join(ids.select("id"), "id", "left_semi")
+        return gram_sets(wanted, width, percent, whole=True).select("id", "n", "grams").dropDuplicates(["id", "n"])
 
     sets, first = rare_prefixes(cells, sets_of, percent)
     freed(df.sparkSession)
@@ -53,7 +52,8 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = early.join(later, "g").where((F.col("a") < F.col("b")) & may_link(percent)).select("a", "b").distinct()
     matched = written(star.unionByName(verified(pairs, sets, percent)).select(F.col("b").alias("of")).distinct(), "line-matches")
     found = base.join(reps, ["n", "s1", "s2"]).join(matched, F.col("rep") == F.col("of"), "left")
-    return found.where("id <> rep or of is not null").select("doc", "line").distinct()
+    place = found.where("id <> rep or of is not null").select(F.shiftright("id", bits).alias("doc"), "id")
+    return place.select("doc", (F.col("id") - F.shiftleft("doc", bits)).cast("int").alias("line")).distinct()
 
 
 def without_later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

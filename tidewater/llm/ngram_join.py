@@ -49,11 +49,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    base = written(docs.select("id", gram_sets(width, percent, whole=False)("text").alias("s")).select("id", "s.*"), "set-regions")
+    base = written(gram_sets(docs, width, percent, whole=False), "set-regions")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = docs.join(ids, "id", "left_semi")
-        return wanted.select("id", gram_sets(width, percent, whole=True)("text").alias("s")).select("id", "s.n", "s.grams").where("n > 0").dropDuplicates(["id", "n"])
+        return gram_sets(docs.join(ids, "id", "left_semi"), width, percent, whole=True).where("n > 0").select("id", "n", "grams").dropDuplicates(["id", "n"])
 
     reps, _, found = set_links(base, sets_of, percent)
     keyed = base.drop("grams").join(reps, ["n", "s1", "s2"], "left")

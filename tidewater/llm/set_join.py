@@ -5,41 +5,49 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidewater.llm.ragged import row_starts, slices
 from tidewater.llm.shared import freed, written
-from tidewater.llm.shingles import WordHashes, shingle_set, words_of
+from tidewater.llm.shingles import WordHashes, shingle_sets
 
-_SET = T.StructType([T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
 
-
-def gram_sets(width: int, percent: int, whole: bool):
-    """A UDF: text -> its set's size, two independent 64-bit signatures, and its n-grams in hash order.
+def gram_sets(rows: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
+    """(id, text) -> (id, n, s1, s2, grams): the set's size, two independent 64-bit signatures, and its n-grams in hash order.
 
     Unless ``whole``, only the n-grams of the set's region are listed: the lowest 1.5 * slack hashes,
     where slack is n - need + 1 and ``need`` the smallest overlap that a link of this set can have.
-    The words met are kept for one task only, so that an idle worker holds none.
+    The sets of a slice of texts are made together. The words met are kept for one task only.
     """
 
-    def one(text: str, words: WordHashes) -> tuple:
-        grams = shingle_set(words(words_of(text)), width)
-        n = len(grams)
-        slack = n - -(-percent * n // 100) + 1
-        kept = grams if whole else grams[: -(-3 * slack // 2)].copy()
-        return n, int(grams.sum().astype(np.int64)) if n else 0, int(np.bitwise_xor.reduce(grams * np.uint64(0x9E3779B97F4A7C15) ^ (grams >> np.uint64(29))).astype(np.int64)) if n else 0, kept.view(np.int64)
-
-    @F.pandas_udf(_SET)
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def listed(ids: pa.Array, texts: list[str], words: WordHashes) -> pa.RecordBatch:
+        n, grams = shingle_sets(texts, words, width)
+        starts, some = row_starts(n), n > 0
+        s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+        if some.any():
+            s1[some] = np.add.reduceat(grams, starts[:-1][some])
+            s2[some] = np.bitwise_xor.reduceat(grams * np.uint64(0x9E3779B97F4A7C15) ^ (grams >> np.uint64(29)), starts[:-1][some])
+        if not whole:
+            slack = n + (-percent * n // 100) + 1
+            region = np.minimum(n, (3 * slack + 1) // 2)
+            place = np.arange(len(grams)) - np.repeat(starts[:-1], n)
+            grams, starts = grams[place < np.repeat(region, n)], row_starts(region)
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(grams.view(np.int64)))], names=["id", "n", "s1", "s2", "grams"]
+        )
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for texts in batches:
-            yield pd.DataFrame([one(text, words) for text in texts], columns=["n", "s1", "s2", "grams"])
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column(1).to_pylist(), 1_000_000):
+                yield listed(batch.column(0).slice(at, len(texts)), texts, words)
+                at += len(texts)
             pa.default_memory_pool().release_unused()
 
-    return sets
+    return rows.select("id", "text").mapInArrow(sets, "id long, n long, s1 long, s2 long, grams array<long>")
 
 
 def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

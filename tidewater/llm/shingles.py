@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 
-from tidewater.llm.ragged import Numbering
+from tidewater.llm.ragged import Numbering, row_starts
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xBF58476D1CE4E5B9)
@@ -44,15 +46,23 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def shingle_set(words: np.ndarray, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of all ``width``-word shingles; of fewer words the whole sequence is one; of none, empty."""
-    if not len(words):
-        return words
-    if len(words) < width:
-        width = len(words)
-    count = len(words) - width + 1
-    hashed = np.full(count, np.uint64(width))
+def shingle_sets(texts: list[str], words: WordHashes, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each text's set, and the sorted distinct hashes of its ``width``-word shingles, text after text.
+
+    Of fewer words the whole sequence is one shingle; of none the set is empty.
+    """
+    split = [words_of(t) for t in texts]
+    count = np.array([len(w) for w in split], np.int64)
+    hashed = words(list(chain.from_iterable(split)))
+    del split
+    shingles = np.where(count >= width, count - width + 1, np.minimum(count, 1))
+    owner = np.repeat(np.arange(len(texts)), shingles)
+    at = np.arange(len(owner)) + (row_starts(count)[:-1] - row_starts(shingles)[:-1])[owner]
+    span = np.minimum(count, width)[owner]
+    grams = span.astype(np.uint64)
     for k in range(width):
-        hashed = mixed(hashed * _MIX + words[k : k + count])
-    hashed.sort()
-    return hashed[np.append(True, hashed[1:] != hashed[:-1])]
+        longer = mixed(grams * _MIX + hashed[np.minimum(at + k, len(hashed) - 1)])
+        grams = np.where(span > k, longer, grams)
+    grams = grams[np.lexsort((grams, owner))]
+    new = np.append(True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1]))[: len(grams)]
+    return np.bincount(owner[new], minlength=len(texts)), grams[new]
