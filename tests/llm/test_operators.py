@@ -225,6 +225,21 @@ def test_ngram_join_chain_of_near_copies(spark):
     assert got == groups_of(rows)
 
 
+def test_ngram_join_family_without_a_shared_link(spark):
+    """Copies of one text with more edits the smaller their id: the smallest ids link with few, and some with none."""
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), (119 - i) % 5 + (i < 60) * 2):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(frame).collect()}
+    assert got == groups_of(rows)
+
+
 def test_byte_bpe_equals_library_and_round_trips(odd, none, odd_rows):
     lib = library()
     got = {(r.doc_id, r.text): (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.round_trip_digests(odd, RANKS, public_tokenizers.PATTERN).collect()}

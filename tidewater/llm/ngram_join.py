@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
-from tidewater.llm.set_join import first_tries, gram_sets, may_link, rare_prefixes, verified
+from tidewater.llm.set_join import as_smaller, central_tries, gram_sets, may_link, open_rows, pairs_ahead, rare_prefixes, verified
 from tidewater.llm.shared import bounded_batches, freed, outputs_over, text_or_empty, written
 
 
@@ -20,23 +20,32 @@ def set_links(base: DataFrame, sets_of, percent: int) -> tuple[DataFrame, DataFr
     Rows of equal sets become one: the smallest id stands for them. The document-by-n-gram incidence is
     multiplied out in blocks of columns (:func:`rare_prefixes`), adding up overlaps by document and
     discarding documents, then columns, then pairs below the bounds that sizes give. Each document is
-    checked against the smallest id that it meets most often; then only columns whose documents are not
-    yet in one component are multiplied out, only between components, and only for pairs that sizes and
-    places allow. All pairs are verified on whole sets, so no link is wrong and no component is missed.
+    checked against one leader that it meets most often (:func:`central_tries`), and again with other
+    leaders while the pairs ahead outnumber the incidence rows and fall by a tenth at least; then only
+    columns whose documents are not yet in one component are multiplied out, only between components,
+    and only for pairs that sizes and places allow. All pairs are verified on whole sets, so no link is
+    wrong and no component is missed.
     """
     reps = written(base.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min_by("grams", "id").alias("grams")), "set-reps")
     freed(base.sparkSession)
     sets, first = rare_prefixes(reps.select(F.explode("grams").alias("g"), F.col("rep").alias("id"), "n"), sets_of, percent)
     freed(base.sparkSession)
-    star = written(verified(first_tries(first), sets, percent), "set-stars")
-    joined = components(star)
-    placed = first.join(joined, F.col("id") == F.col("node"), "left").select("g", "id", "n", "p", F.coalesce("component", "id").alias("of"))
-    open_columns = placed.groupBy("g").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("g")
-    rest = written(placed.join(open_columns, "g", "left_semi"), "set-open")
-    one = rest.select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("of").alias("fa"))
+    links = written(verified(central_tries(first.withColumn("of", F.col("id")), 0), sets, percent), "set-stars")
+    rest = written(open_rows(first, components(links)), "set-open")
+    rows, ahead = pairs_ahead(rest, percent)
+    turn = 0
+    while ahead > rows:
+        turn, before = turn + 1, ahead
+        links = written(links.unionByName(verified(central_tries(rest, turn), sets, percent)), "set-stars")
+        rest = written(open_rows(first, components(links)), "set-open")
+        rows, ahead = pairs_ahead(rest, percent)
+        if 10 * ahead > 9 * before:
+            break
+    one = rest.where(as_smaller(percent)).select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("of").alias("fa"))
     two = rest.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("of").alias("fb"))
-    pairs = one.join(two, "g").where((F.col("a") < F.col("b")) & (F.col("fa") != F.col("fb")) & may_link(percent)).select("a", "b").distinct()
-    links = written(star.unionByName(verified(pairs, sets, percent)), "set-links")
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    pairs = one.join(two, "g").where(smaller & (F.col("fa") != F.col("fb")) & may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = written(links.unionByName(verified(pairs, sets, percent)), "set-links")
     return reps.drop("grams"), links, components(links)
 
 

@@ -101,7 +101,7 @@ def may_link(percent: int) -> Column:
 
 
 def rare_prefixes(cells: DataFrame, sets_of, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Incidence (g, id, n) of regions -> whole sets (id, n, grams) and prefixes (g, id, n, p) of those that may link.
+    """Incidence (g, id, n) of regions -> whole sets (id, n, grams) and prefixes (g, id, n, p, alone) of those that may link.
 
     Incidence rows are range-sorted by n-gram, so that a block is a range of columns and a hot column runs
     over several blocks; by document the number of columns shared with any other is added up over blocks.
@@ -109,7 +109,7 @@ def rare_prefixes(cells: DataFrame, sets_of, percent: int) -> tuple[DataFrame, D
     0.1 n or more at 80 percent, and the other's size is within the similarity: sets with fewer than
     0.08 n shared columns are in no link and leave. For the rest ``sets_of`` reads the whole sets; columns
     are ordered by their count of sets, then by hash, and the first slack columns of a set, of which p is
-    the place, must meet those of each set that it links with. Columns of one set only meet nothing.
+    the place, must meet those of each set that it links with. Columns of one set only, ``alone`` of each set, meet nothing.
     """
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = cells.repartitionByRange(parts, "g", "id").sortWithinPartitions("g").mapInArrow(_shared_columns, "id long, n long, c long")
@@ -126,7 +126,7 @@ def rare_prefixes(cells: DataFrame, sets_of, percent: int) -> tuple[DataFrame, D
         common.withColumn("alone", F.col("n") - F.size("common"))
         .where(slack > F.col("alone"))
         .select("id", "n", "alone", F.posexplode(F.slice("common", F.lit(1), (slack - F.col("alone")).cast("int"))).alias("at", "cell"))
-        .select(F.col("cell.g").alias("g"), "id", "n", (F.col("alone") + F.col("at")).alias("p"))
+        .select(F.col("cell.g").alias("g"), "id", "n", (F.col("alone") + F.col("at")).alias("p"), "alone")
     )
     return sets, written(prefix, "set-prefixes")
 
@@ -136,3 +136,36 @@ def first_tries(prefixes: DataFrame) -> DataFrame:
     leaders = prefixes.groupBy("g").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1")
     tries = prefixes.join(leaders, "g").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("c"))
     return tries.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def open_rows(prefixes: DataFrame, placed: DataFrame) -> DataFrame:
+    """Prefix rows with ``of``, the component of their set in ``placed`` (node, component), of columns that meet more than one component."""
+    rows = prefixes.join(placed, F.col("id") == F.col("node"), "left").select("g", "id", "n", "p", "alone", F.coalesce("component", "id").alias("of"))
+    mixed = rows.groupBy("g").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("g")
+    return rows.join(mixed, "g", "left_semi")
+
+
+def central_tries(rows: DataFrame, turn: int) -> DataFrame:
+    """Each set of ``rows`` with the leader of another component that it meets in most columns: pairs (a, b), a < b, at most one for a set.
+
+    A column's leader is at turn 0 the set with the smallest share of n-grams of its own, which in a
+    group of edited copies is the one nearest to their source; later it is another one at each turn.
+    """
+    rank = F.struct(F.col("alone") / F.col("n"), "id") if turn == 0 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
+    leaders = rows.groupBy("g").agg(F.min_by(F.struct(F.col("id").alias("leader"), F.col("of").alias("led")), rank).alias("by")).select("g", "by.*")
+    tries = rows.join(leaders, "g").where("of <> led").groupBy("id", "leader").agg(F.count("*").alias("c"))
+    best = tries.groupBy("id").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
+    return best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+
+def as_smaller(percent: int) -> Column:
+    """Places of a column (n, p) at which a set can still overlap enough with one that is no smaller."""
+    return (100 + percent) * (F.col("n") - F.col("p")) >= 2 * percent * F.col("n")
+
+
+def pairs_ahead(rows: DataFrame, percent: int) -> tuple[int, int]:
+    """How many rows there are, and about how many pairs of them, counted by column, a join between components would make."""
+    near = rows.groupBy("g", "of").agg(F.count("*").alias("rows"), F.sum(as_smaller(percent).cast("double")).alias("k"))
+    columns = near.groupBy("g").agg(F.sum("rows").alias("rows"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
+    found = columns.agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs")).first()
+    return int(found["rows"] or 0), int(found["pairs"] or 0)
