@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.bindings import BARS, FILINGS, REF, SESSIONS, bars, filings, ref, sessions
 from tidewater.operators import linkage, periods, prices
 from tidewater.sources.files import table
+from tidewater.spec import LIMITS
 
 
 def _b(spark, folder):
@@ -94,6 +95,44 @@ def basket_positions(spark, folder):
     return kept.select("person", (F.col("number") + 1).alias("entry_no"), (F.col("number") + 64).alias("exit_no"))
 
 
+def high_52w_distance_all(spark, folder):
+    """The default window: 250 bars, null before 120."""
+    out = prices.rolling_high(_b(spark, folder), "security", "day", "close")
+    return out.select("security", "day", F.round("high_close", 4).alias("high_close"), F.round("from_high_pct", 4).alias("from_high_pct"))
+
+
+def _returns_all(spark, folder):
+    """Every filing of both sides at its own security's prices, over the default horizons."""
+    events = filings(spark, folder).select("order_id", "line", "security", "person", F.col("day_to").alias("day"), F.concat_ws(":", "side", (F.col("person") % 5).cast("string")).alias("signal"))
+    return prices.forward_returns(events, _b(spark, folder), sessions(spark, folder), "security", "day", "close")
+
+
+def forward_returns_all(spark, folder):
+    return _returns_all(spark, folder).select("order_id", "line", "security", "day", *[F.round(c, 4).alias(c) for c in ("entry", *(f"r_{n}" for n in LIMITS.horizons))])
+
+
+def track_summary_all(spark, folder):
+    out = prices.return_summary(_returns_all(spark, folder), "signal")
+    return out.select("signal", "horizon", "cases", *[F.round(c, 3).alias(c) for c in ("mean", "median", "up_share", "half_width")])
+
+
+def evidence_verdict_all(spark, folder):
+    return prices.verdict(prices.return_summary(_returns_all(spark, folder), "signal")).select("signal", "horizon", "verdict")
+
+
+def _events_numbered_all(spark, folder):
+    return prices.sessions_upto(filings(spark, folder).select("person", F.col("day_to").alias("day")).distinct(), sessions(spark, folder), "day", "number")
+
+
+def spacing_21_sessions_all(spark, folder):
+    return prices.spaced(_events_numbered_all(spark, folder), ["person"], "number")
+
+
+def basket_positions_all(spark, folder):
+    kept = prices.spaced(_events_numbered_all(spark, folder), ["person"], "number", LIMITS.hold + 1)
+    return kept.select("person", (F.col("number") + 1).alias("entry_no"), (F.col("number") + 1 + LIMITS.hold).alias("exit_no"))
+
+
 def average_daily_value(spark, folder):
     return prices.average_daily_value(_b(spark, folder), "security", "day", "value").select("security", F.round("adv", 6).alias("adv"), "days")
 
@@ -128,7 +167,7 @@ def price_summary(spark, folder):
     return ranked.withColumn("place", place).select("security", "last_day", "close", "hi", "lo", "bars", F.when(F.col("place") <= 20, "large").when(F.col("place") <= 100, "mid").otherwise("small").alias("bucket"))
 
 
-QUERIES = {f.__name__: f for f in (daily_bars, sessions_after_lateness, implied_factors, adjusted_close, price_jumps, high_52w_distance, forward_returns, track_summary, evidence_verdict, spacing_21_sessions, basket_positions, average_daily_value, interval_day_range, price_check_ladder, holding_check, price_summary)}
+QUERIES = {f.__name__: f for f in (daily_bars, sessions_after_lateness, implied_factors, adjusted_close, price_jumps, high_52w_distance, forward_returns, track_summary, evidence_verdict, spacing_21_sessions, basket_positions, high_52w_distance_all, forward_returns_all, track_summary_all, evidence_verdict_all, spacing_21_sessions_all, basket_positions_all, average_daily_value, interval_day_range, price_check_ladder, holding_check, price_summary)}
 
 _FACTORS = f"""{_BARS}, p AS (SELECT *, lag(close) OVER w AS prev_close, day - lag(day) OVER w AS gap_days FROM b WINDOW w AS (PARTITION BY security ORDER BY day)),
     k AS (SELECT *, CASE WHEN prev_close > 0 THEN close / prev_close END AS factor FROM p)"""
@@ -142,6 +181,15 @@ _SUMMARY = _RETURNS + """, l AS (SELECT signal, 5 AS horizon, r_5 AS r FROM r WH
     g AS (SELECT signal, horizon, count(*) AS cases, avg(r) AS mean, median(r) AS median, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS up_share, 1.645 * stddev_samp(r) / sqrt(count(*)) AS half_width FROM l GROUP BY 1, 2)"""
 _SPACED = f"""{FILINGS}, {SESSIONS}, e AS (SELECT DISTINCT person, session_no AS number FROM f JOIN s ON s.day = day_to WHERE quantity >= 40),
     k AS (SELECT person, min(number) AS number FROM e GROUP BY 1 UNION ALL SELECT k.person, (SELECT min(number) FROM e WHERE e.person = k.person AND e.number >= k.number + {{0}}) FROM k WHERE (SELECT min(number) FROM e WHERE e.person = k.person AND e.number >= k.number + {{0}}) IS NOT NULL)"""
+_RETURNS_ALL = f"""{FILINGS}, {_BARS}, {SESSIONS}, m AS (SELECT security, close, session_no AS no FROM b JOIN s ON s.day = b.day),
+    e AS (SELECT order_id, line, security, f.day_to AS day, side || ':' || (person % 5) AS signal, session_no + 1 AS entry_no FROM f JOIN s ON s.day = f.day_to),
+    r AS (SELECT e.*, m0.close AS entry, {", ".join(f"(m{n}.close / m0.close - 1) * 100 - 0.25::DOUBLE AS r_{n}" for n in LIMITS.horizons)} FROM e
+        LEFT JOIN m m0 ON m0.security = e.security AND m0.no = entry_no {" ".join(f"LEFT JOIN m m{n} ON m{n}.security = e.security AND m{n}.no = entry_no + {n}" for n in LIMITS.horizons)})"""
+_SUMMARY_ALL = _RETURNS_ALL + f""", l AS ({" UNION ALL ".join(f"SELECT signal, {n} AS horizon, r_{n} AS r FROM r WHERE r_{n} IS NOT NULL" for n in LIMITS.horizons)}),
+    g AS (SELECT signal, horizon, count(*) AS cases, avg(r) AS mean, median(r) AS median, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS up_share, 1.645 * stddev_samp(r) / sqrt(count(*)) AS half_width FROM l GROUP BY 1, 2)"""
+_SPACED_ALL = f"""{FILINGS}, {SESSIONS}, e AS (SELECT DISTINCT person, session_no AS number FROM f JOIN s ON s.day = day_to),
+    x AS MATERIALIZED (SELECT person, number, min(number) OVER (PARTITION BY person ORDER BY number RANGE BETWEEN {{0}} FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM e),
+    k AS (SELECT person, min(number) AS number FROM e GROUP BY 1 UNION ALL SELECT k.person, x.following FROM k JOIN x ON x.person = k.person AND x.number = k.number WHERE x.following IS NOT NULL)"""
 _IN = "{0} BETWEEN low * 0.98::DOUBLE AND high * 1.02::DOUBLE"
 _POWER = " OR ".join(_IN.format(f"p * 1e{k}") + " OR " + _IN.format(f"p / 1e{k}") for k in (2, 3, 5, 6, 7))
 
@@ -162,6 +210,13 @@ ORACLE_SQL = {
     "evidence_verdict": f"WITH {_SUMMARY} SELECT signal, horizon, CASE WHEN cases < 30 THEN 'few' WHEN mean - half_width > 0 THEN 'positive' WHEN mean + half_width < 0 THEN 'drag' ELSE 'no_edge' END AS verdict FROM g",
     "spacing_21_sessions": f"WITH RECURSIVE {_SPACED.format(21)} SELECT person, number FROM k",
     "basket_positions": f"WITH RECURSIVE {_SPACED.format(64)} SELECT person, number + 1 AS entry_no, number + 64 AS exit_no FROM k",
+    "high_52w_distance_all": f"""WITH {_BARS}, x AS (SELECT *, CASE WHEN count(*) OVER w >= 120 THEN max(close) OVER w END AS h FROM b WINDOW w AS (PARTITION BY security ORDER BY day ROWS BETWEEN 249 PRECEDING AND CURRENT ROW))
+        SELECT security, day, round(h, 4) AS high_close, round((close / h - 1) * 100, 4) AS from_high_pct FROM x""",
+    "forward_returns_all": f"WITH {_RETURNS_ALL} SELECT order_id, line, security, day, round(entry, 4) AS entry, {', '.join(f'round(r_{n}, 4) AS r_{n}' for n in LIMITS.horizons)} FROM r",
+    "track_summary_all": f"WITH {_SUMMARY_ALL} SELECT signal, horizon, cases, round(mean, 3) AS mean, round(median, 3) AS median, round(up_share, 3) AS up_share, round(half_width, 3) AS half_width FROM g",
+    "evidence_verdict_all": f"WITH {_SUMMARY_ALL} SELECT signal, horizon, CASE WHEN cases < 30 THEN 'few' WHEN mean - half_width > 0 THEN 'positive' WHEN mean + half_width < 0 THEN 'drag' ELSE 'no_edge' END AS verdict FROM g",
+    "spacing_21_sessions_all": f"WITH RECURSIVE {_SPACED_ALL.format(21)} SELECT person, number FROM k",
+    "basket_positions_all": f"WITH RECURSIVE {_SPACED_ALL.format(64)} SELECT person, number + 1 AS entry_no, number + 64 AS exit_no FROM k",
     "average_daily_value": f"WITH {_BARS}, r AS (SELECT *, row_number() OVER (PARTITION BY security ORDER BY day DESC) AS n FROM b) SELECT security, round(avg(value), 6) AS adv, count(*) AS days FROM r WHERE n <= 20 GROUP BY 1",
     "interval_day_range": f"""WITH {FILINGS}, {_BARS}, g AS (SELECT DISTINCT order_id, line, security, person, value, day_from, day_to FROM f),
         j AS (SELECT order_id, line, g.security, person, g.value, day_from, day_to, min(low) AS low, count(b.day) AS n FROM g LEFT JOIN b ON b.security = g.security AND b.day BETWEEN day_from AND day_to AND day_to - day_from BETWEEN 0 AND 31 GROUP BY 1, 2, 3, 4, 5, 6, 7)
