@@ -57,3 +57,22 @@ def test_high_of_the_default_window(spark, trades):
     got = {r.day: r.high_close for r in queries.QUERIES["high_52w_distance_all"](spark, folder).where("security = 1").collect()}
     for n in range(140):
         assert got[day(n).date()] == (None if n < 119 else pytest.approx(max(close[1, i] for i in range(n + 1)), abs=1e-3))
+
+
+def test_deals_in_long_spans_of_their_own_customer(spark, tmp_path):
+    """Customer 1 has a long span that holds a bare order; customer 201 (the same by % 200) has none."""
+    orders = [(1, 1, day(0)), (2, 1, day(100)), (3, 1, day(400)), (4, 201, day(100))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp").selectExpr("*", "1.0D as o_totalprice", "'1-URGENT' as o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    items = spark.createDataFrame([(1, day(300)), (3, day(390))], "l_orderkey long, l_shipdate timestamp")
+    items.selectExpr("*", "1 as l_linenumber", "1L as l_partkey", "1L as l_suppkey", "'N' as l_returnflag", "1.0D as l_quantity", "1.0D as l_extendedprice", "0.0D as l_tax", "0.0D as l_discount", "'F' as l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = queries.QUERIES["deals_also_filed_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, False, 1), (1, True, 2), (201, False, 1)]
+
+
+def test_exists_in_span_equals_brute_force(spark):
+    """Nested, touching, long and reversed spans, and nulls."""
+    spans = [("a", 0, 50), ("a", 5, 9), ("a", 50, 60), ("a", 70, 65), ("b", 3, 3), ("b", None, 9), (None, 0, 99), ("c", 1, 400), ("c", 2, 3)]
+    days = [(k, d) for k in ("a", "b", "c", "d", None) for d in (0, 3, 7, 51, 60, 61, 67, 300, 401, None)]
+    out = linkage.exists_in_span(spark.createDataFrame(days, "k string, d int"), spark.createDataFrame(spans, "k string, lo int, hi int"), ["k"], "d", "lo", "hi")
+    want = {(k, d): any(k is not None and k == s and d is not None and lo is not None and lo <= d <= hi for s, lo, hi in spans) for k, d in days}
+    assert {(r.k, r.d): r.in_span for r in out.collect()} == want

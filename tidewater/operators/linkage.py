@@ -83,14 +83,18 @@ def span_stats(spans: DataFrame, daily: DataFrame, key: str, row_id: str, first:
 
 
 def exists_in_span(days: DataFrame, spans: DataFrame, keys: list[str], day: str, first: str, last: str) -> DataFrame:
-    """Every row of ``days`` with ``in_span``: a span of its keys holds its day."""
-    other = spans.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col(first).alias("s_first"), F.col(last).alias("s_last"))
-    numbered = days.withColumn("span_row", F.xxhash64(*[F.col(k) for k in keys], F.col(day)))
-    keyed = numbered.select(*keys, day, "span_row").distinct()
-    on = [F.col(k) == F.col(f"s_{k}") for k in keys] + [F.col(day).between(F.col("s_first"), F.col("s_last"))]
-    hits = keyed.join(other, on, "left_semi").select(*[F.col(k).alias(f"h_{k}") for k in keys], F.col(day).alias("h_day"), F.lit(True).alias("hit"))
-    same = [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys] + [F.col(day) == F.col("h_day")]
-    return days.join(hits, same, "left").select(*days.columns, F.coalesce("hit", F.lit(False)).alias("in_span"))
+    """Every row of ``days`` with ``in_span``: a span of its keys holds its day.
+
+    A key's spans are merged into disjoint ones, of which only the last that begins on or before a day
+    can hold it: an as-of lookup, whatever the spans' lengths.
+    """
+    w = Window.partitionBy(*keys).orderBy(first, last)
+    sound = spans.select(*keys, first, last).where(F.col(first) <= F.col(last))
+    reached = sound.withColumn("span_upto", F.max(last).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    opened = reached.withColumn("span_no", F.sum(F.when(F.col("span_upto") >= F.col(first), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = opened.groupBy(*keys, "span_no").agg(F.min(first).alias("span_first"), F.max(last).alias("span_last"))
+    found = asof_join(days, merged, keys, day, "span_first", ["span_last"])
+    return found.select(*days.columns, F.coalesce(F.col("span_last") >= F.col(day), F.lit(False)).alias("in_span"))
 
 
 def unique_prefix(names: DataFrame, master: DataFrame, name: str, full: str, code: str, least: int = 4) -> DataFrame:

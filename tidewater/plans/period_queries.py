@@ -210,6 +210,13 @@ def deals_also_filed(spark, folder):
     return out.groupBy("who", "in_span").agg(F.count("*").alias("n"))
 
 
+def deals_also_filed_all(spark, folder):
+    """Orders against the spans of any length of their own customer."""
+    f = filings(spark, folder).select(F.col("second").alias("who"), "day_from", "day_to")
+    out = linkage.exists_in_span(_orders(spark, folder), f, ["who"], "day", "day_from", "day_to")
+    return out.groupBy("who", "in_span").agg(F.count("*").alias("n"))
+
+
 def unmatched_prefix_resolve(spark, folder):
     s = table(spark, folder, "supplier").select(F.lower("s_name").alias("full"), F.col("s_suppkey").alias("code"))
     names = s.select(F.expr("substring(full, 1, length(full) - 1)").alias("name")).unionByName(s.select(F.col("full").alias("name")))
@@ -258,7 +265,7 @@ def _first():
     return Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey", "l_tax", "l_returnflag")
 
 
-QUERIES = {f.__name__: f for f in (period_changes, stock_months, month_prices, holders_latest_vs_prev, latest_n_dates, derive_quarters, growth_yoy, weekly_bins, month_to_date, daily_net_calendar, sector_pivot, unbroken_since, session_window_30m, window_tumbling, session_window_stream, dedup_within_window, crossings, fiscal_quarters, archive_merge_upsert, archive_backfill, possibly_withdrawn, pending_retries, due_next, asof_market_cap, asof_tolerance, asof_strict, asof_forward, asof_nearest, matched_pairs, pair_copies_ranked, stage_link_status, deals_also_filed, unmatched_prefix_resolve, resolve_cascade, unit_checks, coverage_status, add_up, data_health, differing_fields)}
+QUERIES = {f.__name__: f for f in (period_changes, stock_months, month_prices, holders_latest_vs_prev, latest_n_dates, derive_quarters, growth_yoy, weekly_bins, month_to_date, daily_net_calendar, sector_pivot, unbroken_since, session_window_30m, window_tumbling, session_window_stream, dedup_within_window, crossings, fiscal_quarters, archive_merge_upsert, archive_backfill, possibly_withdrawn, pending_retries, due_next, asof_market_cap, asof_tolerance, asof_strict, asof_forward, asof_nearest, matched_pairs, pair_copies_ranked, stage_link_status, deals_also_filed, deals_also_filed_all, unmatched_prefix_resolve, resolve_cascade, unit_checks, coverage_status, add_up, data_health, differing_fields)}
 
 _O = "o AS (SELECT o_orderkey AS id, o_custkey AS who, CAST(o_orderdate AS DATE) AS day, round(o_totalprice, 2) AS amount, o_orderpriority AS priority FROM orders)"
 _DR = f"""{DEALS}, t AS (SELECT min(event_type) AS lo FROM d), r AS (SELECT client, day, max(round(quantity, 2)) AS price FROM d WHERE event_type = (SELECT lo FROM t) GROUP BY 1, 2),
@@ -325,6 +332,8 @@ ORACLE_SQL = {
         SELECT later_id, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS status, CASE WHEN n = 1 THEN e END AS linked FROM g""",
     "deals_also_filed": f"""WITH {FILINGS}, {_O}, s AS (SELECT DISTINCT second % 200 AS who, day_from, day_to FROM f WHERE day_to >= day_from AND day_to - day_from < 60), x AS (SELECT who % 200 AS who, day FROM o)
         SELECT who, EXISTS (SELECT 1 FROM s WHERE s.who = x.who AND x.day BETWEEN day_from AND day_to) AS in_span, count(*) AS n FROM x GROUP BY 1, 2""",
+    "deals_also_filed_all": f"""WITH {FILINGS}, {_O}
+        SELECT who, EXISTS (SELECT 1 FROM f WHERE f.second = o.who AND o.day BETWEEN day_from AND day_to) AS in_span, count(*) AS n FROM o GROUP BY 1, 2""",
     "unmatched_prefix_resolve": """WITH s AS (SELECT lower(s_name) AS fname, s_suppkey AS code FROM supplier), n AS (SELECT substr(fname, 1, length(fname) - 1) AS name FROM s UNION SELECT fname FROM s)
         SELECT name, min(code) AS code FROM n JOIN s ON length(name) >= 4 AND length(fname) >= 4 AND (starts_with(name, fname) OR starts_with(fname, name)) GROUP BY 1 HAVING count(DISTINCT code) = 1""",
     "resolve_cascade": f"""WITH {_O}, a AS (SELECT s_suppkey AS k, min(s_name) AS v FROM supplier WHERE s_suppkey <= 50 GROUP BY 1 HAVING count(DISTINCT s_name) = 1), b AS (SELECT s_nationkey AS k, min(s_name) AS v FROM supplier GROUP BY 1 HAVING count(DISTINCT s_name) = 1)
