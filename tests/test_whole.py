@@ -76,3 +76,12 @@ def test_exists_in_span_equals_brute_force(spark):
     out = linkage.exists_in_span(spark.createDataFrame(days, "k string, d int"), spark.createDataFrame(spans, "k string, lo int, hi int"), ["k"], "d", "lo", "hi")
     want = {(k, d): any(k is not None and k == s and d is not None and lo is not None and lo <= d <= hi for s, lo, hi in spans) for k, d in days}
     assert {(r.k, r.d): r.in_span for r in out.collect()} == want
+
+
+def test_word_overlap_of_every_pair_of_a_band(spark, tmp_path):
+    """Copies whose openings differ, a third copy, a block's edge, another source, beyond the band, and no text."""
+    body = " ".join(f"w{i}" for i in range(40))
+    docs = [(190, "s", f"A{body}"), (195, "s", f"B{body}"), (205, "s", f"A{body}"), (206, "t", f"A{body}"), (391, "s", f"C{body}"), (200, "s", "quite other words"), (201, "s", None), (202, "s", " ")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.a, r.b): r.overlap for r in queries.QUERIES["doc_word_overlap_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(190, 195): 0.975, (190, 205): 1.0, (195, 205): 0.975, (195, 391): 0.975, (205, 391): 0.975}

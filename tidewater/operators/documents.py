@@ -38,6 +38,22 @@ def word_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.least(F.size(x), F.size(y)), F.lit(1))
 
 
+def overlap_pairs(docs: DataFrame, doc: str, key: str, order: str, text: str, band: int, least: float) -> DataFrame:
+    """(a, b, overlap): every pair of a key at most ``band`` apart in ``order`` whose word overlap is at least ``least``.
+
+    Orders fall into blocks of ``band``, and a row meets its own block and the next: an equi join. Empty texts pair with nothing.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+    rows = docs.select(F.col(doc).alias("id"), F.col(key).alias("k"), F.col(order).alias("at"), words.alias("words")).where(F.size("words") > 0)
+    block = F.floor(F.col("at") / band)
+    left = rows.withColumn("block", F.explode(F.array(block, block + 1))).withColumnsRenamed({"id": "a", "at": "a_at", "words": "x"})
+    right = rows.withColumn("block", block).withColumnsRenamed({"id": "b", "at": "b_at", "words": "y"})
+    after = (F.col("b_at") > F.col("a_at")) | ((F.col("b_at") == F.col("a_at")) & (F.col("b") > F.col("a")))
+    near = left.join(right, ["k", "block"]).where(after & (F.col("b_at") - F.col("a_at") <= band))
+    share = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
+    return near.select("a", "b", share.alias("overlap")).where(F.col("overlap") >= least)
+
+
 def contains_quote(text: Column, quote: Column) -> Column:
     """``exact`` if the quote stands in the text, ``loose`` if it does without case and spacing, else ``no``."""
     def plain(x: Column) -> Column:

@@ -15,6 +15,10 @@ from tidewater.sources.files import table
 PART_RULES = [("promo", "promo"), ("standard", "standard|small"), ("metal", "steel|brass|copper|tin|nickel"), ("brushed", "brushed|polished")]
 
 
+#: The reference's least word share, and a band of ids that stands for its hours.
+SAME_WORDS, ID_BAND = 0.4, 200
+
+
 def entity_key(spark, folder):
     s = table(spark, folder, "supplier").select("s_suppkey", F.concat(F.lit("The "), "s_name", F.lit(" &amp; Co. Ltd")).alias("name"))
     return s.select("s_suppkey", names.entity_key(F.col("name")).alias("key"), names.display_name(F.upper("name")).alias("display"))
@@ -80,6 +84,12 @@ def doc_word_overlap(spark, folder):
     return d.withColumn("before", F.lag("text").over(w)).where("before is not null").select("doc_id", F.round(documents.word_overlap(F.col("text"), F.col("before")), 6).alias("overlap"))
 
 
+def doc_word_overlap_pairs(spark, folder):
+    """The reference's same_filing, with the source for its key and an id band for its hours."""
+    out = documents.overlap_pairs(table(spark, folder, "documents"), "doc_id", "source", "doc_id", "text", ID_BAND, SAME_WORDS)
+    return out.select("a", "b", F.round("overlap", 6).alias("overlap"))
+
+
 def page_title(spark, folder):
     return table(spark, folder, "pages").select("page_id", documents.html_title(F.col("html")).alias("title"))
 
@@ -114,7 +124,7 @@ def buyer_groups(spark, folder):
     return d.groupBy(group.alias("buyer")).agg(F.count("*").alias("n"), F.round(F.sum("quantity"), 2).alias("quantity"))
 
 
-QUERIES = {f.__name__: f for f in (entity_key, entity_mode_spelling, rule_classifier, rule_table_match, flag_and_number, loose_dates, json_props, doc_clean_counts, doc_repeated_lines, doc_furniture, doc_numbers, doc_word_overlap, page_title, page_cells, page_text, xml_facts, body_check, conversation_filldown, buyer_groups)}
+QUERIES = {f.__name__: f for f in (entity_key, entity_mode_spelling, rule_classifier, rule_table_match, flag_and_number, loose_dates, json_props, doc_clean_counts, doc_repeated_lines, doc_furniture, doc_numbers, doc_word_overlap, doc_word_overlap_pairs, page_title, page_cells, page_text, xml_facts, body_check, conversation_filldown, buyer_groups)}
 
 _TIDY = "list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(trim(x), ' {3,}', ' | ', 'g'), ' {2}', ' ', 'g')), lambda x: x <> '' AND NOT regexp_full_match(x, '(page )?[0-9]{1,4}( of [0-9]{1,4})?'))"
 
@@ -135,6 +145,9 @@ ORACLE_SQL = {
     "doc_numbers": "WITH d AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+(?:[,.][0-9]+)*') AS n FROM documents) SELECT doc_id, len(n)::INT AS numbers, n[1] AS first, n[-1] AS last FROM d WHERE len(n) > 0",
     "doc_word_overlap": r"""WITH d AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY substr(text, 1, 60) ORDER BY doc_id) AS b FROM documents), w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(lower(b), '\s+'), lambda x: x <> '')) AS y FROM d WHERE b IS NOT NULL)
         SELECT doc_id, round(len(list_intersect(x, y))::DOUBLE / greatest(least(len(x), len(y)), 1), 6) AS overlap FROM w""",
+    "doc_word_overlap_pairs": r"""WITH d AS (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) AS overlap FROM d a JOIN d b ON a.source = b.source AND b.doc_id > a.doc_id AND b.doc_id <= a.doc_id + 200 WHERE len(a.w) > 0 AND len(b.w) > 0)
+        SELECT a, b, round(overlap, 6) AS overlap FROM p WHERE overlap >= 0.4::DOUBLE""",
     "page_title": "SELECT page_id, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')) AS title FROM pages",
     "page_cells": r"""SELECT page_id, len(regexp_extract_all(html, '<li(?:\s[^>]*)?>(.*?)</li>', 1, 'is'))::INT AS items, len(regexp_extract_all(html, 'href="([^"]*)"', 1))::INT AS links, regexp_extract_all(html, 'href="([^"]*)"', 1)[1] AS first_link FROM pages""",
     "page_text": r"""SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')))::INT AS chars FROM pages""",
