@@ -85,3 +85,21 @@ def test_word_overlap_of_every_pair_of_a_band(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.a, r.b): r.overlap for r in queries.QUERIES["doc_word_overlap_pairs"](spark, str(tmp_path)).collect()}
     assert got == {(190, 195): 0.975, (190, 205): 1.0, (195, 205): 0.975, (195, 391): 0.975, (205, 391): 0.975}
+
+
+def test_changes_of_all_quarters_and_all_priorities(spark, tmp_path):
+    """A year's turn, a quarter without orders, and years other than 1997."""
+    rows = [(1, 1, dt.datetime(1995, 11, 1), 10.0, "4-NOT SPECIFIED"), (2, 1, dt.datetime(1996, 2, 1), 15.0, "5-LOW"), (3, 2, dt.datetime(1996, 8, 1), 7.0, "1-URGENT"), (4, 2, dt.datetime(1996, 11, 1), 7.0, "5-LOW")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = queries.QUERIES["period_changes_all"](spark, str(tmp_path)).select("who", "quarter", "kind").collect()
+    q = lambda m: dt.date(1996, m, 1)
+    assert sorted(map(tuple, got)) == [(1, q(1), "added"), (1, q(4), "exit"), (2, q(7), "new"), (2, q(10), "held")]
+    assert sorted(map(tuple, queries.QUERIES["sector_pivot_all"](spark, str(tmp_path)).collect())) == [(1, 0, 0, 0, 1, 1), (2, 1, 0, 0, 0, 1)]
+
+
+def test_calendar_has_sundays_and_the_datas_ends(spark, tmp_path):
+    """2023-12-31 is a Sunday before the old calendar, 2024-03-02 a day after it."""
+    events = [(1, dt.datetime(2023, 12, 31, 5), "a", 2.0), (2, dt.datetime(2024, 1, 3, 5), "b", 3.0), (3, dt.datetime(2024, 3, 2, 5), "c", 4.0)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, event_type string, value double").selectExpr("*", "1L as user_id", "'{}' as props").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.day: r.total for r in queries.QUERIES["daily_net_calendar_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == 63 and {d: t for d, t in got.items() if t} == {dt.date(2023, 12, 31): -2.0, dt.date(2024, 1, 3): 3.0, dt.date(2024, 3, 2): -4.0}

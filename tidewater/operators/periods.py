@@ -15,6 +15,14 @@ def period_changes(now: DataFrame, before: DataFrame, keys: list[str], amount: s
     return out.withColumns({"change": F.col("after") - F.col("before"), "kind": kind})
 
 
+def successive_changes(df: DataFrame, keys: list[str], period: str, amount: str) -> DataFrame:
+    """``period_changes`` of each numbered period with the one before it; the first has none and gives no rows."""
+    ends = df.agg(F.min(period).alias("first_period"), F.max(period).alias("last_period"))
+    shifted = df.withColumn(period, F.col(period) + 1)
+    both = period_changes(df, shifted, [*keys, period], amount)
+    return both.crossJoin(F.broadcast(ends)).where(F.col(period).between(F.col("first_period") + 1, F.col("last_period"))).drop("first_period", "last_period")
+
+
 def latest_dates(df: DataFrame, key: str, day: str, n: int) -> DataFrame:
     """Rows at the latest n distinct days of their key, with ``nth``."""
     return df.withColumn("nth", F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc(day)))).where(F.col("nth") <= n)
@@ -53,9 +61,10 @@ def trailing_bins(df: DataFrame, day: str, ref: Column, width: int, bins: int, v
     return df.where((age >= 0) & (age < width * bins)).groupBy(F.floor(age / width).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
-def daily_calendar(df: DataFrame, day: str, start: str, end: str, total: Column) -> DataFrame:
-    """(day, total) for each day from start to end, 0 on days without rows."""
-    days = df.sparkSession.sql(f"select explode(sequence(date'{start}', date'{end}')) as day")
+def daily_calendar(df: DataFrame, day: str, start: str | None, end: str | None, total: Column) -> DataFrame:
+    """(day, total) for each day from start to end, 0 on days without rows; without them from the first to the last day of ``df``."""
+    ends = df.agg(F.lit(start).cast("date").alias("lo") if start else F.min(day).alias("lo"), F.lit(end).cast("date").alias("hi") if end else F.max(day).alias("hi"))
+    days = ends.where("lo <= hi").select(F.explode(F.sequence("lo", "hi")).alias("day"))
     sums = df.groupBy(F.col(day).alias("d")).agg(total.alias("total"))
     return days.join(sums, F.col("day") == F.col("d"), "left").select("day", F.coalesce("total", F.lit(0.0)).alias("total"))
 

@@ -22,6 +22,14 @@ def period_changes(spark, folder):
     return out.select("who", "before", "after", F.round("change", 2).alias("change"), "kind")
 
 
+def period_changes_all(spark, folder):
+    """Each quarter of all years with the quarter before it."""
+    number = (F.year("day") * 4 + F.quarter("day") - 1).cast("int")
+    by = _orders(spark, folder).groupBy("who", number.alias("n")).agg(F.round(F.sum("amount"), 2).alias("amount"))
+    quarter = F.make_date(F.floor(F.col("n") / 4).cast("int"), F.col("n") % 4 * 3 + 1, F.lit(1))
+    return periods.successive_changes(by, ["who"], "n", "amount").select("who", quarter.alias("quarter"), "before", "after", F.round("change", 2).alias("change"), "kind")
+
+
 def stock_months(spark, folder):
     o = _orders(spark, folder)
     return o.groupBy(F.trunc("day", "month").alias("month"), "priority").agg(F.count_distinct("who").alias("holders"), F.round(F.sum("amount"), 2).alias("amount"))
@@ -78,11 +86,21 @@ def daily_net_calendar(spark, folder):
     return periods.daily_calendar(d, "day", "2024-01-01", "2024-02-10", F.round(F.sum(trades.signed("side", "quantity")), 2))
 
 
+def daily_net_calendar_all(spark, folder):
+    """Every day from the first deal to the last, Sundays with their deals."""
+    return periods.daily_calendar(deals(spark, folder), "day", None, None, F.round(F.sum(trades.signed("side", "quantity")), 2))
+
+
 def sector_pivot(spark, folder):
     o = _orders(spark, folder).select("who", F.substring("priority", 1, 1).alias("p"), F.lit(1).cast("long").alias("one"))
     return periods.pivot_sums(o, "who", "p", ["1", "2", "3"], "one").select("who", F.col("1").alias("p1"), F.col("2").alias("p2"), F.col("3").alias("p3"))
 
 
+def sector_pivot_all(spark, folder):
+    o = _orders(spark, folder).select("who", F.substring("priority", 1, 1).alias("p"), F.lit(1).cast("long").alias("one"))
+    return periods.pivot_sums(o, "who", "p", ["1", "2", "3", "4", "5"], "one").select("who", *[F.col(p).alias(f"p{p}") for p in "12345"])
+
+
 def unbroken_since(spark, folder):
     d = deals(spark, folder).select("client", F.datediff("day", F.lit("2024-01-01").cast("date")).cast("long").alias("number"))
     return periods.unbroken_since(d, "client", "number")
@@ -265,7 +283,7 @@ def _first():
     return Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey", "l_tax", "l_returnflag")
 
 
-QUERIES = {f.__name__: f for f in (period_changes, stock_months, month_prices, holders_latest_vs_prev, latest_n_dates, derive_quarters, growth_yoy, weekly_bins, month_to_date, daily_net_calendar, sector_pivot, unbroken_since, session_window_30m, window_tumbling, session_window_stream, dedup_within_window, crossings, fiscal_quarters, archive_merge_upsert, archive_backfill, possibly_withdrawn, pending_retries, due_next, asof_market_cap, asof_tolerance, asof_strict, asof_forward, asof_nearest, matched_pairs, pair_copies_ranked, stage_link_status, deals_also_filed, deals_also_filed_all, unmatched_prefix_resolve, resolve_cascade, unit_checks, coverage_status, add_up, data_health, differing_fields)}
+QUERIES = {f.__name__: f for f in (period_changes, period_changes_all, stock_months, month_prices, holders_latest_vs_prev, latest_n_dates, derive_quarters, growth_yoy, weekly_bins, month_to_date, daily_net_calendar, daily_net_calendar_all, sector_pivot, sector_pivot_all, unbroken_since, session_window_30m, window_tumbling, session_window_stream, dedup_within_window, crossings, fiscal_quarters, archive_merge_upsert, archive_backfill, possibly_withdrawn, pending_retries, due_next, asof_market_cap, asof_tolerance, asof_strict, asof_forward, asof_nearest, matched_pairs, pair_copies_ranked, stage_link_status, deals_also_filed, deals_also_filed_all, unmatched_prefix_resolve, resolve_cascade, unit_checks, coverage_status, add_up, data_health, differing_fields)}
 
 _O = "o AS (SELECT o_orderkey AS id, o_custkey AS who, CAST(o_orderdate AS DATE) AS day, round(o_totalprice, 2) AS amount, o_orderpriority AS priority FROM orders)"
 _DR = f"""{DEALS}, t AS (SELECT min(event_type) AS lo FROM d), r AS (SELECT client, day, max(round(quantity, 2)) AS price FROM d WHERE event_type = (SELECT lo FROM t) GROUP BY 1, 2),
@@ -276,6 +294,10 @@ ORACLE_SQL = {
     "period_changes": f"""WITH {_O}, q AS (SELECT who, quarter(day) AS q, round(sum(amount), 2) AS a FROM o WHERE year(day) = 1997 GROUP BY 1, 2),
         j AS (SELECT coalesce(x.who, y.who) AS who, coalesce(x.a, 0) AS before, coalesce(y.a, 0) AS after FROM (SELECT * FROM q WHERE q = 2) x FULL JOIN (SELECT * FROM q WHERE q = 3) y ON x.who = y.who)
         SELECT who, before, after, round(after - before, 2) AS change, CASE WHEN before = 0 AND after > 0 THEN 'new' WHEN before > 0 AND after = 0 THEN 'exit' WHEN after > before THEN 'added' WHEN after < before THEN 'cut' ELSE 'held' END AS kind FROM j""",
+    "period_changes_all": f"""WITH {_O}, q AS (SELECT who, (year(day) * 4 + quarter(day) - 1)::INT AS n, round(sum(amount), 2) AS a FROM o GROUP BY 1, 2),
+        j AS (SELECT coalesce(x.who, y.who) AS who, coalesce(x.n + 1, y.n) AS n, coalesce(x.a, 0) AS before, coalesce(y.a, 0) AS after FROM q x FULL JOIN q y ON x.who = y.who AND x.n + 1 = y.n)
+        SELECT who, make_date(n // 4, n % 4 * 3 + 1, 1) AS quarter, before, after, round(after - before, 2) AS change, CASE WHEN before = 0 AND after > 0 THEN 'new' WHEN before > 0 AND after = 0 THEN 'exit' WHEN after > before THEN 'added' WHEN after < before THEN 'cut' ELSE 'held' END AS kind
+        FROM j WHERE n > (SELECT min(n) FROM q) AND n <= (SELECT max(n) FROM q)""",
     "stock_months": f"WITH {_O} SELECT CAST(date_trunc('month', day) AS DATE) AS month, priority, count(DISTINCT who) AS holders, round(sum(amount), 2) AS amount FROM o GROUP BY 1, 2",
     "month_prices": f"""WITH {_O}, m AS (SELECT who, CAST(date_trunc('month', day) AS DATE) AS month, max(CASE WHEN priority = '1-URGENT' THEN amount END) AS price FROM o GROUP BY 1, 2)
         SELECT *, last_value(price IGNORE NULLS) OVER (PARTITION BY who ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM m""",
@@ -291,6 +313,9 @@ ORACLE_SQL = {
     "month_to_date": f"WITH {_O}, m AS (SELECT CAST(date_trunc('month', day) AS DATE) AS month, round(sum(amount), 2) AS to_date FROM o WHERE day(day) <= 15 GROUP BY 1) SELECT *, lag(to_date) OVER (ORDER BY month) AS before FROM m",
     "daily_net_calendar": f"""WITH {DEALS}, c AS (SELECT CAST(x AS DATE) AS day FROM generate_series(DATE '2024-01-01', DATE '2024-02-10', INTERVAL 1 DAY) t(x)),
         s AS (SELECT day, round(sum(CASE WHEN side = 'SELL' THEN -quantity ELSE quantity END), 2) AS total FROM d WHERE dayofweek(day) <> 0 GROUP BY 1) SELECT c.day, coalesce(total, 0.0::DOUBLE) AS total FROM c LEFT JOIN s ON s.day = c.day""",
+    "daily_net_calendar_all": f"""WITH {DEALS}, c AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day),
+        s AS (SELECT day, round(sum(CASE WHEN side = 'SELL' THEN -quantity ELSE quantity END), 2) AS total FROM d GROUP BY 1) SELECT c.day, coalesce(total, 0.0::DOUBLE) AS total FROM c LEFT JOIN s ON s.day = c.day""",
+    "sector_pivot_all": f"WITH {_O} SELECT who, {', '.join(f'count(*) FILTER (priority[1] = {chr(39)}{p}{chr(39)}) AS p{p}' for p in '12345')} FROM o GROUP BY 1",
     "sector_pivot": f"WITH {_O} SELECT who, count(*) FILTER (priority[1] = '1') AS p1, count(*) FILTER (priority[1] = '2') AS p2, count(*) FILTER (priority[1] = '3') AS p3 FROM o GROUP BY 1",
     "unbroken_since": f"""WITH {DEALS}, n AS (SELECT DISTINCT client, (day - DATE '2024-01-01')::BIGINT AS number FROM d), i AS (SELECT *, number - row_number() OVER (PARTITION BY client ORDER BY number) AS g FROM n),
         r AS (SELECT client, min(number) AS since, max(number) AS upto, count(*) AS length, row_number() OVER (PARTITION BY client ORDER BY max(number) DESC) AS nth FROM i GROUP BY client, g) SELECT client, since, upto, length FROM r WHERE nth = 1""",
