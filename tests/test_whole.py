@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater import queries
-from tidewater.operators import linkage
+from tidewater.operators import documents, linkage
 
 START = dt.datetime(2020, 1, 1)
 
@@ -103,3 +103,22 @@ def test_calendar_has_sundays_and_the_datas_ends(spark, tmp_path):
     spark.createDataFrame(events, "event_id long, ts timestamp, event_type string, value double").selectExpr("*", "1L as user_id", "'{}' as props").write.parquet(str(tmp_path / "events.parquet"))
     got = {r.day: r.total for r in queries.QUERIES["daily_net_calendar_all"](spark, str(tmp_path)).collect()}
     assert len(got) == 63 and {d: t for d, t in got.items() if t} == {dt.date(2023, 12, 31): -2.0, dt.date(2024, 1, 3): 3.0, dt.date(2024, 3, 2): -4.0}
+
+
+def test_furniture_gathers_no_text(spark, folder):
+    """The plan holds no list of texts, and a form feed in a text makes no further page."""
+    plan = queries.QUERIES["doc_furniture"](spark, folder)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    pages = spark.createDataFrame([(1, i, f"Head {i}\nbody\fbody {i}\nFoot") for i in range(3)] + [(1, 3, None), (1, 4, "")], "d int, p int, t string")
+    assert {(r.line, r.pages) for r in documents.page_furniture(pages, "d", "p", "t").collect()} == {("head #", 3), ("body\fbody #", 3), ("foot", 3)}
+
+
+def test_unique_prefix_makes_no_pairs_of_a_common_opening(spark):
+    """Names in both directions; 300 names that begin alike are joined by equality alone, and no pair is made to be tested after."""
+    master = [(f"supplier{i:04d}x", i) for i in range(300)] + [("short", 900), ("shorter", 901), ("abc", 902)]
+    asked = [f"supplier{i:04d}" for i in range(300)] + ["supplier0007xyz", "supplier", "short", "shorte", "shortest", "abc", "abcd", None]
+    m = spark.createDataFrame(master, "full string, code int")
+    out = linkage.unique_prefix(spark.createDataFrame([(x,) for x in asked], "name string"), m, "name", "full", "code")
+    hits = {x: {c for f, c in master if x and min(len(x), len(f)) >= 4 and (x.startswith(f) or f.startswith(x))} for x in asked}
+    assert {r.name: r.code for r in out.collect()} == {x: min(c) for x, c in hits.items() if len(c) == 1}
+    assert "startswith" not in out._jdf.queryExecution().toString().lower()

@@ -14,10 +14,14 @@ def tidy_lines(text: Column) -> Column:
 
 def furniture(pages: DataFrame, doc: str, text: str, edge: int = 3, least_pages: int = 3) -> DataFrame:
     """(doc, line, pages): lines that stand at the edge of at least ``least_pages`` pages (cut by form feeds)."""
-    page = pages.select(doc, F.posexplode(F.split(text, "\f", -1)).alias("page", "body"))
-    lines = F.filter(F.transform(F.split("body", "\n", -1), lambda x: F.regexp_replace(F.lower(F.trim(x)), "[0-9]+", "#")), lambda x: x != "")
-    ends = page.select(doc, "page", F.explode(F.array_distinct(F.concat(F.slice(lines, 1, edge), F.when(F.size(lines) > 0, F.slice(lines, F.greatest(F.lit(1), F.size(lines) - edge + 1), F.lit(edge))).otherwise(F.array().cast("array<string>"))))).alias("line"))
-    return ends.groupBy(doc, "line").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= least_pages)
+    return page_furniture(pages.select(doc, F.posexplode(F.split(text, "\f", -1)).alias("page", "body")), doc, "page", "body", edge, least_pages)
+
+
+def page_furniture(pages: DataFrame, doc: str, page: str, text: str, edge: int = 3, least_pages: int = 3) -> DataFrame:
+    """``furniture`` where each page is a row of its own: no text is gathered, only edge lines are shuffled."""
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(F.lower(F.trim(x)), "[0-9]+", "#")), lambda x: x != "")
+    ends = pages.select(doc, page, F.explode(F.array_distinct(F.concat(F.slice(lines, 1, edge), F.when(F.size(lines) > 0, F.slice(lines, F.greatest(F.lit(1), F.size(lines) - edge + 1), F.lit(edge))).otherwise(F.array().cast("array<string>"))))).alias("line"))
+    return ends.groupBy(doc, "line").agg(F.count_distinct(page).alias("pages")).where(F.col("pages") >= least_pages)
 
 
 def numbers_in(text: Column) -> Column:

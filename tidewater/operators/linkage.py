@@ -100,11 +100,18 @@ def exists_in_span(days: DataFrame, spans: DataFrame, keys: list[str], day: str,
 def unique_prefix(names: DataFrame, master: DataFrame, name: str, full: str, code: str, least: int = 4) -> DataFrame:
     """(name, code) where the name begins exactly one full name of the master, or is begun by it.
 
-    Names meet by their first ``least`` letters, an equi join; shorter ones are never resolved.
+    Each prefix of ``least`` letters or more meets the whole names of the other side, in both directions:
+    equi joins that make one row a hit. Shorter names are never resolved.
     """
-    a = names.select(name).distinct().where(F.length(name) >= least).withColumn("p", F.substring(name, 1, least))
-    b = master.select(F.col(full).alias("m_full"), F.col(code).alias("m_code")).where(F.length("m_full") >= least).withColumn("p", F.substring("m_full", 1, least))
-    hits = a.join(b, "p").where(F.col(name).startswith(F.col("m_full")) | F.col("m_full").startswith(F.col(name)))
+
+    def prefixes(column: str):
+        return F.explode(F.transform(F.sequence(F.lit(least), F.length(column)), lambda k: F.substring(column, F.lit(1), k))).alias("p")
+
+    a = names.select(name).distinct().where(F.length(name) >= least)
+    b = master.select(F.col(full).alias("m_full"), F.col(code).alias("m_code")).where(F.length("m_full") >= least)
+    begun = a.select(name, prefixes(name)).join(b, F.col("p") == F.col("m_full")).select(name, "m_code")
+    begins = a.join(b.select(prefixes("m_full"), "m_code"), F.col(name) == F.col("p")).select(name, "m_code")
+    hits = begun.unionByName(begins)
     return hits.groupBy(name).agg(F.count_distinct("m_code").alias("n"), F.min("m_code").alias(code)).where("n = 1").drop("n")
 
 

@@ -68,8 +68,7 @@ def doc_repeated_lines(spark, folder):
 
 def doc_furniture(spark, folder):
     d = table(spark, folder, "documents").select((F.col("doc_id") % 50).alias("file"), "doc_id", F.concat(F.lit("REPORT\n"), "text", F.lit("\npage 1")).alias("text"))
-    pages = d.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\f").alias("text"))
-    out = documents.furniture(pages, "file", "text")
+    out = documents.page_furniture(d, "file", "doc_id", "text")
     return out.select("file", F.md5(F.col("line").cast("binary")).alias("line_md5"), "pages")
 
 
