@@ -42,7 +42,7 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = _lines(docs, bits).join(ids.select("id"), "id", "left_semi")
-        return gram_sets(wanted, width, percent, whole=True).select("id", "n", "grams").dropDuplicates(["id", "n"])
+        return gram_sets(wanted, width, percent, whole=True).select("id", "n", F.xxhash64("s1", "s2").alias("of_text"), "grams").dropDuplicates(["id", "n", "of_text"])
 
     sets, first = rare_prefixes(cells, sets_of, percent)
     freed(df.sparkSession)

@@ -14,7 +14,7 @@ def set_links(base: DataFrame, sets_of, percent: int) -> tuple[DataFrame, DataFr
     """Links between distinct sets.
 
     ``base``: (id, n, s1, s2, grams) with each row's region; ``sets_of``: a function from a table of ids
-    to their whole sets (id, n, grams). Returns representatives (n, s1, s2, rep), verified links (a, b)
+    to their whole sets (id, n, of_text, grams), of which an id may have several. Returns representatives (n, s1, s2, rep), verified links (a, b)
     that connect all sets that links connect, and the components of these links (node, component).
 
     Rows of equal sets become one: the smallest id stands for them. The document-by-n-gram incidence is
@@ -61,7 +61,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     base = written(gram_sets(docs, width, percent, whole=False), "set-regions")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return gram_sets(docs.join(ids, "id", "left_semi"), width, percent, whole=True).where("n > 0").select("id", "n", "grams").dropDuplicates(["id", "n"])
+        return gram_sets(docs.join(ids, "id", "left_semi"), width, percent, whole=True).where("n > 0").select("id", "n", F.xxhash64("s1", "s2").alias("of_text"), "grams").dropDuplicates(["id", "n", "of_text"])
 
     reps, _, found = set_links(base, sets_of, percent)
     keyed = base.drop("grams").join(reps, ["n", "s1", "s2"], "left")

@@ -101,7 +101,7 @@ def may_link(percent: int) -> Column:
 
 
 def rare_prefixes(cells: DataFrame, sets_of, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Incidence (g, id, n) of regions -> whole sets (id, n, grams) and prefixes (g, id, n, p, alone) of those that may link.
+    """Incidence (g, id, n) of regions -> whole sets (id, n, of_text, grams) and prefixes (g, id, n, p, alone) of those that may link.
 
     Incidence rows are range-sorted by n-gram, so that a block is a range of columns and a hot column runs
     over several blocks; by document the number of columns shared with any other is added up over blocks.
@@ -110,6 +110,7 @@ def rare_prefixes(cells: DataFrame, sets_of, percent: int) -> tuple[DataFrame, D
     0.08 n shared columns are in no link and leave. For the rest ``sets_of`` reads the whole sets; columns
     are ordered by their count of sets, then by hash, and the first slack columns of a set, of which p is
     the place, must meet those of each set that it links with. Columns of one set only, ``alone`` of each set, meet nothing.
+    Sets of one id, from different texts, are told apart by ``of_text``; they are candidates together.
     """
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = cells.repartitionByRange(parts, "g", "id").sortWithinPartitions("g").mapInArrow(_shared_columns, "id long, n long, c long")
@@ -118,10 +119,10 @@ def rare_prefixes(cells: DataFrame, sets_of, percent: int) -> tuple[DataFrame, D
     freed(cells.sparkSession)
     sets = written(sets_of(may), "sets")
     freed(cells.sparkSession)
-    grams = sets.select(F.explode("grams").alias("g"), "id", "n")
+    grams = sets.select(F.explode("grams").alias("g"), "id", "n", "of_text")
     counts = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     slack = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
-    common = grams.join(counts, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("common"))
+    common = grams.join(counts, "g").groupBy("id", "n", "of_text").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("common"))
     prefix = (
         common.withColumn("alone", F.col("n") - F.size("common"))
         .where(slack > F.col("alone"))
