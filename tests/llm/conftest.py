@@ -5,13 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
-
-WORDS = "the of and in to a is that it for was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
-
-
-def sentence(rng: random.Random, n: int) -> str:
-    return " ".join(rng.choice(WORDS) for _ in range(n))
-
+from odd_texts import sentence
 
 @pytest.fixture(scope="session")
 def odd_rows():

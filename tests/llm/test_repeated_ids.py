@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from conftest import sentence
+from odd_texts import sentence
 
 from tidewater.llm import line_dedup, ngram_join
 
