@@ -58,10 +58,15 @@ def due(wanted: DataFrame, fetched: DataFrame, key: str, now: Column, age_days:
     return out.orderBy(F.col("fetched").asc_nulls_first(), key).limit(n)
 
 
-def write_partitioned(df: DataFrame, path: str, day: str) -> None:
-    """Writes year and quarter partitions of a day column; only partitions in ``df`` are replaced."""
+def write_partitioned(df: DataFrame, path: str, day: str, spread: int = 16) -> None:
+    """Writes year and quarter partitions of a day column; only partitions in ``df`` are replaced.
+
+    The days of a quarter are dealt to at most ``spread`` tasks, which bounds its files; a single day that
+    is too large for a task is split by its rows' hash.
+    """
     placed = df.withColumns({"year": F.year(day), "quarter": F.quarter(day)})
-    placed.repartition("year", "quarter").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "quarter").parquet(path)
+    turn = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]), F.lit(spread))
+    placed.repartition("year", "quarter", turn).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "quarter").parquet(path)
 
 
 def event_id(columns: list[str]) -> Column:

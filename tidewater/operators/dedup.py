@@ -58,9 +58,18 @@ def newest_revision(df: DataFrame, keys: list[str], revision: str) -> DataFrame:
 
 
 def superseded_by_single(df: DataFrame, keys: list[str], row_id: str, time: str, is_revision: str) -> DataFrame:
-    """Revisions with ``status``: they replace the one earlier filing of their key, or it is ambiguous, or there is none."""
-    now = df.where(F.col(is_revision))
-    early = df.where(~F.col(is_revision)).select(*[F.col(k).alias(f"e_{k}") for k in keys], F.col(row_id).alias("earlier_id"), F.col(time).alias("earlier_time"))
-    same = [F.col(k) == F.col(f"e_{k}") for k in keys] + [F.col("earlier_time") < F.col(time)]
-    found = now.join(early, same, "left").groupBy(*[F.col(c) for c in now.columns]).agg(F.count_distinct("earlier_id").alias("n"), F.min("earlier_id").alias("original"))
-    return found.withColumn("status", F.when(F.col("n") == 1, "replaces").when(F.col("n") > 1, "ambiguous").otherwise("no_original")).withColumn("original", F.when(F.col("n") == 1, F.col("original"))).drop("n")
+    """Revisions with ``status``: they replace the one earlier filing of their key, or it is ambiguous, or there is none.
+
+    The smallest and the largest id of the earlier filings run along a key's rows in time, so that no
+    pairs are made. Null keys or times have no earlier filing; rows that say neither do not count.
+    """
+    told = [F.col(k).isNotNull() for k in [*keys, time]]
+    sound = told[0]
+    for t in told[1:]:
+        sound = sound & t
+    before = Window.partitionBy(*keys).orderBy(F.col(time), F.col(is_revision).cast("int").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    original = F.when(~F.col(is_revision) & sound, F.col(row_id))
+    marked = df.where(F.col(is_revision).isNotNull()).withColumns({"lo_id": F.min(original).over(before), "hi_id": F.max(original).over(before)})
+    one = sound & (F.col("lo_id") == F.col("hi_id"))
+    status = F.when(~sound | F.col("lo_id").isNull(), "no_original").when(one, "replaces").otherwise("ambiguous")
+    return marked.where(F.col(is_revision)).withColumns({"original": F.when(one, F.col("lo_id")), "status": status}).drop("lo_id", "hi_id")

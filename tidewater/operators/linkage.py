@@ -10,8 +10,9 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     """Every left row with ``columns`` and ``matched_time`` of the nearest right row of its key.
 
     ``direction``: ``backward`` (at or before), ``forward`` (at or after) or ``nearest`` (ties: before).
-    Both sides meet in one window by key, so each is shuffled once and nothing is multiplied out. Where
-    right rows tie in time, the largest by ``columns`` counts. Null keys or times match nothing.
+    Both sides meet in one window by key, so each is shuffled once and nothing is multiplied out; forward
+    is backward with time turned round, so that each frame only grows. Where right rows tie in time, the
+    largest by ``columns`` counts. Null keys or times match nothing.
     """
     row = "asof_row"
     if direction == "nearest":
@@ -26,14 +27,11 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     facts = facts.withColumn("asof_side", F.lit(0))
     packed = left.select(*keys, F.col(left_time).alias("asof_time"), F.struct("*").alias(row)).withColumn("asof_side", F.lit(1))
     both = packed.unionByName(facts, allowMissingColumns=True)
-    forward = direction == "forward"
-    side = F.col("asof_side") if not (strict ^ forward) else -F.col("asof_side")
-    order = [F.col("asof_time").asc(), side.asc()]
-    frame = Window.partitionBy(*keys).orderBy(*order)
-    frame = frame.rowsBetween(0, Window.unboundedFollowing) if forward else frame.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first if forward else F.last
+    time = F.col("asof_time").desc() if direction == "forward" else F.col("asof_time").asc()
+    side = F.col("asof_side").desc() if strict else F.col("asof_side").asc()
+    frame = Window.partitionBy(*keys).orderBy(time, side).rowsBetween(Window.unboundedPreceding, 0)
     hit = F.when(F.col("asof_side") == 0, F.struct("asof_time", "asof_fact"))
-    found = both.withColumn("hit", pick(hit, ignorenulls=True).over(frame)).where("asof_side = 1")
+    found = both.withColumn("hit", F.last(hit, ignorenulls=True).over(frame)).where("asof_side = 1")
     ok = F.col(f"{row}.{left_time}").isNotNull()
     for k in keys:
         ok &= F.col(k).isNotNull()
@@ -60,11 +58,21 @@ def ranked_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_order:
 
 
 def link_stages(later: DataFrame, earlier: DataFrame, key: str, later_id: str, later_day: str, earlier_id: str, earlier_day: str, days: int = 180) -> DataFrame:
-    """(later_id, status, linked): the single earlier row of the key in the ``days`` before, else ambiguous or none."""
-    near = earlier.select(F.col(key).alias("e_key"), F.col(earlier_id).alias("e_id"), F.col(earlier_day).alias("e_day"))
-    on = (F.col(key) == F.col("e_key")) & F.col("e_day").between(F.date_sub(F.col(later_day), days), F.col(later_day))
-    found = later.join(near, on, "left").groupBy(later_id).agg(F.count_distinct("e_id").alias("n"), F.min("e_id").alias("e"))
-    return found.select(later_id, F.when(F.col("n") == 1, "linked").when(F.col("n") > 1, "ambiguous").otherwise("none").alias("status"), F.when(F.col("n") == 1, F.col("e")).alias("linked"))
+    """(later_id, status, linked): the single earlier row of the key in the ``days`` before, else ambiguous or none.
+
+    Each earlier row carries the day of the last one before it with another id, so that one as-of lookup
+    tells one candidate from several: no pairs of a key are made. A later row that repeats an id is judged
+    by all its candidates: several days of one id may agree.
+    """
+    w = Window.partitionBy("e_key").orderBy("e_day", "e_id")
+    near = earlier.select(F.col(key).alias("e_key"), F.col(earlier_id).alias("e_id"), F.col(earlier_day).alias("e_day")).where("e_key is not null and e_day is not null and e_id is not null").distinct()
+    turns = near.withColumn("turn_day", F.when(F.lead("e_id").over(w) != F.col("e_id"), F.col("e_day")))
+    told = turns.withColumn("other_day", F.last("turn_day", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).select(F.col("e_key").alias(key), "e_day", "e_id", "other_day")
+    found = asof_join(later.select(later_id, key, later_day), told, [key], later_day, "e_day", ["e_id", "other_day"], tolerance_days=days)
+    several = F.coalesce(F.datediff(later_day, "other_day") <= days, F.lit(False))
+    judged = found.groupBy(later_id).agg(F.min("e_id").alias("lo"), F.max("e_id").alias("hi"), F.coalesce(F.bool_or(several), F.lit(False)).alias("several"))
+    one = (F.col("lo") == F.col("hi")) & ~F.col("several")
+    return judged.select(later_id, F.when(F.col("lo").isNull(), "none").when(one, "linked").otherwise("ambiguous").alias("status"), F.when(one, F.col("lo")).alias("linked"))
 
 
 def span_stats(spans: DataFrame, daily: DataFrame, key: str, row_id: str, first: str, last: str, day: str, low: str, high: str, most_days: int = 31) -> DataFrame:

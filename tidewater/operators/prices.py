@@ -16,13 +16,13 @@ def numbered_sessions(days: DataFrame, day: str) -> DataFrame:
 def sessions_upto(df: DataFrame, sessions: DataFrame, day: str, out: str) -> DataFrame:
     """Every row with the number of sessions on or before its day.
 
-    Sessions number from 1 without gaps, so a step table of spans [day, next day) answers by range; days
-    are few and distinct, and the rows join them by equality.
+    The distinct days and the sessions meet in one window, in which the last session number is carried
+    on: both are calendars of some hundreds of rows a year. The rows join the answers by equality.
     """
-    steps = sessions.withColumn("next_day", F.lead("day").over(Window.orderBy("day")))
     asked = df.select(F.col(day).alias("asked")).where(F.col(day).isNotNull()).distinct()
-    span = (F.col("asked") >= F.col("day")) & (F.col("next_day").isNull() | (F.col("asked") < F.col("next_day")))
-    known = asked.join(steps, span, "left").select("asked", F.coalesce("session_no", F.lit(0)).alias(out))
+    both = sessions.select(F.col("day").alias("asked"), "session_no", F.lit(0).alias("side")).unionByName(asked.withColumns({"session_no": F.lit(None).cast("long"), "side": F.lit(1)}))
+    upto = Window.orderBy("asked", "side").rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn(out, F.coalesce(F.last("session_no", ignorenulls=True).over(upto), F.lit(0))).where("side = 1").select("asked", out)
     return df.join(known, F.col(day) == F.col("asked"), "left").drop("asked")
 
 
@@ -50,15 +50,15 @@ def implied_factors(bars: DataFrame, key: str, day: str, close: str, structural:
 def adjusted_close(bars: DataFrame, factors: DataFrame, key: str, day: str, close: str, as_of: Column | None = None) -> DataFrame:
     """Every bar with ``cum_factor``, the product of its key's factors after its day (up to ``as_of``), and ``adjusted``.
 
-    Bars and factors meet in one window by key: a running sum of logarithms from the end. Factors are
-    positive; others do not count.
+    Bars and factors meet in one window by key: a running sum of logarithms from the last day back, which
+    adds each factor once. Factors are positive; others do not count.
     """
     sound = factors.where(F.col("factor") > 0)
     if as_of is not None:
         sound = sound.where(F.col(day) <= as_of)
     facts = sound.select(key, day, F.log("factor").alias("ln"))
     both = bars.select(key, day, F.struct("*").alias("bar")).unionByName(facts, allowMissingColumns=True)
-    later = Window.partitionBy(key).orderBy(F.col(day).cast("timestamp").cast("long")).rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(key).orderBy(F.col(day).cast("timestamp").cast("long").desc()).rangeBetween(Window.unboundedPreceding, -1)
     out = both.withColumn("cum_factor", F.exp(F.coalesce(F.sum("ln").over(later), F.lit(0.0)))).where("bar is not null")
     return out.select("bar.*", "cum_factor", (F.col(f"bar.{close}") * F.col("cum_factor")).alias("adjusted"))
 
@@ -129,7 +129,11 @@ def average_daily_value(bars: DataFrame, key: str, day: str, value: str, session
 
 
 def price_ladder(price: Column, low: Column, high: Column, value: Column, tolerance: float = LIMITS.price_tolerance, far: float = LIMITS.price_far, powers: tuple[int, ...] = LIMITS.price_powers, faces: tuple[int, ...] = LIMITS.face_values) -> Column:
-    """Why a filed price is inside a day's range or not; the first reason that holds."""
+    """Why a filed price is inside a day's range or not; the first reason that holds.
+
+    A filed value that lies inside the range is a price put in the value's place; ``far`` is measured from
+    the range with its tolerance.
+    """
     lo, hi = low * (1 - tolerance), high * (1 + tolerance)
 
     def inside(x: Column) -> Column:
@@ -143,10 +147,10 @@ def price_ladder(price: Column, low: Column, high: Column, value: Column, tolera
         .when(inside(price), "inside")
         .when(power, "power_of_ten")
         .when(inside(1 / price), "swapped")
-        .when(F.coalesce(price == value, F.lit(False)), "value_is_price")
-        .when(price.isin(*[float(f) for f in faces]) & (price < low * (1 - far)), "face_value")
-        .when(price < low * (1 - far), "far_below")
-        .when(price > high * (1 + far), "far_above")
+        .when(F.coalesce(inside(value), F.lit(False)), "value_is_price")
+        .when(price.isin(*[float(f) for f in faces]) & (price < lo * (1 - far)), "face_value")
+        .when(price < lo * (1 - far), "far_below")
+        .when(price > hi * (1 + far), "far_above")
         .when(price < lo, "below")
         .otherwise("above")
     )

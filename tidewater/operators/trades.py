@@ -104,10 +104,13 @@ def round_trips(legs: DataFrame, keys: list[str], side: str, quantity: str, tole
 def market_makers(legs: DataFrame, person: str, day: str, side: str, quantity: str, ends: DataFrame, days: int = LIMITS.maker_days, least_legs: int = LIMITS.maker_legs, balance: float = LIMITS.maker_balance) -> DataFrame:
     """(person, period_end) with enough legs, about as much bought as sold, in the ``days`` up to a period's end.
 
-    Legs are first summed by person and day; only these sums meet the period ends that they can count for.
+    Legs are first summed by person and day; these sums meet the period ends that they can count for by an
+    equi join of stretches of ``days`` days, of which an end lies in a day's own or in the next.
     """
     daily = legs.groupBy(person, day).agg(F.count("*").alias("legs"), F.sum(bought(side, quantity)).alias("buy"), F.sum(sold(side, quantity)).alias("sell"))
-    near = daily.join(ends, (F.col(day) <= F.col("period_end")) & (F.col(day) > F.date_sub("period_end", days)))
+    stretch = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days)
+    placed = daily.withColumn("stretch", F.explode(F.array(stretch(day), stretch(day) + 1)))
+    near = placed.join(ends.withColumn("stretch", stretch("period_end")), "stretch").where((F.col(day) <= F.col("period_end")) & (F.col(day) > F.date_sub("period_end", days)))
     grouped = near.groupBy(person, "period_end").agg(F.sum("legs").alias("legs"), F.sum("buy").alias("buy"), F.sum("sell").alias("sell"))
     return grouped.where((F.col("legs") >= least_legs) & (F.least("buy", "sell") >= balance * F.greatest("buy", "sell")))
 
@@ -151,6 +154,12 @@ def clusters(trades: DataFrame, ref: Column, days: int = 30, least: int = 2) ->
 
 
 def blocks(deals: DataFrame, keys: list[str], person: str, price: str, quantity: str, least: int = 3) -> DataFrame:
-    """Deals of one key at one price (to one decimal) by at least ``least`` persons as one line."""
-    out = deals.groupBy(*keys, F.round(price, 1).alias("price")).agg(F.count_distinct(person).alias("persons"), F.sum(quantity).alias("quantity"), F.slice(F.array_sort(F.collect_set(person)), 1, 3).alias("named"))
+    """Deals of one key at one price (to one decimal) by at least ``least`` persons as one line.
+
+    Summed by person first; of these only the first three of a line are gathered. Null persons do not count.
+    """
+    line = [*keys, "price"]
+    per = deals.groupBy(*keys, F.round(price, 1).alias("price"), person).agg(F.sum(quantity).alias("q"))
+    place = per.withColumn("place", F.row_number().over(Window.partitionBy(*line).orderBy(F.col(person).asc_nulls_last())))
+    out = place.groupBy(*line).agg(F.count(person).alias("persons"), F.sum("q").alias("quantity"), F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.col(person)))).alias("named"))
     return out.where(F.col("persons") >= least)

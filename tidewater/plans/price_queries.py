@@ -222,8 +222,8 @@ ORACLE_SQL = {
         j AS (SELECT order_id, line, g.security, person, g.value, day_from, day_to, min(low) AS low, count(b.day) AS n FROM g LEFT JOIN b ON b.security = g.security AND b.day BETWEEN day_from AND day_to AND day_to - day_from BETWEEN 0 AND 31 GROUP BY 1, 2, 3, 4, 5, 6, 7)
         SELECT CASE WHEN day_to < day_from THEN 'dates_out_of_order' WHEN day_to - day_from > 31 THEN 'span_too_long' WHEN n = 0 THEN 'no_session' ELSE 'ok' END AS status, count(*) AS n, sum(n)::BIGINT AS sessions, round(sum(low), 1) AS low FROM j GROUP BY 1""",
     "price_check_ladder": f"""WITH {FILINGS}, {_BARS}, x AS (SELECT f.value / f.quantity AS p, f.value, low, high FROM f LEFT JOIN b ON b.security = f.security AND b.day = day_from)
-        SELECT CASE WHEN p IS NULL OR low IS NULL OR p <= 0 THEN 'no_price' WHEN {_IN.format('p')} THEN 'inside' WHEN {_POWER} THEN 'power_of_ten' WHEN {_IN.format('(1 / p)')} THEN 'swapped' WHEN p = value THEN 'value_is_price'
-        WHEN p IN (1, 2, 5, 10) AND p < low * 0.8::DOUBLE THEN 'face_value' WHEN p < low * 0.8::DOUBLE THEN 'far_below' WHEN p > high * 1.2::DOUBLE THEN 'far_above' WHEN p < low * 0.98::DOUBLE THEN 'below' ELSE 'above' END AS status, count(*) AS n FROM x GROUP BY 1""",
+        SELECT CASE WHEN p IS NULL OR low IS NULL OR p <= 0 THEN 'no_price' WHEN {_IN.format('p')} THEN 'inside' WHEN {_POWER} THEN 'power_of_ten' WHEN {_IN.format('(1 / p)')} THEN 'swapped' WHEN {_IN.format('value')} THEN 'value_is_price'
+        WHEN p IN (1, 2, 5, 10) AND p < low * 0.98::DOUBLE * 0.8::DOUBLE THEN 'face_value' WHEN p < low * 0.98::DOUBLE * 0.8::DOUBLE THEN 'far_below' WHEN p > high * 1.02::DOUBLE * 1.2::DOUBLE THEN 'far_above' WHEN p < low * 0.98::DOUBLE THEN 'below' ELSE 'above' END AS status, count(*) AS n FROM x GROUP BY 1""",
     "holding_check": f"""WITH {FILINGS}, x AS (SELECT discount * 1000 - tax * 1000 AS d, quantity AS q, CASE WHEN status = 'F' THEN side END AS side FROM f), y AS (SELECT *, abs(abs(d) - q) <= greatest(q * 0.01::DOUBLE, 1.0) AS ok, d * CASE WHEN side = 'SELL' THEN -1 ELSE 1 END < 0 AS against FROM x)
         SELECT CASE WHEN side IS NULL THEN 'not_applicable' WHEN d IS NULL OR q <= 0 THEN 'not_filed' WHEN ok AND NOT against THEN 'match' WHEN ok THEN 'against_side' WHEN against THEN 'against_side_and_differs' ELSE 'differs' END AS state, count(*) AS n FROM y GROUP BY 1""",
     "price_summary": f"""WITH {_BARS}, g AS (SELECT security, max(day) AS last_day, arg_max(close, day) AS close, max(close) AS hi, min(close) AS lo, count(*) AS bars FROM b GROUP BY 1),
