@@ -189,6 +189,19 @@ def test_substring_dedup_matches_brute_force(odd, none, odd_rows):
     assert substring_dedup.without_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize(("width", "gram"), [(20, None), (400, None), (400, 30), (7, 7), (3, 1)])
+def test_substring_dedup_at_other_widths(odd, odd_rows, width, gram):
+    got = Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in substring_dedup.without_repeats(odd, width=width, gram=gram, keep_bytes=False).collect())
+    want = Counter((i, sum(mark), digest(bytes(c for c, m in zip(t, mark, strict=True) if not m))) for i, t, mark in covered(odd_rows, width))
+    assert got == want
+
+
+def test_substring_dedup_takes_sound_widths_only(none):
+    for width, gram in ((0, None), (70_000, None), (20, 21)):
+        with pytest.raises(ValueError, match="gram"):
+            substring_dedup.without_repeats(none, width=width, gram=gram)
+
+
 def groups_of(rows):
     sets = [(i, grams(t)) for i, t, *_ in rows]
     parent = {i: i for i, _ in sets}

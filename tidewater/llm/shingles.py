@@ -20,6 +20,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def inverse(odd: np.uint64) -> np.uint64:
+    """The inverse of an odd number modulo 2^64, by Newton's rule."""
+    x = odd
+    with np.errstate(over="ignore"):
+        for _ in range(6):
+            x = x * (np.uint64(2) - odd * x)
+    return x
+
+
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2^64, made anew for the longest array met."""
+
+    def __init__(self, base: np.uint64):
+        self.base, self.up, self.down = base, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def reach(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 19) - 1, b, np.uint64)])) for b in (self.base, inverse(self.base)))
+        return self.up, self.down
+
+
 class WordHashes:
     """64-bit hashes of the words of texts; the words met are kept, begun anew beyond ``most`` of them."""
 

@@ -18,8 +18,11 @@ from tidewater.llm.windows import Rolling, cover
 _SPANS = "doc long, h long, lo int, n int, at int, open boolean"
 _SAMPLES = "part int, docs array<long>, hs array<long>, data binary"
 _CONTEXTS = "part int, docs array<long>, hs array<long>, data binary, texts binary"
-_SAMPLE = np.dtype([("gram", "<u4"), ("context", "<u8"), ("doc", "<u4"), ("lo", "<u4"), ("n", "u1"), ("at", "u1"), ("known", "u1")])
-_PLACE = np.dtype([("doc", "<u4"), ("lo", "<u4"), ("n", "u1")])
+_SAMPLE = np.dtype([("gram", "<u4"), ("context", "<u8"), ("doc", "<u4"), ("lo", "<u4"), ("n", "<u2"), ("at", "<u2"), ("known", "u1")])
+_PLACE = np.dtype([("gram", "<u4"), ("doc", "<u4"), ("lo", "<u4"), ("n", "<u2")])
+
+#: Records (samples or windows) that a task sorts at once.
+_AT_ONCE = 1 << 19
 
 
 _RISING = ("doc", "lo")  # mostly in order: differences hold fewer bytes
@@ -46,7 +49,7 @@ def _records(data: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int = 4_000_000):
+def _chunks(batches: Iterator[pa.RecordBatch], most: int = 1_000_000):
     """(rows, texts) of about ``most`` bytes together; a longer text comes alone."""
     for batch in batches:
         texts = [t.encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
@@ -79,14 +82,15 @@ def _sampler(parts: int, width: int, gram: int):
             ids, hs = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc", "h"))
             data = np.frombuffer(b"".join(texts), np.uint8)
             ends = np.cumsum([len(t) for t in texts])
-            names, contexts = Rolling(data, 0), Rolling(data, 1)
-            at, lo, n = cover(names, ends, width, gram)
+            names = Rolling(data, 0).all_of(gram)
+            at, lo, n = cover(names, ends, len(data), width, gram)
             if not len(at):
                 continue
-            name = names.of(at, at + gram)
+            name = names[at]
+            del names
             owner = np.searchsorted(ends, lo, "right")
             out = np.empty(len(at), _SAMPLE)
-            out["gram"], out["context"] = name >> np.uint64(32), contexts.of(lo, lo + n + width - 1) ^ (at - lo).astype(np.uint64)
+            out["gram"], out["context"] = name >> np.uint64(32), Rolling(data, 1).of(lo, lo + n + width - 1) ^ (at - lo).astype(np.uint64)
             out["doc"], out["lo"], out["n"], out["at"] = owner, lo - np.append(0, ends)[owner], n, at - lo
             order, _, least = _first_of_class([name, out["context"]], ids[owner])
             out["known"][order] = ids[owner][order] > least
@@ -105,7 +109,7 @@ def _sampler(parts: int, width: int, gram: int):
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], kind: np.dtype):
-    """All records of a partition with their documents, and their texts if there are any."""
+    """All records of a part with their documents, and their texts if there are any."""
     found, ids, hs, texts = [], [], [], []
     for batch in batches:
         for row in range(batch.num_rows):
@@ -126,12 +130,26 @@ def _spans(ids, hs, lo, n, at, open_) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(hs[s]), pa.array(lo[s].astype(np.int32)), pa.array(n[s].astype(np.int32)), pa.array(at[s].astype(np.int32)), pa.array(open_[s])], names=["doc", "h", "lo", "n", "at", "open"])
 
 
+def _turns(grams: np.ndarray, weights: np.ndarray) -> Iterator[np.ndarray]:
+    """Record numbers in turns of about ``_AT_ONCE`` by weight; records of one name are never parted."""
+    turns = int(weights.sum()) // _AT_ONCE + 1
+    turn = (grams.astype(np.uint64) * np.uint64(turns)) >> np.uint64(32)
+    for k in range(turns):
+        yield np.flatnonzero(turn == k)
+
+
 def _resolve_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Samples of one part -> covered spans, and the samples whose name has other contexts as well (open)."""
     got = _gathered(batches, _SAMPLE)
-    if got is None:
+    if got is not None:
+        records, ids, hs, _ = got
+        for turn in _turns(records["gram"], np.ones(len(records), np.int64)):
+            yield from _resolved(records[turn], ids[turn], hs[turn])
+
+
+def _resolved(records: np.ndarray, ids: np.ndarray, hs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(records):
         return
-    records, ids, hs, _ = got
     order, _, least = _first_of_class([records["gram"], records["context"]], ids)
     records, ids, hs = records[order], ids[order], hs[order]
     covered = (ids > least) | (records["known"] > 0)
@@ -160,7 +178,7 @@ def _contexts(parts: int, width: int, gram: int):
             for piece in np.split(by, np.flatnonzero(np.diff(part[by])) + 1) if len(by) else []:
                 found, place = np.unique(doc[piece], return_inverse=True)
                 records = np.empty(len(piece), _PLACE)
-                records["doc"], records["lo"], records["n"] = place, lo[piece], n[piece]
+                records["gram"], records["doc"], records["lo"], records["n"] = name[piece] >> np.uint64(32), place, lo[piece], n[piece]
                 body = b"".join(texts[d][a : a + k + width - 1] for d, a, k in zip(doc[piece].tolist(), lo[piece].tolist(), n[piece].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(part[piece[0]])], pa.int32()), pa.array([ids[found]]), pa.array([hs[found]]), pa.array([_columns(records)], pa.binary()), pa.array([body], pa.binary())], names=["part", "docs", "hs", "data", "texts"]
@@ -176,6 +194,24 @@ def _merge_windows(width: int):
         if got is None:
             return
         records, ids, hs, body = got
+        sizes = records["n"].astype(np.int64) + width - 1
+        ends = np.cumsum(sizes)
+        for turn in _turns(records["gram"], sizes):
+            text = b"".join(body[b - s : b] for b, s in zip(ends[turn].tolist(), sizes[turn].tolist(), strict=True))
+            yield from windows(records[turn], ids[turn], hs[turn], text)
+
+    def same_bytes(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Whether the window at each begin equals that at the one before, byte by byte."""
+        views = np.lib.stride_tricks.sliding_window_view(data, width)
+        same = np.zeros(len(begin), bool)
+        for k in range(1, len(begin), 50_000):
+            rows = views[begin[k - 1 : k + 50_000]]
+            same[k : k + 50_000] = (rows[1:] == rows[:-1]).all(axis=1)
+        return same
+
+    def windows(records: np.ndarray, ids: np.ndarray, hs: np.ndarray, body: bytes) -> Iterator[pa.RecordBatch]:
+        if not len(records):
+            return
         n = records["n"].astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(n + width - 1)[:-1]])
         owner = np.repeat(np.arange(len(n)), n)
@@ -183,9 +219,15 @@ def _merge_windows(width: int):
         begin = starts[owner] + step
         data = np.frombuffer(body, np.uint8)
         one, two = (Rolling(data, k).of(begin, begin + width) for k in (0, 1))
-        order, _, least = _first_of_class([one, two], ids[owner])
+        doc = ids[owner]
+        order = np.lexsort([doc, two, one])
+        alike = np.append(False, (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]))
+        del one, two
+        near = np.flatnonzero(alike | np.append(alike[1:], False))
+        alike[near] &= same_bytes(data, begin[order[near]])
+        number = np.cumsum(~alike) - 1
         covered = np.zeros(len(owner), bool)
-        covered[order] = ids[owner][order] > least
+        covered[order] = doc[order] > doc[order][np.flatnonzero(~alike)][number]
         hit = np.flatnonzero(covered)
         if not len(hit):
             return
@@ -213,18 +255,21 @@ def repeated_spans(docs: DataFrame, width: int = 50, gram: int = 24) -> DataFram
        their windows sorted by two 64-bit hashes and document, and neighbours compared.
 
     The number of parts is that of shuffle partitions; a task holds one part's samples, of about
-    2 / (width - gram + 2) of the bytes, never a document group.
+    2 / (width - gram + 2) of the bytes, never a document group, and sorts about half a million at once.
+    A name that very many different contexts share stays in one part.
     """
+    if not 1 <= gram <= width <= 60_000:
+        raise ValueError("1 <= gram <= width <= 60000 must hold")
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     samples = docs.mapInArrow(_sampler(parts, width, gram), _SAMPLES)
-    settled = written(samples.repartition(parts, "part").mapInArrow(_resolve_samples, _SPANS), "substring-samples")
+    settled = written(samples.repartitionById(parts, F.col("part")).mapInArrow(_resolve_samples, _SPANS), "substring-samples")
     del samples
     freed(spark)
     places = settled.where("open").groupBy("doc", "h").agg(F.collect_list(F.struct("lo", "n", "at")).alias("places"))
     contexts = docs.join(places, ["doc", "h"]).select("doc", "h", "text", "places").mapInArrow(_contexts(parts, width, gram), _CONTEXTS)
-    merged = written(contexts.repartition(parts, "part").mapInArrow(_merge_windows(width), _SPANS), "substring-windows")
+    merged = written(contexts.repartitionById(parts, F.col("part")).mapInArrow(_merge_windows(width), _SPANS), "substring-windows")
     del contexts, places
     freed(spark)
     return settled.where("not open").unionByName(merged).select("doc", "h", "lo", (F.col("lo") + F.col("n") + width - 1).alias("end"))
@@ -250,14 +295,17 @@ def _cut(text: bytes, spans) -> tuple[int, int, list[bytes]]:
     return removed, runs, kept
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int = 24, keep_bytes: bool = True) -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, gram: int | None = None, keep_bytes: bool = True) -> DataFrame:
     """Every row with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes, null unless ``keep_bytes``) and ``kept_sha256``.
 
     Removed: each byte of a UTF-8 text that lies in a ``width``-byte string that also starts in a text of a
     smaller id, judged on the input. Matches never cross texts; shorter texts lose nothing. Null texts are
     empty. A null id counts below all others. Rows that repeat an id do not cover each other. A cut may
-    fall inside a character, so the rest is bytes. Columns of the output's names are replaced.
+    fall inside a character, so the rest is bytes. Columns of the output's names are replaced. ``gram``,
+    the length of the strings that are sampled and named, is half of ``width`` less one unless given; it
+    changes the cost and not the result.
     """
+    gram = max(1, width // 2 - 1) if gram is None else gram
     whole = text_or_empty(text_col)
     keyed = df.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(whole).alias("h"), whole.alias("text"))
     spans = repeated_spans(keyed.select("doc", "h", "text"), width, gram)
