@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.shared import bounded_batches, freed, outputs_over, text_or_empty, written
+from tidewater.llm.suffix_cover import least_owner
 from tidewater.llm.windows import Rolling, cover
 
 _SPANS = "doc long, h long, lo int, n int, at int, open boolean"
@@ -189,7 +190,7 @@ def _contexts(parts: int, width: int, gram: int):
 
 def _merge_windows(width: int):
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Contexts of one part -> spans of windows that a smaller document has, by sorting all their windows."""
+        """Contexts of one part -> spans of windows that a smaller document has, by sorting all their suffixes to ``width`` bytes."""
         got = _gathered(batches, _PLACE)
         if got is None:
             return
@@ -200,15 +201,6 @@ def _merge_windows(width: int):
             text = b"".join(body[b - s : b] for b, s in zip(ends[turn].tolist(), sizes[turn].tolist(), strict=True))
             yield from windows(records[turn], ids[turn], hs[turn], text)
 
-    def same_bytes(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Whether the window at each begin equals that at the one before, byte by byte."""
-        views = np.lib.stride_tricks.sliding_window_view(data, width)
-        same = np.zeros(len(begin), bool)
-        for k in range(1, len(begin), 50_000):
-            rows = views[begin[k - 1 : k + 50_000]]
-            same[k : k + 50_000] = (rows[1:] == rows[:-1]).all(axis=1)
-        return same
-
     def windows(records: np.ndarray, ids: np.ndarray, hs: np.ndarray, body: bytes) -> Iterator[pa.RecordBatch]:
         if not len(records):
             return
@@ -217,17 +209,8 @@ def _merge_windows(width: int):
         owner = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         begin = starts[owner] + step
-        data = np.frombuffer(body, np.uint8)
-        one, two = (Rolling(data, k).of(begin, begin + width) for k in (0, 1))
         doc = ids[owner]
-        order = np.lexsort([doc, two, one])
-        alike = np.append(False, (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]))
-        del one, two
-        near = np.flatnonzero(alike | np.append(alike[1:], False))
-        alike[near] &= same_bytes(data, begin[order[near]])
-        number = np.cumsum(~alike) - 1
-        covered = np.zeros(len(owner), bool)
-        covered[order] = doc[order] > doc[order][np.flatnonzero(~alike)][number]
+        covered = doc > least_owner(np.frombuffer(body, np.uint8), begin, doc, width)
         hit = np.flatnonzero(covered)
         if not len(hit):
             return
@@ -245,14 +228,16 @@ def repeated_spans(docs: DataFrame, width: int = 50, gram: int = 24) -> DataFram
 
     ``docs``: (doc, h, text), rows told apart by doc and h. Method, after the difference-cover algorithm:
 
-    1. Positions are sampled so that two equal windows sample at the same offset (:func:`cover`). Samples
-       are named by hash, dealt out by name and sorted by name, context (the bytes of all windows that
-       sample the position) and document. Equal neighbours in the sort but the first are covered whole.
+    1. Texts are dealt out by content: each window samples a position, at the same offset in equal windows
+       (:func:`cover`), so that equal windows come together. Samples are named by hash, dealt out by name
+       and sorted by name, context (a hash of the bytes of all windows that sample the position) and
+       document. Equal neighbours in the sort but the first are covered whole, and need no more sorting.
        Before they are dealt, equal samples of one chunk of input are reduced to one that has to be
        settled, so a hot string costs one record a chunk.
-    2. Names with one context are settled, as in the recursion that goes on only where names repeat. For
-       names with several contexts the remaining windows are merged: contexts are dealt out by name, all
-       their windows sorted by two 64-bit hashes and document, and neighbours compared.
+    2. Names with one context are settled. For names with several contexts, the contexts' bytes are dealt
+       out by name, and the suffixes of each part sorted to the depth of ``width`` bytes by a difference
+       cover (:func:`least_owner`): sampled triples are sorted and named, triples of names after them, the
+       other suffixes merged at common offsets, and neighbours' bytes compared.
 
     The number of parts is that of shuffle partitions; a task holds one part's samples, of about
     2 / (width - gram + 2) of the bytes, never a document group, and sorts about half a million at once.
