@@ -69,7 +69,34 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mix_sources, op4_exact_dedup, op5_vector_links, op6_url_filter, op7_substring_dedup, op8_ngram_join, op9_byte_bpe, op10_line_dedup)}
 
+def _concentration_sql(units: str) -> str:
+    """Beta-binomial concentration of a level's units, by moments, from 2 to 200."""
+    return f"""(SELECT CASE WHEN sum(n) IS NULL OR count(*) < 2 OR max(m) * (1 - max(m)) <= 0 THEN 20.0::DOUBLE ELSE 1 / least(greatest(
+        greatest(sum(n * pow(good::DOUBLE / n - m, 2)) - (count(*) - 1) * max(m) * (1 - max(m)), 0) / greatest(sum(n) - sum(n * n)::DOUBLE / sum(n), 1e-9::DOUBLE) / (max(m) * (1 - max(m))), 1.0::DOUBLE / 201), 1.0::DOUBLE / 3) - 1 END
+        FROM {units}, t WHERE n > 0)"""
+
+
+_UPPER = "mean + 1.645::DOUBLE * sqrt(mean * (1 - mean) / (n + k + 1))"
+
 ORACLE_SQL = {
+    "op6_url_filter": rf"""
+        WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+              regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        j AS (SELECT doc_id, bool_and(CASE WHEN quality IS NULL AND toxic IS NULL THEN NULL ELSE coalesce(quality, 1) = 1 AND coalesce(toxic, 0) = 0 END) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+        o AS (SELECT host, good FROM p JOIN j ON try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') AS BIGINT) = doc_id WHERE good IS NOT NULL),
+        h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(*) AS n, sum(good::INT) AS good FROM o GROUP BY 1),
+        d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY 1, 2),
+        s AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY 1),
+        t AS (SELECT (coalesce(sum(good), 0) + 1.0::DOUBLE) / (coalesce(sum(n), 0) + 2.0::DOUBLE) AS m FROM s),
+        ks AS (SELECT {_concentration_sql("s")} AS k), kd AS (SELECT {_concentration_sql("d")} AS k), kh AS (SELECT {_concentration_sql("h")} AS k),
+        sm AS (SELECT suffix, n, k, (good + m * k) / (n + k) AS mean FROM s, ks, t),
+        dm AS (SELECT domain, d.n, kd.k, (d.good + sm.mean * kd.k) / (d.n + kd.k) AS mean FROM d JOIN sm ON sm.suffix = d.suffix, kd),
+        hm AS (SELECT host, h.n, kh.k, (h.good + dm.mean * kh.k) / (h.n + kh.k) AS mean FROM h JOIN dm ON dm.domain = h.domain, kh),
+        u AS (SELECT p.*, coalesce((SELECT any_value({_UPPER}) FROM hm WHERE hm.host = p.host), (SELECT any_value({_UPPER}) FROM dm WHERE dm.domain = array_to_string(string_split(p.host, '.')[-2:], '.')),
+              (SELECT any_value({_UPPER}) FROM sm WHERE sm.suffix = string_split(p.host, '.')[-1]), (SELECT m + 1.645::DOUBLE * sqrt(m * (1 - m) / 21) FROM t)) AS bound FROM p),
+        r AS (SELECT *, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+              WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM u)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound < 0.8::DOUBLE * (SELECT m FROM t) THEN 'block' ELSE 'allow' END AS verdict FROM r""",
     "op3_mix_sources": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(size) * 2.0::DOUBLE AS stop FROM d GROUP BY source),

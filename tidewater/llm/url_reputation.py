@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import outputs_over
+from tidewater.llm.shared import outputs_over, written
 
 #: (verdict, host, path start)
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -54,16 +54,16 @@ def _concentration(units: DataFrame, parent_mean: float) -> float:
     return 1 / rho - 1
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataFrame, DataFrame, float]:
-    """Labelled outcomes (host, good boolean) -> tables of upper posterior bounds by host, domain and suffix, and a bound for all others.
+def host_reputation(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataFrame, DataFrame, float, float]:
+    """Labelled outcomes (host, good boolean) -> tables of upper posterior bounds by host, domain and suffix, a bound for all others, and the mean of all.
 
     A level's good share is shrunk towards its parent: suffix to all pages, domain to suffix, host to
     domain. Each prior is a beta with the parent's posterior mean and a concentration fitted by moments
     of that level's beta-binomial counts. The bound is posterior mean + z standard deviations.
-    Outcomes are summed by host before any join; null outcomes do not count.
+    Outcomes are summed by host once, before any join; null outcomes do not count.
     """
     hosts = outcomes.where("good is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
-    hosts = hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))})
+    hosts = written(hosts, "host-outcomes").withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
@@ -83,19 +83,22 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, D
     )
     host_table = hosts.join(domain_table, "domain").withColumn("mean", posterior(F.col("domain_mean"), k_host)).select("host", F.col("mean").alias("host_mean"), bound(k_host).alias("host_bound"))
     top = mean + z * (mean * (1 - mean) / (20.0 + 1)) ** 0.5
-    return host_table, domain_table, suffix_table, top
+    return host_table, domain_table, suffix_table, top, mean
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, least: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, least: float = 0.8, z: float = 1.645) -> DataFrame:
     """Every page with ``host``, ``path``, ``rule``, ``verdict`` and ``bound``.
 
     The longest fitting rule decides. Without one a page is blocked if the upper posterior bound of its
-    host's good share is under ``least``, that is, when the evidence is clear; hosts without labelled
-    pages take the bound of their domain, else of their suffix, else of all pages. Distinct hosts are
-    judged once and joined back by host; the join splits a hot host at run time. Null or odd urls have
-    an empty host and path. Columns of the output's names are replaced.
+    host's good share is under ``least`` times the share of all labelled pages: when the evidence is clear
+    that the host is worse than the corpus by a fifth or more, and not when it is only surely worse, as any
+    host below the mean would be with enough pages. Hosts without labelled pages take the bound of their
+    domain, else of their suffix, else of all pages, which is never under it. Distinct hosts are judged
+    once and joined back by host; the join splits a hot host at run time. Null or odd urls have an empty
+    host and path. Without outcomes all is allowed that no rule blocks. Columns of the output's names are
+    replaced.
     """
-    host_table, domain_table, suffix_table, top = host_reputation(outcomes, z)
+    host_table, domain_table, suffix_table, top, mean = host_reputation(outcomes, z)
     packed = pages.select(F.struct("*").alias("row"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     hosts = packed.select("host").distinct()
     judged = (
@@ -107,13 +110,18 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", rule
     )
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     found = packed.join(judged, F.col("host") == F.col("of")).select(
-        "row", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bound") < least, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "bound"
+        "row", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bound") < least * mean, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "bound"
     )
     return outputs_over("row", found, ["host", "path", "rule", "verdict", "bound"])
 
 
 def article_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, good) of each labelled page: the number in its path names the document that ``labels`` judges; good is quality 1 and not toxic."""
+    """(host, good) of each labelled page: good is quality 1 and not toxic.
+
+    ``labels`` judges documents, not pages. That the number in a path names the document of the page is an
+    assumption of this link, which the README states. Of repeated labels the worst counts; a label without
+    any judgement, a null id or a path without a number gives no outcome.
+    """
     number = F.expr("try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1), '') as bigint)")
     judged = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.when(F.col("quality").isNull() & F.col("toxic").isNull(), F.lit(None)).otherwise((F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0))).alias("good"))
     paths = pages.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")).select("host", number.alias("number"))
