@@ -131,20 +131,21 @@ def train(texts: list[str], labels: list[str], dim: int = 8, per_width: int = 16
     return ByteConvNet(languages, **p)
 
 
-def fit_languages(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, most_languages: int = 64, seed: int = 7) -> ByteConvNet | None:
+def fit_languages(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000, seed: int = 7) -> ByteConvNet | None:
     """A network fitted on a bounded sample of the rows where ``learn`` holds and language and text are known.
 
-    Bound: about ``per_language`` rows, drawn by a hash of the id, of each of the ``most_languages`` most
-    frequent languages, and three windows of each row (its start, middle and end). None without rows.
+    Bound: at most ``per_language`` rows, drawn by a hash of the id, of each language, and three windows of
+    each row (its start, middle and end). Every language of these rows is learned: what comes to the driver
+    grows with the number of languages and not with the rows. None without rows.
     """
     known = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_languages).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").collect()}
     if not counts:
         return None
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) / 1_000_000
     wanted = F.lit(False)
     for language, n in counts.items():
-        wanted |= (F.col(lang_col) == language) & (draw < min(1.0, 1.2 * per_language / n))
+        wanted |= (F.col(lang_col) == language) & (draw < (1.0 if n <= 4 * per_language else 1.2 * per_language / n))
     length = F.length(text_col)
     parts = [F.substring(F.col(text_col), F.greatest(F.lit(1), at.cast("int")), F.lit(WINDOW)) for at in (F.lit(1), length / 2 - WINDOW / 2, length - WINDOW)]
     sample = known.where(wanted).select(F.col(lang_col).alias("l"), draw.alias("d"), F.array_distinct(F.array(*parts)).alias("parts")).orderBy("l", "d", F.hash("parts")).collect()
@@ -162,7 +163,8 @@ def identify_languages(df: DataFrame, model: ByteConvNet | None, text_col: str =
 
     All bytes of a text are cut into windows of 256 bytes, run through the network in batches, and their
     logits averaged by length. A text that is null or has no letter, and any text without a model, is
-    ``und`` with score 0. Columns of the output's names are replaced.
+    ``und`` with score 0. Of equal scores the language first in code-point order wins. Columns of the
+    output's names are replaced.
     """
     result = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
