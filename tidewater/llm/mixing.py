@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +46,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_
     """Every row with ``source_size``, ``target`` and ``taken``, the words that the mix takes of it.
 
     Method: a row's key is the MD5 of its id and ``seed``, uniform and the same in each run. Within a
-    source the rows are range-sorted by key: the first three hex digits cut the key space into 4,096
-    even ranges, so a source with a third of all rows is spread over as many tasks. Sums by range,
+    source the rows are range-sorted by key: the first hex digits, three or as many more as keep a range
+    under a million rows, cut the key space into even ranges, so a source with a third of all rows is
+    spread over as many tasks. Sums by range,
     prefix sums over a source's ranges and prefix sums within each range give a row's place. A budget
     of e whole passes and a rest takes each row e times, and once more up to the rest; the row on the
     edge is taken in part, so a source gives exactly ``floor(target)`` words.
@@ -60,7 +63,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_
         F.col(source_col).alias("source"),
         F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("size"),
         F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary")).alias("key"),
-    ).withColumn("range", F.substring("key", 1, 3))
+    )
+    digits = max(3, math.ceil(math.log(max(1, df.count()) / 1e6, 16)))
+    packed = packed.withColumn("range", F.substring("key", 1, digits))
     ranges = written(packed.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
