@@ -48,6 +48,31 @@ def test_language_id_on_held_out_rows(spark, folder):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_id_equals_a_plain_forward_pass():
+    net = language_id.train(["the and of that with", "le la les des une"] * 20, ["en", "fr"] * 20, steps=5)
+    texts = ["the", "é漢字 une " * 90, "x" * 255 + "les des" * 3, "\x00"]
+    for text, language, score in zip(texts, *net.predict(texts), strict=True):
+        data, step, total, size = text.encode(), language_id.WINDOW - max(language_id.WIDTHS) + 1, 0.0, 0
+        for at in range(0, max(1, len(data) - max(language_id.WIDTHS) + 1), step):
+            part = data[at : at + language_id.WINDOW]
+            padded = list(part.ljust(language_id.WINDOW, b"\x00"))
+            peaks = []
+            for f in range(net.filters.shape[1]):
+                sums = [sum(float(net.embedding[padded[i + o], e]) * float(net.filters[o * net.dim + e, f]) for o in range(max(language_id.WIDTHS)) for e in range(net.dim)) for i in range(0, language_id.WINDOW - max(language_id.WIDTHS) + 1, 1)] if f < 2 else None
+                peaks.append(max(sums) if sums else None)
+            fast = net.pooled(np.frombuffer(bytes(padded), np.uint8)[None])[0]
+            assert [max(p + float(net.bias[f]), 0) for f, p in enumerate(peaks[:2])] == pytest.approx(fast[:2].tolist(), abs=1e-4)
+            total, size = total + len(part) * (fast @ net.dense + net.dense_bias), size + len(part)
+        odds = np.exp(total / size - (total / size).max())
+        assert language == net.languages[int(odds.argmax())] and score == pytest.approx(float(odds.max() / odds.sum()), abs=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k * 3 + i, chr(97 + k % 26) * (k // 26 + 2) + " word", f"l{k:03d}") for k in range(80) for i in range(3)]
+    model = language_id.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), per_language=2)
+    assert len(model.languages) == 80
+
+
 def test_language_id_odd_rows(odd, none):
     model = language_id.train(["the and of that with", "le la les des une"] * 20, ["en", "fr"] * 20, steps=60)
     got = {r.doc_id: r for r in language_id.identify_languages(odd.withColumn("score", F.lit("mine")), model).collect()}
@@ -146,6 +171,33 @@ def test_vector_groups_match_brute_force(spark):
     assert vector_links.vector_groups(df.limit(0)).count() == 0
 
 
+def test_vector_groups_of_many_lengths_and_repeated_ids(spark):
+    """A hundred lengths, each with a copy; an id on two rows of different vectors; equal vectors in number."""
+    rows = [(2 * d + k, [1.0] * (d - 1) + [2.0]) for d in range(2, 102) for k in range(2)]
+    rows += [(1000, [1.0, 0.0, 0.0]), (1000, [0.0, 0.0, 1.0]), (1001, [1.0, 0.01, 0.0]), (1002, [0.0, 0.01, 1.0]), (1003, [0.0, 1.0, 0.0]), (1003, [0.0, 1.0, 0.0])]
+    rows += [(2000 + k, [1.0, -3.0, 1.0]) for k in range(50)]
+    got = defaultdict(set)
+    for r in vector_links.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect():
+        got[r.vec_id].add((r.n_links, r.component_id, r.kept))
+    assert all(got[2 * d + k] == {(1, 2 * d, k == 0)} for d in range(2, 102) for k in range(2))
+    assert got[1000] == {(1, 1000, True)} and got[1001] == {(1, 1000, False)} and got[1002] == {(1, 1000, False)} and got[1003] == {(0, 1003, True)}
+    assert all(got[2000 + k] == {(49, 2000, k == 0)} for k in range(50))
+
+
+@pytest.mark.parametrize("side", [8, 1024])
+def test_vector_recall_on_embeddings(spark, folder, side, monkeypatch):
+    """All pairs of the sample table; small sides cut each list into many blocks."""
+    monkeypatch.setattr(vector_links, "MEMBERS", side)
+    monkeypatch.setattr(vector_links, "QUERIES", side)
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    rows = table.collect()
+    v = np.array([r.embedding for r in rows], np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = (v @ v.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in vector_links.vector_groups(table).collect()}
+    assert sum(got.values()) >= 0.99 * near.sum() and all(got[r.vec_id] <= k for r, k in zip(rows, near.tolist(), strict=True))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -165,6 +217,56 @@ def test_url_rules_and_reputation(spark):
     assert url_reputation.judge_urls(pages.limit(0), outcomes.limit(0)).count() == 0
 
 
+def test_reputation_equals_brute_force_on_graded_hosts(spark):
+    """Hosts of 0 to 100 percent good pages under three domains, and a host, a domain and a suffix without any."""
+    rng = random.Random(8)
+    pages = [(f"h{k}.d{k % 3}.{'net' if k % 3 else 'info'}", rng.random() < k / 10) for k in range(11) for _ in range(4 + 12 * (k % 4))]
+    asked = sorted({h for h, _ in pages}) + ["new.d1.net", "new.other.net", "new.other.biz", "", "localhost", None]
+    n, good = Counter(h for h, _ in pages), Counter(h for h, g in pages if g)
+    levels = {2: [{h: (n[h], good[h]) for h in n}]}
+    domain, suffix = (lambda h: ".".join(h.split(".")[-2:])), (lambda h: h.split(".")[-1])
+    up = lambda table, name: {k: (sum(v[0] for h, v in table.items() if name(h) == k), sum(v[1] for h, v in table.items() if name(h) == k)) for k in {name(h) for h in table}}
+    hosts = levels[2][0]
+    domains = up(hosts, domain)
+    suffixes = up(domains, suffix)
+    total = [sum(v[i] for v in suffixes.values()) for i in (0, 1)]
+    mean = (total[1] + 1) / (total[0] + 2)
+
+    def strength(units):
+        within = mean * (1 - mean)
+        if len(units) < 2:
+            return 20.0
+        ss = sum(k * (g / k - mean) ** 2 for k, g in units.values())
+        all_ = sum(k for k, _ in units.values())
+        between = max(ss - (len(units) - 1) * within, 0) / (all_ - sum(k * k for k, _ in units.values()) / all_)
+        return 1 / min(max(between / within, 1 / 201), 1 / 3) - 1
+
+    def posterior(units, prior):
+        k = strength(units)
+        means = {u: (g + prior(u) * k) / (m + k) for u, (m, g) in units.items()}
+        return means, {u: means[u] + 1.645 * math.sqrt(means[u] * (1 - means[u]) / (units[u][0] + k + 1)) for u in units}
+
+    suffix_mean, suffix_bound = posterior(suffixes, lambda _: mean)
+    domain_mean, domain_bound = posterior(domains, lambda d: suffix_mean[suffix(d)])
+    _, host_bound = posterior(hosts, lambda h: domain_mean[domain(h)])
+    top = mean + 1.645 * math.sqrt(mean * (1 - mean) / 21)
+    want = {}
+    for h in asked:
+        h = h or ""
+        want[h] = host_bound.get(h, domain_bound.get(domain(h), suffix_bound.get(suffix(h), top)))
+    frame = spark.createDataFrame([(i, None if h is None else f"http://{h}/x") for i, h in enumerate([*asked, asked[0]])], "page_id long, url string")
+    got = url_reputation.judge_urls(frame, spark.createDataFrame([*pages, (asked[0], None)], "host string, good boolean"), rules=[]).collect()
+    assert all(r.bound == pytest.approx(want[r.host]) and r.verdict == ("block" if want[r.host] < 0.8 * mean else "allow") for r in got)
+    assert {r.verdict for r in got} == {"allow", "block"} and len(got) == len(asked) + 1
+
+
+def test_outcomes_of_odd_labels(spark):
+    pages = spark.createDataFrame([(i, f"http://h.net/en/{i}") for i in range(6)] + [(9, "http://h.net/about"), (10, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (1, None, None), (2, None, 0), (3, 1, 1), (None, 1, 0), (4, 1, None)], "doc_id long, quality int, toxic int")
+    got = url_reputation.article_outcomes(pages, labels).collect()
+    assert Counter((r.host, r.good) for r in got) == {("h.net", False): 2, ("h.net", None): 1, ("h.net", True): 2}
+
+
 def covered(rows, width):
     first = {}
     for i, t in sorted((i, (t or "").encode()) for i, t, *_ in rows):
@@ -249,8 +351,9 @@ def test_ngram_join_family_without_a_shared_link(spark):
             words[at] = f"e{i}x{at}"
         rows.append((i, " ".join(words)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(frame).collect()}
-    assert got == groups_of(rows)
+    for turns in (True, False):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(frame, turns=turns).collect()}
+        assert got == groups_of(rows)
 
 
 def test_byte_bpe_equals_library_and_round_trips(odd, none, odd_rows):
@@ -285,5 +388,34 @@ def test_line_dedup_matches_brute_force(odd, none, odd_rows):
         kept = None if want is None else "\n".join(line for k, line in enumerate(want.split("\n")) if (r.doc_id, k) not in gone)
         assert r.text == kept and r.n_removed == sum(1 for i, _ in gone if i == r.doc_id)
     assert line_dedup.without_later_lines(none).count() == 0
-    with pytest.raises(ValueError, match="63 bits"):
-        line_dedup.later_matches(none.sparkSession.createDataFrame([(2**62, "a\nb")], "doc_id long, text string"))
+
+
+def test_line_dedup_takes_hashed_ids_and_clashing_columns(spark):
+    line = "one two three four five six"
+    rows = [(2**62 + 5, f"{line}\nx", 1), (-(2**62), f"a\n\n{line}", 2), (None, line, 3), (2**62 + 6, None, 4)]
+    got = line_dedup.without_later_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines int")).collect()
+    assert {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in got} == {(2**62 + 5, "x", 2, 1), (-(2**62), f"a\n\n{line}", 3, 0), (None, line, 1, 0), (2**62 + 6, None, 0, 0)}
+
+
+@pytest.mark.parametrize("leaders", [True, False])
+def test_line_dedup_of_a_family_that_its_earliest_does_not_match(spark, leaders, monkeypatch):
+    """Lines with more edits the earlier they stand; once with turns of leaders forced, once left to the join."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for at in rng.sample(range(80), 4 if i < 25 else 1):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    turns, real = [], line_dedup._ahead
+
+    def ahead(*args):
+        turns.append(real(*args))
+        return (0, 1000 // len(turns) ** 2) if leaders and len(turns) < 4 else (10**9, 0)
+
+    monkeypatch.setattr(line_dedup, "_ahead", ahead)
+    got = {r.doc for r in line_dedup.later_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [grams(t) for _, t in rows]
+    assert got == {i for i in range(90) if any(alike(sets[i], s) for s in sets[:i])}
+    assert len(turns) == (4 if leaders else 1)

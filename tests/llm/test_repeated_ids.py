@@ -26,3 +26,10 @@ def test_near_copies_of_both_texts_of_an_id(spark):
 def test_later_lines_of_both_texts_of_an_id(spark):
     got = line_dedup.later_matches(spark.createDataFrame(family(), SCHEMA)).collect()
     assert sorted((r.doc, r.line) for r in got) == [(2, 0), (3, 0)]
+
+
+def test_an_id_joins_the_groups_of_its_texts(spark):
+    """Both texts of id 5 stand first under other ids, alike to nothing else."""
+    (_, one), (_, two), *_ = family()
+    got = ngram_join.near_groups(spark.createDataFrame([(3, one), (4, two), (5, one), (5, two), (6, "x")], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (4, 3), (5, 3), (5, 3), (6, 6)]

@@ -5,14 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.set_join import first_tries, gram_sets, may_link, rare_prefixes, verified
+from tidewater.llm.set_join import PLACE, SIGNS, distinct_sets, earlier_tries, gram_sets, may_have_links, numbered_sets, overlap_counts, rare_prefixes, verified
 from tidewater.llm.shared import bounded_batches, freed, outputs_over, text_or_empty, written
 
 
-def _lines(docs: DataFrame, bits: int):
-    """(id, text) by line, where id keeps the order of documents and lines."""
-    split = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    return split.select((F.shiftleft("doc", bits) + F.col("line")).alias("id"), "text")
+def _ahead(prefixes: DataFrame, settled: DataFrame) -> tuple[int, int]:
+    """Rows of columns with a set that is not settled, and about how many pairs a join of such sets with all would make."""
+    rows = prefixes.join(settled.withColumn("known", F.lit(1)), "id", "left")
+    columns = rows.groupBy("g").agg(F.count("*").alias("all"), F.count_if(F.col("known").isNull()).cast("double").alias("open")).where("open > 0")
+    found = columns.agg(F.sum("all").alias("rows"), F.sum(F.col("open") * (F.col("all") - 1)).alias("pairs")).first()
+    return int(found["rows"] or 0), int(found["pairs"] or 0)
+
+
+def _matched(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id) of the sets with an earlier match.
+
+    Each set is tried against the earliest one of the column that it meets in most columns, and those that
+    are left against the earliest one left, while the pairs ahead outnumber the incidence rows and fall by
+    a tenth at least. Then the sets that are left are joined with all earlier ones.
+    """
+    matched = written(verified(earlier_tries(prefixes, None), sets, percent).select(F.col("b").alias("id")), "line-stars")
+    tried = None
+    rows, ahead = _ahead(prefixes, matched)
+    while ahead > rows:
+        before = ahead
+        # leaders that were tried and are not matched themselves do not lead again
+        fresh = prefixes.join(matched, "id", "left_anti").groupBy("g").agg(F.min("id").alias("id")).select("id").distinct()
+        tried = written(fresh if tried is None else tried.unionByName(fresh).distinct(), "line-tried")
+        found = verified(earlier_tries(prefixes, matched.unionByName(tried)), sets, percent).select(F.col("b").alias("id"))
+        matched = written(matched.unionByName(found).distinct(), "line-stars")
+        rows, ahead = _ahead(prefixes, matched)
+        if 10 * ahead > 9 * before:
+            break
+    two = prefixes.join(matched, "id", "left_anti").select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    one = prefixes.select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
+    pairs = overlap_counts(one, two, F.col("a") < F.col("b"), percent)
+    return matched.unionByName(verified(pairs, sets, percent).select(F.col("b").alias("id"))).distinct()
 
 
 def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -25,41 +53,30 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     them. Each set is tried against the earliest in its columns; only sets that this leaves without a
     match are then joined with all earlier ones.
 
-    Null texts are empty; null ids match nothing. Rows that repeat an id share their line numbers. Ids
-    and line numbers together must fit 63 bits, else a ValueError says so. An empty table gives no rows.
+    Null texts are empty; null ids match nothing. Rows that repeat an id share their line numbers. An
+    empty table gives no rows.
     """
     bounded_batches(df.sparkSession)
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
-    size = docs.agg(F.max(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("lines"), F.max(F.abs("doc")).alias("doc")).first()
-    bits = int(size["lines"] or 0).bit_length() + 1
-    if int(size["doc"] or 0).bit_length() + bits > 62:
-        raise ValueError("ids and line numbers do not fit into 63 bits")
-    lines = _lines(docs, bits)
-    base = written(gram_sets(lines, width, percent, whole=False).where("n > 0").select("id", "n", "s1", "s2"), "line-sets")
-    reps = base.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    regions = gram_sets(lines, width, percent, whole=False).where("n > 0")
-    cells = regions.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min_by("grams", "id").alias("grams")).select(F.explode("grams").alias("g"), "id", "n")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = _lines(docs, bits).join(ids.select("id"), "id", "left_semi")
-        return gram_sets(wanted, width, percent, whole=True).select("id", "n", F.xxhash64("s1", "s2").alias("of_text"), "grams").dropDuplicates(["id", "n", "of_text"])
-
-    sets, first = rare_prefixes(cells, sets_of, percent)
+    reps = distinct_sets(docs, width, percent, lines=True)
+    freed(df.sparkSession)
+    places = may_have_links(reps, percent)
+    sets = numbered_sets(docs, places, width, percent, lines=True)
+    prefixes = rare_prefixes(sets, percent)
     freed(df.sparkSession)
-    star = written(verified(first_tries(first), sets, percent), "line-stars")
-    later = first.join(star.select(F.col("b").alias("id")), "id", "left_anti").select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-    early = first.select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
-    pairs = early.join(later, "g").where((F.col("a") < F.col("b")) & may_link(percent)).select("a", "b").distinct()
-    matched = written(star.unionByName(verified(pairs, sets, percent)).select(F.col("b").alias("of")).distinct(), "line-matches")
-    found = base.join(reps, ["n", "s1", "s2"]).join(matched, F.col("rep") == F.col("of"), "left")
-    place = found.where("id <> rep or of is not null").select(F.shiftright("id", bits).alias("doc"), "id")
-    return place.select("doc", (F.col("id") - F.shiftleft("doc", bits)).cast("int").alias("line")).distinct()
+    matched = _matched(prefixes, sets, percent)
+    kept = reps.select(*PLACE, *SIGNS)
+    gone = written(sets.join(matched, "id", "left_semi").select(*PLACE).distinct(), "line-matches")
+    # a line stays if its set is first met there: looked up by place, so that a hot line is no hot key
+    copies = gram_sets(docs, width, percent, "none", lines=True).join(kept, [*PLACE, *SIGNS], "left_anti").select(*PLACE)
+    return copies.unionByName(gone).distinct()
 
 
 def without_later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Every row with ``n_lines``, ``n_removed`` and its text without lines that have an earlier match (see :func:`later_matches`).
 
-    A text that loses all its lines is empty; a null text stays null with 0 lines.
+    A text that loses all its lines is empty; a null text stays null with 0 lines. Columns of the
+    output's names are replaced.
     """
     gone = later_matches(df, id_col, text_col, width, percent).groupBy("doc").agg(F.collect_set("line").alias("gone"))
     packed = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(text_col))

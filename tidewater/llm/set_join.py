@@ -1,4 +1,4 @@
-"""Parts of exact set-similarity joins: regions, shared columns, rare-first prefixes and verification."""
+"""Parts of exact set-similarity joins: sets, regions, shared columns, rare-first prefixes, overlap counts and verification."""
 
 from __future__ import annotations
 
@@ -11,132 +11,202 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.ragged import row_starts, slices
 from tidewater.llm.shared import freed, written
-from tidewater.llm.shingles import WordHashes, shingle_sets
+from tidewater.llm.shingles import joined, line_cuts, shingle_sets
 
+#: What tells distinct sets apart: the place of their first row, and two signatures.
+PLACE, SIGNS = ["doc", "line"], ["n", "s1", "s2"]
 
-def gram_sets(rows: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
-    """(id, text) -> (id, n, s1, s2, grams): the set's size, two independent 64-bit signatures, and its n-grams in hash order.
 
-    Unless ``whole``, only the n-grams of the set's region are listed: the lowest 1.5 * slack hashes,
-    where slack is n - need + 1 and ``need`` the smallest overlap that a link of this set can have.
-    The sets of a slice of texts are made together. The words met are kept for one task only.
-    """
+def gram_sets(docs: DataFrame, width: int, percent: int, grams: str, lines: bool = False) -> DataFrame:
+    """(doc, text) -> (doc, line, n, s1, s2, grams): each text's (or line's) set as its size, two independent 64-bit signatures, and n-grams in hash order.
 
-    def listed(ids: pa.Array, texts: list[str], words: WordHashes) -> pa.RecordBatch:
-        n, grams = shingle_sets(texts, words, width)
-        starts, some = row_starts(n), n > 0
+    ``grams``: of ``whole`` sets, of their ``region`` (the lowest 1.5 * slack hashes, where slack is
+    n - need + 1 and ``need`` the smallest overlap that a link of this set can have), or ``none``. Whole
+    texts are line 0; lines without words give no row. A column ``wanted`` names the lines to give.
+    """
+    some = "wanted" in docs.columns
+
+    def listed(ids: pa.Array, texts: list[str], wanted: list | None) -> pa.RecordBatch:
+        data, cuts = joined(texts)
+        owner, number = np.arange(len(texts)), np.zeros(len(texts), np.int64)
+        first = owner
+        if lines:
+            cuts, owner, number = line_cuts(data, cuts)
+            first = np.flatnonzero(number == 0)
+        n, found = shingle_sets(data, cuts, width)
+        given = n > 0 if lines else np.ones(len(n), bool)
+        if wanted is not None:
+            asked = np.zeros(len(n), bool)
+            asked[np.repeat(first, [len(w) for w in wanted]) + np.array([x for w in wanted for x in w], np.int64)] = True
+            given &= asked
+        starts, full = row_starts(n), n > 0
         s1, s2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-        if some.any():
-            s1[some] = np.add.reduceat(grams, starts[:-1][some])
-            s2[some] = np.bitwise_xor.reduceat(grams * np.uint64(0x9E3779B97F4A7C15) ^ (grams >> np.uint64(29)), starts[:-1][some])
-        if not whole:
+        if full.any():
+            s1[full] = np.add.reduceat(found, starts[:-1][full])
+            s2[full] = np.bitwise_xor.reduceat(found * np.uint64(0x9E3779B97F4A7C15) ^ (found >> np.uint64(29)), starts[:-1][full])
+        out = [ids.take(pa.array(owner[given])), pa.array(number[given].astype(np.int32)), pa.array(n[given]), pa.array(s1[given].view(np.int64)), pa.array(s2[given].view(np.int64))]
+        if grams != "none":
             slack = n + (-percent * n // 100) + 1
-            region = np.minimum(n, (3 * slack + 1) // 2)
-            place = np.arange(len(grams)) - np.repeat(starts[:-1], n)
-            grams, starts = grams[place < np.repeat(region, n)], row_starts(region)
-        return pa.RecordBatch.from_arrays(
-            [ids, pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(grams.view(np.int64)))], names=["id", "n", "s1", "s2", "grams"]
-        )
+            size = np.where(given, n if grams == "whole" else np.minimum(n, (3 * slack + 1) // 2), 0)
+            place = np.arange(len(found)) - np.repeat(starts[:-1], n)
+            found = found[place < np.repeat(size, n)]
+            out.append(pa.ListArray.from_arrays(pa.array(row_starts(size[given]), pa.int32()), pa.array(found.view(np.int64))))
+        return pa.RecordBatch.from_arrays(out, names=["doc", "line", "n", "s1", "s2", "grams"][: len(out)])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
             at = 0
-            for texts in slices(batch.column(1).to_pylist(), 1_000_000):
-                yield listed(batch.column(0).slice(at, len(texts)), texts, words)
+            asked = batch.column(2).to_pylist() if some else None
+            for texts in slices(batch.column(1).to_pylist(), 300_000):
+                yield listed(batch.column(0).slice(at, len(texts)), texts, asked and asked[at : at + len(texts)])
                 at += len(texts)
             pa.default_memory_pool().release_unused()
 
-    return rows.select("id", "text").mapInArrow(sets, "id long, n long, s1 long, s2 long, grams array<long>")
+    return docs.select("doc", "text", *(["wanted"] if some else [])).mapInArrow(sets, "doc long, line int, n long, s1 long, s2 long" + (", grams array<long>" if grams != "none" else ""))
+
+
+def distinct_sets(docs: DataFrame, width: int, percent: int, lines: bool = False) -> DataFrame:
+    """(n, s1, s2, doc, line, grams): each distinct set that is not empty, at the first place that has it, with the n-grams of its region; written."""
+    found = gram_sets(docs.where("doc is not null"), width, percent, "region", lines).where("n > 0")
+    first = F.struct(*PLACE)
+    reps = found.groupBy(*SIGNS).agg(F.min(first).alias("at"), F.min_by("grams", first).alias("grams"))
+    return written(reps.select(*SIGNS, "at.*", "grams"), "set-regions")
 
 
 def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Incidence rows (g, id, n) sorted by n-gram -> (id, n, c): in how many columns of this block a document meets another.
+    """Incidence rows (g, key, n) sorted by n-gram -> (key, n, c): in how many columns of this block a set meets another.
 
     A block's first and last column may go on in a neighbouring block and count as shared.
     """
-    held_g, held_id, held_n = [np.zeros(0, np.int64)] * 3  # the last column met, which may go on
+    held_g, held_key, held_n = [np.zeros(0, np.int64)] * 3  # the last column met, which may go on
     first = None
 
-    def counted(ids, n):
-        order = np.argsort(ids, kind="stable")
-        ids, n = ids[order], n[order]
-        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
-        c = np.diff(np.append(starts, len(ids)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(n[starts]), pa.array(c)], names=["id", "n", "c"])
+    def counted(keys, n):
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        c = np.diff(np.append(starts, len(keys)))
+        return pa.RecordBatch.from_arrays([pa.array(keys[starts]), pa.array(n[starts]), pa.array(c)], names=["key", "n", "c"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        g, ids, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        g, ids, n = np.append(held_g, g), np.append(held_id, ids), np.append(held_n, n)
+        g, keys, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        g, keys, n = np.append(held_g, g), np.append(held_key, keys), np.append(held_n, n)
         first = g[0] if first is None else first
         start = int(np.searchsorted(g, g[-1]))
-        held_g, held_id, held_n = g[start:], ids[start:], n[start:]
+        held_g, held_key, held_n = g[start:], keys[start:], n[start:]
         if len(held_g) > 1:  # already known to be shared: two rows carry the column on
-            yield counted(held_id[:-1], held_n[:-1])
-            held_g, held_id, held_n = np.repeat(held_g[-1:], 2), np.array([held_id[-1], -(2**63)]), np.array([held_n[-1], 0])
-        g, ids, n = g[:start], ids[:start], n[:start]
+            yield counted(held_key[:-1], held_n[:-1])
+            held_g, held_key, held_n = np.repeat(held_g[-1:], 2), np.array([held_key[-1], -(2**63)]), np.array([held_n[-1], 0])
+        g, keys, n = g[:start], keys[:start], n[:start]
         if len(g):
             same = g[1:] == g[:-1]
             shared = np.append(same, False) | np.append(False, same) | (g == first)
             shared &= n > 0
-            yield counted(ids[shared], n[shared])
-    if len(held_id):
-        yield counted(held_id[held_n > 0], held_n[held_n > 0])
-
+            yield counted(keys[shared], n[shared])
+    if len(held_key):
+        yield counted(held_key[held_n > 0], held_n[held_n > 0])
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets overlap enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    overlap = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * overlap >= percent * (F.col("na") + F.col("nb") - overlap)).select("a", "b")
 
+def _shared_least(n: Column, percent: int) -> Column:
+    """The fewest region columns that a set of size n shares with a linked one.
 
-def may_link(percent: int) -> Column:
-    """Sizes and places of a common column (the first that two sets share) from which an overlap can still be large enough."""
-    best = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * best >= percent * (F.col("na") + F.col("nb")))
+    Of m columns m - need may miss in a linked set, so of the region of the one whose region ends first all
+    but these are shared. That rises with m, which is at least the smallest partner's size.
+    """
+    m = F.ceil(n * F.lit(percent) / 100)
+    slack = m - F.ceil(m * F.lit(percent) / 100) + 1
+    return F.least(m, F.floor((3 * slack + 1) / 2)) - slack + 1
 
 
-def rare_prefixes(cells: DataFrame, sets_of, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Incidence (g, id, n) of regions -> whole sets (id, n, of_text, grams) and prefixes (g, id, n, p, alone) of those that may link.
+def may_have_links(reps: DataFrame, percent: int) -> DataFrame:
+    """Places (doc, line) of the sets that can be in a link, by the shared columns of their regions; written.
 
     Incidence rows are range-sorted by n-gram, so that a block is a range of columns and a hot column runs
-    over several blocks; by document the number of columns shared with any other is added up over blocks.
-    Of two linked sets the one whose region ends first shares at least region - (slack - 1) of its columns,
-    0.1 n or more at 80 percent, and the other's size is within the similarity: sets with fewer than
-    0.08 n shared columns are in no link and leave. For the rest ``sets_of`` reads the whole sets; columns
-    are ordered by their count of sets, then by hash, and the first slack columns of a set, of which p is
-    the place, must meet those of each set that it links with. Columns of one set only, ``alone`` of each set, meet nothing.
-    Sets of one id, from different texts, are told apart by ``of_text``; they are candidates together.
+    over several blocks; by set the number of columns shared with any other is added up over blocks. Of
+    two linked sets the one whose region ends first shares at least region - (slack - 1) of its columns,
+    and the other's size is within the similarity: sets with fewer shared columns than their smallest
+    partner would need are in no link and leave. For this a set is named by 48 bits of its signature and
+    its size: sets of one name, which are rare, only stay too long.
+    """
+    spark = reps.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col("s1").bitwiseAND(F.lit((1 << 48) - 1)).alias("key")
+    cells = reps.select(F.explode("grams").alias("g"), key, "n")
+    met = cells.repartitionByRange(parts, "g", "key").sortWithinPartitions("g").mapInArrow(_shared_columns, "key long, n long, c long")
+    may = met.groupBy("key", "n").agg(F.sum("c").alias("c")).where(F.col("c") >= _shared_least(F.col("n"), percent)).select("key", "n")
+    places = written(reps.select(*PLACE, key, "n").join(may, ["key", "n"], "left_semi").select(*PLACE), "set-candidates")
+    freed(spark)
+    return places
+
+
+def numbered_sets(docs: DataFrame, places: DataFrame, width: int, percent: int, lines: bool = False) -> DataFrame:
+    """(id, doc, line, n, grams): the whole sets at ``places``; written. Ids rise with doc and line; several texts at one place are several sets.
+
+    The sets are range-sorted by place, and numbered by range and by row within it.
     """
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = cells.repartitionByRange(parts, "g", "id").sortWithinPartitions("g").mapInArrow(_shared_columns, "id long, n long, c long")
-    least = (100 - percent) * percent / 20_000  # half the slack of the smallest partner
-    may = written(met.groupBy("id", "n").agg(F.sum("c").alias("c")).where(F.col("c") >= F.greatest(F.lit(1), F.floor(F.col("n") * least))).select("id", "n"), "set-candidates")
-    freed(cells.sparkSession)
-    sets = written(sets_of(may), "sets")
-    freed(cells.sparkSession)
-    grams = sets.select(F.explode("grams").alias("g"), "id", "n", "of_text")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = places.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
+    found = gram_sets(docs.join(wanted, "doc").select("doc", "text", "wanted"), width, percent, "whole", lines).where("n > 0")
+    order = [*PLACE, "s1", "s2"]
+    placed = found.repartitionByRange(parts, *order).dropDuplicates(order).sortWithinPartitions(*order)
+    sets = written(placed.select(F.monotonically_increasing_id().alias("id"), *PLACE, "n", "grams"), "sets")
+    freed(spark)
+    return sets
+
+
+def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Prefixes (g, id, n, p, alone) of the sets that may link; written.
+
+    Columns are ordered by their count of sets, then by hash, and the first slack columns of a set, of
+    which p is the place, must meet those of each set that it links with. Columns of one set only,
+    ``alone`` of each set, meet nothing.
+    """
+    grams = sets.select(F.explode("grams").alias("g"), "id", "n")
     counts = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     slack = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
-    common = grams.join(counts, "g").groupBy("id", "n", "of_text").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("common"))
+    common = grams.join(counts, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("common"))
     prefix = (
         common.withColumn("alone", F.col("n") - F.size("common"))
         .where(slack > F.col("alone"))
         .select("id", "n", "alone", F.posexplode(F.slice("common", F.lit(1), (slack - F.col("alone")).cast("int"))).alias("at", "cell"))
         .select(F.col("cell.g").alias("g"), "id", "n", (F.col("alone") + F.col("at")).alias("p"), "alone")
     )
-    return sets, written(prefix, "set-prefixes")
+    return written(prefix, "set-prefixes")
 
 
-def first_tries(prefixes: DataFrame) -> DataFrame:
-    """Each set with the smallest id of a column, the one that it meets in most columns: pairs (a, b), a < b, one row for a b."""
-    leaders = prefixes.groupBy("g").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1")
-    tries = prefixes.join(leaders, "g").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("c"))
-    return tries.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets overlap enough."""
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    overlap = F.size(F.array_intersect("ga", "gb"))
+    return pairs.join(left, "a").join(right, "b").where(100 * overlap >= percent * (F.col("na") + F.col("nb") - overlap)).select("a", "b")
+
+
+def may_link(percent: int) -> Column:
+    """Sizes and places of a common column (the first that two sets share) from which an overlap can still be large enough."""
+    return _enough(F.lit(1), percent) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+
+def _enough(overlap: Column, percent: int) -> Column:
+    """Whether an overlap up to places pa and pb, and all that may follow them, can make a link."""
+    best = overlap + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    return (100 + percent) * best >= percent * (F.col("na") + F.col("nb"))
+
+
+def overlap_counts(one: DataFrame, two: DataFrame, pick: Column, percent: int) -> DataFrame:
+    """The product of incidence rows (g, a, na, pa, ...) and (g, b, nb, pb, ...), as the pairs that may still be links.
+
+    A partition of the join is a block of columns: its partial sums by pair are that block's product, and
+    the sums by pair over blocks are the overlaps within both prefixes. Cells whose places and sizes bound
+    the overlap below a link's are left out before they are added; pairs are left out when the overlap
+    counted and the columns behind the last common one are too few.
+    """
+    cells = one.join(two, "g").where(pick & may_link(percent))
+    counted = cells.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    return counted.where(_enough(F.col("overlap"), percent)).select("a", "b")
 
 
 def open_rows(prefixes: DataFrame, placed: DataFrame) -> DataFrame:
@@ -159,6 +229,14 @@ def central_tries(rows: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
+def earlier_tries(prefixes: DataFrame, settled: DataFrame | None) -> DataFrame:
+    """Each set that is not in ``settled`` (id) with the earliest set not in it of a column, the one that it meets in most columns: pairs (a, b), a < b, one row for a b."""
+    rows = prefixes if settled is None else prefixes.join(settled, "id", "left_anti")
+    leaders = rows.groupBy("g").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1")
+    tries = rows.join(leaders, "g").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("c"))
+    return tries.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
+
+
 def as_smaller(percent: int) -> Column:
     """Places of a column (n, p) at which a set can still overlap enough with one that is no smaller."""
     return (100 + percent) * (F.col("n") - F.col("p")) >= 2 * percent * F.col("n")

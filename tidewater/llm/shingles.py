@@ -1,16 +1,19 @@
-"""Sets of word shingles as 64-bit hashes, for batches of texts."""
+"""Sets of word shingles as 64-bit hashes, for batches of texts or of their lines, on byte arrays."""
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
-import xxhash
 
-from tidewater.llm.ragged import Numbering, row_starts
+from tidewater.llm.ragged import row_starts
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xBF58476D1CE4E5B9)
+_BASE = np.uint64(0xD1342543DE82EF95)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A-Z lower-cased, and every space one byte.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
+_FOLD[_SPACE] = 0x20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -41,49 +44,66 @@ class Powers:
         return self.up, self.down
 
 
-class WordHashes:
-    """64-bit hashes of the words of texts; the words met are kept, begun anew beyond ``most`` of them."""
+_POWERS = Powers(_BASE)
 
-    def __init__(self, most: int = 60_000):
-        self.most, self.numbers, self.hashes = most, Numbering(), np.zeros(0, np.uint64)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.numbers) > self.most:
-            self.numbers, self.hashes = Numbering(), np.zeros(0, np.uint64)
-        known = len(self.numbers)
-        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if len(self.numbers) > known:
-            new = [w for w, _ in zip(reversed(self.numbers), range(len(self.numbers) - known), strict=False)]
-            fresh = np.array([xxhash.xxh64_intdigest(w) for w in reversed(new)], np.uint64)
-            if len(self.hashes) < len(self.numbers):
-                self.hashes = np.concatenate([self.hashes[:known], fresh, np.zeros(len(self.numbers) // 2, np.uint64)])
-            else:
-                self.hashes[known : len(self.numbers)] = fresh
-        return self.hashes[at]
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of texts end to end, and where each starts, with the total at last."""
+    encoded = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(encoded), np.uint8), row_starts(np.array([len(e) for e in encoded], np.int64))
 
 
-def words_of(text: str) -> list[bytes]:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased, in UTF-8."""
-    return text.encode().lower().split()
+def line_cuts(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of texts laid end to end: where each starts (and the total), its text, and its number there. A text has one line at least."""
+    breaks = np.flatnonzero(data == 0x0A)
+    lines = np.diff(np.searchsorted(breaks, cuts)) + 1
+    first = row_starts(lines)
+    starts = np.empty(first[-1] + 1, np.int64)
+    heads = np.zeros(first[-1] + 1, bool)
+    heads[first[:-1]] = True
+    heads[-1] = True
+    starts[first[:-1]] = cuts[:-1]
+    starts[-1] = cuts[-1]
+    starts[~heads] = breaks + 1
+    owner = np.repeat(np.arange(len(lines)), lines)
+    return starts, owner, np.arange(len(owner)) - first[:-1][owner]
 
 
-def shingle_sets(texts: list[str], words: WordHashes, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The size of each text's set, and the sorted distinct hashes of its ``width``-word shingles, text after text.
+def shingle_sets(data: np.ndarray, cuts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each segment's set, and the sorted distinct hashes of its ``width``-word shingles, segment after segment.
 
-    Of fewer words the whole sequence is one shingle; of none the set is empty.
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Of fewer words the whole sequence is one
+    shingle; of none the set is empty. A shingle's hash is the difference of two prefix sums over the
+    bytes, in which any run of spaces is one, so that no word is handled by itself.
     """
-    split = [words_of(t) for t in texts]
-    count = np.array([len(w) for w in split], np.int64)
-    hashed = words(list(chain.from_iterable(split)))
-    del split
-    shingles = np.where(count >= width, count - width + 1, np.minimum(count, 1))
-    owner = np.repeat(np.arange(len(texts)), shingles)
-    at = np.arange(len(owner)) + (row_starts(count)[:-1] - row_starts(shingles)[:-1])[owner]
-    span = np.minimum(count, width)[owner]
-    grams = span.astype(np.uint64)
-    for k in range(width):
-        longer = mixed(grams * _MIX + hashed[np.minimum(at + k, len(hashed) - 1)])
-        grams = np.where(span > k, longer, grams)
-    grams = grams[np.lexsort((grams, owner))]
+    n = len(data)
+    space = _SPACE[data]
+    first = np.ones(n, bool)  # the byte before is a space or another segment's
+    first[1:] = space[:-1]
+    first[cuts[:-1][cuts[:-1] < n]] = True
+    keep = ~(space & first)
+    text = _FOLD[data[keep]]
+    before = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
+    cuts = before[cuts]
+    space = text == 0x20
+    begins = ~space
+    begins[1:] &= space[:-1]
+    heads = cuts[:-1][cuts[:-1] < len(text)]
+    begins[heads] = ~space[heads]
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(text))[: len(starts)]
+    ends = ends - space[ends - 1]
+    up, down = _POWERS.reach(len(text))
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
+    words = np.diff(np.searchsorted(starts, cuts))
+    shingles = np.where(words >= width, words - width + 1, np.minimum(words, 1))
+    owner = np.repeat(np.arange(len(words)), shingles)
+    at = np.arange(len(owner)) + (row_starts(words)[:-1] - row_starts(shingles)[:-1])[owner]
+    begin, end = starts[at], ends[at + np.minimum(words, width)[owner] - 1]
+    grams = mixed((sums[end] - sums[begin]) * down[begin])
+    order = np.argsort(grams)
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(words) <= 1 << 16 else np.int64), kind="stable")]
+    grams = grams[order]
     new = np.append(True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1]))[: len(grams)]
-    return np.bincount(owner[new], minlength=len(texts)), grams[new]
+    return np.bincount(owner[new], minlength=len(words)), grams[new]
