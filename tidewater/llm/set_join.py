@@ -149,7 +149,9 @@ def numbered_sets(docs: DataFrame, places: DataFrame, width: int, percent: int,
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = places.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    found = gram_sets(docs.join(wanted, "doc").select("doc", "text", "wanted"), width, percent, "whole", lines).where("n > 0")
+    # a merge at any size: which documents are wanted grows with the input, and must not be broadcast
+    asked = docs.join(wanted.hint("merge"), "doc").select("doc", "text", "wanted")
+    found = gram_sets(asked, width, percent, "whole", lines).where("n > 0")
     order = [*PLACE, "s1", "s2"]
     placed = found.repartitionByRange(parts, *order).dropDuplicates(order).sortWithinPartitions(*order)
     sets = written(placed.select(F.monotonically_increasing_id().alias("id"), *PLACE, "n", "grams"), "sets")
