@@ -52,7 +52,7 @@ def scheme_changes(spark, folder):
 
 
 def scheme_month(spark, folder):
-    prices = bars(spark, folder).where("security % 3 > 0").groupBy("security").agg(F.round(F.max("close"), 2).alias("price"))
+    prices = bars(spark, folder).where("day >= '1998-01-01'").groupBy("security").agg(F.floor(F.round(F.max("close"), 6)).cast("double").alias("price"))
     return cleaning.scheme_totals(_scheme_changes(spark, folder), prices, ["house", "scheme"], "security")
 
 
@@ -102,7 +102,7 @@ ORACLE_SQL = {
         x AS (SELECT security, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.security = f.security AND t.person = f.person) THEN 'name' WHEN EXISTS (SELECT 1 FROM t WHERE t.security = f.security AND (t.person = f.second OR t.second = f.second)) THEN 'alternative' END AS group_key FROM f WHERE line > 1)
         SELECT security, CASE WHEN group_key IS NOT NULL THEN 'group:' || security END AS group_id, group_key, count(*) AS n FROM x GROUP BY 1, 2, 3""",
     "scheme_changes": f"WITH {_SCHEMES} SELECT * FROM ch",
-    "scheme_month": f"""WITH {_SCHEMES}, {BARS}, pr AS (SELECT security, round(max(close), 2) AS price FROM b WHERE security % 3 > 0 GROUP BY 1)
+    "scheme_month": f"""WITH {_SCHEMES}, {BARS}, pr AS (SELECT security, floor(round(max(close), 6)) AS price FROM b WHERE day >= DATE '1998-01-01' GROUP BY 1)
         SELECT house, scheme, round(sum(change * price), 2) AS net, round(sum(greatest(change * price, 0.0::DOUBLE)), 2) AS bought, round(sum(least(change * price, 0.0::DOUBLE)), 2) AS sold, count(*) FILTER (change > 0) AS adding, count(*) FILTER (change < 0) AS cutting,
         count(*) FILTER (status = 'new') AS "new", count(*) FILTER (status = 'exit') AS exits, count(*) FILTER ("end" > 0) AS holdings, count(*) FILTER (price IS NULL AND change <> 0) AS unvalued FROM ch LEFT JOIN pr ON pr.security = ch.security GROUP BY 1, 2""",
     "flags_report": f"""WITH {FILINGS}, x AS (SELECT unnest(list_filter([CASE WHEN day_to < day_from THEN 'dates_out_of_order' END, CASE WHEN value > 90000 THEN 'large' END, CASE WHEN tax > discount THEN 'tax_above_discount' END], lambda v: v IS NOT NULL)) AS flag FROM f) SELECT flag, count(*) AS n FROM x GROUP BY 1""",

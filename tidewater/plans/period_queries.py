@@ -15,13 +15,6 @@ def _orders(spark, folder):
     return table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("who"), F.col("o_orderdate").cast("date").alias("day"), F.round("o_totalprice", 2).alias("amount"), F.col("o_orderpriority").alias("priority"))
 
 
-def period_changes(spark, folder):
-    o = _orders(spark, folder).withColumn("q", F.quarter("day")).where("year(day) = 1997")
-    by = o.groupBy("who", "q").agg(F.round(F.sum("amount"), 2).alias("amount"))
-    out = periods.period_changes(by.where("q = 3").drop("q"), by.where("q = 2").drop("q"), ["who"], "amount")
-    return out.select("who", "before", "after", F.round("change", 2).alias("change"), "kind")
-
-
 def period_changes_all(spark, folder):
     """Each quarter of all years with the quarter before it."""
     number = (F.year("day") * 4 + F.quarter("day") - 1).cast("int")
@@ -81,21 +74,11 @@ def month_to_date(spark, folder):
     return m.withColumn("before", F.lag("to_date").over(Window.orderBy("month")))
 
 
-def daily_net_calendar(spark, folder):
-    d = deals(spark, folder).where("dayofweek(day) <> 1")
-    return periods.daily_calendar(d, "day", "2024-01-01", "2024-02-10", F.round(F.sum(trades.signed("side", "quantity")), 2))
-
-
 def daily_net_calendar_all(spark, folder):
     """Every day from the first deal to the last, Sundays with their deals."""
     return periods.daily_calendar(deals(spark, folder), "day", None, None, F.round(F.sum(trades.signed("side", "quantity")), 2))
 
 
-def sector_pivot(spark, folder):
-    o = _orders(spark, folder).select("who", F.substring("priority", 1, 1).alias("p"), F.lit(1).cast("long").alias("one"))
-    return periods.pivot_sums(o, "who", "p", ["1", "2", "3"], "one").select("who", F.col("1").alias("p1"), F.col("2").alias("p2"), F.col("3").alias("p3"))
-
-
 def sector_pivot_all(spark, folder):
     o = _orders(spark, folder).select("who", F.substring("priority", 1, 1).alias("p"), F.lit(1).cast("long").alias("one"))
     return periods.pivot_sums(o, "who", "p", ["1", "2", "3", "4", "5"], "one").select("who", *[F.col(p).alias(f"p{p}") for p in "12345"])
@@ -221,13 +204,6 @@ def stage_link_status(spark, folder):
     return linkage.link_stages(later, early, "who", "later_id", "later_day", "earlier_id", "earlier_day")
 
 
-def deals_also_filed(spark, folder):
-    o = _orders(spark, folder).withColumn("who", F.col("who") % 200)
-    f = filings(spark, folder).where("day_to >= day_from and datediff(day_to, day_from) < 60").select((F.col("second") % 200).alias("who"), "day_from", "day_to")
-    out = linkage.exists_in_span(o, f, ["who"], "day", "day_from", "day_to")
-    return out.groupBy("who", "in_span").agg(F.count("*").alias("n"))
-
-
 def deals_also_filed_all(spark, folder):
     """Orders against the spans of any length of their own customer."""
     f = filings(spark, folder).select(F.col("second").alias("who"), "day_from", "day_to")
@@ -283,7 +259,7 @@ def _first():
     return Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey", "l_tax", "l_returnflag")
 
 
-QUERIES = {f.__name__: f for f in (period_changes, period_changes_all, stock_months, month_prices, holders_latest_vs_prev, latest_n_dates, derive_quarters, growth_yoy, weekly_bins, month_to_date, daily_net_calendar, daily_net_calendar_all, sector_pivot, sector_pivot_all, unbroken_since, session_window_30m, window_tumbling, session_window_stream, dedup_within_window, crossings, fiscal_quarters, archive_merge_upsert, archive_backfill, possibly_withdrawn, pending_retries, due_next, asof_market_cap, asof_tolerance, asof_strict, asof_forward, asof_nearest, matched_pairs, pair_copies_ranked, stage_link_status, deals_also_filed, deals_also_filed_all, unmatched_prefix_resolve, resolve_cascade, unit_checks, coverage_status, add_up, data_health, differing_fields)}
+QUERIES = {f.__name__: f for f in (period_changes_all, stock_months, month_prices, holders_latest_vs_prev, latest_n_dates, derive_quarters, growth_yoy, weekly_bins, month_to_date, daily_net_calendar_all, sector_pivot_all, unbroken_since, session_window_30m, window_tumbling, session_window_stream, dedup_within_window, crossings, fiscal_quarters, archive_merge_upsert, archive_backfill, possibly_withdrawn, pending_retries, due_next, asof_market_cap, asof_tolerance, asof_strict, asof_forward, asof_nearest, matched_pairs, pair_copies_ranked, stage_link_status, deals_also_filed_all, unmatched_prefix_resolve, resolve_cascade, unit_checks, coverage_status, add_up, data_health, differing_fields)}
 
 _O = "o AS (SELECT o_orderkey AS id, o_custkey AS who, CAST(o_orderdate AS DATE) AS day, round(o_totalprice, 2) AS amount, o_orderpriority AS priority FROM orders)"
 _DR = f"""{DEALS}, t AS (SELECT min(event_type) AS lo FROM d), r AS (SELECT client, day, max(round(quantity, 2)) AS price FROM d WHERE event_type = (SELECT lo FROM t) GROUP BY 1, 2),
@@ -291,9 +267,6 @@ _DR = f"""{DEALS}, t AS (SELECT min(event_type) AS lo FROM d), r AS (SELECT clie
 _ASOF = "SELECT event_id, l.client, asked, r.price, r.day AS matched_time FROM l ASOF LEFT JOIN r ON l.client = r.client AND l.asked {0} r.day"
 
 ORACLE_SQL = {
-    "period_changes": f"""WITH {_O}, q AS (SELECT who, quarter(day) AS q, round(sum(amount), 2) AS a FROM o WHERE year(day) = 1997 GROUP BY 1, 2),
-        j AS (SELECT coalesce(x.who, y.who) AS who, coalesce(x.a, 0) AS before, coalesce(y.a, 0) AS after FROM (SELECT * FROM q WHERE q = 2) x FULL JOIN (SELECT * FROM q WHERE q = 3) y ON x.who = y.who)
-        SELECT who, before, after, round(after - before, 2) AS change, CASE WHEN before = 0 AND after > 0 THEN 'new' WHEN before > 0 AND after = 0 THEN 'exit' WHEN after > before THEN 'added' WHEN after < before THEN 'cut' ELSE 'held' END AS kind FROM j""",
     "period_changes_all": f"""WITH {_O}, q AS (SELECT who, (year(day) * 4 + quarter(day) - 1)::INT AS n, round(sum(amount), 2) AS a FROM o GROUP BY 1, 2),
         j AS (SELECT coalesce(x.who, y.who) AS who, coalesce(x.n + 1, y.n) AS n, coalesce(x.a, 0) AS before, coalesce(y.a, 0) AS after FROM q x FULL JOIN q y ON x.who = y.who AND x.n + 1 = y.n)
         SELECT who, make_date(n // 4, n % 4 * 3 + 1, 1) AS quarter, before, after, round(after - before, 2) AS change, CASE WHEN before = 0 AND after > 0 THEN 'new' WHEN before > 0 AND after = 0 THEN 'exit' WHEN after > before THEN 'added' WHEN after < before THEN 'cut' ELSE 'held' END AS kind
@@ -311,12 +284,9 @@ ORACLE_SQL = {
         SELECT a.who, a.year, a.amount, b.amount AS year_ago, round(CASE WHEN b.amount > 0 THEN (a.amount / b.amount - 1) * 100 END, 4) AS growth_pct FROM y a LEFT JOIN y b ON a.who = b.who AND a.year = b.year + 1""",
     "weekly_bins": f"WITH {DEALS}, m AS (SELECT max(day) AS z FROM d) SELECT ((SELECT z FROM m) - day) // 7 AS bin, count(*) AS n, round(sum(quantity), 2) AS total FROM d WHERE (SELECT z FROM m) - day < 28 GROUP BY 1",
     "month_to_date": f"WITH {_O}, m AS (SELECT CAST(date_trunc('month', day) AS DATE) AS month, round(sum(amount), 2) AS to_date FROM o WHERE day(day) <= 15 GROUP BY 1) SELECT *, lag(to_date) OVER (ORDER BY month) AS before FROM m",
-    "daily_net_calendar": f"""WITH {DEALS}, c AS (SELECT CAST(x AS DATE) AS day FROM generate_series(DATE '2024-01-01', DATE '2024-02-10', INTERVAL 1 DAY) t(x)),
-        s AS (SELECT day, round(sum(CASE WHEN side = 'SELL' THEN -quantity ELSE quantity END), 2) AS total FROM d WHERE dayofweek(day) <> 0 GROUP BY 1) SELECT c.day, coalesce(total, 0.0::DOUBLE) AS total FROM c LEFT JOIN s ON s.day = c.day""",
     "daily_net_calendar_all": f"""WITH {DEALS}, c AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS DATE) AS day),
         s AS (SELECT day, round(sum(CASE WHEN side = 'SELL' THEN -quantity ELSE quantity END), 2) AS total FROM d GROUP BY 1) SELECT c.day, coalesce(total, 0.0::DOUBLE) AS total FROM c LEFT JOIN s ON s.day = c.day""",
     "sector_pivot_all": f"WITH {_O} SELECT who, {', '.join(f'count(*) FILTER (priority[1] = {chr(39)}{p}{chr(39)}) AS p{p}' for p in '12345')} FROM o GROUP BY 1",
-    "sector_pivot": f"WITH {_O} SELECT who, count(*) FILTER (priority[1] = '1') AS p1, count(*) FILTER (priority[1] = '2') AS p2, count(*) FILTER (priority[1] = '3') AS p3 FROM o GROUP BY 1",
     "unbroken_since": f"""WITH {DEALS}, n AS (SELECT DISTINCT client, (day - DATE '2024-01-01')::BIGINT AS number FROM d), i AS (SELECT *, number - row_number() OVER (PARTITION BY client ORDER BY number) AS g FROM n),
         r AS (SELECT client, min(number) AS since, max(number) AS upto, count(*) AS length, row_number() OVER (PARTITION BY client ORDER BY max(number) DESC) AS nth FROM i GROUP BY client, g) SELECT client, since, upto, length FROM r WHERE nth = 1""",
     "session_window_30m": f"""WITH {DEALS}, x AS (SELECT *, CASE WHEN date_diff('second', lag(ts) OVER w, ts) < 1800 THEN 0 ELSE 1 END AS opens FROM d WINDOW w AS (PARTITION BY client ORDER BY ts, event_id)),
@@ -355,8 +325,6 @@ ORACLE_SQL = {
         SELECT a.client, a.day, a.event_id AS left_id, b.event_id AS right_id FROM r a JOIN r b ON a.client = b.client AND a.day = b.day AND a.p = b.p WHERE a.side = 'BUY' AND b.side = 'SELL'""",
     "stage_link_status": f"""WITH {_O}, g AS (SELECT l.id AS later_id, count(DISTINCT e.id) AS n, min(e.id) AS e FROM o l LEFT JOIN o e ON e.who = l.who AND e.priority = '1-URGENT' AND e.day BETWEEN l.day - 180 AND l.day WHERE l.priority = '5-LOW' GROUP BY 1)
         SELECT later_id, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS status, CASE WHEN n = 1 THEN e END AS linked FROM g""",
-    "deals_also_filed": f"""WITH {FILINGS}, {_O}, s AS (SELECT DISTINCT second % 200 AS who, day_from, day_to FROM f WHERE day_to >= day_from AND day_to - day_from < 60), x AS (SELECT who % 200 AS who, day FROM o)
-        SELECT who, EXISTS (SELECT 1 FROM s WHERE s.who = x.who AND x.day BETWEEN day_from AND day_to) AS in_span, count(*) AS n FROM x GROUP BY 1, 2""",
     "deals_also_filed_all": f"""WITH {FILINGS}, {_O}
         SELECT who, EXISTS (SELECT 1 FROM f WHERE f.second = o.who AND o.day BETWEEN day_from AND day_to) AS in_span, count(*) AS n FROM o GROUP BY 1, 2""",
     "unmatched_prefix_resolve": """WITH s AS (SELECT lower(s_name) AS fname, s_suppkey AS code FROM supplier), n AS (SELECT substr(fname, 1, length(fname) - 1) AS name FROM s UNION SELECT fname FROM s)

@@ -51,50 +51,6 @@ def price_jumps(spark, folder):
     return prices.price_jumps(_b(spark, folder), "security", "day", "close", o, 0.40, 30).groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("factor"), 3).alias("sum_factor"))
 
 
-def high_52w_distance(spark, folder):
-    out = prices.rolling_high(_b(spark, folder), "security", "day", "close", 20, 10)
-    return out.select("security", "day", F.round("high_close", 4).alias("high_close"), F.round("from_high_pct", 4).alias("from_high_pct"))
-
-
-def _returns(spark, folder):
-    events = filings(spark, folder).where((F.col("side") == "BUY") & (F.col("quantity") >= 45)).select("order_id", "line", "security", "person", F.col("day_to").alias("day"), (F.col("person") % 5).alias("signal"))
-    b, s = _b(spark, folder), sessions(spark, folder)
-    return prices.forward_returns(events.withColumn("security", F.col("security") % 25), _market(b), s, "security", "day", "close", (5, 21))
-
-
-def _market(b):
-    """25 groups of securities as one series each, so that most sessions have a print."""
-    g = b.groupBy((F.col("security") % 25).alias("security"), "day").agg(F.round(F.sum("value") / F.sum("quantity"), 6).alias("close"))
-    return g
-
-
-def forward_returns(spark, folder):
-    return _returns(spark, folder).select("order_id", "line", "security", "day", F.round("entry", 4).alias("entry"), F.round("r_5", 4).alias("r_5"), F.round("r_21", 4).alias("r_21")).distinct()
-
-
-def track_summary(spark, folder):
-    out = prices.return_summary(_returns(spark, folder), "signal", (5, 21))
-    return out.select("signal", "horizon", "cases", *[F.round(c, 3).alias(c) for c in ("mean", "median", "up_share", "half_width")])
-
-
-def evidence_verdict(spark, folder):
-    return prices.verdict(prices.return_summary(_returns(spark, folder), "signal", (5, 21))).select("signal", "horizon", "verdict")
-
-
-def _events_numbered(spark, folder):
-    f = filings(spark, folder).where("quantity >= 40").select("person", F.col("day_to").alias("day")).distinct()
-    return prices.sessions_upto(f, sessions(spark, folder), "day", "number")
-
-
-def spacing_21_sessions(spark, folder):
-    return prices.spaced(_events_numbered(spark, folder), ["person"], "number", 21)
-
-
-def basket_positions(spark, folder):
-    kept = prices.spaced(_events_numbered(spark, folder), ["person"], "number", 64)
-    return kept.select("person", (F.col("number") + 1).alias("entry_no"), (F.col("number") + 64).alias("exit_no"))
-
-
 def high_52w_distance_all(spark, folder):
     """The default window: 250 bars, null before 120."""
     out = prices.rolling_high(_b(spark, folder), "security", "day", "close")
@@ -167,20 +123,10 @@ def price_summary(spark, folder):
     return ranked.withColumn("place", place).select("security", "last_day", "close", "hi", "lo", "bars", F.when(F.col("place") <= 20, "large").when(F.col("place") <= 100, "mid").otherwise("small").alias("bucket"))
 
 
-QUERIES = {f.__name__: f for f in (daily_bars, sessions_after_lateness, implied_factors, adjusted_close, price_jumps, high_52w_distance, forward_returns, track_summary, evidence_verdict, spacing_21_sessions, basket_positions, high_52w_distance_all, forward_returns_all, track_summary_all, evidence_verdict_all, spacing_21_sessions_all, basket_positions_all, average_daily_value, interval_day_range, price_check_ladder, holding_check, price_summary)}
+QUERIES = {f.__name__: f for f in (daily_bars, sessions_after_lateness, implied_factors, adjusted_close, price_jumps, high_52w_distance_all, forward_returns_all, track_summary_all, evidence_verdict_all, spacing_21_sessions_all, basket_positions_all, average_daily_value, interval_day_range, price_check_ladder, holding_check, price_summary)}
 
 _FACTORS = f"""{_BARS}, p AS (SELECT *, lag(close) OVER w AS prev_close, day - lag(day) OVER w AS gap_days FROM b WINDOW w AS (PARTITION BY security ORDER BY day)),
     k AS (SELECT *, CASE WHEN prev_close > 0 THEN close / prev_close END AS factor FROM p)"""
-_UPTO = "(SELECT count(*) FROM s WHERE s.day <= {0})"
-_RETURNS = f"""{FILINGS}, {_BARS}, {SESSIONS}, m AS (SELECT security % 25 AS security, b.day, round(sum(value) / sum(quantity), 6) AS close, any_value(session_no) AS no FROM b JOIN s ON s.day = b.day GROUP BY 1, 2),
-    c AS (SELECT day, session_no + 1 AS entry_no FROM s),
-    e AS (SELECT order_id, line, security % 25 AS security, f.day_to AS day, person % 5 AS signal, entry_no FROM f JOIN c ON c.day = f.day_to WHERE side = 'BUY' AND quantity >= 45),
-    r AS (SELECT e.*, m0.close AS entry, (m5.close / m0.close - 1) * 100 - 0.25::DOUBLE AS r_5, (m21.close / m0.close - 1) * 100 - 0.25::DOUBLE AS r_21 FROM e
-        LEFT JOIN m m0 ON m0.security = e.security AND m0.no = entry_no LEFT JOIN m m5 ON m5.security = e.security AND m5.no = entry_no + 5 LEFT JOIN m m21 ON m21.security = e.security AND m21.no = entry_no + 21)"""
-_SUMMARY = _RETURNS + """, l AS (SELECT signal, 5 AS horizon, r_5 AS r FROM r WHERE r_5 IS NOT NULL UNION ALL SELECT signal, 21, r_21 FROM r WHERE r_21 IS NOT NULL),
-    g AS (SELECT signal, horizon, count(*) AS cases, avg(r) AS mean, median(r) AS median, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS up_share, 1.645 * stddev_samp(r) / sqrt(count(*)) AS half_width FROM l GROUP BY 1, 2)"""
-_SPACED = f"""{FILINGS}, {SESSIONS}, e AS (SELECT DISTINCT person, session_no AS number FROM f JOIN s ON s.day = day_to WHERE quantity >= 40),
-    k AS (SELECT person, min(number) AS number FROM e GROUP BY 1 UNION ALL SELECT k.person, (SELECT min(number) FROM e WHERE e.person = k.person AND e.number >= k.number + {{0}}) FROM k WHERE (SELECT min(number) FROM e WHERE e.person = k.person AND e.number >= k.number + {{0}}) IS NOT NULL)"""
 _RETURNS_ALL = f"""{FILINGS}, {_BARS}, {SESSIONS}, m AS (SELECT security, close, session_no AS no FROM b JOIN s ON s.day = b.day),
     e AS (SELECT order_id, line, security, f.day_to AS day, side || ':' || (person % 5) AS signal, session_no + 1 AS entry_no FROM f JOIN s ON s.day = f.day_to),
     r AS (SELECT e.*, m0.close AS entry, {", ".join(f"(m{n}.close / m0.close - 1) * 100 - 0.25::DOUBLE AS r_{n}" for n in LIMITS.horizons)} FROM e
@@ -203,13 +149,6 @@ ORACLE_SQL = {
     "price_jumps": f"""WITH {_FACTORS}, a AS (SELECT DISTINCT l_partkey AS security, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_linestatus = 'F' AND l_quantity >= 49),
         x AS (SELECT *, EXISTS (SELECT 1 FROM a WHERE a.security = k.security AND a.day <= k.day AND a.day > k.day - CAST(k.gap_days AS INTEGER)) AS filed FROM k WHERE abs(factor - 1) >= 0.40)
         SELECT CASE WHEN filed THEN 'action_filed' WHEN gap_days > 30 THEN 'after_gap' ELSE 'unexplained' END AS status, count(*) AS n, round(sum(factor), 3) AS sum_factor FROM x GROUP BY 1""",
-    "high_52w_distance": f"""WITH {_BARS}, x AS (SELECT *, CASE WHEN count(*) OVER w >= 10 THEN max(close) OVER w END AS h FROM b WINDOW w AS (PARTITION BY security ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-        SELECT security, day, round(h, 4) AS high_close, round((close / h - 1) * 100, 4) AS from_high_pct FROM x""",
-    "forward_returns": f"WITH {_RETURNS} SELECT DISTINCT order_id, line, security, day, round(entry, 4) AS entry, round(r_5, 4) AS r_5, round(r_21, 4) AS r_21 FROM r",
-    "track_summary": f"WITH {_SUMMARY} SELECT signal, horizon, cases, round(mean, 3) AS mean, round(median, 3) AS median, round(up_share, 3) AS up_share, round(half_width, 3) AS half_width FROM g",
-    "evidence_verdict": f"WITH {_SUMMARY} SELECT signal, horizon, CASE WHEN cases < 30 THEN 'few' WHEN mean - half_width > 0 THEN 'positive' WHEN mean + half_width < 0 THEN 'drag' ELSE 'no_edge' END AS verdict FROM g",
-    "spacing_21_sessions": f"WITH RECURSIVE {_SPACED.format(21)} SELECT person, number FROM k",
-    "basket_positions": f"WITH RECURSIVE {_SPACED.format(64)} SELECT person, number + 1 AS entry_no, number + 64 AS exit_no FROM k",
     "high_52w_distance_all": f"""WITH {_BARS}, x AS (SELECT *, CASE WHEN count(*) OVER w >= 120 THEN max(close) OVER w END AS h FROM b WINDOW w AS (PARTITION BY security ORDER BY day ROWS BETWEEN 249 PRECEDING AND CURRENT ROW))
         SELECT security, day, round(h, 4) AS high_close, round((close / h - 1) * 100, 4) AS from_high_pct FROM x""",
     "forward_returns_all": f"WITH {_RETURNS_ALL} SELECT order_id, line, security, day, round(entry, 4) AS entry, {', '.join(f'round(r_{n}, 4) AS r_{n}' for n in LIMITS.horizons)} FROM r",

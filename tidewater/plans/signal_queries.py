@@ -43,7 +43,7 @@ def _ideas(spark, folder):
 
 
 def worth_a_look(spark, folder):
-    return _ideas(spark, folder).select("security", "lead", "makers", F.round("pct", 6).alias("pct"), F.round("value", 2).alias("value"), F.round("avg_price", 8).alias("avg_price"), "last", F.array_join("kinds", ",").alias("kinds"))
+    return _ideas(spark, folder).select("security", "lead", "makers", F.round("pct", 6).alias("pct"), F.round("value", 2).alias("value"), "last", F.array_join("kinds", ",").alias("kinds"))
 
 
 def _warnings(spark, folder):
@@ -153,16 +153,17 @@ def screener_presets(spark, folder):
 def _months(spark, folder):
     """(house, security, month, shares, value, name): an order's nation of customers holds its parts in the month it was placed."""
     c = table(spark, folder, "customer").select(F.col("c_custkey").alias("second"), F.col("c_nationkey").alias("house"))
-    f = filings(spark, folder).join(c, "second").where(F.col("security") % 5 == 0)
+    f = filings(spark, folder).join(c, "second")
     return f.groupBy("house", "security", ((F.year("day_from") - 1990) * 12 + F.month("day_from")).alias("month")).agg(F.sum("quantity").alias("shares"), F.round(F.sum("value"), 2).alias("value"))
 
 
 def holdings_by_stock(spark, folder):
     m = _months(spark, folder)
     ch = periods.successive_changes(m, ["house", "security"], "month", "shares").join(m.select("house", "security", "month", "value"), ["house", "security", "month"], "left")
-    out = holdings.by_security(ch.select(F.concat_ws(":", "month", "security").alias("security"), "house", "kind", "change", "after", "value"))
+    cents = F.round(F.col("value") * 100).cast("long")  # whole numbers: their sums do not depend on the order
+    out = holdings.by_security(ch.select(F.concat_ws(":", "month", "security").alias("security"), "house", "kind", "change", "after", cents.alias("value")))
     key = F.split("security", ":")
-    return out.select(key[0].cast("int").alias("month"), key[1].cast("bigint").alias("security"), "adding", "cutting", "starting", "leaving", F.round("net", 2).alias("net"), "holding", F.round("price", 8).alias("price"), F.round("net_value", 2).alias("net_value"))
+    return out.select(key[0].cast("int").alias("month"), key[1].cast("bigint").alias("security"), "adding", "cutting", "starting", "leaving", F.round("net", 2).alias("net"), "holding", F.floor(F.col("price") + 0.5).alias("price_cents"), F.floor(F.col("net_value") + 0.5).alias("net_cents"))
 
 
 def first_held(spark, folder):
@@ -192,7 +193,7 @@ def bucket_rollup(spark, folder):
 
 
 def _actions(spark, folder):
-    li = table(spark, folder, "lineitem").where("l_linenumber <= 2")
+    li = table(spark, folder, "lineitem")
     purpose = F.when(F.col("l_linenumber") == 1, F.when(F.col("l_returnflag") == "N", "Bonus").otherwise("dividend")).otherwise("split")
     return li.select(F.col("l_partkey").alias("security"), purpose.alias("purpose"), F.col("l_shipdate").cast("date").alias("ex_day"), (F.col("l_quantity") % 3).alias("new_for"), F.lit(2.0).alias("held"), F.lit(10.0).alias("face_from"), (F.col("l_quantity") % 5 + 1).alias("face_to"))
 
@@ -213,7 +214,7 @@ def clean_ratios(spark, folder):
 
 def basket_nav(spark, folder):
     b = bars(spark, folder).select("security", "day", "close")
-    pos = filings(spark, folder).where("quantity >= 49 and side = 'BUY' and security % 20 = 0").groupBy("security").agg(F.min("day_to").alias("entry_day"), F.max("day_to").alias("last")).select("security", "entry_day", F.when(F.col("last") > F.col("entry_day"), F.col("last")).alias("exit_day"))
+    pos = filings(spark, folder).where("side = 'BUY'").groupBy("security").agg(F.min("day_to").alias("entry_day"), F.max("day_to").alias("last")).select("security", "entry_day", F.when(F.col("last") > F.col("entry_day"), F.col("last")).alias("exit_day"))
     return holdings.basket_nav(pos, b, 0.25).select("day", "open_positions", F.round("mean_return", 6).alias("mean_return"), F.round("nav", 4).alias("nav"))
 
 
@@ -228,7 +229,7 @@ def _dec(side, where):
 _IDEAS = f"""{FILINGS}, {_SIZE}, db AS ({_dec('BUY', '(value >= 30000 OR days >= 2)')}),
     cl AS (SELECT security FROM f WHERE side = 'BUY' AND day_to > DATE '{REF}' - 30 AND day_to <= DATE '{REF}' GROUP BY 1 HAVING count(DISTINCT CASE WHEN person % 10 = 0 THEN 'GROUP' ELSE CAST(person AS VARCHAR) END) >= 2),
     sp AS (SELECT DISTINCT w.security FROM (SELECT security, person, round(sum(CASE WHEN side = 'BUY' AND day_to > DATE '{REF}' - 30 THEN value ELSE 0 END), 2) AS v FROM f WHERE {_WINDOW} GROUP BY 1, 2) w JOIN z ON z.security = w.security WHERE v / market_cap * 100 >= 3.5),
-    look AS (SELECT security, arg_max(person, {{'a': pct, 'b': -person}}) AS lead, count(*) AS makers, round(sum(pct), 6) AS pct, round(sum(value), 2) AS value, round(sum(value) / sum(quantity), 8) AS avg_price, max(last_day) AS last,
+    look AS (SELECT security, arg_max(person, {{'a': pct, 'b': -person}}) AS lead, count(*) AS makers, round(sum(pct), 6) AS pct, round(sum(value), 2) AS value, max(last_day) AS last,
         list_filter([CASE WHEN bool_or(person % 10 = 0) THEN 'group_buying' END, CASE WHEN bool_or(person % 10 <> 0 AND person % 10 < 6) THEN 'officer_buying' END, CASE WHEN security IN (SELECT security FROM cl) THEN 'cluster' END,
             CASE WHEN security IN (SELECT security FROM sp) THEN 'spotlight' END, CASE WHEN bool_or(days >= 2) THEN 'steady' END], lambda x: x IS NOT NULL) AS kinds FROM db GROUP BY security)"""
 _WARN = f"""ds AS ({_dec('SELL', f"((person % 10 = 0 AND (value >= 30000 OR days >= 3)) OR (person % 10 <> 0 AND value >= {_BIG}::DOUBLE))")}),
@@ -238,9 +239,9 @@ _STAKES = """st AS (SELECT security, holder, b, s, a, max(day) AS last FROM (SEL
         FROM (SELECT *, coalesce(b > 0 AND (b >= 2 OR (a >= 5 AND a - b < 5)), false) AS up, coalesce(s > 0 AND (s >= 2 OR (a < 5 AND a + s >= 5)), false) AS down FROM st) WHERE up OR down)"""
 _FUNDS = f"""fe AS (SELECT n.security, CASE WHEN net > 0 THEN 'look' ELSE 'warn' END AS list, CASE WHEN net > 0 THEN 'funds_buying' ELSE 'funds_selling' END AS kind, round(abs(net / market_cap * 100), 6) AS pct, round(abs(net), 2) AS value, last
     FROM (SELECT d.security, sum(CASE WHEN side = 'SELL' THEN -quantity * 100 ELSE quantity * 100 END) AS net, max(day) AS last FROM d WHERE client % 3 = 0 GROUP BY 1) n JOIN z ON z.security = n.security WHERE abs(net / market_cap * 100) >= 0.25)"""
-_MONTHS = f"""{FILINGS}, m AS (SELECT c_nationkey AS house, security, (year(day_from) - 1990) * 12 + month(day_from) AS month, sum(quantity) AS shares, round(sum(value), 2) AS value FROM f JOIN customer ON c_custkey = second WHERE security % 5 = 0 GROUP BY 1, 2, 3)"""
-_ACTIONS = """a AS (SELECT DISTINCT l_partkey AS security, CAST(l_shipdate AS DATE) AS ex_day, CASE WHEN l_linenumber = 2 THEN 'split' WHEN l_returnflag = 'N' THEN 'bonus' ELSE 'dividend' END AS purpose,
-        CASE WHEN l_linenumber = 2 THEN (l_quantity % 5 + 1) / 10.0::DOUBLE WHEN l_returnflag = 'N' AND l_quantity % 3 > 0 THEN 2.0::DOUBLE / (2.0::DOUBLE + l_quantity % 3) END AS factor FROM lineitem WHERE l_linenumber <= 2),
+_MONTHS = f"""{FILINGS}, m AS (SELECT c_nationkey AS house, security, (year(day_from) - 1990) * 12 + month(day_from) AS month, sum(quantity) AS shares, round(sum(value), 2) AS value FROM f JOIN customer ON c_custkey = second GROUP BY 1, 2, 3)"""
+_ACTIONS = """a AS (SELECT DISTINCT l_partkey AS security, CAST(l_shipdate AS DATE) AS ex_day, CASE WHEN l_linenumber <> 1 THEN 'split' WHEN l_returnflag = 'N' THEN 'bonus' ELSE 'dividend' END AS purpose,
+        CASE WHEN l_linenumber <> 1 THEN (l_quantity % 5 + 1) / 10.0::DOUBLE WHEN l_returnflag = 'N' AND l_quantity % 3 > 0 THEN 2.0::DOUBLE / (2.0::DOUBLE + l_quantity % 3) END AS factor FROM lineitem),
     x AS (SELECT security, ex_day, CASE WHEN bool_or(purpose <> 'dividend') THEN exp(sum(ln(factor))) END AS expected, bool_or(purpose <> 'dividend') AS split_bonus FROM a GROUP BY 1, 2)"""
 _NET = "sum(CASE WHEN side = 'SELL' THEN -{0} ELSE {0} END)"
 
@@ -292,8 +293,8 @@ ORACLE_SQL = {
         c AS (SELECT coalesce(a.house, b.house) AS house, coalesce(a.security, b.security) AS security, coalesce(a.month, b.month + 1) AS month, coalesce(b.shares, 0) AS before, coalesce(a.shares, 0) AS after, a.value FROM m a FULL JOIN m b ON a.house = b.house AND a.security = b.security AND a.month = b.month + 1),
         k AS (SELECT c.* FROM c, e WHERE month BETWEEN lo + 1 AND hi),
         g AS (SELECT month, security, count(*) FILTER (after > before) AS adding, count(*) FILTER (after < before) AS cutting, count(*) FILTER (before = 0 AND after > 0) AS starting, count(*) FILTER (before > 0 AND after = 0) AS leaving, sum(after - before) AS net,
-            count(*) FILTER (after > 0) AS holding, sum(value) FILTER (after > 0) AS v, sum(after) FILTER (after > 0) AS s FROM k GROUP BY 1, 2)
-        SELECT month::INT AS month, security, adding, cutting, starting, leaving, round(net, 2) AS net, holding, round(v / s, 8) AS price, round(net * (v / s), 2) AS net_value FROM g""",
+            count(*) FILTER (after > 0) AS holding, sum(CAST(round(value * 100) AS BIGINT)) FILTER (after > 0)::DOUBLE AS v, sum(after) FILTER (after > 0) AS s FROM k GROUP BY 1, 2)
+        SELECT month::INT AS month, security, adding, cutting, starting, leaving, round(net, 2) AS net, holding, floor(v / s + 0.5::DOUBLE)::BIGINT AS price_cents, floor(net * (v / s) + 0.5::DOUBLE)::BIGINT AS net_cents FROM g""",
     "first_held": f"WITH {_MONTHS}, x AS (SELECT security, min(month)::INT AS month FROM m GROUP BY 1) SELECT * FROM x WHERE month > (SELECT min(month) FROM m)",
     "renamed_securities": f"""WITH {FILINGS}, h AS (SELECT DISTINCT c_nationkey AS house, security, concat_ws(' ', p_type, p_size) AS name, year(day_from) AS year FROM f JOIN customer ON c_custkey = second JOIN part ON p_partkey = security),
         o AS (SELECT house, name, min(security) AS old FROM h WHERE year = 1996 AND NOT EXISTS (SELECT 1 FROM h n WHERE n.year = 1997 AND n.house = h.house AND n.security = h.security) GROUP BY 1, 2 HAVING count(*) = 1),
@@ -308,7 +309,7 @@ ORACLE_SQL = {
     "share_factors": f"WITH {_ACTIONS} SELECT security, round(1 / exp(sum(ln(expected))), 6) AS factor FROM x WHERE split_bonus AND expected > 0 AND ex_day > DATE '1997-01-31' AND ex_day <= DATE '1997-02-28' GROUP BY 1",
     "clean_ratios": f"""WITH {BARS}, r AS (SELECT DISTINCT a.n / b.n::DOUBLE AS q FROM range(1, 11) a(n), range(1, 11) b(n) WHERE a.n <> b.n), x AS (SELECT round(low / high, 6) AS f FROM b)
         SELECT coalesce((SELECT bool_or(abs(f / q - 1) <= 0.01::DOUBLE) FROM r), false) AS clean, count(*) AS n FROM x GROUP BY 1""",
-    "basket_nav": f"""WITH {FILINGS}, {BARS}, p AS (SELECT security, min(day_to) AS entry_day, CASE WHEN max(day_to) > min(day_to) THEN max(day_to) END AS exit_day FROM f WHERE quantity >= 49 AND side = 'BUY' AND security % 20 = 0 GROUP BY 1),
+    "basket_nav": f"""WITH {FILINGS}, {BARS}, p AS (SELECT security, min(day_to) AS entry_day, CASE WHEN max(day_to) > min(day_to) THEN max(day_to) END AS exit_day FROM f WHERE side = 'BUY' GROUP BY 1),
         mv AS (SELECT security, day, (close / lag(close) OVER (PARTITION BY security ORDER BY day) - 1) * 100 AS move FROM b), dd AS (SELECT DISTINCT day FROM b WHERE day >= (SELECT min(entry_day) FROM p)),
         o AS (SELECT day, avg(move) AS gain, count(*) AS live FROM mv JOIN p ON p.security = mv.security AND day > entry_day AND (exit_day IS NULL OR day <= exit_day) GROUP BY 1), n AS (SELECT entry_day AS day, count(*) AS entering FROM p GROUP BY 1),
         q AS (SELECT dd.day, coalesce(gain, 0) AS gain, coalesce(live, 0) AS live, coalesce(entering, 0) AS entering FROM dd LEFT JOIN o ON o.day = dd.day LEFT JOIN n ON n.day = dd.day), y AS (SELECT day, live + entering AS held, gain - CASE WHEN live + entering > 0 THEN 0.25::DOUBLE * entering / (live + entering) ELSE 0 END AS mean_return FROM q)

@@ -77,12 +77,6 @@ def doc_numbers(spark, folder):
     return d.where(F.size("n") > 0).select("doc_id", F.size("n").alias("numbers"), F.element_at("n", 1).alias("first"), F.element_at("n", -1).alias("last"))
 
 
-def doc_word_overlap(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", F.substring("text", 1, 60).alias("head"), "text")
-    w = Window.partitionBy("head").orderBy("doc_id")
-    return d.withColumn("before", F.lag("text").over(w)).where("before is not null").select("doc_id", F.round(documents.word_overlap(F.col("text"), F.col("before")), 6).alias("overlap"))
-
-
 def doc_word_overlap_pairs(spark, folder):
     """The reference's same_filing, with the source for its key and an id band for its hours."""
     out = documents.overlap_pairs(table(spark, folder, "documents"), "doc_id", "source", "doc_id", "text", ID_BAND, SAME_WORDS)
@@ -123,7 +117,7 @@ def buyer_groups(spark, folder):
     return d.groupBy(group.alias("buyer")).agg(F.count("*").alias("n"), F.round(F.sum("quantity"), 2).alias("quantity"))
 
 
-QUERIES = {f.__name__: f for f in (entity_key, entity_mode_spelling, rule_classifier, rule_table_match, flag_and_number, loose_dates, json_props, doc_clean_counts, doc_repeated_lines, doc_furniture, doc_numbers, doc_word_overlap, doc_word_overlap_pairs, page_title, page_cells, page_text, xml_facts, body_check, conversation_filldown, buyer_groups)}
+QUERIES = {f.__name__: f for f in (entity_key, entity_mode_spelling, rule_classifier, rule_table_match, flag_and_number, loose_dates, json_props, doc_clean_counts, doc_repeated_lines, doc_furniture, doc_numbers, doc_word_overlap_pairs, page_title, page_cells, page_text, xml_facts, body_check, conversation_filldown, buyer_groups)}
 
 _TIDY = "list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(trim(x), ' {3,}', ' | ', 'g'), ' {2}', ' ', 'g')), lambda x: x <> '' AND NOT regexp_full_match(x, '(page )?[0-9]{1,4}( of [0-9]{1,4})?'))"
 
@@ -142,8 +136,6 @@ ORACLE_SQL = {
     "doc_furniture": r"""WITH p AS (SELECT doc_id % 50 AS file, doc_id AS page, list_filter(list_transform(string_split('REPORT' || chr(10) || text || chr(10) || 'page 1', chr(10)), lambda x: regexp_replace(lower(trim(x)), '[0-9]+', '#', 'g')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
         e AS (SELECT file, page, unnest(list_concat(l[1:3], l[greatest(1, len(l) - 2):])) AS line FROM p) SELECT file, md5(line) AS line_md5, count(DISTINCT page) AS pages FROM e GROUP BY file, line HAVING count(DISTINCT page) >= 3""",
     "doc_numbers": "WITH d AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+(?:[,.][0-9]+)*') AS n FROM documents) SELECT doc_id, len(n)::INT AS numbers, n[1] AS first, n[-1] AS last FROM d WHERE len(n) > 0",
-    "doc_word_overlap": r"""WITH d AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY substr(text, 1, 60) ORDER BY doc_id) AS b FROM documents), w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(lower(b), '\s+'), lambda x: x <> '')) AS y FROM d WHERE b IS NOT NULL)
-        SELECT doc_id, round(len(list_intersect(x, y))::DOUBLE / greatest(least(len(x), len(y)), 1), 6) AS overlap FROM w""",
     "doc_word_overlap_pairs": r"""WITH d AS (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL),
         p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) AS overlap FROM d a JOIN d b ON a.source = b.source AND b.doc_id > a.doc_id AND b.doc_id <= a.doc_id + 200 WHERE len(a.w) > 0 AND len(b.w) > 0)
         SELECT a, b, round(overlap, 6) AS overlap FROM p WHERE overlap >= 0.4::DOUBLE""",
