@@ -64,7 +64,7 @@ def _returns_all(spark, folder):
 
 
 def forward_returns_all(spark, folder):
-    return _returns_all(spark, folder).select("order_id", "line", "security", "day", *[F.round(c, 4).alias(c) for c in ("entry", *(f"r_{n}" for n in LIMITS.horizons))])
+    return _returns_all(spark, folder).select("order_id", "line", "security", "day", "entry", *[F.round(f"r_{n}", 4).alias(f"r_{n}") for n in LIMITS.horizons])
 
 
 def track_summary_all(spark, folder):
@@ -151,7 +151,7 @@ ORACLE_SQL = {
         SELECT CASE WHEN filed THEN 'action_filed' WHEN gap_days > 30 THEN 'after_gap' ELSE 'unexplained' END AS status, count(*) AS n, round(sum(factor), 3) AS sum_factor FROM x GROUP BY 1""",
     "high_52w_distance_all": f"""WITH {_BARS}, x AS (SELECT *, CASE WHEN count(*) OVER w >= 120 THEN max(close) OVER w END AS h FROM b WINDOW w AS (PARTITION BY security ORDER BY day ROWS BETWEEN 249 PRECEDING AND CURRENT ROW))
         SELECT security, day, round(h, 4) AS high_close, round((close / h - 1) * 100, 4) AS from_high_pct FROM x""",
-    "forward_returns_all": f"WITH {_RETURNS_ALL} SELECT order_id, line, security, day, round(entry, 4) AS entry, {', '.join(f'round(r_{n}, 4) AS r_{n}' for n in LIMITS.horizons)} FROM r",
+    "forward_returns_all": f"WITH {_RETURNS_ALL} SELECT order_id, line, security, day, entry, {', '.join(f'round(r_{n}, 4) AS r_{n}' for n in LIMITS.horizons)} FROM r",
     "track_summary_all": f"WITH {_SUMMARY_ALL} SELECT signal, horizon, cases, round(mean, 3) AS mean, round(median, 3) AS median, round(up_share, 3) AS up_share, round(half_width, 3) AS half_width FROM g",
     "evidence_verdict_all": f"WITH {_SUMMARY_ALL} SELECT signal, horizon, CASE WHEN cases < 30 THEN 'few' WHEN mean - half_width > 0 THEN 'positive' WHEN mean + half_width < 0 THEN 'drag' ELSE 'no_edge' END AS verdict FROM g",
     "spacing_21_sessions_all": f"WITH RECURSIVE {_SPACED_ALL.format(21)} SELECT person, number FROM k",
