@@ -22,7 +22,7 @@ from tidewater.llm import language_id, queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(name, spark, folder):
     base = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "embeddings"):
         base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     want = base.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, folder).select(*want.columns)

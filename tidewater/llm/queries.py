@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, content_sort, language_id, line_dedup, mixing, ngram_join, substring_dedup, token_counts, url_reputation, vector_links
+from tidewater.llm import byte_bpe, centroids, content_sort, divergence, fingerprints, language_id, line_dedup, mixing, ngram_join, substring_dedup, token_counts, url_reputation, vector_links
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mix_sources, op4_exact_dedup, op5_vector_links, op6_url_filter, op7_substring_dedup, op8_ngram_join, op9_byte_bpe, op10_line_dedup)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_mix_sources, op4_exact_dedup, op5_vector_links, op6_url_filter, op7_substring_dedup, op8_ngram_join, op9_byte_bpe, op10_line_dedup, op11_centroid_clusters, op12_document_fingerprints, op13_source_divergence)}
 
 def _concentration_sql(units: str) -> str:
     """Beta-binomial concentration of a level's units, by moments, from 2 to 200."""
@@ -78,7 +90,40 @@ def _concentration_sql(units: str) -> str:
 
 _UPPER = "mean + 1.645::DOUBLE * sqrt(mean * (1 - mean) / (n + k + 1))"
 
+
+def _cluster_sql(rounds: int = 3) -> str:
+    """Lloyd rounds over (cluster, component, value) rows; floors of means of whole numbers."""
+    near = "SELECT any_value(vec_id) AS vec_id, n, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT x.vec_id, x.n, c.cluster, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d FROM x JOIN {c} c USING (i) GROUP BY ALL) GROUP BY n"
+    steps = [f"""a{r} AS ({near.format(c=f"c{r}")}),
+        c{r + 1} AS (SELECT c.cluster, c.i, coalesce((SELECT (s - ((s % m) + m) % m) // m FROM (SELECT sum(x.x)::BIGINT AS s, count(*)::BIGINT AS m FROM a{r} a JOIN x ON x.n = a.n WHERE a.cluster = c.cluster AND x.i = c.i) WHERE m > 0), c.x) AS x FROM c{r} c)""" for r in range(rounds)]
+    return f"""
+        WITH e AS (SELECT vec_id, embedding, row_number() OVER () AS n FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v::DOUBLE))) = 0),
+        x AS (SELECT vec_id, n, unnest(range(64)) AS i, floor(64 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM e),
+        f AS (SELECT n, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM e ORDER BY cluster LIMIT 16),
+        c0 AS (SELECT f.cluster, x.i, x.x FROM f JOIN x USING (n)),
+        {", ".join(steps)},
+        o AS ({near.format(c=f"c{rounds}")}),
+        h AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+        SELECT vec_id, o.cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY o.cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256 FROM o JOIN h ON h.cluster = o.cluster"""
+
+
 ORACLE_SQL = {
+    "op11_centroid_clusters": _cluster_sql(),
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        w AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT k) >= 3),
+        l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+        s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+        p AS (SELECT s.lang, s.source, kept.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (s.n + l.v) AS p, 1 + 1000000000::HUGEINT * (kept.n + 1) // (l.n + l.v) AS q
+              FROM s JOIN l USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = kept.term),
+        t AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source)
+        SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM t UNION ALL FROM r)
+        QUALIFY part = 'pair' OR rank <= 200""",
     "op6_url_filter": rf"""
         WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
               regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
