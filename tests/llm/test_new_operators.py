@@ -183,7 +183,7 @@ def test_next_rows_of_many_ranges(spark):
     rng = random.Random(1)
     rows = [(rng.choice([5, rng.randint(-9, 9), rng.randint(-(10**15), 10**15)]), f"t{k}") for k in range(300)]
     df = spark.createDataFrame(rows, "id long, text string").repartition(7)
-    got = [(r.id, r.text, r.next.text) for r in fingerprints.with_next(df, "id", ["text"]).collect()]
+    got = [(r.id, r.text, r.next.text) for r in fingerprints.with_next(df, "id", ["text"], "text").collect()]
     assert len(got) == 300
     after = {t: n for _, t, n in got}
     by_text = {t: i for i, t in rows}

@@ -85,16 +85,17 @@ def _order_ranges(keys: DataFrame, parts: int) -> tuple[Column, Column]:
     return tuple(F.split(F.lit(",".join(str(t[k]) for t in ordered)), ",").cast("array<bigint>") for k in (0, 1))
 
 
-def with_next(df: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, carried: list[str], tie_col: str) -> DataFrame:
     """``df`` with struct ``next``: columns ``carried`` of the row with the next smaller id (after the last: of the first).
 
-    Rows of one id follow by a hash of the carried columns. Ranges of (id, hash) of even size come from a
+    Rows of one id follow by a hash of ``tie_col``, a column of the table that is read and not computed, as
+    it is read again for the ranges. Ranges of (id, hash) of even size come from a
     range sort of these two alone; their upper ends, a few numbers a range, are literals in the plan, and
     each row finds its range by bisection. The rows travel once, to their range; the first row of a range
     also goes to the range before it, so that no range waits for another. Null ids come last.
     """
-    keyed = df.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), F.xxhash64(*carried).alias("tie"))
-    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), F.xxhash64(tie_col).alias("tie"))
+    parts = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids, ties = _order_ranges(keyed.select("id", "tie"), parts)
     under = lambda at: (F.col("id") < F.get(ids, at)) | ((F.col("id") == F.get(ids, at)) & (F.col("tie") <= F.get(ties, at)))
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(32))))
@@ -121,7 +122,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     the output's names are replaced. An empty table gives no rows.
     """
     packed = df.select(F.struct("*").alias("source"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    own = with_next(with_fingerprint(packed, "text", "own"), "id", ["text", "own"])
+    own = with_next(with_fingerprint(packed, "text", "own"), "id", ["text", "own"], "text")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = own.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next.text", F.lit(1), half)))
     printed = with_fingerprint(edited, "edited", "other").select("source", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "other", F.col("next.own").alias("after"))
