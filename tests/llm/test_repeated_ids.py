@@ -6,7 +6,7 @@ import random
 
 from odd_texts import sentence
 
-from tidewater.llm import line_dedup, ngram_join
+from tidewater.llm import content_sort, line_dedup, mixing, ngram_join
 
 SCHEMA = "doc_id long, text string"
 
@@ -33,3 +33,40 @@ def test_an_id_joins_the_groups_of_its_texts(spark):
     (_, one), (_, two), *_ = family()
     got = ngram_join.near_groups(spark.createDataFrame([(3, one), (4, two), (5, one), (5, two), (6, "x")], SCHEMA)).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (4, 3), (5, 3), (5, 3), (6, 6)]
+
+
+def test_lines_of_one_text_of_an_id_leave_the_other_alone(spark):
+    rng = random.Random(6)
+    line, other = sentence(rng, 20), " ".join(f"m{k}" for k in range(12))
+    rows = [(1, line), (2, line), (2, other), (2, f"{other}\n{line}"), (2, None)]
+    got = line_dedup.without_later_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text or "", r.n_lines, r.n_removed) for r in got) == sorted([(1, line, 1, 0), (2, "", 1, 1), (2, other, 1, 0), (2, other, 2, 1), (2, "", 0, 0)])
+
+
+def test_many_lines_are_cut_in_linear_time(spark):
+    line = "a line of six words here"
+    rows = [(1, "\n".join([line] * 60_000)), (2, "\n".join(f"own words of line number {k} x{k}" for k in range(3000)) + "\n" + line)]
+    got = {r.doc_id: r for r in line_dedup.without_later_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[1].text, got[1].n_lines, got[1].n_removed) == (line, 60_000, 59_999)
+    assert got[2].n_removed == 1 and got[2].text == rows[1][1].removesuffix("\n" + line)
+
+
+def test_mixed_rows_keep_columns_of_any_name(spark):
+    rows = [(i, f"words of text {i}", "ab"[i % 2], 999, "s", 7, "t", "k") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, source_size string, target long, taken string, doc string")
+    got = mixing.mixed_rows(df)
+    assert got.columns == df.columns
+    assert {tuple(r)[3:] for r in got.collect()} == {(999, "s", 7, "t", "k")}
+
+
+def test_mixed_rows_of_one_id_do_not_follow_the_order_of_rows(spark):
+    rows = [(7, " ".join(f"{k}{i}" for i in range(10)), "a", None) for k in "pqr"] + [(7, "p0 x", "b", "en"), (7, "p0 x", "b", "fr")]
+    schema = "doc_id long, text string, source string, lang string"
+    runs = [sorted(map(str, mixing.mixed_rows(spark.createDataFrame(r, schema).coalesce(1)).collect())) for r in (rows, rows[::-1], rows[2:] + rows[:2])]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_exact_dedup_of_rows_that_differ_elsewhere(spark):
+    rows = [(3, "same", "en"), (3, "same", "fr"), (1, "same", "de")]
+    runs = [[tuple(r) for r in content_sort.drop_copies(spark.createDataFrame(r, "doc_id long, text string, lang string").coalesce(1)).collect()] for r in (rows, rows[::-1])]
+    assert runs[0] == runs[1] and len(runs[0]) == 1

@@ -110,8 +110,9 @@ def content_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``df`` whose text is the kept one of its group; one row where ids repeat within a group."""
+    """The rows of ``df`` whose text is the kept one of its group; where ids repeat within a group, the row whose columns hash lowest."""
     groups = content_groups(df, id_col, text_col, keep).where("kept").select("doc_id", "text_sha256").dropDuplicates()
-    packed = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("digest"))
+    tie = F.xxhash64(*(f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()))
+    packed = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("digest"), tie.alias("tie"))
     joined = packed.join(groups, packed["id"].eqNullSafe(groups["doc_id"]) & (packed["digest"] == groups["text_sha256"]), "left_semi")
-    return outputs_over("row", joined.dropDuplicates(["id", "digest"]), [])
+    return outputs_over("row", joined.groupBy("id", "digest").agg(F.min_by("row", "tie").alias("row")), [])

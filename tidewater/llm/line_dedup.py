@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.set_join import PLACE, SIGNS, distinct_sets, earlier_tries, gram_sets, may_have_links, numbered_sets, overlap_counts, rare_prefixes, verified
@@ -44,7 +44,7 @@ def _matched(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc, line) of each line that has an earlier match: a line of Jaccard >= percent/100 in a smaller id, or before it in its text.
+    """(doc, h, line) of each line that has an earlier match: a line of Jaccard >= percent/100 in a smaller id, or before it in its text. ``h`` is the hash of its text.
 
     A line's tokens are its distinct ``width``-word shingles (all its words as one if fewer; A-Z
     lower-cased). Lines without words match nothing. Lines are judged on the input, whether or not their
@@ -53,11 +53,13 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     them. Each set is tried against the earliest in its columns; only sets that this leaves without a
     match are then joined with all earlier ones.
 
-    Null texts are empty; null ids match nothing. Rows that repeat an id share their line numbers. An
+    Null texts are empty; null ids match nothing. Different texts of one id stand side by side: none is
+    before the other, but a line of one that is like an earlier line (by number) of the other goes. An
     empty table gives no rows.
     """
     bounded_batches(df.sparkSession)
-    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
+    text = text_or_empty(text_col)
+    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), text_hash(text).alias("h"))
     reps = distinct_sets(docs, width, percent, lines=True)
     freed(df.sparkSession)
     places = may_have_links(reps, percent)
@@ -65,28 +67,32 @@ def later_matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefixes = rare_prefixes(sets, percent)
     freed(df.sparkSession)
     matched = _matched(prefixes, sets, percent)
-    kept = reps.select(*PLACE, *SIGNS)
-    gone = written(sets.join(matched, "id", "left_semi").select(*PLACE).distinct(), "line-matches")
-    # a line stays if its set is first met there: looked up by place, so that a hot line is no hot key
-    copies = gram_sets(docs, width, percent, "none", lines=True).join(kept, [*PLACE, *SIGNS], "left_anti").select(*PLACE)
-    return copies.unionByName(gone).distinct()
+    gone = written(sets.join(matched, "id", "left_semi").select(*PLACE, *SIGNS), "line-matches")
+    # a line stays if its set is first met there and has no match: looked up by place, so that a hot line is no hot key
+    staying = reps.select(*PLACE, *SIGNS).join(gone, [*PLACE, *SIGNS], "left_anti")
+    return gram_sets(docs, width, percent, "none", lines=True).join(staying, [*PLACE, *SIGNS], "left_anti").select("doc", "h", "line")
+
+
+def text_hash(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(text)
 
 
 def without_later_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Every row with ``n_lines``, ``n_removed`` and its text without lines that have an earlier match (see :func:`later_matches`).
 
-    A text that loses all its lines is empty; a null text stays null with 0 lines. Columns of the
-    output's names are replaced.
+    A text that loses all its lines is empty; a null text stays null with 0 lines. Rows that repeat an id
+    lose the lines of their own text only. Columns of the output's names are replaced.
     """
-    gone = later_matches(df, id_col, text_col, width, percent).groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    packed = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(text_col))
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
-    joined = packed.join(gone, F.col("id") == F.col("doc"), "left")
+    gone = later_matches(df, id_col, text_col, width, percent).groupBy("doc", "h").agg(F.collect_set("line").alias("gone"))
+    # lines are split before the join, so that they are not split anew for each line that stays
+    packed = df.select(F.struct(*(c for c in df.columns if c.lower() != text_col.lower())).alias("row"), F.col(id_col).cast("long").alias("id"), text_hash(text_or_empty(text_col)).alias("own"), F.split(F.col(text_col), "\n", -1).alias("lines"))
+    joined = packed.join(gone, (F.col("id") == F.col("doc")) & (F.col("own") == F.col("h")), "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     out = joined.select(
         "row",
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(text_col),
+        F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.get("lines", i))), "\n").alias(text_col),
     )
     return outputs_over("row", out, ["n_lines", "n_removed", text_col])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import outputs_over, text_or_empty, written
+from tidewater.llm.shared import outputs_over, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     )
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", tie_col: str | None = None) -> DataFrame:
     """Every row with ``source_size``, ``target`` and ``taken``, the words that the mix takes of it.
 
     Method: a row's key is the MD5 of its id and ``seed``, uniform and the same in each run. Within a
@@ -53,9 +53,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_
     of e whole passes and a rest takes each row e times, and once more up to the rest; the row on the
     edge is taken in part, so a source gives exactly ``floor(target)`` words.
 
-    Null sources form one source, the last. A null id sorts by an empty id, a null size counts 0, rows
-    of one id and size may change places, which gives the same rows. An empty table gives no rows.
-    Columns of the output's names are replaced.
+    Null sources form one source, the last. A null id sorts by an empty id, a null size counts 0. Rows of
+    one id and size follow by ``tie_col``; without one they may change places, which gives the same rows
+    where id, source and size are all there is. An empty table gives no rows. Columns of the output's names
+    are replaced.
     """
     packed = df.select(
         F.struct("*").alias("row"),
@@ -63,6 +64,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_
         F.col(source_col).alias("source"),
         F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("size"),
         F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary")).alias("key"),
+        (F.col(tie_col) if tie_col else F.lit(None).cast("long")).alias("tie"),
     )
     digits = max(3, math.ceil(math.log(max(1, df.count()) / 1e6, 16)))
     packed = packed.withColumn("range", F.substring("key", 1, digits))
@@ -74,7 +76,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_
         .join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
         .select(F.col("source").alias("of"), F.col("range").alias("in"), "start", "source_size", "target")
     )
-    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size", *(["tie"] if tie_col else [])).rowsBetween(Window.unboundedPreceding, -1)
     passes = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor("target") - passes * F.col("source_size")
     placed = (
@@ -85,18 +87,20 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_
     return outputs_over("row", placed, ["source_size", "target", "taken"])
 
 
-def mixed_rows(df: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """The rows of the mix themselves, with the columns of ``df``.
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """The rows of the mix themselves, with the columns of ``df``, whatever their names.
 
     A row taken for e whole passes stands e times; the row on a source's edge also stands once with its
     first words only, cut after the last word taken. Rows without words belong to no budget and stay once.
+    Rows that repeat an id follow by a hash of all their columns, so that each run takes the same.
     """
-    columns = df.columns
-    mixed = mix(df.withColumn("size", word_count(text_col)), size_col="size", **how)
-    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
-    words = F.split(text_or_empty(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each with the space before it
-    head = F.array_join(F.slice(words, F.lit(1), part.cast("int")), "")
-    copies = F.concat(F.array_repeat(F.col(text_col), whole), F.when(part > 0, F.array(head)).otherwise(F.array().cast("array<string>")))
-    other = [c for c in columns if c != text_col]
-    return mixed.select(*other, F.explode(copies).alias(text_col)).select(*columns)
+    tie = F.xxhash64(*(f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()))
+    packed = df.select(F.struct("*").alias("doc"), F.col(id_col).alias("of"), F.col(source_col).alias("from"), word_count(text_col).alias("words"), tie.alias("hash"))
+    mixed = mix(packed, "of", "from", "words", tie_col="hash", **how)
+    part = F.when(F.col("words") > 0, F.col("taken") % F.col("words")).otherwise(F.lit(0))
+    whole = F.when(F.col("words") > 0, F.floor(F.col("taken") / F.col("words"))).otherwise(F.lit(1)).cast("int")
+    text = F.col("doc")[text_col]
+    pieces = F.split(F.coalesce(text.cast("string"), F.lit("")), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each word with the space before it
+    head = F.array_join(F.slice(pieces, F.lit(1), part.cast("int")), "")
+    copies = F.concat(F.array_repeat(text, whole), F.when(part > 0, F.array(head)).otherwise(F.array().cast("array<string>")))
+    return mixed.select("doc", F.explode(copies).alias("copy")).select(*(F.col("copy").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in df.columns))

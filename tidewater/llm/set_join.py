@@ -22,11 +22,12 @@ def gram_sets(docs: DataFrame, width: int, percent: int, grams: str, lines: bool
 
     ``grams``: of ``whole`` sets, of their ``region`` (the lowest 1.5 * slack hashes, where slack is
     n - need + 1 and ``need`` the smallest overlap that a link of this set can have), or ``none``. Whole
-    texts are line 0; lines without words give no row. A column ``wanted`` names the lines to give.
+    texts are line 0; lines without words give no row. A column ``wanted`` names the lines to give; without
+    grams a column ``h`` of the text goes with its lines.
     """
-    some = "wanted" in docs.columns
+    some, tagged = "wanted" in docs.columns, "h" in docs.columns and grams == "none"
 
-    def listed(ids: pa.Array, texts: list[str], wanted: list | None) -> pa.RecordBatch:
+    def listed(ids: pa.Array, texts: list[str], wanted: list | None, tags: pa.Array | None) -> pa.RecordBatch:
         data, cuts = joined(texts)
         owner, number = np.arange(len(texts)), np.zeros(len(texts), np.int64)
         first = owner
@@ -51,18 +52,21 @@ def gram_sets(docs: DataFrame, width: int, percent: int, grams: str, lines: bool
             place = np.arange(len(found)) - np.repeat(starts[:-1], n)
             found = found[place < np.repeat(size, n)]
             out.append(pa.ListArray.from_arrays(pa.array(row_starts(size[given]), pa.int32()), pa.array(found.view(np.int64))))
-        return pa.RecordBatch.from_arrays(out, names=["doc", "line", "n", "s1", "s2", "grams"][: len(out)])
+        if tags is not None:
+            out.append(tags.take(pa.array(owner[given])))
+        return pa.RecordBatch.from_arrays(out, names=["doc", "line", "n", "s1", "s2", "h" if tagged else "grams"][: len(out)])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             asked = batch.column(2).to_pylist() if some else None
             for texts in slices(batch.column(1).to_pylist(), 300_000):
-                yield listed(batch.column(0).slice(at, len(texts)), texts, asked and asked[at : at + len(texts)])
+                yield listed(batch.column(0).slice(at, len(texts)), texts, asked and asked[at : at + len(texts)], batch.column(batch.num_columns - 1).slice(at, len(texts)) if tagged else None)
                 at += len(texts)
             pa.default_memory_pool().release_unused()
 
-    return docs.select("doc", "text", *(["wanted"] if some else [])).mapInArrow(sets, "doc long, line int, n long, s1 long, s2 long" + (", grams array<long>" if grams != "none" else ""))
+    read = docs.select("doc", "text", *(["wanted"] if some else []), *(["h"] if tagged else []))
+    return read.mapInArrow(sets, "doc long, line int, n long, s1 long, s2 long" + (", grams array<long>" if grams != "none" else ", h long" if tagged else ""))
 
 
 def distinct_sets(docs: DataFrame, width: int, percent: int, lines: bool = False) -> DataFrame:
@@ -142,7 +146,7 @@ def may_have_links(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def numbered_sets(docs: DataFrame, places: DataFrame, width: int, percent: int, lines: bool = False) -> DataFrame:
-    """(id, doc, line, n, grams): the whole sets at ``places``; written. Ids rise with doc and line; several texts at one place are several sets.
+    """(id, doc, line, n, s1, s2, grams): the whole sets at ``places``; written. Ids rise with doc and line; several texts at one place are several sets.
 
     The sets are range-sorted by place, and numbered by range and by row within it.
     """
@@ -154,7 +158,7 @@ def numbered_sets(docs: DataFrame, places: DataFrame, width: int, percent: int,
     found = gram_sets(asked, width, percent, "whole", lines).where("n > 0")
     order = [*PLACE, "s1", "s2"]
     placed = found.repartitionByRange(parts, *order).dropDuplicates(order).sortWithinPartitions(*order)
-    sets = written(placed.select(F.monotonically_increasing_id().alias("id"), *PLACE, "n", "grams"), "sets")
+    sets = written(placed.select(F.monotonically_increasing_id().alias("id"), *PLACE, *SIGNS, "grams"), "sets")
     freed(spark)
     return sets
 
