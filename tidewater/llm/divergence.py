@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,10 @@ CELLS = 1 << 21
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, text) -> (lang, source, term, n, docs): occurrences and documents, and a row with null term for each group; written.
+    """(lang, source, text) -> (lang, source, term, n, docs): occurrences and documents that tasks counted, and rows with null term for each group.
 
-    Tasks count in bounded tables and pass them on; Spark adds up what tasks counted. Texts are taken as
-    UTF-8 bytes: separators are ASCII, so terms are whole characters.
+    Tasks count in bounded tables and pass them on. Texts are taken as UTF-8 bytes: separators are ASCII,
+    so terms are whole characters.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,10 +41,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
         def flushed() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, docs) in groups.items():
-                terms = list(n)
+                terms = pa.array(n.keys(), pa.binary()).cast(pa.string())
                 for at in range(0, len(terms), 50_000):
-                    part = terms[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([n[t] for t in part]), pa.array([docs[t] for t in part])], names=["lang", "source", "term", "n", "docs"])
+                    part = terms.slice(at, 50_000)
+                    counts = (pa.array(list(islice(c.values(), at, at + 50_000))) for c in (n, docs))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([source] * len(part)), part, *counts], names=["lang", "source", "term", "n", "docs"])
             groups.clear()
 
         for batch in batches:
@@ -53,7 +56,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 terms = texts[k].as_py().translate(_FOLD).split()
                 before = len(n)
                 n.update(terms)
-                docs.update(set(terms))
+                docs.update(dict.fromkeys(terms).keys())  # new terms enter both in one order
                 held += len(n) - before
                 if held > HELD:
                     yield from flushed()
@@ -63,8 +66,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
             keys = list(sizes)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.nulls(len(keys), pa.string()), pa.array([0] * len(keys)), pa.array([sizes[k] for k in keys])], names=["lang", "source", "term", "n", "docs"])
 
-    partial = docs.select("lang", "source", "text").mapInArrow(counted, "lang string, source string, term string, n long, docs long")
-    return written(partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "audit-counts")
+    return docs.select("lang", "source", "text").mapInArrow(counted, "lang string, source string, term string, n long, docs long")
 
 
 def scaled_share(count: np.ndarray, total: int) -> np.ndarray:
@@ -100,6 +102,25 @@ def _pair_sums(columns: np.ndarray, lengths: np.ndarray, totals: list[int], out:
             out[b, a] += int((square // p * width).sum())
 
 
+def _stretches(langs: pa.Array) -> Iterator[tuple[str, range]]:
+    """Rows of a sorted column by value."""
+    encoded = langs.dictionary_encode()
+    codes = encoded.indices.to_numpy()
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, int)
+    for start, stop in zip(starts, np.append(starts[1:], len(codes)), strict=True):
+        yield encoded.dictionary[codes[start]].as_py(), range(int(start), int(stop))
+
+
+def _dense(cells: pa.Array, sources: list[str]) -> np.ndarray:
+    """sources x rows: the counts of a column of (source, n) lists."""
+    flat = cells.flatten()
+    out = np.zeros((len(sources), len(cells)), np.int64)
+    lengths = np.diff(cells.offsets.to_numpy())
+    places = pc.index_in(flat.field(0), pa.array(sources, pa.string())).to_numpy(zero_copy_only=False)
+    out[places, np.repeat(np.arange(len(cells)), lengths)] = flat.field(1).to_numpy(zero_copy_only=False)
+    return out
+
+
 def pair_divergences(kept: DataFrame, groups: list) -> DataFrame:
     """(lang, source, item, value) of the pairs of a language's sources, from (lang, cells) of each kept term, cells being its (source, n) in order of source.
 
@@ -117,31 +138,16 @@ def pair_divergences(kept: DataFrame, groups: list) -> DataFrame:
     for g in sorted(groups, key=lambda g: (g.lang, g.source)):
         order.setdefault(g.lang, []).append(g.source)
         totals.setdefault(g.lang, []).append(g.n + g.terms)
-    number = {lang: {s: k for k, s in enumerate(sources)} for lang, sources in order.items()}
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        lang, at, block = None, 0, None
-
-        def settled() -> None:
-            if lang is not None and at:
-                out = sums.setdefault(lang, np.zeros((len(order[lang]),) * 2, np.int64))
-                _pair_sums(block[0][:, :at], block[1][:at], totals[lang], out)
-
         for batch in batches:
-            langs, lengths = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
-            for k, cells in enumerate(batch.column(1).to_pylist()):
-                if langs[k] != lang or at == len(block[1]):
-                    settled()
-                    lang, at, width = langs[k], 0, len(order[langs[k]])
-                    rows = max(16, CELLS // width)
-                    block = np.zeros((width, rows), np.int64), np.zeros(rows, np.int64)
-                block[0][:, at] = 0
-                for cell in cells:
-                    block[0][number[lang][cell["source"]], at] = cell["n"]
-                block[1][at] = lengths[k]
-                at += 1
-        settled()
+            for lang, rows in _stretches(batch.column(0)):
+                step = max(16, CELLS // len(order[lang]))
+                for at in range(rows.start, rows.stop, step):
+                    part = batch.slice(at, min(step, rows.stop - at))
+                    out = sums.setdefault(lang, np.zeros((len(order[lang]),) * 2, np.int64))
+                    _pair_sums(_dense(part.column(1), order[lang]), part.column(2).to_numpy(zero_copy_only=False), totals[lang], out)
         for name, out in sums.items():
             for a, source in enumerate(order[name]):
                 others = [b for b in range(len(out)) if b != a]
@@ -170,7 +176,7 @@ def source_divergence(df: DataFrame, text_col: str = "text", lang_col: str = "la
     terms for each other source (its q); part ``term`` the ``top`` terms that the group has, and more
     often than its language (q), by the same figure. All arithmetic is exact.
 
-    Counts of all groups come from one pass. Pairs are summed over run-length columns (see
+    Counts of all groups come from one pass and one exchange. A term's list has one entry a source. Pairs are summed over run-length columns (see
     :func:`pair_divergences`). Terms are ranked in 64 buckets a group first, so that a large group's list
     is spread over tasks.
 
@@ -180,18 +186,20 @@ def source_divergence(df: DataFrame, text_col: str = "text", lang_col: str = "la
     """
     bounded_batches(df.sparkSession)
     docs = df.select(*(text_or_empty(c).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    counts = term_counts(docs)
-    by_term = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("whole"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("cells"))
-    kept = written(by_term.where(F.col("docs") >= least_docs).select("lang", "term", "whole", "cells"), "audit-terms")
+    # tasks have counted: one exchange by language and term serves the sums by source and those by term
+    counts = term_counts(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_term = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("whole"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("cells"))
+    found = written(by_term.where(F.col("term").isNull() | (F.col("docs") >= least_docs)).select("lang", "term", "whole", "cells"), "audit-terms")
+    kept = found.where("term is not null")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("whole").alias("all"))
     sums = kept.select("lang", F.explode("cells").alias("cell")).groupBy("lang", "cell.source").agg(F.sum("cell.n").alias("n"))
-    named = counts.where("term is null").select("lang", "source").join(sums, ["lang", "source"], "left").join(sizes, "lang", "left")
+    named = found.where("term is null").select("lang", F.explode("cells.source").alias("source")).join(sums, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = written(named.select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "terms", "all"))), "audit-groups")
 
     pairs = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
-    found = pair_divergences(kept.select("lang", "cells"), groups.collect())
+    values = pair_divergences(kept.select("lang", "cells"), groups.collect())
     by_value = [F.desc("value"), "item"]
-    ranked = pairs.join(found, ["lang", "source", "item"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
+    ranked = pairs.join(values, ["lang", "source", "item"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
     pair_rows = ranked.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*by_value)).alias("rank"))
 
     cells = kept.select("lang", "whole", F.col("term").alias("item"), F.explode("cells").alias("cell")).select("lang", "cell.source", "item", "cell.n", "whole")
