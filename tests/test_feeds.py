@@ -47,13 +47,14 @@ def test_deals_and_bands(spark, tmp_path):
 
 
 def test_actions_state_their_terms(spark, tmp_path):
-    subjects = ["Bonus 1:3", "Face Value Split (Sub-Division) - From Rs 10/- Per Share To Re 1/- Per Share", "Dividend - Rs 2.50 Per Share/ Special Dividend Re 1 Per Sh", "Rights 2:15 @ Premium Rs 90", "Buy Back", "Scheme Of Amalgamation", "Interest Payment", None]
+    subjects = ["Bonus 1:3", "Face Value Split (Sub-Division) - From Rs 10/- Per Share To Re 1/- Per Share", "Dividend - Rs 2.50 Per Share/ Special Dividend Re 1 Per Sh", "Rights 2:15 @ Premium Rs 90", "Buy Back", "Scheme Of Amalgamation", "Interest Payment", None, "Scheme Of Arrangement - Bonus 1:1", "De-merger", "Spin Off", "Capital Reduction", "Right Issue 1:2"]
     rows = [{"symbol": "A", "isin": "I", "subject": s, "exDate": "05-Jan-2024", "recDate": "-", "faceVal": "10"} for s in subjects]
     path = written(tmp_path, "a.json", json.dumps(rows))
     got = feeds.action_terms(files.json_rows(spark, path, feeds.ACTION_FIELDS)).collect()
     assert [(r.purpose, r.new_for, r.held, r.face_from, r.face_to, r.dividend) for r in got] == [
         ("bonus", 1, 3, None, None, None), ("split", None, None, 10, 1, None), ("dividend", None, None, None, None, 3.5), ("rights", 2, 15, None, None, None),
         ("buyback", None, None, None, None, None), ("scheme", None, None, None, None, None), ("other", None, None, None, None, None), ("other", None, None, None, None, None),
+        ("bonus", 1, 1, None, None, None), ("demerger", None, None, None, None, None), ("demerger", None, None, None, None, None), ("capital_reduction", None, None, None, None, None), ("rights", 1, 2, None, None, None),
     ]
     assert got[0].ex_day == D(2024, 1, 5) and got[0].record_day is None
 

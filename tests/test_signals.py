@@ -76,8 +76,8 @@ def test_expected_and_share_factors(spark):
 
 
 def test_clean_ratios(spark):
-    df = spark.createDataFrame([(0.5,), (2.0,), (0.667,), (1.0,), (0.617,), (None,)], "f double")
-    assert [r.c for r in df.select(holdings.is_clean_ratio(F.col("f")).alias("c")).collect()] == [True, True, True, False, False, False]
+    df = spark.createDataFrame([(0.5,), (2.0,), (0.667,), (1.0,), (0.617,), (None,), (0.88,), (1 / 15,), (10 / 17,), (0.73,), (5 / 9,), (20.2,)], "f double")
+    assert [r.c for r in df.select(holdings.is_clean_ratio(F.col("f")).alias("c")).collect()] == [True, True, True, False, True, False, False, True, True, False, True, True]
 
 
 def test_missing_session_and_bridge(spark):

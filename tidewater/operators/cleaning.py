@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words that tell a side, words that make another person of a name, and multipliers of units.
-BUY_WORDS = ["acquisition", "purchase", "buy", "allotment", "subscription"]
-SELL_WORDS = ["disposal", "sale", "sell"]
+# Word stems that tell a side or a pledge, words that make another person of a name, and the words of units with what they multiply by.
+BUY_STEMS = ["buy", "acqui", "purchase"]
+SELL_STEMS = ["sell", "dispos", "sale"]
+PLEDGE_STEMS = ["pledge", "revok", "invoc", "invok"]
+TRADE_STEMS = ["buy", "sell", "purchase", "sale"]
 OTHER_PERSON = ["huf", "trust", "family", "foundation", "estate", "minor"]
 CORPORATE = ["private", "limited", "llp", "company", "corporation", "holding", "holdings", "investment", "investments", "ventures", "enterprises", "capital", "fund", "industries", "associates", "partners", "finance", "securities", "international", "inc"]
-UNITS = {"thousand": 1e3, "lakh": 1e5, "lac": 1e5, "million": 1e6, "crore": 1e7, "cr": 1e7, "billion": 1e9}
+UNITS = {"thousand": 1e3, "lakh": 1e5, "lac": 1e5, "crore": 1e7, "cr": 1e7, "million": 1e6, "mn": 1e6, "billion": 1e9, "bn": 1e9}
 
 
 def side_word(text: Column) -> Column:
-    """BUY or SELL from a word of the text; null where it has words of neither or of both."""
+    """BUY or SELL by the stems in the text, BUY where it has both; null where it has neither, or speaks of a pledge and of no trade."""
     plain = F.lower(text)
-    buys, sells = (plain.rlike(rf"\b({'|'.join(words)})") for words in (BUY_WORDS, SELL_WORDS))
-    return F.when(buys & ~sells, "BUY").when(sells & ~buys, "SELL")
+    buys, sells, pledges, trades = (plain.rlike("|".join(stems)) for stems in (BUY_STEMS, SELL_STEMS, PLEDGE_STEMS, TRADE_STEMS))
+    return F.when(pledges & ~trades, F.lit(None)).when(buys, "BUY").when(sells, "SELL")
 
 
 def side_of(kind: Column, mode: Column) -> Column:
@@ -119,17 +121,44 @@ def unrecognised(df: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
     return cells.where(F.col("odd") & (F.length("value") > 0)).groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
+def unit_word(text: Column) -> Column:
+    """A unit's word in lower case, without a plural's s or a closing dot."""
+    return F.regexp_replace(F.lower(F.trim(text)), r"s?\.?$", "")
+
+
 def unit_multiplier(unit: Column) -> Column:
-    """What a unit's word multiplies by; rupees or an unknown word: 1."""
-    plain = F.rtrim(F.regexp_replace(F.lower(F.trim(unit)), r"s?\.?$", ""))
+    """What a unit's word multiplies by; rupees, an unknown word or null: 1."""
     out = F.lit(1.0)
     for word, by in UNITS.items():
-        out = F.when(plain == word, F.lit(by)).otherwise(out)
+        out = F.when(unit_word(unit) == word, F.lit(by)).otherwise(out)
     return out
 
 
-def unit_backed(value: Column, unit: Column, quote: Column) -> Column:
-    """Whether a number's unit is backed by its quote: null without a unit to back, else that the number is not written in full and the word follows a number."""
+def unit_backed(value: Column, unit: Column, quote: Column, kind: Column | str = "exact") -> Column:
+    """Whether a number's unit is backed by its quote.
+
+    Without a unit to back: null, or false where a unit's word follows that number in the quote (the unit
+    was left out). With one: false where the number is written in full (seven digits or more before the
+    point); in a quote of ``kind`` other than exact, which keeps its unit in a heading, true; else that the
+    unit's own word follows the number, or stands right before it as the only unit of the quote. A null
+    value is not backed; a null quote has no words.
+    """
     by = unit_multiplier(unit)
-    follows = F.regexp_like(F.lower(quote), F.concat(F.lit(r"[0-9][0-9,.]*\s*"), F.rtrim(F.regexp_replace(F.lower(F.trim(unit)), r"s?\.?$", ""))))
-    return F.when(by != 1, F.coalesce((F.abs(value) < 1e6) & follows, F.lit(False)))
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    text = F.lower(F.coalesce(quote, F.lit("")))
+    words = "|".join(sorted(UNITS, key=len, reverse=True))
+    figure = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+
+    def near(pattern: str) -> Column:
+        """Arrays (number, multiplier of the word beside it) of the places where both stand."""
+        spots = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+        return F.transform(spots, lambda x: F.struct(F.regexp_replace(F.regexp_extract(x, figure, 0), ",", "").try_cast("double").alias("number"), unit_multiplier(F.regexp_extract(x, rf"(?:{words})", 0)).alias("by")))
+
+    follows = near(rf"{figure}\s*(?:{words})(?:s|\.)*(?![a-z])")
+    leads = near(rf"(?<![a-z])(?:{words})(?:s|\.)*(?![a-z])[^\w]*{figure}")
+    is_it = lambda x: F.abs(x["number"] - F.abs(value)) < 1e-6 * F.greatest(F.lit(1.0), F.abs(value))
+    named = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?<![a-z])({words})s?\.?(?![a-z])"), F.lit(1)), unit_multiplier))
+    only = (F.size(named) == 1) & (F.get(named, F.lit(0)) == by)
+    backed = F.exists(follows, lambda x: is_it(x) & (x["by"] == by)) | (only & F.exists(leads, is_it))
+    left_out = F.when(F.exists(follows, is_it), F.lit(False))
+    return F.when(by == 1, left_out).when(value.isNull() | (F.abs(value) >= 1e6), F.lit(False)).when(kind != "exact", F.lit(True)).otherwise(F.coalesce(backed, F.lit(False)))

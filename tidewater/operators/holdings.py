@@ -65,12 +65,19 @@ def share_factors(factors: DataFrame, after: Column, upto: Column) -> DataFrame:
     return own.groupBy("security").agg((1 / F.exp(F.sum(F.log("expected")))).alias("factor"))
 
 
-def is_clean_ratio(factor: Column, most: int = 10, tolerance: float = 0.01) -> Column:
-    """Whether a factor is near a / b of whole numbers up to ``most``, below or above one."""
-    near = F.lit(False)
-    for b in range(1, most + 1):
-        a = F.round(factor * b)
-        near = near | ((a >= 1) & (a <= most) & (a != b) & (F.abs(factor / (a / b) - 1) <= tolerance))
+def clean_ratios(most: int = 20, small: int = 5, held: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 10)) -> list[float]:
+    """Factors of splits and consolidations of up to ``most``, and of bonuses a for b: both up to ``small``, or b one of ``held`` and a up to b + 1.
+
+    Other b are left out: with 7, 8 or 9 nearly any reset would be near some ratio.
+    """
+    pairs = {(1, k) for k in range(2, most + 1)} | {(k, 1) for k in range(2, most + 1)}
+    pairs |= {(b, a + b) for b in range(1, small + 1) for a in range(1, small + 1)} | {(b, a + b) for b in held for a in range(1, b + 2)}
+    return sorted({x / y for x, y in pairs})
+
+
+def is_clean_ratio(factor: Column, tolerance: float = 0.015) -> Column:
+    """Whether a factor is within the tolerance of one that a split, a bonus or a consolidation gives (see :func:`clean_ratios`); null is not."""
+    near = F.exists(F.array(*(F.lit(r) for r in clean_ratios())), lambda r: F.abs(factor / r - 1) <= tolerance)
     return F.coalesce(near, F.lit(False))
 
 

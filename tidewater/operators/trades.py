@@ -129,13 +129,27 @@ def net_by(deals: DataFrame, by: list[str], security: str, side: str, value: str
     return per.groupBy(*by).agg(F.round(F.sum("b"), 2).alias("bought"), F.round(F.sum("s"), 2).alias("sold"), F.round(F.sum(F.col("b") - F.col("s")), 2).alias("net"), F.sum("n").alias("deals"), F.count("*").alias("securities"), largest.alias("largest"))
 
 
-def breadth(trades: DataFrame, day: str, ref: Column, days: int, side: str) -> DataFrame:
-    """One row: buys and sells in this window and the one before, and the share of buys."""
-    now = in_window(day, ref, days)
-    before = (F.col(day) > F.date_sub(ref, 2 * days)) & (F.col(day) <= F.date_sub(ref, days))
-    buy, sell = F.col(side) == "BUY", F.col(side) == "SELL"
-    out = trades.agg(F.count_if(now & buy).alias("buys"), F.count_if(now & sell).alias("sells"), F.count_if(before & buy).alias("buys_before"), F.count_if(before & sell).alias("sells_before"))
-    return out.withColumn("buy_share", F.when(F.col("buys") + F.col("sells") > 0, F.col("buys") / (F.col("buys") + F.col("sells"))))
+def breadth(trades: DataFrame, day: str, ref: Column, days: int, side: str, value: str, security: str, decides: Column, token: Column | None = None) -> DataFrame:
+    """One row: rupees and securities that decision-makers bought and sold in the ``days`` to ``ref``, their share of buying in percent, and the same of the period before.
+
+    ``decides`` tells decision-makers' trades; token buys do not count as buys. The period before is null
+    where the data begins after it does, its first day aside.
+    """
+    known = trades.where(F.coalesce(decides, F.lit(False)) & F.col(security).isNotNull() & (F.col(day) <= ref))
+    buy = (F.col(side) == "BUY") & ~F.coalesce(token if token is not None else F.lit(False), F.lit(False))
+    sell = F.col(side) == "SELL"
+    now, before = F.col(day) > F.date_sub(ref, days), (F.col(day) > F.date_sub(ref, 2 * days)) & (F.col(day) <= F.date_sub(ref, days))
+    sums = [
+        f(c).alias(f"{name}{tail}")
+        for tail, window in (("", now), ("_before", before))
+        for name, side_is in (("buy", buy), ("sell", sell))
+        for name, c, f in ((f"{name}_value", F.when(window & side_is, F.col(value)), lambda x: F.coalesce(F.sum(x), F.lit(0.0))), (f"{name}_securities", F.when(window & side_is, F.col(security)), F.count_distinct))
+    ]
+    out = known.agg(F.min(day).alias("first"), *sums)
+    reaches = F.col("first") <= F.date_add(F.date_sub(ref, 2 * days), 1)
+    share = lambda tail: F.when(F.col(f"buy_value{tail}") + F.col(f"sell_value{tail}") > 0, F.col(f"buy_value{tail}") / (F.col(f"buy_value{tail}") + F.col(f"sell_value{tail}")) * 100).alias(f"buy_share{tail}")
+    told = out.select("*", share(""), share("_before"))
+    return told.select(*(F.when(reaches, F.col(c)).alias(c) if c.endswith("_before") else F.col(c) for c in told.columns if c != "first"))
 
 
 def person_windows(trades: DataFrame, ref: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from tidewater.sources.files import table
 def sides_of_trades(spark, folder):
     li = table(spark, folder, "lineitem")
     kind = F.when(F.col("l_returnflag") == "R", "Disposal").when(F.col("l_returnflag") == "A", "Acquisition of shares")
-    mode = F.when(F.col("l_linestatus") == "F", "Market Purchase").when(F.col("l_linenumber") > 5, "Market Sale").otherwise("Purchase or Sale")
+    mode = F.when(F.col("l_linestatus") == "F", "Market Purchase").when(F.col("l_linenumber") > 5, "Market Sale").when(F.col("l_linenumber") > 3, "Purchase or Sale").otherwise("Pledge revoked")
     return li.groupBy(cleaning.side_of(kind, mode).alias("side")).agg(F.count("*").alias("n"))
 
 
@@ -69,9 +69,10 @@ def unrecognised_values(spark, folder):
 
 def unit_words(spark, folder):
     words = F.element_at(F.array(*[F.lit(w) for w in ("lakh", "Crores.", "million", "rupees", "Bn")]), (F.col("l_linenumber") % 5 + 1).cast("int"))
-    quote = F.concat(F.lit("worth "), F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_returnflag") == "R", " ").otherwise(" or more in "), F.lower(words))
-    li = table(spark, folder, "lineitem").select(words.alias("unit"), F.col("l_quantity").alias("v"), quote.alias("quote"))
-    return li.groupBy("unit", cleaning.unit_multiplier(F.col("unit")).alias("multiplier"), cleaning.unit_backed(F.col("v"), F.col("unit"), F.col("quote")).alias("backed")).agg(F.count("*").alias("n"))
+    near = F.when(F.col("l_returnflag") == "R", " ").otherwise(" or more of 7 in ")
+    quote = F.concat(F.lit("worth "), F.col("l_quantity").cast("int").cast("string"), near, F.lower(words))
+    li = table(spark, folder, "lineitem").select(words.alias("unit"), F.col("l_quantity").alias("v"), quote.alias("quote"), F.when(F.col("l_linestatus") == "F", "exact").otherwise("table").alias("kind"))
+    return li.groupBy("unit", "kind", cleaning.unit_multiplier(F.col("unit")).alias("multiplier"), cleaning.unit_backed(F.col("v"), F.col("unit"), F.col("quote"), F.col("kind")).alias("backed")).agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (sides_of_trades, filled_roles, merged_cut_names, group_members, scheme_changes, scheme_month, flags_report, unrecognised_values, unit_words)}
@@ -85,7 +86,7 @@ _SCHEMES = f"""{FILINGS}, q AS (SELECT c_nationkey AS house, c_mktsegment AS sch
         CASE WHEN NOT EXISTS (SELECT 1 FROM e WHERE e.house = n.house AND e.scheme = n.scheme) THEN 'start_only' WHEN NOT EXISTS (SELECT 1 FROM a WHERE a.house = n.house AND a.scheme = n.scheme) THEN 'end_only' ELSE 'both' END AS scheme_seen FROM n)"""
 
 ORACLE_SQL = {
-    "sides_of_trades": """SELECT CASE WHEN l_returnflag = 'R' THEN 'SELL' WHEN l_returnflag = 'A' THEN 'BUY' WHEN l_linestatus = 'F' THEN 'BUY' WHEN l_linenumber > 5 THEN 'SELL' END AS side, count(*) AS n FROM lineitem GROUP BY 1""",
+    "sides_of_trades": """SELECT CASE WHEN l_returnflag = 'R' THEN 'SELL' WHEN l_returnflag = 'A' THEN 'BUY' WHEN l_linestatus = 'F' THEN 'BUY' WHEN l_linenumber > 5 THEN 'SELL' WHEN l_linenumber > 3 THEN 'BUY' END AS side, count(*) AS n FROM lineitem GROUP BY 1""",
     "filled_roles": f"""WITH {DEALS}, r AS (SELECT client, CASE WHEN quantity < 30 THEN 'missing' ELSE event_type END AS role FROM d),
         k AS (SELECT client, role, row_number() OVER (PARTITION BY client ORDER BY count(*) DESC, role) AS p FROM r WHERE role <> 'missing' GROUP BY 1, 2)
         SELECT CASE WHEN r.role = 'missing' THEN coalesce(k.role, 'missing') ELSE r.role END AS role, CASE WHEN r.role <> 'missing' THEN 'filing' WHEN k.role IS NOT NULL THEN 'other_filing' ELSE 'missing' END AS role_source, count(*) AS n
@@ -107,6 +108,6 @@ ORACLE_SQL = {
         count(*) FILTER (status = 'new') AS "new", count(*) FILTER (status = 'exit') AS exits, count(*) FILTER ("end" > 0) AS holdings, count(*) FILTER (price IS NULL AND change <> 0) AS unvalued FROM ch LEFT JOIN pr ON pr.security = ch.security GROUP BY 1, 2""",
     "flags_report": f"""WITH {FILINGS}, x AS (SELECT unnest(list_filter([CASE WHEN day_to < day_from THEN 'dates_out_of_order' END, CASE WHEN value > 90000 THEN 'large' END, CASE WHEN tax > discount THEN 'tax_above_discount' END], lambda v: v IS NOT NULL)) AS flag FROM f) SELECT flag, count(*) AS n FROM x GROUP BY 1""",
     "unrecognised_values": """SELECT 'o_orderstatus' AS field, o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('F', 'O') GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') GROUP BY 2""",
-    "unit_words": """WITH x AS (SELECT (['lakh', 'Crores.', 'million', 'rupees', 'Bn'])[l_linenumber % 5 + 1] AS unit, l_returnflag = 'R' AS near FROM lineitem)
-        SELECT unit, CASE unit WHEN 'lakh' THEN 1e5::DOUBLE WHEN 'Crores.' THEN 1e7::DOUBLE WHEN 'million' THEN 1e6::DOUBLE ELSE 1.0::DOUBLE END AS multiplier, CASE WHEN unit IN ('lakh', 'Crores.', 'million') THEN near END AS backed, count(*) AS n FROM x GROUP BY 1, 2, 3""",
+    "unit_words": """WITH x AS (SELECT (['lakh', 'Crores.', 'million', 'rupees', 'Bn'])[l_linenumber % 5 + 1] AS unit, l_returnflag = 'R' AS near, l_linestatus = 'F' AS exact FROM lineitem)
+        SELECT unit, CASE WHEN exact THEN 'exact' ELSE 'table' END AS kind, CASE unit WHEN 'lakh' THEN 1e5::DOUBLE WHEN 'Crores.' THEN 1e7::DOUBLE WHEN 'million' THEN 1e6::DOUBLE WHEN 'Bn' THEN 1e9::DOUBLE ELSE 1.0::DOUBLE END AS multiplier, CASE WHEN unit <> 'rupees' THEN NOT exact OR near END AS backed, count(*) AS n FROM x GROUP BY 1, 2, 3, 4""",
 }

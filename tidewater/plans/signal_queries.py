@@ -307,8 +307,9 @@ ORACLE_SQL = {
         FROM n LEFT JOIN part ON p_partkey = security AND p_size > 5 GROUP BY 1""",
     "expected_factors": f"WITH {_ACTIONS} SELECT security, ex_day, round(expected, 8) AS expected, split_bonus FROM x",
     "share_factors": f"WITH {_ACTIONS} SELECT security, round(1 / exp(sum(ln(expected))), 6) AS factor FROM x WHERE split_bonus AND expected > 0 AND ex_day > DATE '1997-01-31' AND ex_day <= DATE '1997-02-28' GROUP BY 1",
-    "clean_ratios": f"""WITH {BARS}, r AS (SELECT DISTINCT a.n / b.n::DOUBLE AS q FROM range(1, 11) a(n), range(1, 11) b(n) WHERE a.n <> b.n), x AS (SELECT round(low / high, 6) AS f FROM b)
-        SELECT coalesce((SELECT bool_or(abs(f / q - 1) <= 0.01::DOUBLE) FROM r), false) AS clean, count(*) AS n FROM x GROUP BY 1""",
+    "clean_ratios": f"""WITH {BARS}, r AS (SELECT k::DOUBLE AS q FROM range(2, 21) t(k) UNION SELECT 1 / k::DOUBLE FROM range(2, 21) t(k) UNION SELECT a / (a + b)::DOUBLE FROM range(1, 6) x(a), range(1, 6) y(b)
+        UNION SELECT h / (h + n)::DOUBLE FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 10]) AS h) x, range(1, 12) y(n) WHERE n <= h + 1), x AS (SELECT round(low / high, 6) AS f FROM b)
+        SELECT coalesce((SELECT bool_or(abs(f / q - 1) <= 0.015::DOUBLE) FROM r), false) AS clean, count(*) AS n FROM x GROUP BY 1""",
     "basket_nav": f"""WITH {FILINGS}, {BARS}, p AS (SELECT security, min(day_to) AS entry_day, CASE WHEN max(day_to) > min(day_to) THEN max(day_to) END AS exit_day FROM f WHERE side = 'BUY' GROUP BY 1),
         mv AS (SELECT security, day, (close / lag(close) OVER (PARTITION BY security ORDER BY day) - 1) * 100 AS move FROM b), dd AS (SELECT DISTINCT day FROM b WHERE day >= (SELECT min(entry_day) FROM p)),
         o AS (SELECT day, avg(move) AS gain, count(*) AS live FROM mv JOIN p ON p.security = mv.security AND day > entry_day AND (exit_day IS NULL OR day <= exit_day) GROUP BY 1), n AS (SELECT entry_day AS day, count(*) AS entering FROM p GROUP BY 1),

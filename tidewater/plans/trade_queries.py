@@ -115,8 +115,9 @@ def buyers_sellers(spark, folder):
 
 
 def insider_breadth(spark, folder):
-    out = trades.breadth(filings(spark, folder), "day_to", ref(), 90, "side")
-    return out.withColumn("buy_share", F.round("buy_share", 6))
+    f = filings(spark, folder)
+    out = trades.breadth(f, "day_to", ref(), 90, "side", "value", "security", F.col("line") <= 4, F.col("quantity") < 5)
+    return out.select(*(F.round(c, 4).alias(c) if "value" in c or "share" in c else c for c in out.columns))
 
 
 def person_windows(spark, folder):
@@ -202,9 +203,12 @@ ORACLE_SQL = {
     "net_by_type": f"WITH {DEALS}, " + _NETBY.format("event_type", "client", _b("quantity"), _s("quantity"), "d"),
     "buyers_sellers": f"""WITH {FILINGS}, n AS (SELECT security, {_NET} AS net FROM f GROUP BY 1)
         (SELECT security, net, 'buy' AS list FROM n WHERE net > 0 ORDER BY net DESC, security LIMIT 10) UNION ALL (SELECT security, net, 'sell' FROM n WHERE net < 0 ORDER BY net, security LIMIT 10)""",
-    "insider_breadth": f"""WITH {FILINGS}, w AS (SELECT side, day_to > DATE '{REF}' - 90 AND day_to <= DATE '{REF}' AS now, day_to > DATE '{REF}' - 180 AND day_to <= DATE '{REF}' - 90 AS old FROM f),
-        g AS (SELECT count(*) FILTER (now AND side = 'BUY') AS buys, count(*) FILTER (now AND side = 'SELL') AS sells, count(*) FILTER (old AND side = 'BUY') AS buys_before, count(*) FILTER (old AND side = 'SELL') AS sells_before FROM w)
-        SELECT *, round(CASE WHEN buys + sells > 0 THEN buys::DOUBLE / (buys + sells) END, 6) AS buy_share FROM g""",
+    "insider_breadth": f"""WITH {FILINGS}, w AS (SELECT security, side, value, quantity >= 5 AS sized, day_to > DATE '{REF}' - 90 AS now, day_to > DATE '{REF}' - 180 AND day_to <= DATE '{REF}' - 90 AS old, min(day_to) OVER () <= DATE '{REF}' - 179 AS reaches
+        FROM f WHERE line <= 4 AND day_to <= DATE '{REF}'),
+        g AS (SELECT any_value(reaches) AS reaches, coalesce(sum(value) FILTER (now AND side = 'BUY' AND sized), 0) AS bv, coalesce(sum(value) FILTER (now AND side = 'SELL'), 0) AS sv, coalesce(sum(value) FILTER (old AND side = 'BUY' AND sized), 0) AS bo, coalesce(sum(value) FILTER (old AND side = 'SELL'), 0) AS so,
+        count(DISTINCT security) FILTER (now AND side = 'BUY' AND sized) AS bs, count(DISTINCT security) FILTER (now AND side = 'SELL') AS ss, count(DISTINCT security) FILTER (old AND side = 'BUY' AND sized) AS ob, count(DISTINCT security) FILTER (old AND side = 'SELL') AS os FROM w)
+        SELECT round(bv, 4) AS buy_value, bs AS buy_securities, round(sv, 4) AS sell_value, ss AS sell_securities, round(100 * bv / nullif(bv + sv, 0), 4) AS buy_share, CASE WHEN reaches THEN round(bo, 4) END AS buy_value_before, CASE WHEN reaches THEN ob END AS buy_securities_before,
+        CASE WHEN reaches THEN round(so, 4) END AS sell_value_before, CASE WHEN reaches THEN os END AS sell_securities_before, CASE WHEN reaches THEN round(100 * bo / nullif(bo + so, 0), 4) END AS buy_share_before FROM g""",
     "person_windows": f"WITH {FILINGS} SELECT security, person, round(sum(CASE WHEN side = 'BUY' AND day_to > DATE '{REF}' - 30 THEN value ELSE 0 END), 2) AS value_30d, round({_b('value')}, 2) AS value_90d FROM f WHERE day_to > DATE '{REF}' - 90 AND day_to <= DATE '{REF}' GROUP BY 1, 2",
     "spotlight": f"""WITH {FILINGS}, w AS (SELECT security, person, round(sum(CASE WHEN side = 'BUY' AND day_to > DATE '{REF}' - 30 THEN value ELSE 0 END), 2) AS value_30d FROM f WHERE day_to > DATE '{REF}' - 90 AND day_to <= DATE '{REF}' GROUP BY 1, 2)
         SELECT security, person, value_30d, round(value_30d / (p_retailprice * 1000) * 100, 6) AS pct FROM w JOIN part ON p_partkey = security WHERE round(value_30d / (p_retailprice * 1000) * 100, 6) >= 0.15""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.plans import cleaning_queries, period_queries, price_queries, signal_queries, text_queries, trade_queries
+from tidewater.plans import cleaning_queries, period_queries, price_queries, record_queries, signal_queries, text_queries, trade_queries
 
-_PARTS = (trade_queries, price_queries, period_queries, signal_queries, cleaning_queries, text_queries)
+_PARTS = (trade_queries, price_queries, period_queries, signal_queries, cleaning_queries, text_queries, record_queries)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

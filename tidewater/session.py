@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tidewater", master: str | None = None, **conf: str) -> SparkSession:
@@ -14,3 +16,22 @@ def session(app: str = "tidewater", master: str | None = None, **conf: str) -> S
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share: ``spark.checkpoint.dir``; only a local master may do without it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
+    return (named or "/tmp/checkpoints/tidewater").rstrip("/")
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: a lost executor costs tasks and not the plan before it. The table goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
