@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.bindings import FILINGS, filings
+from tidewater.bindings import DEALS, FILINGS, deals, filings
+from tidewater.operators import dealings, linkage, replay, tables
 from tidewater.operators import filings as cleaning
-from tidewater.operators import linkage, replay
+from tidewater.sources import xbrl
 from tidewater.sources.files import table
 
 # What the sample's codes are filed as.
@@ -55,6 +56,74 @@ def cleaned_filings_report(spark, folder):
     return report.withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ","))
 
 
+def printed_deals(spark, folder):
+    """Events as printed deals of both exchanges; larger ones stand in an older form of the feed too, the next smaller ones in the other feed."""
+    d = deals(spark, folder)
+    sized = (F.floor(F.col("quantity") / 50) * 10 + 10).cast("double")
+    copies = F.array_compact(F.array(F.lit("own"), F.when(F.col("quantity") > 150, "older"), F.when(F.col("quantity").between(80, 150), "other")))
+    half = F.when(F.hour("ts") < 12, "block").otherwise("bulk")
+    rows = d.withColumn("copy", F.explode(copies))
+    return rows.select(
+        (F.col("event_id") * 3 + F.when(F.col("copy") == "older", 1).when(F.col("copy") == "other", 2).otherwise(0)).alias("row_id"), F.when(F.col("event_id") % 3 == 0, "bse").otherwise("nse").alias("exchange"),
+        F.when(F.col("copy") == "other", F.when(half == "bulk", "block").otherwise("bulk")).otherwise(half).alias("feed"), (F.col("copy") != "older").alias("from_csv"), F.when(F.col("security") % 20 < 19, F.concat(F.lit("E"), (F.col("security") % 20).cast("string"))).alias("security"),
+        F.col("security").cast("string").alias("symbol"), "client", "side", sized.alias("quantity"), (F.lit(10.0) + F.col("security") % 7).alias("price"), "day", ((F.col("event_type") == "error") & (F.col("security") % 10 == 0)).alias("round_trip"),
+    )
+
+
+def cleaned_deals_report(spark, folder):
+    """Printed rows and legs in, kept, removed by reason, flagged and marked."""
+    rows, row_counts = cleaning.counted(dealings.deal_rows(printed_deals(spark, folder)).withColumn("flags", F.array().cast("array<string>")), dealings.ROW_REASONS, "deal-rows")
+    legs, leg_counts = cleaning.counted(dealings.deal_legs(rows), dealings.LEG_REASONS, "deal-legs")
+    both = cleaning.cleaning_report(rows, row_counts, "deals", "row_id", 5).unionByName(cleaning.cleaning_report(legs, leg_counts, "legs", "leg_id", 5))
+    marks = legs.where("reason is null").select(F.explode(F.array_compact(F.array(F.when(F.col("is_maker"), "market_maker"), F.when(F.col("twin"), "same_size_on_other_exchange"), F.when(F.col("pair_leg").isNotNull(), "matched_pair"), F.when(F.col("two_way_bought").isNotNull(), "netted")))).alias("name"))
+    counted = marks.groupBy("name").agg(F.count("*").alias("n")).select(F.lit("legs").alias("table_name"), F.lit("marked").alias("measure"), "name", "n", F.lit(None).cast("array<bigint>").alias("examples"))
+    return both.unionByName(counted).withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ","))
+
+
+def results_summary(spark, folder):
+    """Orders as results filings in XBRL: revenue and tax of the quarter and the year to date.
+
+    Every fifth order files a half year only, every third its tax in a context of the quarter's days beside
+    the one that states the period; a member's revenue is no revenue of the company.
+    """
+    sums = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_quantity").cast("long")).alias("units"), F.count("*").alias("lines"))
+    o = table(spark, folder, "orders").join(sums, "o_orderkey").select("o_orderkey", "units", "lines", F.last_day(F.col("o_orderdate").cast("date")).alias("end"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd")
+    start = lambda months: text(F.add_months(F.date_add("end", 1), -months))
+    half = F.col("o_orderkey") % 5 == 0
+
+    def context(name, months, member=""):
+        segment = f"<x:segment><m:explicitMember xmlns:m='urn:m' dimension='d'>{member}</m:explicitMember></x:segment>" if member else ""
+        return F.concat(F.lit(f"<x:context id='{name}'><x:entity><x:identifier scheme='s'>x</x:identifier>{segment}</x:entity><x:period><x:startDate>"), start(months), F.lit("</x:startDate><x:endDate>"), text("end"), F.lit("</x:endDate></x:period></x:context>"))
+
+    def fact(name, where, value, unit=" unitRef='INR'"):
+        return F.concat(F.lit(f"<in:{name} contextRef='{where}'{unit}>"), value.cast("string"), F.lit(f"</in:{name}>"))
+
+    whole = F.concat(context("FourD", 6), fact(xbrl_end, "FourD", text("end"), ""), fact("Revenue", "FourD", F.col("units") * 2), fact("Tax", "FourD", F.col("lines") * 2))
+    quarter = F.concat(context("OneD", 3), context("Lines", 3), context("Part", 3, "in:A"), fact(xbrl_end, "OneD", text("end"), ""), fact("Revenue", "OneD", F.col("units")), fact("Revenue", "Part", F.lit(1)), F.when(F.col("o_orderkey") % 3 == 0, fact("Tax", "Lines", F.col("lines"))).otherwise(F.concat(fact("Tax", "OneD", F.col("lines")), fact("Tax", "Lines", F.lit(-1)))))
+    body = F.concat(F.lit("<x:xbrl xmlns:x='urn:x' xmlns:in='urn:in'>"), whole, F.when(half, "").otherwise(quarter), F.lit("</x:xbrl>"))
+    facts = xbrl.xbrl_facts(o.select("o_orderkey", body.alias("xml")), "o_orderkey", "xml")
+    out = xbrl.period_values(facts, xbrl.reporting_periods(facts, "o_orderkey"), "o_orderkey", {"revenue": ["Revenue"], "tax": ["Tax"]})
+    return out.select("o_orderkey", "quarter", "ytd", "ytd_first", "period_end", "quarter_revenue", "ytd_revenue", "quarter_tax", "ytd_tax")
+
+
+xbrl_end = "DateOfEndOfReportingPeriod"
+
+
+def table_checks(spark, folder):
+    """Orders as text tables: their lines' prices and a total, and a results table of which every seventh is misread."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
+    money = lambda c: F.format_number(c, 2)
+    o = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("price")).alias("prices"), F.sum("price").alias("total"), F.max("price").alias("most"))
+    rows = F.array_join(F.transform("prices", lambda p: F.concat(F.lit("Line item "), money(p))), "\n")
+    read = F.when(F.col("l_orderkey") % 7 == 0, F.col("total") + 90_000).otherwise(F.col("total"))
+    text = F.concat(F.lit("Schedule\n"), rows, F.lit("\nTotal (a+b) "), money(F.col("total")), F.lit("\nI Revenue from operations "), money(F.col("total") - F.col("most")), F.lit("\nII Other income "), money(F.col("most")), F.lit("\nIII Total income (I + II) "), money(read))
+    docs = o.select(F.col("l_orderkey").alias("doc"), text.alias("text"))
+    checks = tables.table_arithmetic(docs, "doc", "text").select("doc", "holds")
+    sums = tables.adding_rows(tables.number_grid(docs, "doc", "text"), "doc").where("first_line = 1").groupBy("doc").agg(F.min("line").alias("total_line"), F.min_by("rows", "line").alias("added"))
+    return checks.join(sums, "doc", "left")
+
+
 def same_deal_groups(spark, folder):
     """Orders as cards of their priority and status; their lines' quantities and prices as figures."""
     lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.col("l_quantity")).alias("quantities"), F.collect_set(F.round("l_extendedprice", 2)).alias("prices"))
@@ -82,7 +151,7 @@ def study_events(spark, folder):
     return out.groupBy("security", "day", "signal").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (cleaned_filings_report, same_deal_groups, doc_same_deal_groups, study_events)}
+QUERIES = {f.__name__: f for f in (cleaned_filings_report, cleaned_deals_report, results_summary, table_checks, same_deal_groups, doc_same_deal_groups, study_events)}
 
 
 def _deals_sql(cards: str) -> str:
@@ -147,8 +216,37 @@ _REPORT = f"""WITH RECURSIVE x AS (SELECT l.*, o.*, unnest(list_filter([0, CASE
         SELECT 'insider_trades' AS table_name, 'rows' AS measure, 'rows' AS name, count(*) AS n, NULL AS examples FROM f6 UNION ALL SELECT 'insider_trades', 'rows', 'kept', count(*) FILTER (reason IS NULL), NULL FROM f6
         UNION ALL SELECT 'insider_trades', 'removed', reason, max(p), string_agg(row_no::VARCHAR, ',' ORDER BY row_no) FILTER (p <= 5) FROM ex GROUP BY 3 UNION ALL SELECT 'insider_trades', 'flagged', name, count(*), NULL FROM fl GROUP BY 3"""
 
+_DEALS_REPORT = f"""WITH {DEALS}, x AS (SELECT *, unnest(list_filter(['own', CASE WHEN quantity > 150 THEN 'older' END, CASE WHEN quantity BETWEEN 80 AND 150 THEN 'other' END], lambda c: c IS NOT NULL)) AS copy, CASE WHEN hour(ts) < 12 THEN 'block' ELSE 'bulk' END AS half FROM d),
+        r AS (SELECT event_id * 3 + CASE copy WHEN 'older' THEN 1 WHEN 'other' THEN 2 ELSE 0 END AS row_id, CASE WHEN event_id % 3 = 0 THEN 'bse' ELSE 'nse' END AS exchange, CASE WHEN copy = 'other' THEN CASE half WHEN 'bulk' THEN 'block' ELSE 'bulk' END ELSE half END AS feed, copy <> 'older' AS csv,
+            CASE WHEN security % 20 < 19 THEN 'E' || security % 20 END AS security, security::VARCHAR AS symbol, client, side, (floor(quantity / 50) * 10 + 10)::DOUBLE AS quantity, 10.0::DOUBLE + security % 7 AS price, day, event_type = 'error' AND security % 10 = 0 AS trip FROM x),
+        r1 AS (SELECT *, coalesce(security, exchange || ':' || symbol) AS sk, CASE WHEN trip THEN 'intraday_round_trip' END AS reason FROM r),
+        r2 AS (SELECT a.* REPLACE (CASE WHEN reason IS NULL AND NOT csv AND EXISTS (SELECT 1 FROM r1 b WHERE b.reason IS NULL AND b.csv AND b.exchange = a.exchange AND b.feed = a.feed AND b.day = a.day AND b.symbol = a.symbol AND b.client = a.client AND b.side = a.side AND b.quantity = a.quantity AND round(b.price, 2) = round(a.price, 2)) THEN 'same_deal_in_older_form' ELSE reason END AS reason) FROM r1 a),
+        f AS (SELECT row_id, row_number() OVER w AS place, list_sort(list_distinct(list(feed) OVER (PARTITION BY exchange, sk, client, day, side, quantity, price))) AS feeds FROM r2 WHERE reason IS NULL WINDOW w AS (PARTITION BY exchange, sk, client, day, side, quantity, price ORDER BY feed, row_id)),
+        r3 AS (SELECT r2.* REPLACE (CASE WHEN place > 1 THEN 'same_trade_in_both_feeds' ELSE reason END AS reason), feeds FROM r2 LEFT JOIN f USING (row_id)),
+        t AS (SELECT exchange, sk, client, day, side, sum(quantity) FILTER (list_contains(feeds, 'bulk')) AS bulk, sum(quantity) FILTER (list_contains(feeds, 'block')) AS block, count(*) FILTER (feeds = ['bulk']) AS nbulk, count(*) FILTER (feeds = ['block']) AS nblock FROM r3 WHERE reason IS NULL GROUP BY ALL),
+        r4 AS (SELECT r3.* REPLACE (CASE WHEN reason IS NULL AND nbulk > 0 AND nblock > 0 AND ((feeds = ['block'] AND bulk >= block) OR (feeds = ['bulk'] AND bulk < block)) THEN 'block_legs_inside_bulk_total' ELSE reason END AS reason) FROM r3 LEFT JOIN t USING (exchange, sk, client, day, side)),
+        l AS (SELECT exchange, sk, client, day, side, min(row_id) AS leg_id, any_value(security) AS security, sum(quantity) AS quantity, sum(quantity * price) AS value FROM r4 WHERE reason IS NULL GROUP BY ALL),
+        l1 AS (SELECT *, value / quantity AS price, date_trunc('quarter', day) AS q FROM l),
+        e AS (SELECT DISTINCT q, least((q + INTERVAL 3 MONTH)::DATE - 1, (SELECT max(day) FROM l1)) AS ends FROM l1),
+        mm AS (SELECT client, e.q FROM l1 JOIN e ON day <= ends AND day > ends - 91 GROUP BY 1, 2 HAVING count(*) >= 40 AND least(coalesce(sum(value) FILTER (side = 'BUY'), 0), coalesce(sum(value) FILTER (side = 'SELL'), 0)) >= 0.8 * greatest(coalesce(sum(value) FILTER (side = 'BUY'), 0), coalesce(sum(value) FILTER (side = 'SELL'), 0))),
+        l2 AS (SELECT l1.*, mm.client IS NOT NULL AS maker, sum(l1.quantity) FILTER (side = 'BUY') OVER w AS b, sum(l1.quantity) FILTER (side = 'SELL') OVER w AS s FROM l1 LEFT JOIN mm USING (client, q) WINDOW w AS (PARTITION BY sk, l1.client, day)),
+        l3 AS (SELECT *, CASE WHEN b > 0 AND s > 0 AND abs(b - s) <= 0.01 * greatest(b, s) THEN 'intraday_round_trip_across_exchanges' WHEN b > 0 AND s > 0 AND NOT maker AND side <> CASE WHEN b > s THEN 'BUY' ELSE 'SELL' END THEN 'same_day_both_sides_netted' END AS reason, b > 0 AND s > 0 AND NOT maker AS two FROM l2),
+        l4 AS (SELECT * REPLACE (CASE WHEN two THEN quantity * (abs(b - s) / greatest(b, s)) ELSE quantity END AS quantity), reason IS NULL AND two AS netted FROM l3),
+        m AS (SELECT x.leg_id AS a, y.leg_id AS b FROM l4 x JOIN l4 y ON x.reason IS NULL AND y.reason IS NULL AND x.side = 'BUY' AND y.side = 'SELL' AND x.exchange = y.exchange AND x.sk = y.sk AND x.day = y.day AND x.quantity = y.quantity AND x.client <> y.client AND abs(x.price - y.price) <= 0.0005::DOUBLE * x.price),
+        pm AS (SELECT a, b FROM m QUALIFY count(*) OVER (PARTITION BY a) = 1 AND count(*) OVER (PARTITION BY b) = 1),
+        tw AS (SELECT security, client, day, side, quantity FROM l4 WHERE reason IS NULL AND security IS NOT NULL GROUP BY ALL HAVING count(DISTINCT exchange) > 1),
+        xr AS (SELECT 'deals' AS tn, reason, row_id AS id FROM r4 UNION ALL SELECT 'legs', reason, leg_id FROM l4), er AS (SELECT *, row_number() OVER (PARTITION BY tn, reason ORDER BY id) AS p FROM xr WHERE reason IS NOT NULL)
+        SELECT tn AS table_name, 'rows' AS measure, 'rows' AS name, count(*) AS n, NULL AS examples FROM xr GROUP BY 1 UNION ALL SELECT tn, 'rows', 'kept', count(*) FILTER (reason IS NULL), NULL FROM xr GROUP BY 1
+        UNION ALL SELECT tn, 'removed', reason, max(p), string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (p <= 5) FROM er GROUP BY 1, 3 UNION ALL SELECT 'legs', 'flagged', 'unmatched_security', count(*), NULL FROM l4 WHERE reason IS NULL AND security IS NULL HAVING count(*) > 0
+        UNION ALL SELECT 'legs', 'marked', name, count(*), NULL FROM (SELECT unnest([CASE WHEN maker THEN 'market_maker' END, CASE WHEN netted THEN 'netted' END, CASE WHEN leg_id IN (SELECT a FROM pm UNION SELECT b FROM pm) THEN 'matched_pair' END,
+            CASE WHEN EXISTS (SELECT 1 FROM tw WHERE tw.security = l4.security AND tw.client = l4.client AND tw.day = l4.day AND tw.side = l4.side AND tw.quantity = l4.quantity) THEN 'same_size_on_other_exchange' END]) AS name FROM l4 WHERE reason IS NULL) WHERE name IS NOT NULL GROUP BY 3"""
+
 ORACLE_SQL = {
     "cleaned_filings_report": _REPORT,
+    "cleaned_deals_report": _DEALS_REPORT,
+    "results_summary": """WITH s AS (SELECT l_orderkey AS o_orderkey, sum(l_quantity::BIGINT)::DOUBLE AS units, count(*)::DOUBLE AS lines FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, units, lines, last_day(o_orderdate::DATE) AS e, o_orderkey % 5 = 0 AS half FROM orders JOIN s USING (o_orderkey))
+        SELECT o_orderkey, CASE WHEN NOT half THEN 'OneD' END AS quarter, 'FourD' AS ytd, strftime((e + 1) - INTERVAL 6 MONTH, '%Y-%m-%d') AS ytd_first, strftime(e, '%Y-%m-%d') AS period_end, CASE WHEN NOT half THEN units END AS quarter_revenue, units * 2 AS ytd_revenue, CASE WHEN NOT half THEN lines END AS quarter_tax, lines * 2 AS ytd_tax FROM o""",
+    "table_checks": """SELECT l_orderkey AS doc, l_orderkey % 7 <> 0 AS holds, CASE WHEN count(*) > 1 THEN count(*) + 1 END AS total_line, CASE WHEN count(*) > 1 THEN count(*) END AS added FROM lineitem GROUP BY 1""",
     "same_deal_groups": _deals_sql(
         """SELECT o_orderkey AS id, o_orderpriority AS who, o_orderstatus AS cat, o_orderdate AS at, list_distinct(list_concat(list(l_quantity), list(round(l_extendedprice, 2)))) AS figs, len(list_distinct(list(l_quantity))) + len(list_distinct(list(round(l_extendedprice, 2)))) AS shown
         FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL"""
