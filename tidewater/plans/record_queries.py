@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.bindings import DEALS, FILINGS, deals, filings
-from tidewater.operators import dealings, linkage, replay, tables
+from tidewater.bindings import DEALS, FILINGS, REF, deals, filings, ref
+from tidewater.operators import dealings, decisions, linkage, replay, tables
 from tidewater.operators import filings as cleaning
 from tidewater.sources import xbrl
 from tidewater.sources.files import table
@@ -151,7 +151,32 @@ def study_events(spark, folder):
     return out.groupBy("security", "day", "signal").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (cleaned_filings_report, cleaned_deals_report, results_summary, table_checks, same_deal_groups, doc_same_deal_groups, study_events)}
+def _maker_tables(spark, folder):
+    """Filings of parts by suppliers: roles by line, group membership by nation, shares by part size."""
+    f = filings(spark, folder)
+    groups = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("person"), F.when(F.col("s_nationkey") % 4 == 0, F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))).alias("group_id"))
+    role = F.when(F.col("line") <= 2, "promoter").when(F.col("line") <= 4, "director").when(F.col("line") == 5, "kmp").otherwise("employee")
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("security"), "p_brand", "p_size")
+    # a brand is a company
+    rows = f.join(groups, "person").join(parts, "security").select(
+        F.col("p_brand").alias("security"), "person", role.alias("role"), "group_id", "side", "quantity", "value", (F.col("quantity") / 500).alias("pct"), (F.col("tax") > 0.07).alias("is_token"), F.col("day_to").alias("seen"), F.date_sub("day_to", F.col("line").cast("int")).alias("day_from"), "day_to",
+        F.when(F.col("line") < 4, F.col("person") * 10.0).alias("held_before"), F.struct("day_to", "order_id", "line", "security", "person", "quantity", "value").alias("turn"),
+    )
+    shares = parts.groupBy(F.col("p_brand").alias("security")).agg(F.lit(1).alias("quarter"), F.when(F.sum("p_size") % 3 > 0, F.sum("p_size") * 2.0).alias("total_shares"), F.sum("p_size").cast("double").alias("promoter_shares"))
+    return rows, shares
+
+
+def _rounded(df):
+    return df.select(*(F.round(c, 4).alias(c) if t == "double" else F.array_join(c, ",").alias(c) if t.startswith("array") else c for c, t in df.dtypes))
+
+
+def decisions_by_maker(spark, folder):
+    rows, shares = _maker_tables(spark, folder)
+    both = [decisions.decisions_by_maker(rows, shares, ref(), side).where(decisions.large_enough(300_000.0, 1.0, 25.0, 8, 2_000_000.0)).withColumn("side", F.lit(side)) for side in ("BUY", "SELL")]
+    return _rounded(both[0].unionByName(both[1]))
+
+
+QUERIES = {f.__name__: f for f in (cleaned_filings_report, cleaned_deals_report, results_summary, table_checks, decisions_by_maker, same_deal_groups, doc_same_deal_groups, study_events)}
 
 
 def _deals_sql(cards: str) -> str:
@@ -241,7 +266,32 @@ _DEALS_REPORT = f"""WITH {DEALS}, x AS (SELECT *, unnest(list_filter(['own', CAS
         UNION ALL SELECT 'legs', 'marked', name, count(*), NULL FROM (SELECT unnest([CASE WHEN maker THEN 'market_maker' END, CASE WHEN netted THEN 'netted' END, CASE WHEN leg_id IN (SELECT a FROM pm UNION SELECT b FROM pm) THEN 'matched_pair' END,
             CASE WHEN EXISTS (SELECT 1 FROM tw WHERE tw.security = l4.security AND tw.client = l4.client AND tw.day = l4.day AND tw.side = l4.side AND tw.quantity = l4.quantity) THEN 'same_size_on_other_exchange' END]) AS name FROM l4 WHERE reason IS NULL) WHERE name IS NOT NULL GROUP BY 3"""
 
+def _makers_sql(side: str) -> str:
+    token = "AND NOT token" if side == "BUY" else ""
+    p = side.lower()
+    return f"""{p}w AS (SELECT *, group_id IS NOT NULL OR role = 'promoter' AS pg FROM t WHERE side = '{side}' AND role <> 'employee' AND seen <= DATE '{REF}' AND seen > DATE '{REF}' - 90 {token}),
+        {p}p AS (SELECT security, person, arg_min(pg, turn) AS pg, min(turn) AS turn FROM {p}w GROUP BY 1, 2), {p}l AS (SELECT security, arg_min(person, turn) AS lead FROM {p}p WHERE pg GROUP BY 1),
+        {p}m AS (SELECT w.*, CASE WHEN p.pg THEN lead ELSE w.person END AS maker FROM {p}w w JOIN {p}p p USING (security, person) LEFT JOIN {p}l USING (security)),
+        {p}e AS (SELECT security, maker, person, sum(quantity) AS moved FROM {p}m GROUP BY ALL),
+        {p}f AS (SELECT security, maker, person, (SELECT held FROM {p}m x WHERE x.security = m.security AND x.maker = m.maker AND x.person = m.person ORDER BY day_from, seen, turn LIMIT 1) AS before, moved FROM {p}e m),
+        {p}o AS (SELECT security, maker, sum(before) AS own_before, sum(moved) AS own_moved FROM {p}f WHERE before > 0 GROUP BY 1, 2),
+        {p}h AS (SELECT security, person, role, date_trunc('month', seen) AS m FROM t WHERE side = '{side}' AND seen <= DATE '{REF}' - 90 AND seen > DATE '{REF}' - 455),
+        {p}d AS (SELECT security, maker, bool_or(pg) AS by_group, sum(value) AS value, sum(quantity) AS quantity, sum(pct) AS mc, count(DISTINCT day_to)::INT AS days, min(seen) AS first_day, max(seen) AS last_day, min(day_from) AS trade_from, max(day_to) AS trade_to, count(*) AS filings, count(DISTINCT person) AS persons,
+            string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM {p}m GROUP BY 1, 2),
+        {p} AS (SELECT d.security, d.maker, by_group, value, quantity, days, first_day, last_day, trade_from, trade_to, filings, persons, roles, own_moved / own_before * 100 AS own_change, CASE WHEN by_group THEN quantity / promoter_shares * 100 END AS group_change,
+            CASE WHEN by_group THEN (SELECT count(DISTINCT m) FROM {p}h h WHERE h.security = d.security AND role = 'promoter') ELSE (SELECT count(DISTINCT m) FROM {p}h h WHERE h.security = d.security AND h.person = d.maker) END AS prior_months,
+            coalesce(quantity / total_shares * 100, mc) AS pct, CASE WHEN total_shares > 0 THEN 'shares' ELSE 'value' END AS pct_basis, value / quantity AS avg_price, '{side}' AS side
+            FROM {p}d d LEFT JOIN {p}o o USING (security, maker) LEFT JOIN sh USING (security))"""
+
+
+_MAKERS = f"""WITH {FILINGS}, t AS (SELECT p_brand AS security, person, CASE WHEN line <= 2 THEN 'promoter' WHEN line <= 4 THEN 'director' WHEN line = 5 THEN 'kmp' ELSE 'employee' END AS role, CASE WHEN s_nationkey % 4 = 0 THEN 'n' || s_nationkey END AS group_id, side, quantity, value, quantity / 500 AS pct, tax > 0.07 AS token,
+            day_to AS seen, day_to - line::INT AS day_from, day_to, CASE WHEN line < 4 THEN person * 10.0::DOUBLE END AS held, (day_to, order_id, line, security, person, quantity, value) AS turn FROM f JOIN supplier ON s_suppkey = person JOIN part ON p_partkey = security),
+        sh AS (SELECT p_brand AS security, CASE WHEN sum(p_size) % 3 > 0 THEN sum(p_size) * 2.0::DOUBLE END AS total_shares, sum(p_size)::DOUBLE AS promoter_shares FROM part GROUP BY 1), {_makers_sql("BUY")}, {_makers_sql("SELL")}
+        SELECT * REPLACE (round(value, 4) AS value, round(quantity, 4) AS quantity, round(own_change, 4) AS own_change, round(group_change, 4) AS group_change, round(pct, 4) AS pct, round(avg_price, 4) AS avg_price) FROM (FROM buy UNION ALL FROM sell)
+        WHERE (value >= 300000 AND pct >= 1) OR pct >= 25 OR days >= 8 OR value >= 2000000"""
+
 ORACLE_SQL = {
+    "decisions_by_maker": _MAKERS,
     "cleaned_filings_report": _REPORT,
     "cleaned_deals_report": _DEALS_REPORT,
     "results_summary": """WITH s AS (SELECT l_orderkey AS o_orderkey, sum(l_quantity::BIGINT)::DOUBLE AS units, count(*)::DOUBLE AS lines FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, units, lines, last_day(o_orderdate::DATE) AS e, o_orderkey % 5 = 0 AS half FROM orders JOIN s USING (o_orderkey))
