@@ -178,3 +178,24 @@ def test_replay_equals_day_by_day(spark, seed):
     large = sorted((t["sec"], t["day"], ("promoter_" if t["role"] == "promoter" else "officer_") + t["side"].lower()) for t in trades if t["sec"] and t["day"] and t["side"] and (t["value"] or 0) >= 25e5 and not t["token"] and t["role"] != "other")
     assert sorted((r.security, r.day, r.signal) for r in got if r.value is not None) == large
     assert replay.study_events(df.limit(0)).count() == 0
+
+
+def brute_stages(left, right, stages):
+    out, gone_l, gone_r = {}, set(), set()
+    for k in range(stages):
+        pairs = [(i, j) for i, ids in left for j, other in right if i not in gone_l and j not in gone_r and set(ids[k]) & set(other[k]) - {None}]
+        found = [(i, j) for i, j in pairs if sum(a == i for a, _ in pairs) == 1 and sum(b == j for _, b in pairs) == 1]
+        out |= {i: (j, k + 1) for i, j in found}
+        gone_l |= {i for i, _ in found}
+        gone_r |= {j for _, j in found}
+    return out
+
+
+def test_staged_links_are_unique_or_not_made(spark):
+    rng = random.Random(9)
+    ids = lambda n: [[rng.choice(["hot", None, *map(str, range(n))]) for _ in range(rng.randrange(3))] for n in (n, n // 2)]
+    left, right = [(i, ids(120)) for i in range(60)], [(100 + i, ids(120)) for i in range(60)]
+    ls, rs = (spark.createDataFrame([(i, a, b) for i, (a, b) in rows], f"{c} long, one array<string>, two array<string>") for rows, c in ((left, "l"), (right, "r")))
+    got = linkage.staged_links(ls, rs, "l", "r", ["one", "two"]).collect()
+    want = brute_stages(left, right, 2)
+    assert {r.l: (r.r, r.stage) for r in got} == want and len(got) == len(want) and {s for _, s in want.values()} == {1, 2}

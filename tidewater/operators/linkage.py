@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators.graphs import components
 from tidewater.operators.ranking import with_previous
+from tidewater.session import settled
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], direction: str = "backward", strict: bool = False, tolerance_days: int | None = None) -> DataFrame:
@@ -171,3 +172,29 @@ def same_deals(cards: DataFrame, card_id: str, keys: list[str], at: str, figures
     placed = cards.join(found, F.col(card_id) == F.col("of"), "left").select(F.col(card_id).alias("card"), F.coalesce("deal", F.col(card_id)).alias("deal"), F.struct(F.coalesce(F.col(shown), F.lit(0)).alias("shown"), F.coalesce(-F.unix_micros(F.col(at).cast("timestamp")), F.lit(0)).alias("early"), (-F.col(card_id)).alias("id")).alias("weight"))
     leads = placed.groupBy("deal").agg(F.max_by("card", "weight").alias("lead"), F.count("*").alias("cards"))
     return placed.join(leads, "deal").select(F.col("card").alias(card_id), "deal", "lead", (F.col("card") == F.col("lead")).alias("is_lead"), "cards")
+
+
+def staged_links(left: DataFrame, right: DataFrame, left_id: str, right_id: str, stages: list[str]) -> DataFrame:
+    """(left_id, right_id, stage): links by shared identifiers, stage by stage over what is left, each only where it is the only one.
+
+    ``stages``: array columns of identifiers that both sides have, the strictest first. In a stage a left
+    and a right row link if they share an identifier and neither shares one with any other row that is
+    left. No pairs are made: of each identifier only the smallest and the largest row of a side are kept,
+    and a row has one candidate where these agree over all its identifiers. So an identifier that very
+    many rows share costs one row in the index, and links nothing. Null identifiers do not count.
+    """
+    out = None
+    for number, stage in enumerate(stages, 1):
+        rows = [df.select(F.col(c).alias("id"), F.explode(F.array_distinct(stage)).alias("key")).where("id is not null and key is not null") for df, c in ((left, left_id), (right, right_id))]
+        if out is not None:
+            rows = [r.join(out.select(F.col(c).alias("id")), "id", "left_anti") for r, c in zip(rows, (left_id, right_id), strict=True)]
+        rows = [settled(r, f"links-{number}") for r in rows]
+        only = []
+        for own, other in (rows, rows[::-1]):
+            index = other.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+            seen = own.join(index, "key").groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            only.append(seen.where("lo = hi").select("id", F.col("lo").alias("partner")))
+        both = only[0].join(only[1].select(F.col("partner").alias("id"), F.col("id").alias("partner")), ["id", "partner"])
+        found = settled(both.select(F.col("id").alias(left_id), F.col("partner").alias(right_id), F.lit(number).alias("stage")), f"links-{number}")
+        out = found if out is None else out.unionByName(found)
+    return out

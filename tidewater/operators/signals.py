@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.ranking import numbered_within
 from tidewater.operators.trades import bought, in_window, sold
 
 EVENT = ["security", "list", "kind", "pct", "value", "last"]
@@ -91,6 +92,8 @@ def today(events: DataFrame, groups: dict[str, list[tuple[str, list[str]]]], big
 
     ``groups``: per list, named groups of kinds in their order. Rows worth ``big`` or more go first in their
     group by value, at most ``most_lifted`` of them; the rest go by share of the company, then the latest.
+    Lifted rows are a top-k of each group, and places are counted over a range sort, so that a group of very
+    many securities is not ranked in one task.
     """
     order, name = F.lit(None).cast("int"), F.lit(None).cast("string")
     for list_, named in groups.items():
@@ -102,11 +105,11 @@ def today(events: DataFrame, groups: dict[str, list[tuple[str, list[str]]]], big
     key = Window.partitionBy("security", "list")
     lead = F.row_number().over(key.orderBy("group_order", F.desc_nulls_last("pct"), F.desc_nulls_last("last"), "kind", F.desc_nulls_last("value")))
     led = placed.withColumns({"kinds": F.array_sort(F.collect_set("kind").over(key)), "lead": lead}).where("lead = 1")
-    grouped = Window.partitionBy("list", "group_order")
-    rank = F.row_number().over(grouped.orderBy(F.desc_nulls_last(F.when(F.col("value") >= big, F.col("value"))), "security"))
-    lifted = led.withColumn("lifted", F.coalesce(F.col("value") >= big, F.lit(False)) & (rank <= most_lifted))
+    rank = F.row_number().over(Window.partitionBy("list", "group_order").orderBy(F.desc("value"), "security"))
+    largest = led.where(F.col("value") >= big).withColumn("rank", rank).where(F.col("rank") <= most_lifted).select("list", "security", F.lit(True).alias("lifted"))
+    lifted = led.join(largest, ["list", "security"], "left").withColumn("lifted", F.coalesce("lifted", F.lit(False)))
     first = [F.desc("lifted"), F.desc_nulls_last(F.when(F.col("lifted"), F.col("value")).otherwise(F.col("pct"))), F.desc_nulls_last("last"), F.col("security")]
-    return lifted.withColumn("place", F.row_number().over(grouped.orderBy(*first))).select("list", "group_order", "group", "place", "security", "kind", "pct", "value", "last", "kinds")
+    return numbered_within(lifted, ["list", "group_order"], first).withColumn("place", F.col("place").cast("int")).select("list", "group_order", "group", "place", "security", "kind", "pct", "value", "last", "kinds")
 
 
 def company_view(events: DataFrame) -> DataFrame:

@@ -176,7 +176,16 @@ def decisions_by_maker(spark, folder):
     return _rounded(both[0].unionByName(both[1]))
 
 
-QUERIES = {f.__name__: f for f in (cleaned_filings_report, cleaned_deals_report, results_summary, table_checks, decisions_by_maker, same_deal_groups, doc_same_deal_groups, study_events)}
+def venue_links(spark, folder):
+    """Filings of both venues linked by what they share: person, security, day and shares, then all but the shares, then all but the person; where each has one partner only."""
+    v = two_venues(spark, folder).where("security is not null")
+    key = lambda *c: F.array(F.concat_ws("|", *(F.col(x).cast("string") for x in c)))
+    keyed = v.withColumns({"strict": key("security", "person_raw", "day_from", "quantity", "kind_raw"), "person_day": key("security", "person_raw", "day_from"), "security_day": key("security", "day_from", "quantity")})
+    links = linkage.staged_links(keyed.where("exchange = 'nse'"), keyed.where("exchange = 'bse'").withColumnRenamed("row_no", "copy_no"), "row_no", "copy_no", ["strict", "person_day", "security_day"])
+    return links.groupBy("stage").agg(F.count("*").alias("n"), F.sum(F.col("row_no") % 1000).alias("left_sum"), F.sum(F.col("copy_no") % 1000).alias("right_sum"))
+
+
+QUERIES = {f.__name__: f for f in (cleaned_filings_report, cleaned_deals_report, results_summary, table_checks, decisions_by_maker, venue_links, same_deal_groups, doc_same_deal_groups, study_events)}
 
 
 def _deals_sql(cards: str) -> str:
@@ -290,7 +299,18 @@ _MAKERS = f"""WITH {FILINGS}, t AS (SELECT p_brand AS security, person, CASE WHE
         SELECT * REPLACE (round(value, 4) AS value, round(quantity, 4) AS quantity, round(own_change, 4) AS own_change, round(group_change, 4) AS group_change, round(pct, 4) AS pct, round(avg_price, 4) AS avg_price) FROM (FROM buy UNION ALL FROM sell)
         WHERE (value >= 300000 AND pct >= 1) OR pct >= 25 OR days >= 8 OR value >= 2000000"""
 
+def _stage_sql(n: int, key: str, gone: str) -> str:
+    where = f"WHERE row_no NOT IN (SELECT a FROM {gone} UNION ALL SELECT b FROM {gone})" if gone else ""
+    return f"""p{n} AS (SELECT a.row_no AS a, b.row_no AS b FROM (SELECT * FROM u1 {where}) a JOIN (SELECT * FROM u1 {where}) b ON a.exchange = 'nse' AND b.exchange = 'bse' AND {" AND ".join(f"a.{c} = b.{c}" for c in key.split())}),
+        k{n} AS (SELECT a, b, {n} AS stage FROM p{n} QUALIFY count(*) OVER (PARTITION BY a) = 1 AND count(*) OVER (PARTITION BY b) = 1), g{n} AS MATERIALIZED (SELECT a, b, stage FROM k{n} {f"UNION ALL FROM {gone}" if gone else ""})"""
+
+
+_LINKS = f"""{_REPORT[: _REPORT.index("f0 AS")].replace("WITH RECURSIVE", "WITH")} u1 AS MATERIALIZED (SELECT *, CASE WHEN sale THEN 'Disposal' ELSE 'Acquisition' END AS kind FROM u WHERE security IS NOT NULL),
+        {_stage_sql(1, "security person day_from quantity kind", "")}, {_stage_sql(2, "security person day_from", "g1")}, {_stage_sql(3, "security day_from quantity", "g2")}
+        SELECT stage, count(*) AS n, sum(a % 1000)::BIGINT AS left_sum, sum(b % 1000)::BIGINT AS right_sum FROM g3 GROUP BY 1"""
+
 ORACLE_SQL = {
+    "venue_links": _LINKS,
     "decisions_by_maker": _MAKERS,
     "cleaned_filings_report": _REPORT,
     "cleaned_deals_report": _DEALS_REPORT,
