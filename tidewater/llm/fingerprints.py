@@ -121,22 +121,26 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     ids come after all others; repeated rows are documents of their own, and follow each other. Columns of
     the output's names are replaced. An empty table gives no rows.
     """
-    packed = df.select(F.struct("*").alias("source"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    # the text travels once: it stands beside the other columns
+    others = [c for c in df.columns if c.lower() != text_col.lower()]
+    packed = df.select(F.struct(*others).alias("source"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     own = with_next(with_fingerprint(packed, "text", "own"), "id", ["text", "own"], "text")
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = own.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next.text", F.lit(1), half)))
-    printed = with_fingerprint(edited, "edited", "other").select("source", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "other", F.col("next.own").alias("after"))
+    whole, after = text_or_empty("text"), text_or_empty("next.text")
+    half = F.floor(F.length(whole) / 2).cast("int")
+    edited = own.withColumn("edited", F.concat(F.substring(whole, F.lit(1), F.length(whole) - half), F.substring(after, F.lit(1), half)))
+    printed = with_fingerprint(edited, "edited", "other").select("source", "text", F.length(whole).cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "other", F.col("next.own").alias("after"))
     signed = printed.withColumns({f"{c}_signs": signs(F.col(c)) for c in ("own", "other", "after")})
     products = signed.withColumns({"oo": dot(F.col("own_signs"), F.col("own_signs"))} | {f"{c}_{k}": dot(F.col(f"{c}_signs"), F.col(f"{by}_signs")) for c in ("other", "after") for k, by in (("own", "own"), ("self", c))})
     out = products.select(
         "source",
+        F.col("text").alias(text_col),
         "n_chars",
         "edited_sha256",
         as_hex(F.col("own")).alias("fingerprint"),
         as_hex(F.col("other")).alias("edited_fingerprint"),
         *(likeness(F.col("own") == F.col(c), F.col(f"{c}_own"), F.col("oo"), F.col(f"{c}_self")).alias(n) for c, n in (("other", "near_edited"), ("after", "near_next"))),
     )
-    return outputs_over("source", out, ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+    return outputs_over("source", out, [text_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
 def collection_fingerprint(df: DataFrame, text_col: str, by: list[str]) -> DataFrame:
