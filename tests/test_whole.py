@@ -29,7 +29,7 @@ def trades(spark, tmp_path):
 
 def test_every_filing_has_its_own_securitys_return(spark, trades):
     folder, close, items = trades
-    got = {(r.order_id, r.security): r for r in queries.QUERIES["forward_returns_all"](spark, folder).collect()}
+    got = {(r.order_id, r.security): r for r in queries.QUERIES["forward_returns"](spark, folder).collect()}
     assert got.keys() == {(r[0], r[2]) for r in items}
     for (n, security), r in got.items():
         entry = close.get((security, n + 1))
@@ -42,19 +42,19 @@ def test_every_filing_has_its_own_securitys_return(spark, trades):
 def test_summary_has_both_sides_and_all_horizons(spark, trades):
     folder, _, _ = trades
     want = {(s, h) for s in ("BUY:2", "SELL:2") for h in (5, 21, 63, 126)}
-    assert {(r.signal, r.horizon) for r in queries.QUERIES["track_summary_all"](spark, folder).collect()} == want
-    assert {(r.signal, r.horizon) for r in queries.QUERIES["evidence_verdict_all"](spark, folder).collect()} == want
+    assert {(r.signal, r.horizon) for r in queries.QUERIES["track_summary"](spark, folder).collect()} == want
+    assert {(r.signal, r.horizon) for r in queries.QUERIES["evidence_verdict"](spark, folder).collect()} == want
 
 
 def test_small_trades_are_spaced(spark, trades):
     folder, _, _ = trades
-    assert sorted(r.number for r in queries.QUERIES["spacing_21_sessions_all"](spark, folder).collect()) == list(range(1, 141, 21))
-    assert sorted((r.entry_no, r.exit_no) for r in queries.QUERIES["basket_positions_all"](spark, folder).collect()) == [(2, 65), (66, 129), (130, 193)]
+    assert sorted(r.number for r in queries.QUERIES["spacing_21_sessions"](spark, folder).collect()) == list(range(1, 141, 21))
+    assert sorted((r.entry_no, r.exit_no) for r in queries.QUERIES["basket_positions"](spark, folder).collect()) == [(2, 65), (66, 129), (130, 193)]
 
 
 def test_high_of_the_default_window(spark, trades):
     folder, close, _ = trades
-    got = {r.day: r.high_close for r in queries.QUERIES["high_52w_distance_all"](spark, folder).where("security = 1").collect()}
+    got = {r.day: r.high_close for r in queries.QUERIES["high_52w_distance"](spark, folder).where("security = 1").collect()}
     for n in range(140):
         assert got[day(n).date()] == (None if n < 119 else pytest.approx(max(close[1, i] for i in range(n + 1)), abs=1e-3))
 
@@ -65,7 +65,7 @@ def test_deals_in_long_spans_of_their_own_customer(spark, tmp_path):
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp").selectExpr("*", "1.0D as o_totalprice", "'1-URGENT' as o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
     items = spark.createDataFrame([(1, day(300)), (3, day(390))], "l_orderkey long, l_shipdate timestamp")
     items.selectExpr("*", "1 as l_linenumber", "1L as l_partkey", "1L as l_suppkey", "'N' as l_returnflag", "1.0D as l_quantity", "1.0D as l_extendedprice", "0.0D as l_tax", "0.0D as l_discount", "'F' as l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
-    got = queries.QUERIES["deals_also_filed_all"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["deals_also_filed"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, False, 1), (1, True, 2), (201, False, 1)]
 
 
@@ -91,17 +91,17 @@ def test_changes_of_all_quarters_and_all_priorities(spark, tmp_path):
     """A year's turn, a quarter without orders, and years other than 1997."""
     rows = [(1, 1, dt.datetime(1995, 11, 1), 10.0, "4-NOT SPECIFIED"), (2, 1, dt.datetime(1996, 2, 1), 15.0, "5-LOW"), (3, 2, dt.datetime(1996, 8, 1), 7.0, "1-URGENT"), (4, 2, dt.datetime(1996, 11, 1), 7.0, "5-LOW")]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
-    got = queries.QUERIES["period_changes_all"](spark, str(tmp_path)).select("who", "quarter", "kind").collect()
+    got = queries.QUERIES["period_changes"](spark, str(tmp_path)).select("who", "quarter", "kind").collect()
     q = lambda m: dt.date(1996, m, 1)
     assert sorted(map(tuple, got)) == [(1, q(1), "added"), (1, q(4), "exit"), (2, q(7), "new"), (2, q(10), "held")]
-    assert sorted(map(tuple, queries.QUERIES["sector_pivot_all"](spark, str(tmp_path)).collect())) == [(1, 0, 0, 0, 1, 1), (2, 1, 0, 0, 0, 1)]
+    assert sorted(map(tuple, queries.QUERIES["sector_pivot"](spark, str(tmp_path)).collect())) == [(1, 0, 0, 0, 1, 1), (2, 1, 0, 0, 0, 1)]
 
 
 def test_calendar_has_sundays_and_the_datas_ends(spark, tmp_path):
     """2023-12-31 is a Sunday before the old calendar, 2024-03-02 a day after it."""
     events = [(1, dt.datetime(2023, 12, 31, 5), "a", 2.0), (2, dt.datetime(2024, 1, 3, 5), "b", 3.0), (3, dt.datetime(2024, 3, 2, 5), "c", 4.0)]
     spark.createDataFrame(events, "event_id long, ts timestamp, event_type string, value double").selectExpr("*", "1L as user_id", "'{}' as props").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r.day: r.total for r in queries.QUERIES["daily_net_calendar_all"](spark, str(tmp_path)).collect()}
+    got = {r.day: r.total for r in queries.QUERIES["daily_net_calendar"](spark, str(tmp_path)).collect()}
     assert len(got) == 63 and {d: t for d, t in got.items() if t} == {dt.date(2023, 12, 31): -2.0, dt.date(2024, 1, 3): 3.0, dt.date(2024, 3, 2): -4.0}
 
 

@@ -6,10 +6,6 @@ from tidewater.plans import cleaning_queries, period_queries, price_queries, rec
 
 _PARTS = (trade_queries, price_queries, period_queries, signal_queries, cleaning_queries, text_queries, record_queries)
 
-QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
-ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
-
-#: Names whose first form read a part of its tables: they stand for the form over whole tables, which keeps its own name too.
-WHOLE = {name.removesuffix("_all"): name for name in QUERIES if name.endswith("_all")} | {"doc_word_overlap": "doc_word_overlap_pairs"}
-for _name, _whole in WHOLE.items():
-    QUERIES[_name], ORACLE_SQL[_name] = QUERIES[_whole], ORACLE_SQL[_whole]
+#: Queries over whole tables are written as ``<name>_all`` in their modules, beside restricted forms that are gone, and registered once, under the plain name.
+QUERIES = {name.removesuffix("_all"): query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name.removesuffix("_all"): sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
