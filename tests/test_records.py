@@ -193,7 +193,7 @@ def brute_stages(left, right, stages):
 
 def test_staged_links_are_unique_or_not_made(spark):
     rng = random.Random(9)
-    ids = lambda n: [[rng.choice(["hot", None, *map(str, range(n))]) for _ in range(rng.randrange(3))] for n in (n, n // 2)]
+    ids = lambda n: [[rng.choice(["hot", None, *map(str, range(n))]) for _ in range(rng.randrange(3))] for n in (n, 2 * n)]
     left, right = [(i, ids(120)) for i in range(60)], [(100 + i, ids(120)) for i in range(60)]
     ls, rs = (spark.createDataFrame([(i, a, b) for i, (a, b) in rows], f"{c} long, one array<string>, two array<string>") for rows, c in ((left, "l"), (right, "r")))
     got = linkage.staged_links(ls, rs, "l", "r", ["one", "two"]).collect()
