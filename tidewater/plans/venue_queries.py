@@ -1,11 +1,11 @@
-"""Queries on what two exchanges say of one thing: transfers and placements by their deals, disclosures and meetings on both, and files' standings."""
+"""Queries on what two exchanges say of one thing: transfers and placements by their deals, disclosures and meetings on both, files' standings, and events of capital."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.bindings import FILINGS, filings
-from tidewater.operators import transfers, venues
+from tidewater.bindings import FILINGS, REF, filings, ref
+from tidewater.operators import capital, transfers, venues
 from tidewater.sources.files import table
 from tidewater.streaming import retries
 
@@ -71,9 +71,44 @@ def file_standings(spark, folder):
     return out.select("file_id", text("first_seen"), text("last_seen"), "tries", "status", text("due_at"))
 
 
-QUERIES = {"insider_transfers": insider_transfers, "two_venue_stakes": two_venue_stakes, "two_venue_meetings": two_venue_meetings, "file_standings": file_standings}
+def capital_events(spark, folder):
+    """All events of capital in the window: line items as deals (tax over 4 %), filings (none), issues, raises (by line) and buybacks of their parts."""
+    f = filings(spark, folder)
+    shares = table(spark, folder, "part").select(F.col("p_partkey").alias("security"), F.when(F.col("p_size") % 10 > 0, F.col("p_size") * 40.0).alias("total"))
+    by_line = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("line") % 3 + 1).cast("int"))
+    shown = f.select("*", (F.col("quantity") - 25).alias("vs_market"), F.when(F.col("line") % 2 == 0, F.col("quantity")).alias("allotted"), (F.col("quantity") * 2).alias("proposed"), F.col("value").alias("amount"), F.col("order_id").alias("app_id"))
+    parts = capital.promoter_parts(f.select(F.col("order_id").alias("app_id"), F.col("quantity").alias("securities"), (F.col("person") % 2 == 0).alias("in_promoter_group")))
+    raises = shown.select("security", by_line("preferential", "qip", "rights").alias("source"), F.when(F.col("side") == "BUY", "Allotted or listed").otherwise("Approved").alias("status"), F.when(F.col("person") % 2 == 0, "PROMOTER").otherwise("MIXED").alias("category"), F.when(F.col("line") > 2, F.col("day_to")).alias("allotted_on"), F.col("day_from").alias("posted_on"), (F.col("amount") * 20_000).alias("amount"), "allotted")
+    buybacks = f.select("security", F.when(F.col("line") % 2 == 0, "tender").otherwise("open market").alias("route"), (F.col("discount") * 200).alias("vs_market"), F.col("quantity").alias("sought"), F.col("value").alias("offer_value"), F.when(F.col("line") > 2, F.col("day_to")).alias("opens"), F.col("day_from").alias("record_day"))
+    events = [
+        capital.promoter_deal_events(f.where("tax > 0.04").withColumn("day", F.col("day_to")), f.where("tax < 0.01").select("security", F.col("day_from").alias("day")), shares, ref()),
+        capital.issue_events(shown.select("app_id", "security", by_line("PROMOTER", "MIXED", "NON_PROMOTER").alias("category"), "vs_market", "allotted", "proposed", "amount", F.col("day_to").alias("day")), parts, shares, ref()),
+        capital.raise_events(raises, shares, ref()), capital.buyback_events(buybacks, shares, ref()),
+    ]
+    both = events[0]
+    for more in events[1:]:
+        both = both.unionByName(more)
+    return both.withColumns({"pct": F.round("pct", 5), "value": F.round("value", 3)})
+
+
+QUERIES = {"capital_events": capital_events, "insider_transfers": insider_transfers, "two_venue_stakes": two_venue_stakes, "two_venue_meetings": two_venue_meetings, "file_standings": file_standings}
+
+_WINDOW = f"<= DATE '{REF}' + 1 AND {{0}} > DATE '{REF}' - 90"
 
 ORACLE_SQL = {
+    "capital_events": f"""WITH {FILINGS}, sh AS (SELECT p_partkey AS security, CASE WHEN p_size % 10 > 0 THEN p_size * 40.0::DOUBLE END AS total FROM part),
+        n AS (SELECT security, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS net, sum(CASE WHEN side = 'BUY' THEN value ELSE -value END) AS worth, max(day_to) AS l FROM f WHERE tax > 0.04 AND day_to <= DATE '{REF}' AND day_to > DATE '{REF}' - 90
+            AND security NOT IN (SELECT security FROM f WHERE tax < 0.01 AND day_from {_WINDOW.format("day_from")}) GROUP BY 1),
+        pa AS (SELECT order_id, sum(quantity) FILTER (person % 2 = 0) / sum(quantity) AS part, count(*) FILTER (person % 2 = 0) AS members FROM f GROUP BY 1),
+        i AS (SELECT f.*, line % 3 = 1 AS mixed, quantity * CASE WHEN line % 2 = 0 THEN 1 ELSE 2 END AS shares FROM f WHERE line % 3 < 2 AND day_to {_WINDOW.format("day_to")}),
+        r AS (SELECT *, (['preferential', 'qip', 'rights'])[line % 3 + 1] AS source, CASE WHEN line > 2 THEN day_to ELSE day_from END AS day, value * 20000 AS amount, CASE WHEN line % 2 = 0 THEN quantity END AS allotted FROM f WHERE side = 'BUY'),
+        r1 AS (SELECT r.*, CASE WHEN allotted > 0 AND allotted < total * 0.5::DOUBLE THEN allotted / total * 100 END AS dil FROM r LEFT JOIN sh USING (security) WHERE (source <> 'preferential' OR person % 2 <> 0) AND day {_WINDOW.format("day")}),
+        b AS (SELECT *, CASE WHEN line > 2 THEN day_to ELSE day_from END AS day FROM f WHERE line % 2 = 0 AND discount * 200 >= 10),
+        e AS (SELECT security, CASE WHEN net > 0 THEN 'look' ELSE 'warn' END AS "list", CASE WHEN net > 0 THEN 'promoter_deal_buy' ELSE 'promoter_deal_sale' END AS kind, abs(net) / total * 100 AS pct, abs(worth) AS value, l AS "last" FROM n JOIN sh USING (security) WHERE abs(net) / total * 100 >= 0.05
+            UNION ALL SELECT i.security, CASE WHEN quantity >= 25 THEN 'look' ELSE 'warn' END, CASE WHEN quantity >= 25 THEN 'promoters_pay_up' ELSE 'cheap_shares_to_promoters' END, coalesce(shares / total * 100, 0) * CASE WHEN mixed THEN coalesce(part, 1) ELSE 1 END, value, day_to FROM i LEFT JOIN sh USING (security) LEFT JOIN pa USING (order_id) WHERE NOT (mixed AND coalesce(members = 0, false))
+            UNION ALL SELECT security, 'look', 'raise_' || source, coalesce(dil, 0), CASE WHEN amount > 0 THEN amount END, day FROM r1 WHERE coalesce(amount >= 1e9::DOUBLE, false) OR coalesce(dil >= 2, false)
+            UNION ALL SELECT security, 'look', 'buyback_at_premium', coalesce(quantity / total * 100, 0), value, day FROM b LEFT JOIN sh USING (security) WHERE day > DATE '{REF}' - 90)
+        SELECT security, "list", kind, round(pct, 5) AS pct, round(value, 3) AS value, "last" FROM e""",
     "insider_transfers": f"""WITH {FILINGS}, t AS (SELECT row_number() OVER () AS n, order_id, line, (security % 4)::VARCHAR AS security, quantity, side, CASE WHEN tax > 0.01 THEN 'market' ELSE 'off_market' END AS kind, coalesce((['promoter', 'promoter', 'promoter_group', 'director', 'kmp'])[line], 'employee') AS role,
             CASE WHEN order_id % 9 > 0 THEN day_to - (order_id % 28)::INT ELSE day_to END AS a, day_to AS b FROM f),
         d AS (SELECT o_orderkey * 2 + (s = 'SELL')::INT AS deal_id, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END AS pair, (o_custkey % 4)::VARCHAR AS security, date_trunc('week', o_orderdate)::DATE AS day, (o_orderkey % 50 + 1)::DOUBLE AS quantity, 100.0::DOUBLE + (o_orderkey % 5) * 0.03::DOUBLE AS price, s AS side,
