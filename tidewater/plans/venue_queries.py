@@ -1,11 +1,11 @@
-"""Queries on what two exchanges say of one thing: transfers and placements by their deals, disclosures and meetings on both, files' standings, and events of capital."""
+"""Queries on what two exchanges say of one thing: transfers and placements by their deals, disclosures and meetings on both, files' standings, events of capital, and results by quarter."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tidewater.bindings import FILINGS, REF, filings, ref
-from tidewater.operators import capital, transfers, venues
+from tidewater.operators import capital, results, transfers, venues
 from tidewater.sources.files import table
 from tidewater.streaming import retries
 
@@ -91,11 +91,27 @@ def capital_events(spark, folder):
     return both.withColumns({"pct": F.round("pct", 5), "value": F.round("value", 3)})
 
 
-QUERIES = {"capital_events": capital_events, "insider_transfers": insider_transfers, "two_venue_stakes": two_venue_stakes, "two_venue_meetings": two_venue_meetings, "file_standings": file_standings}
+def results_kpis(spark, folder):
+    """Orders as results filings: the figures of each quarter and priority."""
+    key, total = F.col("o_orderkey"), F.col("o_totalprice")
+    rows = table(spark, folder, "orders").select(
+        F.trunc(F.col("o_orderdate").cast("date"), "quarter").alias("quarter"), F.col("o_orderpriority").alias("sector"), F.col("o_custkey").alias("security"), F.when(key % 13 == 0, "far").alias("doubt"), (key % 10 == 0).alias("half"), F.when(key % 17 > 0, total * 1000).alias("revenue"),
+        F.when(key % 7 > 0, (key % 41 - 20).cast("double")).alias("revenue_growth"), (total - 100_000).alias("profit"), F.when(key % 3 > 0, (key % 200 - 50).cast("double")).alias("profit_before"),
+    )
+    out = results.kpis(results.compared(rows), ["quarter", "sector"])
+    return out.withColumns({c: F.round(c, 5) for c in ("revenue_median", "profit_median")})
+
+
+QUERIES = {"results_kpis": results_kpis, "capital_events": capital_events, "insider_transfers": insider_transfers, "two_venue_stakes": two_venue_stakes, "two_venue_meetings": two_venue_meetings, "file_standings": file_standings}
 
 _WINDOW = f"<= DATE '{REF}' + 1 AND {{0}} > DATE '{REF}' - 90"
 
 ORACLE_SQL = {
+    "results_kpis": """WITH r AS (SELECT date_trunc('quarter', o_orderdate)::DATE AS quarter, o_orderpriority AS sector, o_custkey AS security, o_orderkey % 13 = 0 AS held, o_orderkey % 10 = 0 AS h, o_orderkey % 17 = 0 AS bare, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 41 - 20)::DOUBLE END AS g,
+            o_totalprice - 100000 AS p, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 200 - 50)::DOUBLE END AS b FROM orders),
+        x AS (SELECT *, NOT held AND NOT h AS c, CASE WHEN b > 0 THEN (p / b - 1) * 100 END AS pg FROM r)
+        SELECT quarter, sector, count(DISTINCT security) AS reported, count(*) FILTER (held) AS held, count(*) FILTER (NOT held AND h) AS half, count(g) FILTER (c) AS revenue_n, count(*) FILTER (c AND g > 0) AS revenue_up, count(pg) FILTER (c) AS profit_n, count(*) FILTER (c AND pg > 0) AS profit_up,
+            count(*) FILTER (c AND b < 0 AND p >= 0) AS to_profit, count(*) FILTER (c AND b >= 0 AND p < 0) AS to_loss, count(*) FILTER (c AND bare) AS no_revenue, round(median(g) FILTER (c), 5) AS revenue_median, round(median(pg) FILTER (c), 5) AS profit_median FROM x GROUP BY 1, 2""",
     "capital_events": f"""WITH {FILINGS}, sh AS (SELECT p_partkey AS security, CASE WHEN p_size % 10 > 0 THEN p_size * 40.0::DOUBLE END AS total FROM part),
         n AS (SELECT security, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) AS net, sum(CASE WHEN side = 'BUY' THEN value ELSE -value END) AS worth, max(day_to) AS l FROM f WHERE tax > 0.04 AND day_to <= DATE '{REF}' AND day_to > DATE '{REF}' - 90
             AND security NOT IN (SELECT security FROM f WHERE tax < 0.01 AND day_from {_WINDOW.format("day_from")}) GROUP BY 1),
