@@ -58,12 +58,12 @@ def test_a_pair_inside_the_group_is_a_transfer_and_others_are_crosses(spark):
         (4, "H", 10.0, "SELL", "market", "director", day(4), day(5), True), (5, "H", 10.0, "SELL", "off_market", "promoter", day(0), day(4), False), (6, None, 10.0, "SELL", "market", "promoter", day(0), day(4), True), (7, "K", 5.0, "SELL", "market", "promoter", day(1), day(3), True), (8, "K", 5.0, "BUY", "market", "kmp", day(2), day(2), True),
     ]
     deals = [
-        (1, 1, "G", day(2), 40.0, 503.0, "BUY", "Santosh", True), (2, 1, "G", day(2), 40.0, 503.0, "SELL", "Dinesh", True), (3, 2, "H", day(3), 10.0, 9.0, "BUY", "Infracon", False), (4, 2, "H", day(3), 10.0, 9.0, "SELL", "Dinesh", True),
+        (1, 1, "G", day(2), 40.0, 503.0, "BUY", "Sam", True), (2, 1, "G", day(2), 40.0, 503.0, "SELL", "Dan", True), (3, 2, "H", day(3), 10.0, 9.0, "BUY", "Infra", False), (4, 2, "H", day(3), 10.0, 9.0, "SELL", "Dan", True),
         (5, 3, "H", day(4), 10.0, 9.0, "SELL", "Alone", True), (6, 4, "K", day(2), 5.0, 1.0, "BUY", "A", True), (7, 4, "K", day(2), 5.0, 1.0, "SELL", "B", True),
     ]
     got = marked(spark, trades, deals)
-    assert got[1] == ("inter_se", False, "Santosh", True, None) and got[2] == ("inter_se", False, "Dinesh", True, None)
-    assert got[3] == ("market", True, "Infracon", False, None)
+    assert got[1] == ("inter_se", False, "Sam", True, None) and got[2] == ("inter_se", False, "Dan", True, None)
+    assert got[3] == ("market", True, "Infra", False, None)
     assert [got[n][2] for n in (4, 5, 6)] == [None, None, None]
     assert got[7] == ("market", True, "A", False, None) and got[8][2] == "B"
     assert got == looped(trades, deals)
@@ -72,11 +72,11 @@ def test_a_pair_inside_the_group_is_a_transfer_and_others_are_crosses(spark):
 def test_a_sale_is_placed_with_buyers_at_its_price(spark):
     """Prices at, just inside and just outside the tolerance, on both sides; a promoter among the buyers; one buyer alone."""
     trades = [(n, s, 30.0, "SELL", "market", "promoter", day(1), day(3), True) for n, s in enumerate("VWXY")]
-    deals = [(1, None, "V", day(2), 30.0, 160.0, "SELL", "Ricon", True)] + [(2 + i, None, "V", day(2), 9.0 + i, p, "BUY", c, False) for i, (p, c) in enumerate([(160.0, "Rajiv"), (160.079, "Aditya"), (159.921, "Paresh"), (160.081, "Far"), (159.919, "Low"), (160.0, "Rajiv"), (160.0, None)])]
+    deals = [(1, None, "V", day(2), 30.0, 160.0, "SELL", "Seller", True)] + [(2 + i, None, "V", day(2), 9.0 + i, p, "BUY", c, False) for i, (p, c) in enumerate([(160.0, "Rita"), (160.079, "Ann"), (159.921, "Paul"), (160.081, "Far"), (159.919, "Low"), (160.0, "Rita"), (160.0, None)])]
     deals += [(20, None, "V", day(2), 1.0, 160.0, "BUY", "Promoter", True), (21, None, "W", day(2), 30.0, 10.0, "SELL", "P", True), (22, None, "W", day(2), 30.0, 10.0, "BUY", "One", False), (23, None, "X", day(4), 30.0, 10.0, "SELL", "P", True), (24, None, "X", day(4), 3.0, 10.0, "BUY", "One", False), (25, None, "X", day(4), 3.0, 10.0, "BUY", "Two", False)]
     deals += [(26, None, "Y", day(3), 30.0, None, "SELL", "P", True), (27, None, "Y", day(1), 30.0, 0.0, "SELL", "P", True)]
     got = marked(spark, trades, deals)
-    assert [got[n][4] for n in range(4)] == [["Aditya", "Paresh", "Rajiv"], None, None, None]
+    assert [got[n][4] for n in range(4)] == [["Ann", "Paul", "Rita"], None, None, None]
 
 
 def test_marks_equal_a_loop_with_a_hot_key(spark):
