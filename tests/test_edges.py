@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from tidewater.operators import periods
+from tidewater.operators import periods, trades
+
+D = dt.date
 
 
 def test_sessions_part_by_whole_seconds(spark):
@@ -12,3 +14,11 @@ def test_sessions_part_by_whole_seconds(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(at)], "k int, id int, t timestamp_ntz")
     got = sorted((r.start, r.end, r.n) for r in periods.sessions_by_gap(df, "k", "t", "id", 30).collect())
     assert got == [(at[0], at[0], 1), (at[1], at[2], 2)]
+
+
+def test_a_maker_right_at_the_balance(spark):
+    # 0.1 + 0.2 is above 0.3 in doubles, so that half of it is not reached by 0.15
+    legs = spark.createDataFrame([("a", D(2024, 1, 1), "BUY", 0.15), ("a", D(2024, 1, 2), "SELL", 0.1), ("a", D(2024, 1, 3), "SELL", 0.2), ("b", D(2024, 1, 1), "BUY", 0.14), ("b", D(2024, 1, 1), "SELL", 0.3)], "p string, day date, side string, q double")
+    ends = spark.createDataFrame([(D(2024, 1, 7),)], "period_end date")
+    got = trades.market_makers(legs, "p", "day", "side", "q", ends, days=7, least_legs=2, balance=0.5).collect()
+    assert [(r.p, r.buy, r.sell) for r in got] == [("a", 0.15, 0.3)]

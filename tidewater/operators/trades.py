@@ -105,14 +105,18 @@ def market_makers(legs: DataFrame, person: str, day: str, side: str, quantity: s
     """(person, period_end) with enough legs, about as much bought as sold, in the ``days`` up to a period's end.
 
     Legs are first summed by person and day; these sums meet the period ends that they can count for by an
-    equi join of stretches of ``days`` days, of which an end lies in a day's own or in the next.
+    equi join of stretches of ``days`` days, of which an end lies in a day's own or in the next. Amounts are
+    summed as decimals to 8 places, so that a person right at ``balance`` does not depend on the order of rows.
     """
-    daily = legs.groupBy(person, day).agg(F.count("*").alias("legs"), F.sum(bought(side, quantity)).alias("buy"), F.sum(sold(side, quantity)).alias("sell"))
+    exact = legs.withColumn(quantity, F.col(quantity).try_cast("decimal(28,8)"))
+    daily = exact.groupBy(person, day).agg(F.count("*").alias("legs"), F.sum(bought(side, quantity)).alias("buy"), F.sum(sold(side, quantity)).alias("sell"))
     stretch = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days)
     placed = daily.withColumn("stretch", F.explode(F.array(stretch(day), stretch(day) + 1)))
     near = placed.join(ends.withColumn("stretch", stretch("period_end")), "stretch").where((F.col(day) <= F.col("period_end")) & (F.col(day) > F.date_sub("period_end", days)))
     grouped = near.groupBy(person, "period_end").agg(F.sum("legs").alias("legs"), F.sum("buy").alias("buy"), F.sum("sell").alias("sell"))
-    return grouped.where((F.col("legs") >= least_legs) & (F.least("buy", "sell") >= balance * F.greatest("buy", "sell")))
+    lower, upper = (f("buy", "sell").cast("decimal(28,8)") for f in (F.least, F.greatest))
+    balanced = lower >= F.lit(str(balance)).cast("decimal(9,8)") * upper
+    return grouped.where((F.col("legs") >= least_legs) & balanced).withColumns({c: F.col(c).cast("double") for c in ("buy", "sell")})
 
 
 def handshakes(deals: DataFrame, keys: list[str], person: str, side: str, quantity: str) -> DataFrame:
