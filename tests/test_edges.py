@@ -8,7 +8,7 @@ import duckdb
 from comparing import rows
 
 from tidewater import queries
-from tidewater.operators import periods, trades
+from tidewater.operators import cleaning, periods, trades
 
 D = dt.date
 
@@ -38,3 +38,11 @@ def test_table_checks_end_the_schedule_at_its_total(spark, tmp_path):
     base.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/*.parquet'")
     want = base.sql(queries.ORACLE_SQL["table_checks"])
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+
+
+def test_names_never_go_through_the_driver(spark):
+    # a small file of names stands for very many of them: no size that Spark takes from it may lead to a broadcast
+    cut = spark.createDataFrame([("x", "ramesh-kumar-agarw", "r"), ("x", "ramesh-kumar-agarwal", "r")], "s string, p string, raw string")
+    merged = cleaning.merged_cut_names(cut, "s", "p", "raw")
+    assert {r.p: r.merged for r in merged.collect()}["ramesh-kumar-agarw"] == "ramesh-kumar-agarwal"
+    assert "Broadcast" not in merged._jdf.queryExecution().executedPlan().toString()

@@ -46,18 +46,20 @@ def merged_cut_names(df: DataFrame, security: str, person: str, raw: str, least:
 
     A key cut inside a word is; at a word's end only where a raw spelling is about as long as names are cut
     (``cut_at``) and the words cut off make no other person. Each longer key's prefixes meet the shorter
-    keys by equality. Chains end at the longest key that they reach in one step.
+    keys by equality. Chains end at the longest key that they reach in one step. The joins are merges at any
+    size: names are packed so well in files that Spark takes very many for few, and would send them through
+    the driver.
     """
     names = df.where(f"{security} is not null and {person} is not null").groupBy(security, person).agg(F.max(F.length(F.trim(raw))).alias("raw_len"))
     prefixes = names.select(security, F.col(person).alias("long"), F.explode(F.expr(f"transform(sequence({least}, greatest({least}, length({person}) - 1)), k -> substring({person}, 1, k))")).alias("short")).where(F.length("long") > F.length("short"))
-    hits = names.withColumnRenamed(person, "short").join(prefixes, [security, "short"])
+    hits = names.withColumnRenamed(person, "short").hint("merge").join(prefixes, [security, "short"])
     one = hits.groupBy(security, "short", "raw_len").agg(F.count("*").alias("n"), F.min("long").alias("long")).where("n = 1")
     rest = F.expr("substring(long, length(short) + 1)")
     added = F.split(F.substring(rest, 2, 10_000), "-")
     words = lambda w: F.array(*[F.lit(x) for x in w])
     at_end = F.col("raw_len").between(*cut_at) & ~F.arrays_overlap(added, words(OTHER_PERSON)) & (~F.arrays_overlap(added, words(CORPORATE)) | F.arrays_overlap(F.split("short", "-"), words(CORPORATE)))
     same = one.where(~rest.startswith("-") | at_end).select(security, F.col("short").alias(person), F.col("long").alias("merged"))
-    return df.join(same, [security, person], "left").withColumn("merged", F.coalesce("merged", person))
+    return df.join(same.hint("merge"), [security, person], "left").withColumn("merged", F.coalesce("merged", person))
 
 
 def latest_lists(members: DataFrame, company: str, quarter: str) -> DataFrame:
