@@ -8,7 +8,7 @@ import duckdb
 from comparing import rows
 
 from tidewater import queries
-from tidewater.operators import cleaning, periods, trades
+from tidewater.operators import cleaning, periods, trades, transfers
 
 D = dt.date
 
@@ -46,3 +46,14 @@ def test_names_never_go_through_the_driver(spark):
     merged = cleaning.merged_cut_names(cut, "s", "p", "raw")
     assert {r.p: r.merged for r in merged.collect()}["ramesh-kumar-agarw"] == "ramesh-kumar-agarwal"
     assert "Broadcast" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookups_of_placements_carry_no_names(spark):
+    # buyers of a price are as many as a day has: a row for each sale must not hold them all
+    day = D(2024, 1, 1)
+    deals = [(i, None, "S", day, 10.0, 100.0 + i % 2 * 0.03, "BUY", f"C{i:02d}", False) for i in range(9)] + [(90 + i, None, "S", day, 10.0, 100.0, "SELL", "P", True) for i in range(3)]
+    deals = spark.createDataFrame(deals, "deal_id long, pair long, security string, day date, quantity double, price double, side string, client_name string, client_is_promoter boolean")
+    assert transfers.placed_sales(deals).columns == ["security", "quantity", "day", "turn", "price"]
+    told = spark.createDataFrame([(1, "S", 10.0, "SELL", "market", "promoter", day, day, True, 7.0, "own"), (2, "S", 11.0, "SELL", "market", "promoter", day, day, True, 7.0, "own")], "id int, security string, quantity double, side string, kind string, role string, day_from date, day_to date, is_market boolean, price double, day string")
+    got = {r.id: (r.placement_buyers, r.price, r.day) for r in transfers.insider_transfers(told, deals).collect()}
+    assert got == {1: ([f"C{i:02d}" for i in range(9)], 7.0, "own"), 2: (None, 7.0, "own")}

@@ -60,51 +60,70 @@ def marked_pairs(trades: DataFrame, deals: DataFrame) -> DataFrame:
     """
     pairs = paired_deals(deals)
     keys = ["security", "quantity"]
-    told = trades.withColumn("held_from", F.coalesce("day_from", "day_to"))
+    told = settled(trades.withColumn("held_from", F.coalesce("day_from", "day_to")), "told-trades")
     subject = F.coalesce((F.col("kind") == "market") & F.col("role").isin(*INSIDER_ROLES) & F.col("side").isin("BUY", "SELL") & F.col("security").isNotNull() & F.col("quantity").isNotNull() & (F.col("held_from") <= F.col("day_to")), F.lit(False))
     subjects = told.where(subject)
-    named = asof_join(subjects, pairs, keys, "day_to", "day", ["turn", "buyer", "seller"]).withColumnRenamed("matched_time", "pair_day")
-    other = F.when(F.col("pair_day") >= F.col("held_from"), F.when(F.col("side") == "SELL", F.col("buyer")).otherwise(F.col("seller")))
-    named = named.withColumn("cross_with", other).drop("turn", "buyer", "seller", "pair_day")
     promoter = F.col("role").isin(*GROUP_ROLES)
     inside = pairs.where("in_group").select(*keys, "day").distinct()
     free = exists_in_span(inside, subjects.where(~promoter), keys, "day", "held_from", "day_to").where("not in_span").select(*keys, "day", F.lit(True).alias("inside"))
-    moved = asof_join(named, free, keys, "day_to", "day", ["inside"])
-    is_transfer = promoter & F.coalesce(F.col("matched_time") >= F.col("held_from"), F.lit(False))
-    moved = moved.withColumn("group_transfer_by_deal", is_transfer).drop("inside", "matched_time")
+    asked = asof_join(subjects.select(*keys, "day_to").distinct(), pairs, keys, "day_to", "day", ["turn", "buyer", "seller"]).withColumnRenamed("matched_time", "pair_day")
+    known = asof_join(asked, free, keys, "day_to", "day", ["inside"]).withColumnRenamed("matched_time", "inside_day")
+    named = subjects.join(known, [*keys, "day_to"])
+    other = F.when(F.col("pair_day") >= F.col("held_from"), F.when(F.col("side") == "SELL", F.col("buyer")).otherwise(F.col("seller")))
+    is_transfer = promoter & F.coalesce(F.col("inside_day") >= F.col("held_from"), F.lit(False))
+    moved = named.withColumns({"cross_with": other, "group_transfer_by_deal": is_transfer}).drop("turn", "buyer", "seller", "pair_day", "inside", "inside_day")
     moved = moved.withColumns({"kind": F.when(F.col("group_transfer_by_deal"), "inter_se").otherwise(F.col("kind")), "is_market": F.col("is_market") & ~F.col("group_transfer_by_deal")})
     rest = told.where(~subject).withColumns({"cross_with": F.lit(None).cast("string"), "group_transfer_by_deal": F.lit(False)})
     return moved.unionByName(rest).drop("held_from")
 
 
-def placed_sales(deals: DataFrame) -> DataFrame:
-    """(security, quantity, day, turn, placement_buyers): promoters' legs of sale that two or more legs of others bought that day at that price.
-
-    Prices meet in logarithmic blocks, own and beside, and are then held to ``PLACEMENT_GAP`` of the seller's.
-    Both sides are one row a price (and name) before they meet. The names are distinct, in order of
-    their letters: as many as one company's buyers of a day at one price.
-    """
+def _sales_and_buys(deals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Promoters' legs of sale, and the legs that others bought by security, day, price (``paid``) and name with their ``block``."""
     sound = deals.dropna(subset=["security", "day", "quantity", "price", "side"]).where("price > 0")
     promoter = F.coalesce("client_is_promoter", F.lit(False))
-    sales = sound.where((F.col("side") == "SELL") & promoter)
+    buys = sound.where((F.col("side") == "BUY") & ~promoter).groupBy("security", "day", F.col("price").alias("paid"), "client_name").agg(F.count("*").alias("legs"))
+    return sound.where((F.col("side") == "SELL") & promoter), buys.withColumn("block", near_block(F.col("paid"), PLACEMENT_GAP))
+
+
+def _reached(prices: DataFrame, buys: DataFrame) -> DataFrame:
+    """``prices`` (security, day, price) beside the rows of ``buys`` near them: prices meet in logarithmic blocks, own and beside, and are then held to ``PLACEMENT_GAP`` of the seller's."""
     block = near_block(F.col("price"), PLACEMENT_GAP)
-    asked = sales.select("security", "day", "price").distinct().withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
-    bought = sound.where((F.col("side") == "BUY") & ~promoter).groupBy("security", "day", F.col("price").alias("paid"), "client_name").agg(F.count("*").alias("legs")).withColumn("block", near_block(F.col("paid"), PLACEMENT_GAP))
     near = F.abs(F.col("paid") - F.col("price")) <= F.lit(PLACEMENT_GAP) * F.col("price")
+    return prices.withColumn("block", F.explode(F.array(block - 1, block, block + 1))).join(buys, ["security", "day", "block"]).where(near)
+
+
+def placed_sales(deals: DataFrame) -> DataFrame:
+    """(security, quantity, day, turn, price): promoters' legs of sale that two or more legs of others bought that day at that price. Legs are one row a price before they meet."""
+    sales, buys = _sales_and_buys(deals)
+    legs = buys.groupBy("security", "day", "paid", "block").agg(F.sum("legs").alias("legs"))
+    placed = _reached(sales.select("security", "day", "price").distinct(), legs).groupBy("security", "day", "price").agg(F.sum("legs").alias("legs")).where("legs >= 2")
+    return sales.join(placed, ["security", "day", "price"]).select("security", "quantity", "day", F.col("deal_id").alias("turn"), "price")
+
+
+def placement_names(deals: DataFrame, prices: DataFrame) -> DataFrame:
+    """(security, day, price, placement_buyers): who bought at ``prices`` (security, day, price), once each, in order of their letters: as many as one company's buyers of a day at one price."""
     name = F.when(F.col("client_name") != "", F.col("client_name"))
-    met = asked.join(bought, ["security", "day", "block"]).where(near).groupBy("security", "day", "price").agg(F.sum("legs").alias("legs"), F.array_sort(F.collect_set(name)).alias("placement_buyers")).where("legs >= 2")
-    return sales.join(met, ["security", "day", "price"]).select("security", "quantity", "day", F.col("deal_id").alias("turn"), "placement_buyers")
+    return _reached(prices, _sales_and_buys(deals)[1]).groupBy("security", "day", "price").agg(F.array_sort(F.collect_set(name)).alias("placement_buyers"))
 
 
 def marked_placements(trades: DataFrame, deals: DataFrame) -> DataFrame:
-    """Trades with ``placement_buyers``: of a promoter's market sale without a known other side that is one of ``placed_sales`` (security, shares, day within the trade's days), the last one's buyers."""
+    """Trades with ``placement_buyers``: of a promoter's market sale without a known other side that is one of ``placed_sales`` (security, shares, day within the trade's days), the last one's buyers.
+
+    A sale is found by its price; names are gathered for the prices that some trade found, and no lookup carries them.
+    """
     told = trades.withColumn("held_from", F.coalesce("day_from", "day_to"))
     subject = F.coalesce((F.col("kind") == "market") & F.col("role").isin(*GROUP_ROLES) & (F.col("side") == "SELL") & F.col("cross_with").isNull() & F.col("security").isNotNull() & F.col("quantity").isNotNull() & (F.col("held_from") <= F.col("day_to")), F.lit(False))
-    found = asof_join(told.where(subject), placed_sales(deals), ["security", "quantity"], "day_to", "day", ["turn", "placement_buyers"])
-    found = found.withColumn("placement_buyers", F.when(F.col("matched_time") >= F.col("held_from"), F.col("placement_buyers"))).drop("turn", "matched_time")
-    return found.unionByName(told.where(~subject).withColumn("placement_buyers", F.lit(None).cast("array<string>"))).drop("held_from")
+    keys = ["security", "quantity"]
+    known = asof_join(told.where(subject).select(*keys, "day_to").distinct(), placed_sales(deals).withColumnsRenamed({"turn": "placed_turn", "price": "placed_price"}), keys, "day_to", "day", ["placed_turn", "placed_price"])
+    within = F.col("matched_time") >= F.col("held_from")
+    found = told.where(subject).join(known, [*keys, "day_to"]).withColumns({"placed_day": F.when(within, F.col("matched_time")), "placed_price": F.when(within, F.col("placed_price"))}).drop("placed_turn", "matched_time")
+    found = settled(found, "placed-trades")
+    at = {"day": "placed_day", "price": "placed_price"}
+    prices = found.select("security", *(F.col(c).alias(k) for k, c in at.items())).dropna().distinct()
+    named = found.join(placement_names(deals, prices).withColumnsRenamed(at), ["security", *at.values()], "left").drop(*at.values())
+    return named.unionByName(told.where(~subject).withColumn("placement_buyers", F.lit(None).cast("array<string>"))).drop("held_from")
 
 
 def insider_transfers(trades: DataFrame, deals: DataFrame) -> DataFrame:
-    """Trades marked by the exchange's pairs, then by placements; every row stays once. Columns as the two steps name them; ``deals`` also has deal_id and price. The first step is written once, as the second reads it twice."""
+    """Trades marked by the exchange's pairs, then by placements; every row stays once. Columns as the two steps name them; ``deals`` also has deal_id and price. Trades and the first step are written once, as what follows reads them more than once."""
     return marked_placements(settled(marked_pairs(trades, deals), "paired-trades"), deals)
