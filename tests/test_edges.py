@@ -8,7 +8,7 @@ import duckdb
 from comparing import rows
 
 from tidewater import queries
-from tidewater.operators import cleaning, periods, trades, transfers
+from tidewater.operators import cleaning, periods, prices, trades, transfers
 
 D = dt.date
 
@@ -57,3 +57,14 @@ def test_lookups_of_placements_carry_no_names(spark):
     told = spark.createDataFrame([(1, "S", 10.0, "SELL", "market", "promoter", day, day, True, 7.0, "own"), (2, "S", 11.0, "SELL", "market", "promoter", day, day, True, 7.0, "own")], "id int, security string, quantity double, side string, kind string, role string, day_from date, day_to date, is_market boolean, price double, day string")
     got = {r.id: (r.placement_buyers, r.price, r.day) for r in transfers.insider_transfers(told, deals).collect()}
     assert got == {1: ([f"C{i:02d}" for i in range(9)], 7.0, "own"), 2: (None, 7.0, "own")}
+
+
+def test_prints_are_not_multiplied_by_horizons(spark):
+    days = [D(2024, 1, d) for d in range(1, 8)]
+    sessions = spark.createDataFrame([(d, i + 1) for i, d in enumerate(days)], "day date, session_no int")
+    bars = spark.createDataFrame([("a", days[i], 100.0 + i) for i in (1, 2, 4)] + [("a", days[2], 101.0), ("b", days[3], 7.0)], "k string, d date, c double")
+    events = spark.createDataFrame([(1, "a", days[0]), (2, "a", days[1]), (3, "a", days[2]), (4, "b", days[2]), (5, None, days[0])], "id int, k string, d date")
+    out = prices.forward_returns(events, bars, sessions, "k", "d", "c", horizons=(1, 2, 3), cost=0.0)
+    got = {r.id: (r.entry, *(None if r[f"r_{n}"] is None else round(101.0 * (1 + r[f"r_{n}"] / 100), 6) for n in (1, 2, 3))) for r in out.collect()}
+    assert got == {1: (101.0, 102.0, None, 104.0), 2: (102.0, None, round(101.0 * 104 / 102, 6), None), 3: (None,) * 4, 4: (7.0, None, None, None), 5: (None,) * 4}
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -83,14 +83,15 @@ def rolling_high(bars: DataFrame, key: str, day: str, close: str, rows: int = LI
 def forward_returns(events: DataFrame, bars: DataFrame, sessions: DataFrame, key: str, day: str, close: str, horizons: tuple[int, ...] = LIMITS.horizons, cost: float = LIMITS.cost) -> DataFrame:
     """Every event with ``entry`` and ``r_<n>``: entry at the first session after its day, exit n sessions on, less cost, in percent.
 
-    Each print is dealt to the entries that need it, the session itself and those that lie a horizon before;
-    so a security's session has all prices of an entry there, and events are joined once. Null where a
+    A security's prints, one a session, look ahead by their session's number; so a print has all prices of
+    an entry there, no print is sent on more than once for it, and events are joined once. Null where a
     session has no print.
     """
     placed = sessions_upto(events, sessions, day, "before").withColumn("entry_no", F.col("before") + 1)
     numbered = bars.join(sessions.withColumnRenamed("day", "s_day"), F.col(day) == F.col("s_day")).select(F.col(key).alias("p_key"), F.col("session_no").alias("p_no"), F.col(close).alias("p_close"))
-    shifted = numbered.select("p_key", "p_no", "p_close", F.explode(F.array(*map(F.lit, (0, *horizons)))).alias("shift"))
-    entries = shifted.groupBy("p_key", (F.col("p_no") - F.col("shift")).alias("p_entry")).agg(*(F.max(F.when(F.col("shift") == n, F.col("p_close"))).alias(f"x_{n}") for n in (0, *horizons)))
+    prints = numbered.repartition("p_key").groupBy("p_key", F.col("p_no").alias("p_entry")).agg(F.max("p_close").alias("x_0"))
+    ahead = Window.partitionBy("p_key").orderBy("p_entry")
+    entries = prints.select("p_key", "p_entry", "x_0", *(F.max("x_0").over(ahead.rangeBetween(n, n)).alias(f"x_{n}") for n in horizons))
     out = placed.join(entries, (F.col(key) == F.col("p_key")) & (F.col("entry_no") == F.col("p_entry")), "left").withColumn("entry", F.col("x_0"))
     returns = {f"r_{n}": (F.col(f"x_{n}") / F.col("entry") - 1) * 100 - cost for n in horizons}
     return out.withColumns(returns).drop("before", "entry_no", "p_key", "p_entry", *(f"x_{n}" for n in (0, *horizons)))
