@@ -96,3 +96,25 @@ def test_copies_on_the_other_exchange(spark):
 def test_no_filings(spark):
     stands, counts = filings.counted(filings.cleaned_filings(spark.createDataFrame([], SCHEMA)), filings.REASONS, "none")
     assert stands.count() == 0 and counts["rows"] == counts["kept"] == 0
+
+
+def test_only_rows_that_may_be_repeats_are_sorted(spark):
+    """Keys that stand once take no part in looking for the first of a key; a null in a key is a value like others."""
+    rows = [("a", None, 1, None), ("a", None, 2, None), ("a", "x", 3, None), ("b", None, 4, None), ("b", None, 5, "gone")]
+    got = filings.repeats(spark.createDataFrame(rows, "k string, l string, row_no long, reason string"), ["k", "l"], F.struct("row_no")).collect()
+    assert sorted((r.row_no, r.first.row_no) for r in got) == [(1, 2), (2, 2)]
+
+
+def test_whole_filings_are_written_few_times(spark, tmp_path, monkeypatch):
+    """Steps settle the numbers that they found; rows with all columns are written four times, however many steps there are."""
+    wide = []
+
+    def settled(df, label):
+        wide.extend([label] if {"person_raw", "held_after"} <= set(df.columns) else [])
+        path = str(tmp_path / f"{label}-{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    monkeypatch.setattr(filings, "settled", settled)
+    filings.cleaned_filings(spark.createDataFrame([], SCHEMA))
+    assert len(wide) <= 4
