@@ -54,6 +54,18 @@ def unique_match(left: DataFrame, right: DataFrame, on: Column, left_id: str, ri
     return pairs.withColumns({"nl": F.count("*").over(Window.partitionBy(left_id)), "nr": F.count("*").over(Window.partitionBy(right_id))}).where("nl = 1 and nr = 1").drop("nl", "nr")
 
 
+def few_of_amount(df: DataFrame, keys: list[str], amount: str, who: str, row_id: str) -> DataFrame:
+    """Rows that stand for all of their keys and amount in a search for the only candidate: two each of three ``who``.
+
+    Whoever asks is one ``who`` at most: of three, two others are left, and two rows of one other are two
+    candidates. So who has one candidate among all rows has it here too, who has more has at least two
+    here, and a row that is left out is nobody's only candidate.
+    """
+    of = Window.partitionBy(*keys, amount)
+    two = df.dropna(subset=[*keys, amount, who, row_id]).withColumn("turn", F.row_number().over(Window.partitionBy(*keys, amount, who).orderBy(row_id))).where("turn <= 2")
+    return two.withColumn("place", F.dense_rank().over(of.orderBy(who))).where("place <= 3").drop("turn", "place")
+
+
 def ranked_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
     """One-to-one pairs within a key by place: first with first, second with second; the longer side's rest stays single."""
     a = left.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*left_order)))
