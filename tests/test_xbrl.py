@@ -67,3 +67,11 @@ def test_values_of_the_same_days(spark):
 def test_numbered_groups(spark):
     got = xbrl.numbered_groups(read(spark), "filing", "Allottees").orderBy("number", "fact").collect()
     assert [tuple(r) for r in got] == [("groups", 1, "Held", "5"), ("groups", 1, "Name", "One"), ("groups", 2, "Name", "Two"), ("groups", 10, "Name", "Ten")]
+
+
+def test_results_filings_are_parsed_once(spark, folder):
+    """Periods and values read settled facts: no parse is left in the plan."""
+    from tidewater import queries
+
+    plan = queries.QUERIES["results_summary"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_xml" not in plan.lower() and "xmltostructs" not in plan.lower()
