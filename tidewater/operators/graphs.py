@@ -16,7 +16,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours, and the node itself, hang on the smallest of its neighbourhood."""
     near = _both_ways(edges)
     lowest = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return near.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    # edges that come twice go in the small star
+    return near.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -45,7 +46,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     roots = now.select(F.col("b").alias("node")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))).distinct()
+    # the edges are stars now: a node hangs on one root, and a root on none
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
 def _mark(edges: DataFrame) -> tuple:

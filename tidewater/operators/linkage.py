@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.graphs import components
-from tidewater.operators.ranking import with_previous
+from tidewater.operators.ranking import run_links
 from tidewater.session import settled
 
 
@@ -163,25 +163,23 @@ def same_deals(cards: DataFrame, card_id: str, keys: list[str], at: str, figures
     of these the one with the smallest id; ``deal`` is the smallest id.
 
     Cards meet by a figure, or by a pair of a card's small figures, that they share, and each links only
-    with the one before it in time: two cards within the gap that share a figure have all cards with it
-    between them within the gap too, so that a chain of neighbours says the same as all pairs. A figure
-    that very many cards share is no hot group: neighbours are found in a range sort. A card makes k^2 / 2
-    pairs of its k figures under ``large``.
+    with the first one of its run in time: two cards within the gap that share a figure have all cards with
+    it between them within the gap too, so that runs say the same as all pairs. A figure that very many
+    cards share is no hot group: runs are read in a range sort. A card makes k^2 / 2 pairs of its k figures
+    under ``large``. The cards are made once, and settled.
 
     Cards with a null key or time link with nothing.
     """
-    known = cards.where(F.col(at).isNotNull()).dropna(subset=keys)
     listed = F.array_distinct(F.transform(F.filter(F.col(figures), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) >= 1)), lambda x: F.round(x, 2)))
-    rows = known.select(*keys, F.col(card_id).alias("card"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.array_sort(listed).alias("all"))
+    known = F.col(at).isNotNull() & ~F.exists(F.array(*(F.col(k).isNull() for k in keys)), lambda x: x)
+    rows = settled(cards.select(*keys, F.col(card_id).alias("card"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), F.when(known, F.array_sort(listed)).alias("all"), F.col(shown).alias("shown")), "cards")
     single = F.transform(F.filter("all", lambda x: F.abs(x) >= large), lambda x: F.struct(x.alias("one"), F.lit(None).cast("double").alias("two")))
-    small = rows.withColumns({"large": single, "small": F.filter("all", lambda x: F.abs(x) < large)})
+    small = rows.where("all is not null").withColumns({"large": single, "small": F.filter("all", lambda x: F.abs(x) < large)})
     pairs = F.flatten(F.transform("small", lambda x: F.transform(F.filter("small", lambda y: y > x), lambda y: F.struct(x.alias("one"), y.alias("two")))))
     marks = small.select(*keys, "card", "at", F.explode(F.concat("large", pairs)).alias("mark")).select(*keys, "mark.one", "mark.two", "at", "card")
-    same = [*keys, "one", "two"]
-    near = with_previous(marks, [*same, "at", "card"], [*same, "at", "card"], "last")
-    links = near.where((F.col("at") - F.col("last.at") <= hours * 3_600_000_000) & F.struct(*same).eqNullSafe(F.struct(*(F.col(f"last.{c}").alias(c) for c in same))))
-    found = components(links.select(F.col("card").alias("a"), F.col("last.card").alias("b"))).withColumnsRenamed({"node": "of", "component": "deal"})
-    placed = cards.join(found, F.col(card_id) == F.col("of"), "left").select(F.col(card_id).alias("card"), F.coalesce("deal", F.col(card_id)).alias("deal"), F.struct(F.coalesce(F.col(shown), F.lit(0)).alias("shown"), F.coalesce(-F.unix_micros(F.col(at).cast("timestamp")), F.lit(0)).alias("early"), (-F.col(card_id)).alias("id")).alias("weight"))
+    links = run_links(marks, [*keys, "one", "two"], "at", "card", hours * 3_600_000_000)
+    found = components(links).withColumnsRenamed({"node": "of", "component": "deal"})
+    placed = rows.join(found, F.col("card") == F.col("of"), "left").select("card", F.coalesce("deal", "card").alias("deal"), F.struct(F.coalesce("shown", F.lit(0)).alias("shown"), F.coalesce(-F.col("at"), F.lit(0)).alias("early"), (-F.col("card")).alias("id")).alias("weight"))
     leads = placed.groupBy("deal").agg(F.max_by("card", "weight").alias("lead"), F.count("*").alias("cards"))
     return placed.join(leads, "deal").select(F.col("card").alias(card_id), "deal", "lead", (F.col("card") == F.col("lead")).alias("is_lead"), "cards")
 
