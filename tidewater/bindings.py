@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.session import dealt
 from tidewater.sources.files import table
 
 REF = "1998-06-30"
@@ -21,14 +22,16 @@ BARS = """b AS (SELECT l_partkey AS security, CAST(l_shipdate AS DATE) AS day, m
 SESSIONS = "s AS (SELECT day, row_number() OVER (ORDER BY day) AS session_no FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem))"
 
 
-def filings(spark: SparkSession, folder: str) -> DataFrame:
-    """Filed trades: line items with their orders."""
+def filings(spark: SparkSession, folder: str, finer: bool = False) -> DataFrame:
+    """Filed trades: line items with their orders; ``finer``: dealt out in more tasks, for queries that sort or sum them all by order."""
     items = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("security"), F.col("l_suppkey").alias("person"),
         F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("value"),
         F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"), F.col("l_shipdate").cast("date").alias("day_to"), F.col("l_linestatus").alias("status"),
     )
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("second"), F.col("o_orderdate").cast("date").alias("day_from"))
+    if finer:
+        items, orders = dealt(items, "order_id"), dealt(orders, "order_id")
     return items.join(orders, "order_id").select("order_id", "line", "security", "person", "second", "side", "quantity", "value", "tax", "discount", "day_from", "day_to", "status")
 
 
@@ -48,7 +51,8 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
     from tidewater.operators.prices import daily_bars
 
     items = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("security"), F.col("l_shipdate").cast("date").alias("day"), F.col("l_extendedprice").alias("v"), F.col("l_quantity").alias("q"))
-    return daily_bars(items, "security", "day", "v", "q")
+    # hardly two prints share a day here: they are dealt out before they are summed, and not after
+    return daily_bars(dealt(items, "security", "day"), "security", "day", "v", "q")
 
 
 def sessions(spark: SparkSession, folder: str) -> DataFrame:

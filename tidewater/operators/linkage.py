@@ -95,15 +95,18 @@ def span_stats(spans: DataFrame, daily: DataFrame, key: str, row_id: str, first:
     """(row_id, low, high, sessions, status) over the daily rows within each span of at most ``most_days``.
 
     A span of bounded length is exploded into its days, which turns the interval join into an equi join.
+    Spans that are judged by their dates alone pass by it, and are not shuffled for it.
     """
     length = F.datediff(last, first)
     status = F.when(F.col(first).isNull() | F.col(last).isNull(), "no_dates").when(length < 0, "dates_out_of_order").when(length > most_days, "span_too_long")
-    judged = spans.select(F.col(row_id), F.col(key), first, last, status.alias("status"))
-    days = judged.where("status is null").select(row_id, F.col(key).alias("s_key"), F.explode(F.sequence(first, last)).alias("s_day"))
+    judged = spans.select(F.col(row_id).alias("s_id"), F.col(key).alias("s_key"), F.col(first).alias("s_first"), F.col(last).alias("s_last"), status.alias("status"))
+    days = judged.where("status is null").select("s_id", "s_key", F.explode(F.sequence("s_first", "s_last")).alias("s_day"))
     bars = daily.select(F.col(key).alias("b_key"), F.col(day).alias("b_day"), F.col(low).alias("b_low"), F.col(high).alias("b_high"))
-    met = days.join(bars, (F.col("s_key") == F.col("b_key")) & (F.col("s_day") == F.col("b_day"))).groupBy(F.col(row_id).alias("m_id")).agg(F.min("b_low").alias("low"), F.max("b_high").alias("high"), F.count("*").alias("sessions"))
-    out = judged.join(met, F.col(row_id) == F.col("m_id"), "left")
-    return out.select(row_id, "low", "high", F.coalesce("sessions", F.lit(0)).cast("long").alias("sessions"), F.coalesce("status", F.when(F.col("sessions").isNull(), "no_session").otherwise("ok")).alias("status"))
+    # a left join: spans without a session stay, and both kinds of spans are read from one shuffle
+    met = days.join(bars, (F.col("s_key") == F.col("b_key")) & (F.col("s_day") == F.col("b_day")), "left").groupBy("s_id").agg(F.min("b_low").alias("low"), F.max("b_high").alias("high"), F.count("b_day").alias("sessions"))
+    found = met.select(F.col("s_id").alias(row_id), "low", "high", "sessions", F.when(F.col("sessions") == 0, "no_session").otherwise("ok").alias("status"))
+    no = bars.schema["b_low"].dataType, bars.schema["b_high"].dataType
+    return found.unionByName(judged.where("status is not null").select(F.col("s_id").alias(row_id), F.lit(None).cast(no[0]).alias("low"), F.lit(None).cast(no[1]).alias("high"), F.lit(0).cast("long").alias("sessions"), "status"))
 
 
 def exists_in_span(days: DataFrame, spans: DataFrame, keys: list[str], day: str, first: str, last: str) -> DataFrame:

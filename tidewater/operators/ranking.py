@@ -11,14 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.session import settled
+from tidewater.session import FINER, settled
 
 #: Names that the helpers of this module add, and drop again.
 STRETCH, AT = "_stretch", "_at"
 
-#: Runs are read in so many stretches for each shuffle partition, so that a task sorts a small part of a table that has more rows than its input.
-STRETCHES = 4
-
 
 def sorted_stretches(df: DataFrame, order: list[str | Column]) -> DataFrame:
     """``df`` range-sorted by ``order`` with ``_stretch``, the number of its range, and ``_at``, its row in the range from 0; settled.
@@ -119,7 +116,7 @@ def run_links(rows: DataFrame, same: list[str], at: str, item: str, gap: int) ->
     the next stretch is linked there to that stretch's first row, and this to the last row before it. So a
     run of any length is never gathered.
     """
-    parts = STRETCHES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = FINER * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [f"k{i}" for i in range(len(same))]
     named = rows.select(*(F.col(c).alias(k) for c, k in zip(same, keys, strict=True)), F.col(at).alias("at"), F.col(item).alias("item"))
     types = dict(named.dtypes)

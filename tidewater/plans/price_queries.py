@@ -94,7 +94,9 @@ def average_daily_value(spark, folder):
 
 
 def interval_day_range(spark, folder):
-    f = filings(spark, folder).select(F.concat_ws(":", "order_id", "line", "security", "person", "value").alias("row_id"), "security", "day_from", "day_to").distinct()
+    # told apart by plain columns, so that rows stay where the join by order put them
+    f = filings(spark, folder, finer=True).select("order_id", "line", "security", "person", "value", "day_from", "day_to").distinct()
+    f = f.select(F.struct("order_id", "line", "security", "person", "value").alias("row_id"), "security", "day_from", "day_to")
     out = linkage.span_stats(f, _b(spark, folder), "security", "row_id", "day_from", "day_to", "day", "low", "high")
     return out.groupBy("status").agg(F.count("*").alias("n"), F.sum("sessions").alias("sessions"), F.round(F.sum("low"), 1).alias("low"))
 

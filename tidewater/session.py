@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tasks for each shuffle partition where a task's memory would follow the whole table.
+FINER = 4
+
 
 def session(app: str = "tidewater", master: str | None = None, **conf: str) -> SparkSession:
     """UTC, ANSI, adaptive execution; Arrow batches bounded by bytes as well as by rows."""
@@ -35,3 +38,11 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with the rows of each key in one task, in ``FINER`` times the session's shuffle partitions, so that what a task sorts or sums is a small part of a large table.
+
+    Windows, sums and joins by these keys, or sums by more than these, need no other shuffle.
+    """
+    return df.repartition(FINER * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
