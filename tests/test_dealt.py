@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from tidewater.operators import linkage
+from tidewater.operators import linkage, signals
 from tidewater.session import FINER
 
 DAY0 = dt.date(2024, 1, 1)
@@ -34,3 +34,10 @@ def test_spans_judged_by_their_dates_pass_by_the_join(spark):
     }
     # only days and bars are joined, and spans not once more with what they met
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_buys_before_sorts_in_finer_tasks(spark):
+    rows = [("s", "p", "BUY", day(0)), ("s", "p", "SELL", day(3)), ("s", "p", "BUY", day(13)), ("s", "p", "BUY", day(14)), ("s", None, "BUY", day(1)), ("t", "p", "BUY", None)]
+    out = signals.buys_before(spark.createDataFrame(rows, "security string, person string, side string, day date"), ["security", "person"], "day")
+    assert sorted((r.security, str(r.person), str(r.day), r.buys) for r in out.collect()) == [("s", "None", "2024-01-02", 1), ("s", "p", "2024-01-01", 1), ("s", "p", "2024-01-04", 1), ("s", "p", "2024-01-14", 2), ("s", "p", "2024-01-15", 2), ("t", "p", "None", 1)]
+    assert tasks(out) == finer(spark)

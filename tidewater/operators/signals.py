@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators.ranking import numbered_within
 from tidewater.operators.trades import bought, in_window, sold
+from tidewater.session import dealt
 
 EVENT = ["security", "list", "kind", "pct", "value", "last"]
 
@@ -136,7 +137,7 @@ def latest_rows(df: DataFrame, key: str, day: str, *ties: Column) -> DataFrame:
 def buys_before(trades: DataFrame, keys: list[str], day: str, days: int = 14) -> DataFrame:
     """Every trade with ``buys``: how many buys its keys made in the ``days`` days up to its own."""
     frame = Window.partitionBy(*keys).orderBy(F.datediff(day, F.lit("1970-01-01").cast("date"))).rangeBetween(-(days - 1), 0)
-    return trades.withColumn("buys", F.sum(F.when(F.col("side") == "BUY", 1).otherwise(0)).over(frame))
+    return dealt(trades, *keys).withColumn("buys", F.sum(F.when(F.col("side") == "BUY", 1).otherwise(0)).over(frame))
 
 
 def session_rows(trades: DataFrame, session: Column, size: DataFrame) -> DataFrame:
