@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from tidewater.operators import linkage, signals
+from tidewater.operators import holdings, linkage, signals
 from tidewater.session import FINER
 
 DAY0 = dt.date(2024, 1, 1)
@@ -41,3 +41,10 @@ def test_buys_before_sorts_in_finer_tasks(spark):
     out = signals.buys_before(spark.createDataFrame(rows, "security string, person string, side string, day date"), ["security", "person"], "day")
     assert sorted((r.security, str(r.person), str(r.day), r.buys) for r in out.collect()) == [("s", "None", "2024-01-02", 1), ("s", "p", "2024-01-01", 1), ("s", "p", "2024-01-04", 1), ("s", "p", "2024-01-14", 2), ("s", "p", "2024-01-15", 2), ("t", "p", "None", 1)]
     assert tasks(out) == finer(spark)
+
+
+def test_expected_factors_shuffle_once(spark):
+    rows = [("s", "Bonus", day(0), 1.0, 1.0, None, None), ("s", "bonus", day(0), 1.0, 1.0, None, None), ("s", "split", day(0), None, None, 10.0, 2.0), ("s", "dividend", day(1), None, None, None, None), (None, "bonus", day(0), 1.0, 1.0, None, None)]
+    out = holdings.expected_factors(spark.createDataFrame(rows, "security string, purpose string, ex_day date, new_for double, held double, face_from double, face_to double"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1 and tasks(out) == finer(spark)
+    assert sorted((r.security, str(r.ex_day), r.expected and round(r.expected, 9), r.split_bonus) for r in out.collect()) == [("s", "2024-01-01", 0.1, True), ("s", "2024-01-02", None, False)]

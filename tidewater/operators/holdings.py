@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.session import dealt
+
 
 def renamed_securities(now: DataFrame, before: DataFrame, house: str, security: str, name: str) -> DataFrame:
     """(old, new): a house's security that went and one that came under the same name, one to one; a security that houses map differently is left out."""
@@ -47,13 +49,14 @@ def expected_factors(actions: DataFrame) -> DataFrame:
 
     A bonus of n new for h held is h / (h + n), a split is the new face value over the old; a day's factors
     multiply. ``expected`` is null where the day has neither, which says that its move is another one.
-    An action seen twice counts once.
+    An action seen twice counts once. The rows are dealt out once, by security and day.
     """
     purpose = F.lower("purpose")
     bonus = F.when((F.col("new_for") > 0) & (F.col("held") > 0), F.col("held") / (F.col("held") + F.col("new_for")))
     split = F.when((F.col("face_from") > 0) & (F.col("face_to") > 0), F.col("face_to") / F.col("face_from"))
     factor = F.when(purpose == "bonus", bonus).when(purpose == "split", split)
-    once = actions.where("security is not null and ex_day is not null").select("security", "ex_day", purpose.alias("purpose"), factor.alias("factor")).distinct()
+    known = actions.where("security is not null and ex_day is not null").select("security", "ex_day", purpose.alias("purpose"), factor.alias("factor"))
+    once = dealt(known, "security", "ex_day").distinct()
     own = F.col("purpose").isin("bonus", "split")
     out = once.groupBy("security", "ex_day").agg(F.exp(F.sum(F.log("factor"))).alias("expected"), F.bool_or(own).alias("split_bonus"), F.bool_or(F.col("purpose").isin("demerger", "scheme")).alias("scheme"))
     return out.withColumn("expected", F.when(F.col("split_bonus"), F.col("expected")))
