@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from tidewater.bindings import filings
 from tidewater.operators import holdings, linkage, signals
 from tidewater.session import FINER
 
@@ -48,3 +49,8 @@ def test_expected_factors_shuffle_once(spark):
     out = holdings.expected_factors(spark.createDataFrame(rows, "security string, purpose string, ex_day date, new_for double, held double, face_from double, face_to double"))
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1 and tasks(out) == finer(spark)
     assert sorted((r.security, str(r.ex_day), r.expected and round(r.expected, 9), r.split_bonus) for r in out.collect()) == [("s", "2024-01-01", 0.1, True), ("s", "2024-01-02", None, False)]
+
+
+def test_finer_filings_are_the_same(spark, folder):
+    whole, fine = filings(spark, folder), filings(spark, folder, finer=True)
+    assert tasks(fine) == finer(spark) and sorted(map(str, fine.collect())) == sorted(map(str, whole.collect()))

@@ -73,7 +73,7 @@ def file_standings(spark, folder):
 
 def capital_events(spark, folder):
     """All events of capital in the window: line items as deals (tax over 4 %), filings (none), issues, raises (by line) and buybacks of their parts."""
-    f = filings(spark, folder)
+    f = filings(spark, folder, finer=True)
     shares = table(spark, folder, "part").select(F.col("p_partkey").alias("security"), F.when(F.col("p_size") % 10 > 0, F.col("p_size") * 40.0).alias("total"))
     by_line = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("line") % 3 + 1).cast("int"))
     shown = f.select("*", (F.col("quantity") - 25).alias("vs_market"), F.when(F.col("line") % 2 == 0, F.col("quantity")).alias("allotted"), (F.col("quantity") * 2).alias("proposed"), F.col("value").alias("amount"), F.col("order_id").alias("app_id"))
