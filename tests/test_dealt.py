@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from tidewater.bindings import filings
-from tidewater.operators import holdings, linkage, signals
+from tidewater.operators import holdings, linkage, replay, signals
 from tidewater.session import FINER
 
 DAY0 = dt.date(2024, 1, 1)
@@ -54,3 +54,11 @@ def test_expected_factors_shuffle_once(spark):
 def test_finer_filings_are_the_same(spark, folder):
     whole, fine = filings(spark, folder), filings(spark, folder, finer=True)
     assert tasks(fine) == finer(spark) and sorted(map(str, fine.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_heavy_days_deal_a_persons_rows_once(spark):
+    rows = [("s", "p", day(0), 0.1), ("s", "p", day(10), 0.1), ("s", "p", day(31), 0.06), ("s", "q", day(31), 0.1), ("s", "q", day(40), None)]
+    buys = spark.createDataFrame(rows, "security string, person string, day date, pct double")
+    out = replay.heavy_days(buys, buys.select("security", "day"), "security", "person", "day", "pct")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(security#") <= 5 and "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.security, str(r.day)) for r in out.collect()} == {("s", "2024-01-11"), ("s", "2024-02-01")}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.session import dealt
+
 
 def _day_number(day: str) -> Column:
     return F.unix_date(F.col(day))
@@ -48,9 +50,11 @@ def heavy_days(buys: DataFrame, asked: DataFrame, security: str, person: str, da
     the mark is +1 until the next change; running sums by security tell how many are. Null amounts add
     nothing.
     """
-    daily = buys.select(security, person, _day_number(day).alias("no"), amount).dropna(subset=[security, person, "no"]).groupBy(security, person, "no").agg(F.sum(amount).alias("v"))
-    ends = daily.select(security, person, (F.col("no") + days).alias("no"), F.lit(None).cast("double").alias("v"))
-    changes = daily.unionByName(ends).groupBy(security, person, "no").agg(F.sum("v").alias("v"))
+    known = buys.select(security, person, _day_number(day).alias("no"), F.col(amount).cast("double").alias("v")).dropna(subset=[security, person, "no"])
+    # dealt out once, in finer tasks: days, changes and windows stay where a person's rows are
+    daily = dealt(known, security, person).groupBy(security, person, "no").agg(F.sum("v").alias("v"))
+    turns = F.array(F.struct("no", "v"), F.struct((F.col("no") + days).alias("no"), F.lit(None).cast("double").alias("v")))
+    changes = daily.select(security, person, F.explode(turns).alias("change")).groupBy(security, person, F.col("change.no").alias("no")).agg(F.sum("change.v").alias("v"))
     turn = Window.partitionBy(security, person).orderBy("no")
     summed = changes.withColumns({"held": F.sum("v").over(turn.rangeBetween(1 - days, 0)), "next": F.lead("no").over(turn)})
     over = summed.where(F.col("held") >= least)
