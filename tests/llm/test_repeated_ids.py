@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import pytest
 from odd_texts import sentence
 
-from tidewater.llm import content_sort, line_dedup, mixing, ngram_join
+from tidewater.llm import content_sort, line_dedup, mixing, ngram_join, set_join
 
 SCHEMA = "doc_id long, text string"
 
@@ -43,6 +45,37 @@ def test_lines_of_one_text_of_an_id_leave_the_other_alone(spark):
     assert sorted((r.doc_id, r.text or "", r.n_lines, r.n_removed) for r in got) == sorted([(1, line, 1, 0), (2, "", 1, 1), (2, other, 1, 0), (2, other, 2, 1), (2, "", 0, 0)])
 
 
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_candidates_do_not_depend_on_how_cells_are_gathered(spark, odd, most):
+    """Every set with enough columns that another set has, and no other, whatever falls into one gathering."""
+    docs = odd.selectExpr("doc_id as doc", "coalesce(text, '') as text")
+    reps = set_join.distinct_sets(docs, 5, 80, lines=True)
+    rows = reps.collect()
+    met = Counter(g for r in rows for g in r.grams)
+
+    def least(n):
+        m = -(-80 * n // 100)
+        slack = m - -(-80 * m // 100) + 1
+        return min(m, (3 * slack + 1) // 2) - slack + 1
+
+    want = {(r.doc, r.line, r.n) for r in rows if sum(met[g] > 1 for g in r.grams) >= least(r.n)}
+    got = [(r.doc, r.line, r.n) for r in set_join.may_have_links(reps, 80, most).collect()]
+    assert len(got) == len(want) and set(got) == want and 0 < len(want) < len(rows)
+
+
+def test_shingles_are_not_made_again_to_cut_lines_of_single_texts(spark, monkeypatch):
+    """Only ids with several texts need the sets of their lines once more."""
+    asked, real = [], line_dedup.gram_sets
+    monkeypatch.setattr(line_dedup, "gram_sets", lambda docs, *args, **more: asked.append({r.doc for r in docs.collect()}) or real(docs, *args, **more))
+    rng = random.Random(7)
+    line, other = sentence(rng, 20), sentence(rng, 25)
+    rows = [(1, f"{line}\n \x0b\t\n\n{line}"), (2, f"{other}\n{line}"), (3, line), (3, f"own words\n{other}"), (4, "")]
+    got = line_dedup.without_later_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == [(1, f"{line}\n \x0b\t\n", 1), (2, other, 1), (3, "", 1), (3, "own words", 1), (4, "", 0)]
+    line_dedup.without_later_lines(spark.createDataFrame(rows[:3], SCHEMA)).collect()
+    assert asked == [{3}]
+
+
 def test_many_lines_are_cut_in_linear_time(spark):
     line = "a line of six words here"
     rows = [(1, "\n".join([line] * 60_000)), (2, "\n".join(f"own words of line number {k} x{k}" for k in range(3000)) + "\n" + line)]

@@ -77,40 +77,76 @@ def distinct_sets(docs: DataFrame, width: int, percent: int, lines: bool = False
     return written(reps.select(*SIGNS, "at.*", "grams"), "set-regions")
 
 
-def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Incidence rows (g, key, n) sorted by n-gram -> (key, n, c): in how many columns of this block a set meets another.
+def _counted(keys: np.ndarray) -> pa.RecordBatch:
+    """(key, c): how often each name stands in ``keys``."""
+    found, c = np.unique(keys, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(c)], names=["key", "c"])
 
-    A block's first and last column may go on in a neighbouring block and count as shared.
+
+def _by_column(g: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells sorted by n-gram (as an unsigned number), and which of them share it with another cell."""
+    order = np.argsort(g.view(np.uint64))
+    g, keys = g[order], keys[order]
+    same = g[1:] == g[:-1]
+    return g, keys, (np.append(same, False) | np.append(False, same))[: len(g)]
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))
+
+
+def _dealt_cells(buckets: int, most: int):
+    """Regions (grams, key) -> (bucket, g, keys, hot, known): cells by range of n-grams, very many to a row, so that Spark moves few rows.
+
+    Of a column that stands twice among the ``most`` cells gathered at a time, the cells are known to be
+    shared: only their names go on (``known``, in any bucket), and the n-gram itself once (``hot``).
     """
-    held_g, held_key, held_n = [np.zeros(0, np.int64)] * 3  # the last column met, which may go on
-    first = None
 
-    def counted(keys, n):
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        c = np.diff(np.append(starts, len(keys)))
-        return pa.RecordBatch.from_arrays([pa.array(keys[starts]), pa.array(n[starts]), pa.array(c)], names=["key", "n", "c"])
+    def gathered(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        g, keys, twice = _by_column(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        hot, known = np.unique(g[twice].view(np.uint64)).view(np.int64), keys[twice]
+        g, keys = g[~twice], keys[~twice]
+        ends = (np.arange(1, buckets, dtype=object) * 2**64 // buckets).astype(np.uint64)
+        cuts, hot_cuts = (np.concatenate([[0], np.searchsorted(x.view(np.uint64), ends), [len(x)]]) for x in (g, hot))
+        known_cuts = np.arange(buckets + 1) * len(known) // buckets
+        rows = np.arange(buckets, dtype=np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(rows), _lists(g, cuts), _lists(keys, cuts), _lists(hot, hot_cuts), _lists(known, known_cuts)], names=["bucket", "g", "keys", "hot", "known"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            g = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            held.append((g, np.repeat(batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).value_lengths().to_numpy(zero_copy_only=False))))
+            size += len(g)
+            if size >= most:
+                yield gathered(held)
+                held, size = [], 0
+        if size:
+            yield gathered(held)
+
+    return cells
+
+
+def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of :func:`_dealt_cells`, a bucket's one after the other -> (key, c): in how many columns of a bucket a set meets another."""
+
+    def settled(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        g, keys, hot, known = (np.concatenate(x) for x in zip(*held, strict=True))
+        g, keys, twice = _by_column(g, keys)
+        return _counted(np.append(keys[twice | np.isin(g, hot)], known))
 
+    held, now = [], None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        g, keys, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        g, keys, n = np.append(held_g, g), np.append(held_key, keys), np.append(held_n, n)
-        first = g[0] if first is None else first
-        start = int(np.searchsorted(g, g[-1]))
-        held_g, held_key, held_n = g[start:], keys[start:], n[start:]
-        if len(held_g) > 1:  # already known to be shared: two rows carry the column on
-            yield counted(held_key[:-1], held_n[:-1])
-            held_g, held_key, held_n = np.repeat(held_g[-1:], 2), np.array([held_key[-1], -(2**63)]), np.array([held_n[-1], 0])
-        g, keys, n = g[:start], keys[:start], n[:start]
-        if len(g):
-            same = g[1:] == g[:-1]
-            shared = np.append(same, False) | np.append(False, same) | (g == first)
-            shared &= n > 0
-            yield counted(keys[shared], n[shared])
-    if len(held_key):
-        yield counted(held_key[held_n > 0], held_n[held_n > 0])
+        rows = batch.column(0).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])[: len(rows)])
+        for start, end in zip(starts, np.append(starts[1:], len(rows)), strict=True):
+            if held and rows[start] != now:
+                yield settled(held)
+                held = []
+            now = rows[start]
+            held.append([batch.column(i).slice(start, end - start).flatten().to_numpy(zero_copy_only=False) for i in range(1, 5)])
+    if held:
+        yield settled(held)
 
 
 def _shared_least(n: Column, percent: int) -> Column:
@@ -124,41 +160,45 @@ def _shared_least(n: Column, percent: int) -> Column:
     return F.least(m, F.floor((3 * slack + 1) / 2)) - slack + 1
 
 
-def may_have_links(reps: DataFrame, percent: int) -> DataFrame:
-    """Places (doc, line) of the sets that can be in a link, by the shared columns of their regions; written.
+def may_have_links(reps: DataFrame, percent: int, most: int = 1 << 20) -> DataFrame:
+    """(doc, line, n, s1, s2) of the sets that can be in a link, by the shared columns of their regions; written.
 
-    Incidence rows are range-sorted by n-gram, so that a block is a range of columns and a hot column runs
-    over several blocks; by set the number of columns shared with any other is added up over blocks. Of
-    two linked sets the one whose region ends first shares at least region - (slack - 1) of its columns,
-    and the other's size is within the similarity: sets with fewer shared columns than their smallest
-    partner would need are in no link and leave. For this a set is named by 48 bits of its signature and
-    its size: sets of one name, which are rare, only stay too long.
+    Incidence cells are dealt out by ranges of n-grams, ``most`` gathered at a time; there the columns that
+    several sets have are found, and by set their number is added up. A hot column gives a bucket no more
+    than one cell for each gathering. Of two linked sets the one whose region ends first shares at least
+    region - (slack - 1) of its columns, and the other's size is within the similarity: sets with fewer
+    shared columns than their smallest partner would need are in no link and leave. For this a set is
+    named by 48 bits of its signature and by its size up to 65535: sets of one name, which are rare, only
+    stay too long.
     """
     spark = reps.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col("s1").bitwiseAND(F.lit((1 << 48) - 1)).alias("key")
-    cells = reps.select(F.explode("grams").alias("g"), key, "n")
-    met = cells.repartitionByRange(parts, "g", "key").sortWithinPartitions("g").mapInArrow(_shared_columns, "key long, n long, c long")
-    may = met.groupBy("key", "n").agg(F.sum("c").alias("c")).where(F.col("c") >= _shared_least(F.col("n"), percent)).select("key", "n")
-    places = written(reps.select(*PLACE, key, "n").join(may, ["key", "n"], "left_semi").select(*PLACE), "set-candidates")
+    key = F.shiftleft(F.least("n", F.lit((1 << 16) - 1)), 48).bitwiseOR(F.col("s1").bitwiseAND(F.lit((1 << 48) - 1))).alias("key")
+    buckets = 4 * parts
+    cells = reps.select("grams", key).mapInArrow(_dealt_cells(buckets, most), "bucket int, g array<long>, keys array<long>, hot array<long>, known array<long>")
+    met = cells.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_cells, "key long, c long")
+    least = _shared_least(F.shiftrightunsigned("key", 48), percent)
+    may = met.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("key")
+    places = written(reps.select(*PLACE, *SIGNS, key).join(may, "key", "left_semi").select(*PLACE, *SIGNS), "set-candidates")
     freed(spark)
     return places
 
 
 def numbered_sets(docs: DataFrame, places: DataFrame, width: int, percent: int, lines: bool = False) -> DataFrame:
-    """(id, doc, line, n, s1, s2, grams): the whole sets at ``places``; written. Ids rise with doc and line; several texts at one place are several sets.
+    """(id, doc, line, n, s1, s2, grams): the whole sets ``places`` (doc, line, n, s1, s2); written. Ids rise with doc and line; several texts at one place are several sets.
 
-    The sets are range-sorted by place, and numbered by range and by row within it.
+    The places are range-sorted, and numbered by range and by row within it, before texts are read.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*PLACE, *SIGNS]
+    placed = places.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    numbers = written(placed.select(F.monotonically_increasing_id().alias("id"), *order), "set-numbers")
     wanted = places.groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    # a merge at any size: which documents are wanted grows with the input, and must not be broadcast
+    # merges at any size: which documents are wanted grows with the input, and must not be broadcast
     asked = docs.join(wanted.hint("merge"), "doc").select("doc", "text", "wanted")
     found = gram_sets(asked, width, percent, "whole", lines).where("n > 0")
-    order = [*PLACE, "s1", "s2"]
-    placed = found.repartitionByRange(parts, *order).dropDuplicates(order).sortWithinPartitions(*order)
-    sets = written(placed.select(F.monotonically_increasing_id().alias("id"), *PLACE, *SIGNS, "grams"), "sets")
+    sets = written(found.join(numbers.hint("merge"), order).dropDuplicates(order).select("id", *order, "grams"), "sets")
     freed(spark)
     return sets
 
