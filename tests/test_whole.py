@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,21 @@ def test_word_overlap_of_every_pair_of_a_band(spark, tmp_path):
     assert got == {(190, 195): 0.975, (190, 205): 1.0, (195, 205): 0.975, (195, 391): 0.975, (205, 391): 0.975}
 
 
+def test_word_overlap_counts_pairs_where_their_block_is(spark, tmp_path):
+    """Texts are read and cut once, and dealt out once; repeated, negative and null ids, and a short text in a long one, as all pairs have it."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(rng.randrange(-300, 700), rng.choice("st"), " ".join(rng.choices(words, k=rng.choice([1, 5, 30, 90])))) for _ in range(160)]
+    docs += [docs[0], (docs[0][0], docs[0][1], "w1 w2"), (None, "s", "w1"), (5, None, "w1"), (6, "s", "W1\t\n w1")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sets = [(i, k, set(t.lower().split())) for i, k, t in docs if i is not None and k is not None]
+    pairs = [(i, j, round(len(x & y) / min(len(x), len(y)), 6)) for i, k, x in sets for j, m, y in sets if k == m and i < j <= i + 200 and len(x & y) / min(len(x), len(y)) >= 0.4]
+    df = queries.QUERIES["doc_word_overlap_pairs"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == sorted(pairs) and len(pairs) > 100
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
 def test_changes_of_all_quarters_and_all_priorities(spark, tmp_path):
     """A year's turn, a quarter without orders, and years other than 1997."""
     rows = [(1, 1, dt.datetime(1995, 11, 1), 10.0, "4-NOT SPECIFIED"), (2, 1, dt.datetime(1996, 2, 1), 15.0, "5-LOW"), (3, 2, dt.datetime(1996, 8, 1), 7.0, "1-URGENT"), (4, 2, dt.datetime(1996, 11, 1), 7.0, "5-LOW")]

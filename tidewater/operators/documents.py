@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,20 +45,51 @@ def word_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.least(F.size(x), F.size(y)), F.lit(1))
 
 
+def _overlaps_within(band: int, least: float):
+    """Rows (id, at, own, words) of a block and the one before it -> (a, b, overlap) of the pairs whose later row is the block's own.
+
+    Words become numbers that are exact within these rows; a row's words are marked once, and looked up for all rows of its band together.
+    """
+
+    def pairs(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("at", "ascending"), ("id", "ascending")])).combine_chunks()
+        ids, at, own = rows["id"], rows["at"].to_numpy(), rows["own"].to_numpy()
+        codes = pa.concat_arrays([x.flatten() for x in rows["words"].chunks]).dictionary_encode().indices.to_numpy()
+        sizes = pc.list_value_length(rows["words"]).to_numpy().astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        again = np.append(False, pc.equal(ids[1:], ids[:-1]).to_numpy() & (at[1:] == at[:-1]))  # rows of one id and place are no pair
+        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
+        marked = np.zeros(codes.max() + 1, bool)
+        found = []
+        for b in np.flatnonzero(own):
+            lo, hi = int(np.searchsorted(at, at[b] - band)), int(head[b])
+            if lo < hi:
+                words = codes[starts[b] : starts[b + 1]]
+                marked[words] = True
+                shared = np.add.reduceat(marked[codes[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+                marked[words] = False
+                share = shared / np.minimum(sizes[lo:hi], sizes[b])
+                kept = np.flatnonzero(share >= least)
+                found.append((lo + kept, np.full(len(kept), b), share[kept]))
+        one, two, share = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"a": ids.take(pa.array(one)), "b": ids.take(pa.array(two)), "overlap": share})
+
+    return pairs
+
+
 def overlap_pairs(docs: DataFrame, doc: str, key: str, order: str, text: str, band: int, least: float) -> DataFrame:
-    """(a, b, overlap): every pair of a key at most ``band`` apart in ``order`` whose word overlap is at least ``least``.
+    """(a, b, overlap): every pair of a key at most ``band`` apart in ``order`` (a number) whose word overlap is at least ``least``.
 
-    Orders fall into blocks of ``band``, and a row meets its own block and the next: an equi join. Empty texts pair with nothing.
+    Orders fall into blocks of ``band``, and a row is dealt to its own block and the next, where the pairs
+    are counted: a group is two bands of one key. Texts are cut into words once. Empty texts and null ids
+    pair with nothing.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
-    rows = docs.select(F.col(doc).alias("id"), F.col(key).alias("k"), F.col(order).alias("at"), words.alias("words")).where(F.size("words") > 0)
-    block = F.floor(F.col("at") / band)
-    left = rows.withColumn("block", F.explode(F.array(block, block + 1))).withColumnsRenamed({"id": "a", "at": "a_at", "words": "x"})
-    right = rows.withColumn("block", block).withColumnsRenamed({"id": "b", "at": "b_at", "words": "y"})
-    after = (F.col("b_at") > F.col("a_at")) | ((F.col("b_at") == F.col("a_at")) & (F.col("b") > F.col("a")))
-    near = left.join(right, ["k", "block"]).where(after & (F.col("b_at") - F.col("a_at") <= band))
-    share = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
-    return near.select("a", "b", share.alias("overlap")).where(F.col("overlap") >= least)
+    block = F.floor(F.col(order) / band)
+    rows = docs.select(F.col(doc).alias("id"), F.col(key).alias("k"), F.col(order).alias("at"), block.alias("first"), words.alias("words")).where((F.size("words") > 0) & F.col("k").isNotNull() & F.col("first").isNotNull() & F.col("id").isNotNull())
+    dealt = rows.select("k", "id", "at", "words", F.explode(F.array(F.struct(F.col("first").alias("block"), F.lit(True).alias("own")), F.struct((F.col("first") + 1).alias("block"), F.lit(False).alias("own")))).alias("to")).select("k", "to.*", "id", "at", "words")
+    kind = rows.schema["id"].dataType.simpleString()
+    return dealt.groupBy("k", "block").applyInArrow(_overlaps_within(band, least), f"a {kind}, b {kind}, overlap double")
 
 
 def contains_quote(text: Column, quote: Column) -> Column:
