@@ -37,6 +37,15 @@ def test_rows_go_for_their_reasons(spark):
     assert abs(legs[2].price - 10.5) < 1e-9 and legs[14].flags == ["unmatched_security", "missing_price_or_quantity", "missing_side"]
 
 
+def test_copies_in_both_feeds_are_found_by_hash(spark):
+    """Sums of numbers and flags alone, which are not sorted; a removed row is told the feeds of its copies too."""
+    made = dealings.deal_rows(spark.createDataFrame([deal(1, "a", "BUY", 5.0), deal(2, "a", "BUY", 5.0, from_csv=False), deal(3, "a", "BUY", 5.0, feed="block"), deal(4, "b", "BUY", 5.0, round_trip=True), deal(5, "c", "BUY", 5.0, feed=None), deal(6, "c", "BUY", 5.0)], SCHEMA))
+    assert "SortAggregate" not in (plan := made._jdf.queryExecution().sparkPlan().toString()) and "ObjectHashAggregate" not in plan
+    assert {r.row_id: (r.reason, r.feeds) for r in made.collect()} == {
+        1: ("same_trade_in_both_feeds", ["block", "bulk"]), 2: ("same_deal_in_older_form", ["block", "bulk"]), 3: (None, ["block", "bulk"]), 4: ("intraday_round_trip", None), 5: (None, ["bulk"]), 6: ("same_trade_in_both_feeds", ["bulk"]),
+    }
+
+
 def test_legs_are_netted_or_go(spark):
     maker = [deal(1000 + 2 * i + k, "maker", side, 10.0 + i, 9.0 + i, security=f"S{i}") for i in range(20) for k, side in enumerate(("BUY", "SELL"))] + [deal(1100 + i, "maker", "BUY", 3.0, security=f"T{i}") for i in range(2)]
     rows, legs = cleaned(spark, [

@@ -53,8 +53,11 @@ def deal_rows(deals: DataFrame) -> DataFrame:
     fresh = told.where(_live() & F.col("from_csv")).select(F.col("key").alias("of")).distinct().withColumn("in_csv", F.lit(True))
     df = _because(told.join(fresh, F.col("key") == F.col("of"), "left"), ~F.col("from_csv") & F.col("in_csv"), "same_deal_in_older_form").drop("key", "of", "in_csv")
     df = settled(df, "deal-rows")
-    df = _totals(df, [*LEG, "quantity", "price"], first=F.min(F.struct("feed", "row_id")), both=F.array_sort(F.collect_set("feed")))
-    df = _because(df, F.struct("feed", "row_id") != F.col("first"), "same_trade_in_both_feeds").withColumn("feeds", F.col("both")).drop("first", "both")
+    # numbers and flags alone, which tasks sum by hash: strings, structs and lists would be sorted
+    least = {f"in_{name}": F.min(F.when(c, F.col("row_id"))) for name, c in (("none", F.col("feed").isNull()), ("block", F.col("feed") == "block"), ("bulk", F.col("feed") == "bulk"))}
+    df = _totals(df, [*LEG, "quantity", "price"], **least)
+    told_by = F.when(F.coalesce(*least).isNotNull(), F.array_compact(F.array(*(F.when(F.col(f"in_{name}").isNotNull(), name) for name in ("block", "bulk")))))
+    df = _because(df.withColumn("feeds", told_by), F.col("row_id") != F.coalesce(*least), "same_trade_in_both_feeds").drop(*least)
     bulk, block = F.array_contains("feeds", "bulk"), F.array_contains("feeds", "block")
     held = lambda c: F.sum(F.when(c, F.col("quantity")).otherwise(0.0))
     df = _totals(df, LEG, bulk_total=held(bulk), block_total=held(block), bulk_alone=F.count_if(bulk & ~block), block_alone=F.count_if(block & ~bulk))
@@ -87,8 +90,11 @@ def deal_legs(rows: DataFrame) -> DataFrame:
     """
     kept = rows.where(_live())
     legs = kept.groupBy(*LEG).agg(
-        F.min("row_id").alias("leg_id"), F.first("security", ignorenulls=True).alias("security"), F.sum("quantity").alias("quantity"), F.sum(F.col("quantity") * F.col("price")).alias("value"), F.count("*").alias("trades"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("feeds")))).alias("feeds")
+        F.min("row_id").alias("leg_id"), F.max(F.col("security").isNotNull()).alias("named"), F.sum("quantity").alias("quantity"), F.sum(F.col("quantity") * F.col("price")).alias("value"), F.count("*").alias("trades"), *(F.max(F.array_contains("feeds", f)).alias(f) for f in ("block", "bulk"))
     )
+    # a known security is its own key; numbers and flags alone are summed by hash
+    feeds = F.array_compact(F.array(*(F.when(F.col(f), f) for f in ("block", "bulk"))))
+    legs = legs.select(*LEG, "leg_id", F.when(F.col("named"), F.col("security_key")).alias("security"), "quantity", "value", "trades", feeds.alias("feeds"))
     legs = settled(legs.withColumns({"price": F.when(F.col("quantity") > 0, F.col("value") / F.col("quantity")), "quarter": F.trunc("day", "quarter"), "reason": F.lit(None).cast("string")}), "deal-legs")
     makers = maker_quarters(legs).withColumn("is_maker", F.lit(True))
     legs = legs.join(makers, ["client", "quarter"], "left").withColumn("is_maker", F.coalesce("is_maker", F.lit(False))).drop("quarter")
