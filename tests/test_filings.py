@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidewater import session
 from tidewater.operators import filings
 
 SCHEMA = """row_no long, exchange string, app_id string, prev_app_id string, submission string, symbol string, security string, person_raw string, role_raw string, mode_raw string, kind_raw string,
@@ -118,3 +120,38 @@ def test_whole_filings_are_written_few_times(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(filings, "settled", settled)
     filings.cleaned_filings(spark.createDataFrame([], SCHEMA))
     assert len(wide) <= 4
+
+
+def tables(folder):
+    return sorted(p.name.rsplit("-", 1)[0] for p in folder.iterdir())
+
+
+def test_tables_of_a_workshop_go_when_it_ends(spark, tmp_path, monkeypatch):
+    """What is settled inside goes, what is kept stands in the workshop around, and a shuffle's files go with the write that made them."""
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    dropped = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(dropped, None)
+    with session.workshop(spark) as outer:
+        with session.workshop(spark) as inner:
+            first = session.settled(spark.range(10), "first")
+            second = inner(first.groupBy("id").count(), "second")
+        assert tables(tmp_path) == ["second"]
+        third = outer(second.select("id"), "third")
+    assert tables(tmp_path) == ["third"] and third.count() == 10
+    with pytest.raises(ZeroDivisionError), session.workshop(spark):
+        session.settled(spark.range(10), "lost")
+        raise ZeroDivisionError
+    assert tables(tmp_path) == ["third"] and spark.conf.get(dropped, None) == before
+
+
+def test_cleaned_filings_leave_what_they_are_read_from(spark, tmp_path, monkeypatch):
+    """Of some forty settled tables only those stand in the end that the result reads; the report keeps one."""
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    rows = [row(i, quantity=float(1 + i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    with session.workshop(spark) as kept:
+        cleaned = filings.cleaned_filings(df)
+        left = tables(tmp_path)
+        stands, counts = filings.counted(cleaned.select("row_no", "reason", "flags"), filings.REASONS, "report", kept)
+    assert left == ["copies", "filings", "group-transfers", "removed", "removed"]
+    assert tables(tmp_path) == ["report"] and stands.count() == counts["rows"] == 40
