@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators.graphs import components
 from tidewater.operators.ranking import run_links
-from tidewater.session import settled
+from tidewater.session import dealt, settled
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], direction: str = "backward", strict: bool = False, tolerance_days: int | None = None) -> DataFrame:
@@ -54,6 +54,11 @@ def unique_match(left: DataFrame, right: DataFrame, on: Column, left_id: str, ri
     return pairs.withColumns({"nl": F.count("*").over(Window.partitionBy(left_id)), "nr": F.count("*").over(Window.partitionBy(right_id))}).where("nl = 1 and nr = 1").drop("nl", "nr")
 
 
+def _known(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a null in ``columns``; an amount that is no number (NaN) is none."""
+    return df.where(" and ".join(f"{c} is not null" for c in columns))
+
+
 def few_of_amount(df: DataFrame, keys: list[str], amount: str, who: str, row_id: str) -> DataFrame:
     """Rows that stand for all of their keys and amount in a search for the only candidate: two each of three ``who``.
 
@@ -62,10 +67,57 @@ def few_of_amount(df: DataFrame, keys: list[str], amount: str, who: str, row_id:
     here, and a row that is left out is nobody's only candidate.
     """
     of = Window.partitionBy(*keys, amount)
-    two = df.dropna(subset=[*keys, amount, who, row_id]).withColumn("turn", F.row_number().over(Window.partitionBy(*keys, amount, who).orderBy(row_id))).where("turn <= 2")
+    two = _known(df, [*keys, amount, who, row_id]).withColumn("turn", F.row_number().over(Window.partitionBy(*keys, amount, who).orderBy(row_id))).where("turn <= 2")
     return two.withColumn("place", F.dense_rank().over(of.orderBy(who))).where("place <= 3").drop("turn", "place")
 
 
+def only_near(left: DataFrame, right: DataFrame, keys: list[str], amount: str, who: str, row_id: str, left_id: str, right_id: str, relative: float) -> DataFrame:
+    """(left_id, right_id): rows of equal keys and another ``who``, amounts no more than ``relative`` of the left's apart, where each side has the other as its only candidate.
+
+    Both sides have these columns, and ids of one type. No pairs are made: along the sorted amounts of a
+    key a row's two nearest candidates above it and the two below tell whether it has one, and whom it
+    claims; a pair that both claim is linked. The nearest one of another ``who`` is the next row, or the
+    first one of the run after it. Ids may repeat: all rows of an id have one candidate between them.
+    An amount that is no number, or endless, is near to others out of the order: such lefts are offered
+    to all rights of their key, and few of them.
+    """
+    sound = [_known(df, [*keys, amount, who]).select(*keys, F.col(amount).alias("amount"), F.col(who).alias("who"), F.col(row_id).alias("id")) for df in (left, right)]
+    near = lambda a, b: F.abs(a - b) <= F.lit(relative) * a
+    endless = F.isnan(F.col("amount").cast("double")) | F.abs(F.col("amount").cast("double")).isin(float("inf"))
+    rows = dealt(sound[0].withColumn("side", F.lit(0)).unionByName(sound[1].withColumn("side", F.lit(1))), *keys).withColumns({"turn": F.monotonically_increasing_id(), "walked": (F.col("side") == 1) | ~endless})
+    order = ["amount", "who", "id", "turn"]
+    own = [*keys, "side", "walked"]
+    up, down = Window.partitionBy(*own).orderBy(*order), Window.partitionBy(*own).orderBy(*(F.desc(c) for c in order))
+    rows = rows.withColumns({f"{n}_{c}": f(c).over(up) for n, f in (("up", F.lead), ("down", F.lag)) for c in ("amount", "who")})
+    # a row that opens a run on the way: looking up, its lower neighbour is another's; looking down, its upper one
+    rows = rows.withColumns({"up_opens": F.col("who") != F.col("down_who"), "down_opens": F.col("who") != F.col("up_who")})
+    for n, w in (("up", down), ("down", up)):
+        past = w.rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn(f"{n}_open", F.last(F.when(F.col(f"{n}_opens"), F.col("amount")), ignorenulls=True).over(past))
+        rows = rows.withColumn(f"{n}_fact", F.struct("id", "amount", "who", F.col(f"{n}_amount").alias("next"), F.col(f"{n}_who").alias("next_who"), F.lag(f"{n}_open").over(w).alias("after")))
+        rows = rows.withColumn(f"{n}_fact", F.struct(F.col(f"{n}_fact").alias("one"), F.last(F.when(F.col(f"{n}_opens"), F.col(f"{n}_fact")), ignorenulls=True).over(past).alias("other")))
+    rows = rows.select(*keys, *order, "side", "walked", "up_fact", "down_fact")
+    n, only = F.lit(0), []
+    for way, turned in (("up", F.desc), ("down", F.asc)):
+        past = Window.partitionBy(*keys).orderBy(*(turned(c) for c in ("amount", "side", "who", "id", "turn"))).rowsBetween(Window.unboundedPreceding, -1)
+        seen = [F.last(F.when((F.col("side") == s) & F.col("walked"), F.col(f"{way}_fact")), ignorenulls=True).over(past) for s in (1, 0)]
+        rows = rows.withColumns({f"{way}_{s}": x for s, x in enumerate(seen)})
+        rows = rows.withColumn("met", F.when(F.col("side") == 0, F.col(f"{way}_0")).otherwise(F.col(f"{way}_1"))).drop(f"{way}_0", f"{way}_1")
+        rows = rows.withColumn(f"{way}_first", F.when(F.col("met.one.who") != F.col("who"), F.col("met.one")).otherwise(F.col("met.other"))).drop("met")
+        first = F.col(f"{way}_first")
+        second = F.when(first["next_who"] != F.col("who"), first["next"]).otherwise(first["after"])
+        fits = [F.coalesce(F.when(F.col("side") == 0, near(F.col("amount"), x)).otherwise(near(x, F.col("amount"))), F.lit(False)) for x in (first["amount"], second)]
+        n = n + fits[0].cast("int") + fits[1].cast("int")
+        only.append((fits[0], first["id"]))
+    claimed = rows.select("side", "id", n.alias("n"), F.when(only[0][0], only[0][1]).otherwise(only[1][1]).alias("only")).where("n > 0")
+    odd = settled(few_of_amount(sound[0].where(endless), keys, "amount", "who", "id").select(*[F.col(k).alias(f"o_{k}") for k in keys], F.col("amount").alias("o_amount"), F.col("who").alias("o_who"), F.col("id").alias("only")), "endless-amounts")
+    met = sound[1].join(odd, [F.col(k) == F.col(f"o_{k}") for k in keys]).where((F.col("who") != F.col("o_who")) & near(F.col("o_amount"), F.col("amount")))
+    claims = claimed.unionByName(met.select(F.lit(1).alias("side"), "id", F.lit(1).alias("n"), "only"))
+    single = claims.groupBy("side", "id").agg(F.sum("n").alias("n"), F.first("only").alias("only")).where("n = 1")
+    pairs = single.select(F.when(F.col("side") == 0, F.col("id")).otherwise(F.col("only")).alias(left_id), F.when(F.col("side") == 0, F.col("only")).otherwise(F.col("id")).alias(right_id))
+    return pairs.groupBy(left_id, right_id).agg(F.count("*").alias("n")).where("n = 2").drop("n")
+
+
 def ranked_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
     """One-to-one pairs within a key by place: first with first, second with second; the longer side's rest stays single."""
     a = left.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*left_order)))

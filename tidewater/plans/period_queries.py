@@ -184,12 +184,9 @@ def asof_nearest(spark, folder):
 
 def matched_pairs(spark, folder):
     d = deals(spark, folder)
-    buys = d.where("side = 'BUY'").select(F.col("event_id").alias("buy_id"), F.col("security").alias("s1"), F.col("day").alias("d1"), F.col("client").alias("c1"), F.col("quantity").alias("q1"))
-    sells = d.where("side = 'SELL'").select(F.col("event_id").alias("sell_id"), F.col("security").alias("s2"), F.col("day").alias("d2"), F.col("client").alias("c2"), F.col("quantity").alias("q2"))
-    on = (F.col("s1") == F.col("s2")) & (F.col("d1") == F.col("d2")) & (F.col("c1") != F.col("c2")) & (F.abs(F.col("q1") - F.col("q2")) <= 0.2 * F.col("q1"))
-    # equal deals of many clients have no only candidate: few of them meet
-    buys, sells = linkage.few_of_amount(buys, ["s1", "d1"], "q1", "c1", "buy_id"), linkage.few_of_amount(sells, ["s2", "d2"], "q2", "c2", "sell_id")
-    return linkage.unique_match(buys, sells, on, "buy_id", "sell_id")
+    buys, sells = (d.where(F.col("side") == side).select("event_id", "security", "day", "client", "quantity") for side in ("BUY", "SELL"))
+    # a row's nearest candidates tell whether it has only one: no pairs are made, however many amounts a day has
+    return linkage.only_near(buys, sells, ["security", "day"], "quantity", "client", "event_id", "buy_id", "sell_id", 0.2)
 
 
 def pair_copies_ranked(spark, folder):
