@@ -263,3 +263,30 @@ def staged_links(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         found = settled(both.select(F.col("id").alias(left_id), F.col("partner").alias(right_id), F.lit(number).alias("stage")), f"links-{number}")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def linked_in_stages(rows: DataFrame, on_left: Column, row_id: str, left_id: str, right_id: str, stages: list[list[str]]) -> DataFrame:
+    """(left_id, right_id, stage): what :func:`staged_links` links, for rows of both sides that have one identifier a stage, made of columns.
+
+    ``on_left``: which side a row is on (null: neither). ``stages``: the columns of each identifier, the
+    strictest first; a null in one of them links nothing. Ids are unique on their side. Rows are dealt out
+    once, by the columns that all stages share (one at least): so in every stage the rows of an identifier
+    are in one task, where the smallest and the largest free one of each side tell whether there is one
+    each. Nothing is joined.
+    """
+    common = [c for c in stages[0] if all(c in stage for stage in stages)]
+    if not common:
+        raise ValueError("no column is part of every stage")
+    read = list(dict.fromkeys(c for stage in stages for c in stage))
+    sided = rows.select(*read, F.col(row_id).alias("link_id"), on_left.alias("on_left")).dropna(subset=["link_id", "on_left"])
+    placed = dealt(sided, *common).withColumns({"link_stage": F.lit(None).cast("int"), "linked_to": F.lit(None).cast(sided.schema["link_id"].dataType)})
+    for number, stage in enumerate(stages, 1):
+        free = F.col("link_stage").isNull()
+        for c in stage:
+            free &= F.col(c).isNotNull()
+        of = Window.partitionBy(*common, *(c for c in stage if c not in common))
+        own = {"left": F.when(free & F.col("on_left"), F.col("link_id")), "right": F.when(free & ~F.col("on_left"), F.col("link_id"))}
+        seen = placed.withColumns({f"{end}_{side}": f(own[side]).over(of) for side in own for end, f in (("min", F.min), ("max", F.max))})
+        one = free & (F.col("min_left") == F.col("max_left")) & (F.col("min_right") == F.col("max_right"))
+        placed = seen.withColumns({"link_stage": F.when(one, F.lit(number)).otherwise(F.col("link_stage")), "linked_to": F.when(one, F.col("min_right")).otherwise(F.col("linked_to"))}).drop("min_left", "max_left", "min_right", "max_right")
+    return placed.where("on_left and link_stage is not null").select(F.col("link_id").alias(left_id), F.col("linked_to").alias(right_id), F.col("link_stage").alias("stage"))
